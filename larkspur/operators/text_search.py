@@ -27,7 +27,7 @@ def bm25(docs: DataFrame, query: str, k: int = 10, id_col: str = "doc_id", text_
     """
     terms = query_terms(query)
     counted = docs.select(F.col(id_col), T.bm25_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    tf = [F.size(F.filter("tokens", lambda t, w=w: t == w)).alias(f"tf{i}") for i, w in enumerate(terms)]
+    tf = [_occurrences(w).alias(f"tf{i}") for i, w in enumerate(terms)]
     counted = counted.select(id_col, F.size("tokens").alias("dl"), *tf)
     stats = counted.agg(
         F.count("*").cast("double").alias("n"),
@@ -45,6 +45,10 @@ def bm25(docs: DataFrame, query: str, k: int = 10, id_col: str = "doc_id", text_
     return ranked.orderBy(F.desc("score"), id_col).limit(max(k, 0))
 
 
+def _occurrences(term: str) -> Column:
+    return F.size(F.filter("tokens", lambda t: t == term))
+
+
 def _any(tests: list[Column]) -> Column:
     out = F.lit(False)
     for t in tests:
@@ -57,7 +61,7 @@ def bm25_plus(docs: DataFrame, query: str, k: int = 10, id_col: str = "doc_id",
     terms = query_terms(query, unicode_words=True)
     distinct = list(dict.fromkeys(terms))
     counted = docs.select(F.col(id_col), T.episode_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    counted = counted.select(id_col, F.size("tokens").alias("dl"), *[F.size(F.filter("tokens", lambda t, w=w: t == w)).alias(f"tf{i}") for i, w in enumerate(distinct)])
+    counted = counted.select(id_col, F.size("tokens").alias("dl"), *[_occurrences(w).alias(f"tf{i}") for i, w in enumerate(distinct)])
     stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).cast("double").alias(f"df{i}") for i in range(len(distinct))])
     joined = counted.crossJoin(F.broadcast(stats))
     score = F.lit(0.0)

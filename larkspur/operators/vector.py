@@ -114,7 +114,7 @@ def knn_join(queries: DataFrame, rows: DataFrame, k: int, vector_col: str = "emb
     right = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("q"), F.pmod(F.xxhash64(id_col), F.lit(n_rows)).cast("int").alias("r"))
     both = left.select("q", "r", "side", "id", "v").unionByName(right.select("q", "r", "side", "id", "v"))
 
-    def nearest(key, table: pa.Table) -> pa.Table:
+    def nearest(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
         ids = table["id"].to_numpy()
         vectors = np.array(table["v"].to_pylist(), np.float64)
