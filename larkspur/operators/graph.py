@@ -191,8 +191,9 @@ def symbol_edges(symbols: DataFrame) -> DataFrame:
     """Edges that an index run adds: where symbols are defined, what they call and are called by, what they inherit."""
     me = node_id("type", "name", "file")
     defined = symbols.select(me.alias("src"), F.col("file").alias("dst"), F.lit("DEFINED_IN").alias("rel"), F.lit(1.0).alias("weight"))
-    calls = symbols.select(me.alias("src"), F.concat(F.lit("symbol::"), F.explode("calls")).alias("dst"))
-    bases = symbols.select(me.alias("src"), F.concat(F.lit("symbol::"), F.explode("bases")).alias("dst"), F.lit("INHERITS").alias("rel"), F.lit(1.0).alias("weight"))
+    to = lambda c: symbols.select(me.alias("src"), F.explode(F.transform(c, lambda n: F.concat(F.lit("symbol::"), n))).alias("dst"))
+    calls = to("calls")
+    bases = to("bases").withColumn("rel", F.lit("INHERITS")).withColumn("weight", F.lit(1.0))
     called = calls.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("CALLED_BY").alias("rel"), F.lit(1.0).alias("weight"))
     return defined.unionByName(calls.withColumn("rel", F.lit("CALLS")).withColumn("weight", F.lit(1.0))).unionByName(called).unionByName(bases).distinct()
 
@@ -310,7 +311,7 @@ def memory_links(memories: DataFrame) -> DataFrame:
     """Edges from memories to the concepts that their texts name."""
     from ..functions.text import entities
 
-    return memories.select(F.concat(F.lit("memory::"), "row_id").alias("src"), F.concat(F.lit("concept::"), F.lower(F.explode(entities("text")))).alias("dst"), F.lit("RELATES_TO").alias("rel"), F.lit(0.8).alias("weight")).distinct()
+    return memories.select(F.concat(F.lit("memory::"), "row_id").alias("src"), F.explode(F.transform(entities("text"), lambda e: F.concat(F.lit("concept::"), F.lower(e)))).alias("dst"), F.lit("RELATES_TO").alias("rel"), F.lit(0.8).alias("weight")).distinct()
 
 
 def best_hops(edges: DataFrame, starts: DataFrame, depth: int = 6) -> DataFrame:

@@ -94,7 +94,7 @@ def lines(spark: SparkSession, roots: list[str], pattern: str = "*") -> DataFram
 def decision_records(docs: DataFrame) -> DataFrame:
     """``(path, title, decision)`` of architecture decision records: the first heading and the decision section."""
     title = F.regexp_extract("text", r"(?m)^#\s+(.+)$", 1)
-    decision = F.trim(F.regexp_extract("text", r"(?ims)^##\s*decision\b[^\n]*\n(.*?)(?=^##|\z)", 1))
+    decision = F.regexp_extract("text", r"(?ims)^##\s*decision\b[^\n]*\n\s*(.*?)\s*(?=^##|\z)", 1)
     return docs.where(F.lower("path").rlike(r"(^|/)(adr|adrs|decisions)/|(^|/)adr[-_]?\d+")).select("path", title.alias("title"), decision.alias("decision")).where("title <> ''")
 
 
@@ -144,4 +144,4 @@ def manifest_packages(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["repo", "packages"])
 
     rows = files.select("repo", "name", "text").mapInArrow(run, "repo string, packages array<string>")
-    return rows.select("repo", clean_package(F.explode("packages")).alias("package")).where("package <> ''").distinct()
+    return rows.select("repo", F.explode("packages").alias("package")).select("repo", clean_package("package").alias("package")).where("package <> ''").distinct()
