@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import tomllib
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import clean_package
 from ..operators.text_search import numbered_lines
@@ -61,15 +64,69 @@ def with_language(files: DataFrame, only_known: bool = True) -> DataFrame:
     return rows.join(known, "extension", "left").withColumn("label", F.coalesce("label", F.upper(F.substring("extension", 2, 20))))
 
 
+class _Files(InputPartition):
+    def __init__(self, root: str, paths: list[str]) -> None:
+        self.root, self.paths = root, paths
+
+
+class _TreeReader(DataSourceReader):
+    """Lists a tree on the driver without entering skipped directories; executors read the files."""
+
+    def __init__(self, options: dict) -> None:
+        self.root = re.sub(r"^file:/*", "/", options["path"])
+        self.skip = set(options.get("skip", "").split("\x1f"))
+        self.most = int(options.get("max_bytes", MAX_BYTES))
+
+    def partitions(self) -> list[InputPartition]:
+        known = tuple(e for e, _, _ in LANGUAGES)
+        found = []
+        for folder, folders, names in os.walk(self.root):
+            folders[:] = sorted(d for d in folders if d not in self.skip)
+            found += [os.path.relpath(os.path.join(folder, n), self.root) for n in sorted(names) if n.lower().endswith(known)]
+        return [_Files(self.root, found[i : i + 200]) for i in range(0, len(found), 200)] or [_Files(self.root, [])]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            try:
+                full = os.path.join(partition.root, path)
+                at = os.stat(full)
+                if at.st_size <= self.most:
+                    with open(full, "rb") as f:
+                        yield path, at.st_size, int(at.st_mtime * 1e6), f.read()
+            except OSError:  # a file that went away or cannot be read
+                continue
+
+
+class SourceTree(DataSource):
+    """``source_tree``: files of a checkout on a file system that all executors mount.
+
+    Spark's own file sources hide names that begin with an underscore, and with them every ``__init__.py``.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "source_tree"
+
+    def schema(self) -> str:
+        return "path string, length long, modified_us long, content binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _TreeReader(self.options)
+
+
 def repository(spark: SparkSession, root: str, skip: tuple[str, ...] = (), max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``(path, length, modified, content, ...)`` of the supported files of a tree, paths relative to its root.
+    """``(path, length, modified, content, extension, language, label)`` of the supported files of a tree, paths relative
+    to its root.  ``skip`` adds directory names.
 
-    Directories are skipped and sizes filtered on the scan's own columns; ``skip`` adds directory names.
+    A root with another scheme than ``file`` is scanned as binary files, where names with a leading underscore stay hidden.
     """
+    if re.match(r"^(file:|/)", root):
+        spark.dataSource.register(SourceTree)
+        rows = spark.read.format("source_tree").option("skip", "\x1f".join([*SKIP_DIRS, *skip])).option("max_bytes", max_bytes).load(root)
+        return with_language(rows.withColumn("modified", F.timestamp_micros("modified_us")).drop("modified_us"))
     names = "|".join(re.escape(d) for d in [*SKIP_DIRS, *skip])
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_bytes)
-    base = re.sub(r"^\w+:/*", "/", root).rstrip("/")
-    relative = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", "/"), "^" + re.escape(base) + "/", "")
+    relative = F.replace("path", F.lit(root.rstrip("/") + "/"), F.lit(""))
     rows = rows.withColumn("path", relative).where(~F.col("path").rlike(f"(^|/)({names})/"))
     return with_language(rows.withColumnRenamed("modificationTime", "modified"))
 
