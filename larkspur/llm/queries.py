@@ -102,6 +102,22 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256 FROM g
 """
 
+_OP5 = r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) hard
+), f AS (
+    SELECT *, '### ' || replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:') || ': '
+              || replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') || '</turn>' || chr(10) AS formatted
+    FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, formatted)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, formatted) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(formatted))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
 _OP8 = r"""
 WITH RECURSIVE d AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -157,4 +173,4 @@ FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.k = 1
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the operators that SQL can express; the others are tested against brute force in tests/llm."""
-    return {"op1_lattice_dedup": _OP1, "op2_exact_dedup": _OP2, "op8_mix_sources": _OP8, "op10_url_filter": _OP10}
+    return {"op1_lattice_dedup": _OP1, "op2_exact_dedup": _OP2, "op5_chat_format": _OP5, "op8_mix_sources": _OP8, "op10_url_filter": _OP10}
