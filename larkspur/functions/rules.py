@@ -21,10 +21,12 @@ QUESTION_TYPES = (
 )
 # The words and phrases that the query tier depends on.
 REASONING = (
-    "why compare refactor design tradeoff trade-off architecture explain difference versus vs pros cons evaluate analyse analyze suggest recommend "
-    "detail detailed improve improvements thorough comprehensive complex advanced in-depth security vulnerability vulnerabilities audit exploit "
-    "injection authentication authorization performance bottleneck optimize optimization latency throughput scalability scalable reliability reliable"
-).split() + ["deep dive", "attack surface", "step by step", "walk me through", "walk through"]
+    "why", "compare", "refactor", "design", "tradeoff", "trade-off", "architecture", "explain", "difference", "versus", "vs", "pros", "cons",
+    "evaluate", "analyse", "analyze", "suggest", "recommend", "detail", "detailed", "improve", "improvements", "thorough", "comprehensive",
+    "complex", "advanced", "in-depth", "deep dive", "security", "vulnerability", "vulnerabilities", "audit", "exploit", "attack surface",
+    "injection", "authentication", "authorization", "performance", "bottleneck", "optimize", "optimization", "latency", "throughput",
+    "scalability", "scalable", "reliability", "reliable", "step by step", "walk me through", "walk through",
+)
 LOOKUP = ("what is", "what are", "show", "list", "find", "get", "display", "print", "fetch", "retrieve", "where is", "which")
 IMPERATIVE = ("implement", "build", "architect", "create", "design", "write", "develop", "engineer", "scaffold", "generate")
 CONTEXT = (

@@ -14,7 +14,7 @@ _E = """e AS (
     UNION ALL SELECT 'r:' || r_regionkey, 's:' || (r_regionkey + 1), 'CALLED_BY' FROM region),
 u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 nodes AS (SELECT 'c:' || c_custkey AS id, 'FUNCTION' AS type FROM customer UNION ALL SELECT 's:' || s_suppkey, 'CLASS' FROM supplier
-    UNION ALL SELECT 'n:' || n_nationkey, 'FILE' FROM nation UNION ALL SELECT 'r:' || r_regionkey, 'CONCEPT' FROM region UNION ALL SELECT 'p:' || p_partkey, 'CONCEPT' FROM part WHERE p_partkey < 20)"""
+    UNION ALL SELECT 'n:' || n_nationkey, 'FILE' FROM nation UNION ALL SELECT 'r:' || r_regionkey, 'CONCEPT' FROM region UNION ALL SELECT 'p:' || p_partkey, 'CONCEPT' FROM part)"""
 
 
 def _edges(spark, d):
@@ -30,7 +30,7 @@ def _edges(spark, d):
 
 def _nodes(spark, d):
     pick = lambda t, a, x, kind: table(spark, d, t).select(F.concat(F.lit(a), x).alias("id"), F.lit(kind).alias("type"))
-    parts = table(spark, d, "part").where("p_partkey < 20").select(F.concat(F.lit("p:"), "p_partkey").alias("id"), F.lit("CONCEPT").alias("type"))
+    parts = table(spark, d, "part").select(F.concat(F.lit("p:"), "p_partkey").alias("id"), F.lit("CONCEPT").alias("type"))
     return pick("customer", "c:", "c_custkey", "FUNCTION").unionByName(pick("supplier", "s:", "s_suppkey", "CLASS")).unionByName(pick("nation", "n:", "n_nationkey", "FILE")).unionByName(pick("region", "r:", "r_regionkey", "CONCEPT")).unionByName(parts)
 
 
@@ -116,13 +116,13 @@ def who_calls(spark, d):
     return graph.who_calls(edges, "r:1")
 
 
-_DEPS = """sym AS (SELECT 'o' || l_orderkey AS file, 'f' || l_partkey AS name, 'f' || (l_partkey % 50 + 1) AS callee FROM lineitem WHERE l_orderkey <= 200),
+_DEPS = """sym AS (SELECT 'm' || p_size || p_brand AS file, 'f' || p_partkey AS name, 'f' || (p_partkey + 1) AS callee FROM part),
 deps AS (SELECT DISTINCT a.file AS src, b.file AS dst FROM sym a JOIN sym b ON a.callee = b.name WHERE a.file <> b.file)"""
 
 
 def _deps(spark, d):
-    items = table(spark, d, "lineitem").where("l_orderkey <= 200")
-    return graph.imports(items.select(F.concat(F.lit("o"), "l_orderkey").alias("file"), F.concat(F.lit("f"), "l_partkey").alias("name"), F.array(F.concat(F.lit("f"), F.col("l_partkey") % 50 + 1)).alias("calls")))
+    part = table(spark, d, "part")
+    return graph.imports(part.select(F.concat(F.lit("m"), "p_size", "p_brand").alias("file"), F.concat(F.lit("f"), "p_partkey").alias("name"), F.array(F.concat(F.lit("f"), F.col("p_partkey") + 1)).alias("calls")))
 
 
 @query(f"WITH {_DEPS} SELECT src, dst FROM deps")
@@ -166,7 +166,7 @@ def _repos(spark, d):
     return nation.unionByName(region)
 
 
-_LINKS = "l AS (SELECT 'n' || s_nationkey AS src, 'n' || (s_suppkey % 25) AS dst FROM supplier WHERE s_suppkey < 40)"
+_LINKS = "l AS (SELECT 'n' || s_nationkey AS src, 'n' || (s_suppkey % 25) AS dst FROM supplier)"
 
 
 @query(f"WITH RECURSIVE {_LINKS}, b(node, hops) AS (SELECT 'n1', 0 UNION SELECT l.src, b.hops + 1 FROM b JOIN l ON l.dst = b.node WHERE b.hops < 2) SELECT node, min(hops) AS hops FROM b GROUP BY node HAVING min(hops) > 0")
@@ -180,7 +180,7 @@ def org_links(spark, d):
 
 
 def _org(spark, d):
-    return table(spark, d, "supplier").where("s_suppkey < 40").select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("n"), F.col("s_suppkey") % 25).alias("dst"))
+    return table(spark, d, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("src"), F.concat(F.lit("n"), F.col("s_suppkey") % 25).alias("dst"))
 
 
 @query("""

@@ -71,12 +71,12 @@ def useful_window(spark, d):
     return behaviour.useful_queries(views, edits, 60).select("query_id", _micros("edit_ts").alias("edit_at"), "file_edited", "useful")
 
 
-@query("""WITH x AS (SELECT l_orderkey AS s, 'p' || (l_partkey % 40) AS file, l_linenumber AS seq FROM lineitem WHERE l_orderkey <= 2000),
+@query("""WITH x AS (SELECT l_orderkey AS s, 'p' || (l_partkey % 40) AS file, l_linenumber AS seq FROM lineitem),
 f AS (SELECT s, file AS b, min(seq) AS first FROM x GROUP BY s, file),
 p AS (SELECT x.file AS a, f.b, count(*) AS n FROM x JOIN f ON f.s = x.s AND f.b <> x.file AND x.seq > f.first GROUP BY x.file, f.b)
 SELECT file_a, file_b, sum(n)::BIGINT AS n FROM (SELECT a AS file_a, b AS file_b, n FROM p UNION ALL SELECT b, a, n FROM p) GROUP BY file_a, file_b""")
 def coedit_matrix(spark, d):
-    items = table(spark, d, "lineitem").where("l_orderkey <= 2000")
+    items = table(spark, d, "lineitem")
     return behaviour.coedits(items.select(F.col("l_orderkey").alias("session"), F.concat(F.lit("p"), F.col("l_partkey") % 40).alias("file"), F.col("l_linenumber").alias("seq")))
 
 
@@ -237,9 +237,9 @@ def classify_tier(spark, d):
     return rows.select("i", "x.override", "x.tier", "x.score")
 
 
-@query("SELECT term, count(*) AS n FROM (SELECT unnest(list_filter(list_transform(string_split_regex(lower(trim(text)), '\\s+'), lambda x: regexp_replace(regexp_replace(x, '^[.,;:!?\"''()\\[\\]{}]+', ''), '[.,;:!?\"''()\\[\\]{}]+$', '')), lambda x: length(x) > 3)) AS term FROM conversations WHERE role = 'user') GROUP BY term HAVING count(*) >= 3")
+@query("SELECT term, count(*) AS n FROM (SELECT unnest(list_filter(list_transform(string_split_regex(lower(trim(text)), '\\s+'), lambda x: regexp_replace(regexp_replace(x, '^[.,;:!?\"''()\\[\\]{}]+', ''), '[.,;:!?\"''()\\[\\]{}]+$', '')), lambda x: length(x) > 3)) AS term FROM conversations WHERE role = 'user') GROUP BY term")
 def terminology(spark, d):
-    return behaviour.terminology(table(spark, d, "conversations").where("role = 'user'")).where("n >= 3")
+    return behaviour.terminology(table(spark, d, "conversations").where("role = 'user'"))
 
 
 @query("SELECT round(avg(length(text)), 6) AS mean, CASE WHEN avg(length(text)) > 120 THEN 'detailed' WHEN avg(length(text)) < 40 THEN 'concise' ELSE 'medium' END AS depth FROM (SELECT text FROM conversations WHERE role = 'user' ORDER BY conv_id DESC, turn DESC, text LIMIT 50)")
@@ -299,14 +299,14 @@ def importance_score(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), scores.importance(F.coalesce("text", F.lit(""))).alias("importance"))
 
 
-@query("""WITH r AS (SELECT n_name AS query, n_nationkey % 4 + 1 AS place, 'src/' || lower(n_name) || '.py' AS file FROM nation WHERE n_nationkey % 5 <> 0),
+@query("""WITH r AS (SELECT n_name AS query, n_nationkey % 4 + 1 AS place, 'src/' || lower(n_name) || '.py' AS file FROM nation WHERE n_regionkey <> 0),
 g AS (SELECT n_name AS query, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE 'none' END AS pat FROM nation),
 b AS (SELECT g.query, min(CASE WHEN contains(r.file, g.pat) THEN place END) AS first, count(place) AS n FROM g LEFT JOIN r ON r.query = g.query GROUP BY g.query)
 SELECT round(avg(coalesce(first <= 1, false)::INT), 6) AS recall_at_1, round(avg(CASE WHEN n > 0 THEN coalesce(first <= 1, false)::INT END), 6) AS precision_at_1,
        round(avg(coalesce(first <= 3, false)::INT), 6) AS recall_at_3, round(avg(CASE WHEN n > 0 THEN coalesce(first <= 3, false)::INT END), 6) AS precision_at_3 FROM b""")
 def precision_recall(spark, d):
     nation = table(spark, d, "nation")
-    results = nation.where("n_nationkey % 5 <> 0").select(F.col("n_name").alias("query"), (F.col("n_nationkey") % 4 + 1).alias("place"), F.concat(F.lit("src/"), F.lower("n_name"), F.lit(".py")).alias("file"), F.lit("s").alias("symbol"))
+    results = nation.where("n_regionkey <> 0").select(F.col("n_name").alias("query"), (F.col("n_nationkey") % 4 + 1).alias("place"), F.concat(F.lit("src/"), F.lower("n_name"), F.lit(".py")).alias("file"), F.lit("s").alias("symbol"))
     golden = nation.select(F.col("n_name").alias("query"), F.lit("t").alias("expected_symbol"), F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise("none").alias("expected_file_pattern"))
     return metrics.precision_recall(results, golden)
 
@@ -359,9 +359,10 @@ def enhance_query(spark, d):
 
 @query()
 def greedy_pack(spark, d):
-    rows = table(spark, d, "documents").where("doc_id < 200")
-    packed = rows.select((F.col("doc_id") % 10).alias("query_id"), F.col("doc_id").alias("place"), F.when(F.col("doc_id") % 3 == 0, "doc").otherwise("code").alias("bucket"), F.col("doc_id").alias("id"), T.token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
-    return packing.pack(packed, 6000)
+    rows = table(spark, d, "conversations")
+    bucket = F.when(F.col("role") == "assistant", "code").otherwise("doc")
+    packed = rows.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("place"), bucket.alias("bucket"), F.col("turn").alias("id"), T.token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return packing.pack(packed, 300)
 
 
 @query("""SELECT doc_id, running_tokens FROM (SELECT doc_id, sum(greatest(1, length(text) // 4)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running_tokens FROM documents WHERE text IS NOT NULL) WHERE running_tokens <= 4000""")

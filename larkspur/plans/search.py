@@ -65,12 +65,12 @@ def bm25plus_search(spark, d):
 @query(
     r"""
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM (
-    SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) >= 5
+    SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY term
 """
 )
 def term_frequencies(spark, d):
     index = text_search.term_frequencies(table(spark, d, "documents"))
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).where("df >= 5")
+    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
 def _memories(spark, d):
@@ -129,6 +129,8 @@ def symbol_knn_weighted(spark, d):
     return vector.knn_distinct(rows, _QV, 10, ["name"], "weight").select("row_id", "name", F.round("vector_score", 4).alias("vector_score"))
 
 
+#: The rows that arrive: the query set of searches, every id divisible by 100, against all other rows.
+_NEW = "row_id % 100 = 0"
 _PAIR = "list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
 
@@ -148,20 +150,20 @@ def vec_batch_knn(spark, d):
 WITH m AS ({_M}), p AS (
     SELECT a.row_id AS new_id, b.row_id, 1 - {_PAIR} / 2 AS s, a.importance AS new_i, b.importance AS old_i, b.label,
            row_number() OVER (PARTITION BY a.row_id ORDER BY {_PAIR}, b.row_id) AS place
-    FROM m a, m b WHERE a.row_id % 2 = 0 AND b.row_id % 2 = 1)
+    FROM m a, m b WHERE a.row_id % 100 = 0 AND b.row_id % 100 <> 0)
 SELECT row_id, new_id, round(s, 6) AS similarity FROM p WHERE place <= 5 AND s > 92e-2 AND NOT (label < 3 AND old_i >= new_i)""")
 def near_dup_suppress(spark, d):
     rows = _memories(spark, d).withColumn("source", F.when(F.substring("source", 2, 3).cast("int") < 3, "auto_discovery").otherwise(F.col("source")))
-    found = vector.suppressed_by(rows.where("row_id % 2 = 0"), rows.where("row_id % 2 = 1"))
+    found = vector.suppressed_by(rows.where(_NEW), rows.where(f"NOT ({_NEW})"))
     return found.select("row_id", F.col("by").alias("new_id"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""
-WITH m AS ({_M}), p AS (SELECT a.row_id, max(1 - {_PAIR} / 2) AS s FROM m a, m b WHERE a.row_id % 2 = 0 AND b.row_id % 2 = 1 GROUP BY a.row_id)
+WITH m AS ({_M}), p AS (SELECT a.row_id, max(1 - {_PAIR} / 2) AS s FROM m a, m b WHERE a.row_id % 100 = 0 AND b.row_id % 100 <> 0 GROUP BY a.row_id)
 SELECT row_id FROM p WHERE greatest(0, s) <= 85e-2""")
 def novelty_gate(spark, d):
     rows = _memories(spark, d)
-    return vector.novel(rows.where("row_id % 2 = 0"), rows.where("row_id % 2 = 1")).select("row_id")
+    return vector.novel(rows.where(_NEW), rows.where(f"NOT ({_NEW})")).select("row_id")
 
 
 @query(r"""
@@ -196,12 +198,12 @@ def keyword_match(spark, d):
 
 
 @query("""
-WITH l AS (SELECT l_orderkey AS file, l_linenumber AS line FROM lineitem WHERE l_orderkey % 20 = 0),
-s AS (SELECT l_orderkey AS file, l_linenumber AS start_line, l_linenumber + (l_partkey % 4)::INT AS end_line, 'p' || l_partkey AS name FROM lineitem WHERE l_orderkey % 20 = 0)
+WITH l AS (SELECT l_orderkey AS file, l_linenumber AS line FROM lineitem),
+s AS (SELECT l_orderkey AS file, l_linenumber AS start_line, l_linenumber + (l_partkey % 4)::INT AS end_line, 'p' || l_partkey AS name FROM lineitem)
 SELECT file, line, name FROM (SELECT l.file, l.line, s.name, row_number() OVER (PARTITION BY l.file, l.line ORDER BY s.start_line DESC, s.end_line, s.name) AS k
 FROM (SELECT DISTINCT * FROM l) l JOIN s ON s.file = l.file AND s.start_line <= l.line AND s.end_line >= l.line) WHERE k = 1""")
 def containing_symbol(spark, d):
-    items = table(spark, d, "lineitem").where("l_orderkey % 20 = 0")
+    items = table(spark, d, "lineitem")
     lines = items.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")).distinct()
     symbols = items.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("start_line"), (F.col("l_linenumber") + (F.col("l_partkey") % 4).cast("int")).alias("end_line"), F.concat(F.lit("p"), "l_partkey").alias("name"))
     return text_search.containing_symbol(lines, symbols).select("file", "line", "name")
@@ -211,7 +213,7 @@ _CANDIDATES = f"""
 v AS (SELECT 'd' || row_id AS id, greatest(0, 1 - {_D2} / 2) AS vector_score, 0 AS priority FROM ({_M}) WHERE live ORDER BY {_D2}, row_id LIMIT 60),
 x AS (SELECT 'd' || doc_id AS id, 0e0 AS vector_score, 1 AS priority FROM documents WHERE contains(lower(text), 'license')),
 c AS (SELECT id, max(vector_score) AS vector_score, min(priority) AS priority FROM (SELECT * FROM v UNION ALL SELECT * FROM x) GROUP BY id),
-h AS (SELECT 'd' || (l_partkey - 1) AS id, min(l_linenumber) AS hops FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_partkey),
+h AS (SELECT 'd' || (l_partkey - 1) AS id, min(l_linenumber) AS hops FROM lineitem GROUP BY l_partkey),
 n AS (SELECT 'd' || (l_partkey - 1) AS id, count(*) AS n FROM lineitem GROUP BY l_partkey),
 f AS (SELECT c.id, round(5e-1 * round(c.vector_score, 4) + 3e-1 * coalesce(1e0 / (1 + hops), 0) + 2e-1 * ln(1 + coalesce(n, 0)::DOUBLE) / ln(1 + (SELECT max(n) FROM n)::DOUBLE), 4) AS final_score, CASE priority WHEN 0 THEN 'vector' ELSE 'ast' END AS source
       FROM c LEFT JOIN h ON h.id = c.id LEFT JOIN n ON n.id = c.id)
@@ -226,7 +228,7 @@ def _hybrid(spark, d, k):
     b = docs.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.concat(F.lit("d"), "doc_id").alias("symbol"), none.alias("text"), F.lit("ast").alias("source"), F.lit(0.0).alias("vector_score"), F.lit(1).alias("priority"))
     items = table(spark, d, "lineitem")
     part = F.concat(F.lit("d"), F.col("l_partkey") - 1)
-    hops = items.where("l_linenumber <= 4").groupBy(part.alias("node")).agg(F.min("l_linenumber").alias("hops"))
+    hops = items.groupBy(part.alias("node")).agg(F.min("l_linenumber").alias("hops"))
     counts = items.groupBy(part.alias("symbol")).agg(F.count("*").alias("n"))
     return hybrid.score(hybrid.merge(a, b), hops, counts, k)
 

@@ -210,7 +210,7 @@ class Workspace:
         nodes = self.read("nodes")
         for node in (entity, f"concept::{entity.lower()}", f"symbol::{entity}"):
             if not nodes.where(F.col("id") == node).isEmpty() or not self.read("edges").where((F.col("src") == node) | (F.col("dst") == node)).isEmpty():
-                return graph.ego(nodes, self.read("edges"), node, depth, tuple(T.BUILTIN_WORDS))
+                return graph.ego(nodes, self.read("edges"), node, depth)
         return graph.ego(nodes, self.read("edges"), entity, depth)
 
     def graph_stats(self) -> tuple[DataFrame, DataFrame]:
