@@ -32,9 +32,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkspur-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that ``materialise`` has written in this session: for the end of a job, when no plan reads them."""
+    while _WRITTEN:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote, once nothing will read it again."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -190,5 +190,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     owners = printed.groupBy("fp").agg(F.min("id").alias("node"))
     # one node may own several fingerprints if ids repeat; the forest links those by their shared id
     joined = components(links(owners.where("node is not null")))
-    labels = owners.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    # as a table of its own, so the join below may split a fingerprint that many rows share
+    labels = materialise(owners.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "labels")
     return printed.join(labels, "fp").select("id", "fp", "component_id")
