@@ -20,6 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the hash, and what remains of it after the first and the second level.
 HASH_BITS = 60
 LEVELS = (48, 36)
+PASSES = 4
 
 
 def word_count(text: Column) -> Column:
@@ -63,32 +64,49 @@ def _boundary(rows: DataFrame, budgets: DataFrame, bucket: str) -> DataFrame:
     return first.select("skey", f"x.{bucket}", "x.words", F.col("x.left").alias("budget"))
 
 
-def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """``(skey, source_size, target, whole, below)`` per source from rows ``(skey, size, h)``: every document is taken
-    ``whole`` times, and once more if its hash is under ``below``."""
-    goal = materialise(targets(sized, weights, max_copies), "targets")
-    whole = F.when(F.col("source_size") > 0, F.least(F.lit(max_copies), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
-    goal = goal.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    rows = sized.withColumn("b1", F.shiftright("h", LEVELS[0])).withColumn("b2", F.shiftright("h", LEVELS[1]))
-    one = materialise(_boundary(rows, goal.select("skey", "budget"), "b1"), "level1")
+def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
+    """``(skey, below, left)``: rows of a source with a hash under ``below`` fit its ``budget``, with ``left`` over."""
+    rows = rows.withColumn("b1", F.shiftright("h", LEVELS[0])).withColumn("b2", F.shiftright("h", LEVELS[1]))
+    one = materialise(_boundary(rows, budgets, "b1"), "level1")
     within = rows.join(one.select("skey", "b1"), ["skey", "b1"])
     two = materialise(_boundary(within, one.select("skey", "budget"), "b2"), "level2")
     within = rows.join(two.select("skey", "b2"), ["skey", "b2"])
-    last = _boundary(within, two.select("skey", "budget"), "h")
-    # the boundary document itself, if taking it comes nearer
-    below = last.select("skey", (F.col("h") + (F.col("words") - F.col("budget") < F.col("budget")).cast("long")).alias("below"))
-    found = goal.join(below, "skey", "left")
-    # no boundary: the budget covers all of the source, or there is none
-    rest = F.when(F.col("budget") >= F.col("source_size"), F.lit(1 << HASH_BITS)).otherwise(0)
-    return materialise(found.select("skey", "source_size", "target", "whole", F.when(F.col("whole") >= max_copies, 0).otherwise(F.coalesce("below", rest)).cast("long").alias("below")), "plan")
+    last = _boundary(within, two.select("skey", "budget"), "h").select("skey", F.col("h").alias("below"), F.col("budget").alias("left"))
+    # without a boundary all that is there fits
+    found = budgets.select("skey").join(last, "skey", "left")
+    return materialise(found.select("skey", F.coalesce("below", F.lit(1 << HASH_BITS)).alias("below"), F.coalesce("left", F.lit(0.0)).alias("left")), "threshold")
+
+
+def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
+    """``(skey, source_size, target, whole, steps)`` per source from rows ``(skey, size, h)``: every document is taken
+    ``whole`` times, and once more if for one of the ``steps`` its hash is under ``below`` and its size within ``most``."""
+    goal = targets(sized, weights, max_copies)
+    whole = F.when(F.col("source_size") > 0, F.least(F.lit(max_copies), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
+    goal = goal.withColumn("whole", whole)
+    budget = F.when(F.col("whole") >= max_copies, 0.0).otherwise(F.col("target") - F.col("whole") * F.col("source_size"))
+    goal = materialise(goal.withColumn("budget", budget), "targets")
+    found, step, rows = goal, goal.select("skey", F.col("budget").alias("left"), F.lit(0).cast("long").alias("below")), sized
+    steps = []
+    for number in range(PASSES):
+        if number:
+            rest = step.withColumnRenamed("left", "most").withColumnRenamed("below", "start")
+            rows = sized.join(rest, "skey").where("h >= start and size > 0 and size <= most").select("skey", "size", "h")
+        most = F.lit(float("inf")) if not number else F.col("left")
+        limits = step.select("skey", most.alias(f"most{number}"))
+        step = _threshold(rows, step.select("skey", F.col("left").alias("budget")))
+        found = found.join(limits, "skey").join(step.select("skey", F.col("below").alias(f"below{number}")), "skey")
+        steps.append(F.struct(F.col(f"below{number}").alias("below"), F.col(f"most{number}").alias("most")))
+    none = F.array().cast("array<struct<below:bigint,most:double>>")
+    taken = F.when(F.col("budget") > 0, F.array(*steps)).otherwise(none)
+    return materialise(found.select("skey", "source_size", "target", "whole", taken.alias("steps")), "plan")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), source_key(F.col(source_col)).alias("skey"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h"))
 
 
-def copies(h: Column) -> Column:
-    return F.col("whole") + (h < F.col("below")).cast("int")
+def copies(h: Column, size: Column) -> Column:
+    return F.col("whole") + F.exists("steps", lambda s: (h < s["below"]) & (size <= s["most"])).cast("int")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -98,13 +116,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     null id counts as the text ``null``.  An empty table, or one without words, gives zeros.
     """
     sized = materialise(keyed(docs, id_col, text_col, source_col), "sized")
-    return sized.join(plan(sized), "skey").select("id", "size", "source_size", "target", (F.col("size") * copies(F.col("h"))).alias("taken"))
+    return sized.join(plan(sized), "skey").select("id", "size", "source_size", "target", (F.col("size") * copies(F.col("h"), F.col("size"))).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
     sized = materialise(keyed(docs, id_col, text_col, source_col), "sized")
-    decided = plan(sized).select(F.col("skey").alias("__skey"), "whole", "below")
-    rows = docs.withColumn("__skey", source_key(F.col(source_col))).withColumn("__h", id_hash(F.col(id_col)))
-    taken = rows.join(decided, "__skey").withColumn("__n", copies(F.col("__h"))).where("__n > 0")
+    decided = plan(sized).select(F.col("skey").alias("__skey"), "whole", "steps")
+    rows = docs.withColumn("__skey", source_key(F.col(source_col))).withColumn("__h", id_hash(F.col(id_col))).withColumn("__size", word_count(F.col(text_col)))
+    taken = rows.join(decided, "__skey").withColumn("__n", copies(F.col("__h"), F.col("__size"))).where("__n > 0")
     return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)

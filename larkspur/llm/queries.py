@@ -139,17 +139,41 @@ WITH RECURSIVE d AS (
     SELECT source, source_size, coalesce(least(cap, (SELECT level FROM v) * w), cap) AS target FROM o
 ), b AS (
     SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size)) ELSE 0 END::BIGINT AS whole FROM t
+), c1 AS (
+    SELECT q.source, q.budget, h, words, sum(words) OVER (PARTITION BY q.source ORDER BY h) AS upto
+    FROM (SELECT source, CASE WHEN whole >= 3 THEN 0 ELSE target - whole * source_size END AS budget FROM b) q LEFT JOIN (SELECT r.source, r.h, sum(r.size) AS words FROM d r GROUP BY r.source, r.h) w ON w.source IS NOT DISTINCT FROM q.source
+), p1 AS (
+    SELECT source, coalesce(min(h) FILTER (WHERE upto > budget), 1152921504606846976) AS b,
+           coalesce(any_value(budget) - coalesce(max(upto) FILTER (WHERE upto <= budget), 0), 0) * bool_or(coalesce(upto > budget, false))::INT AS l
+    FROM c1 GROUP BY source
+), c2 AS (
+    SELECT q.source, q.budget, h, words, sum(words) OVER (PARTITION BY q.source ORDER BY h) AS upto
+    FROM (SELECT source, l AS budget FROM p1) q LEFT JOIN (SELECT r.source, r.h, sum(r.size) AS words FROM d r JOIN p1 ON r.source IS NOT DISTINCT FROM p1.source WHERE r.h >= p1.b AND r.size > 0 AND r.size <= p1.l GROUP BY r.source, r.h) w ON w.source IS NOT DISTINCT FROM q.source
+), p2 AS (
+    SELECT source, coalesce(min(h) FILTER (WHERE upto > budget), 1152921504606846976) AS b,
+           coalesce(any_value(budget) - coalesce(max(upto) FILTER (WHERE upto <= budget), 0), 0) * bool_or(coalesce(upto > budget, false))::INT AS l
+    FROM c2 GROUP BY source
+), c3 AS (
+    SELECT q.source, q.budget, h, words, sum(words) OVER (PARTITION BY q.source ORDER BY h) AS upto
+    FROM (SELECT source, l AS budget FROM p2) q LEFT JOIN (SELECT r.source, r.h, sum(r.size) AS words FROM d r JOIN p2 ON r.source IS NOT DISTINCT FROM p2.source WHERE r.h >= p2.b AND r.size > 0 AND r.size <= p2.l GROUP BY r.source, r.h) w ON w.source IS NOT DISTINCT FROM q.source
+), p3 AS (
+    SELECT source, coalesce(min(h) FILTER (WHERE upto > budget), 1152921504606846976) AS b,
+           coalesce(any_value(budget) - coalesce(max(upto) FILTER (WHERE upto <= budget), 0), 0) * bool_or(coalesce(upto > budget, false))::INT AS l
+    FROM c3 GROUP BY source
+), c4 AS (
+    SELECT q.source, q.budget, h, words, sum(words) OVER (PARTITION BY q.source ORDER BY h) AS upto
+    FROM (SELECT source, l AS budget FROM p3) q LEFT JOIN (SELECT r.source, r.h, sum(r.size) AS words FROM d r JOIN p3 ON r.source IS NOT DISTINCT FROM p3.source WHERE r.h >= p3.b AND r.size > 0 AND r.size <= p3.l GROUP BY r.source, r.h) w ON w.source IS NOT DISTINCT FROM q.source
+), p4 AS (
+    SELECT source, coalesce(min(h) FILTER (WHERE upto > budget), 1152921504606846976) AS b,
+           coalesce(any_value(budget) - coalesce(max(upto) FILTER (WHERE upto <= budget), 0), 0) * bool_or(coalesce(upto > budget, false))::INT AS l
+    FROM c4 GROUP BY source
 ), x AS (
-    SELECT d.doc_id, d.size, b.source_size, b.target, b.whole, b.target - b.whole * b.source_size AS budget,
-           sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-           sum(d.size) OVER (PARTITION BY d.source, d.h) AS words
-    FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+    SELECT d.doc_id, d.size, b.source_size, b.target, b.whole,
+           CASE WHEN whole < 3 AND target - whole * source_size > 0 AND (d.h < p1.b OR d.size <= p1.l AND d.h < p2.b OR d.size <= p2.l AND d.h < p3.b OR d.size <= p3.l AND d.h < p4.b) THEN 1 ELSE 0 END AS more
+    FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN p1 ON d.source IS NOT DISTINCT FROM p1.source JOIN p2 ON d.source IS NOT DISTINCT FROM p2.source
+    JOIN p3 ON d.source IS NOT DISTINCT FROM p3.source JOIN p4 ON d.source IS NOT DISTINCT FROM p4.source
 )
-SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN whole >= 3 THEN 0
-                             WHEN upto <= budget THEN 1
-                             WHEN upto - words <= budget AND upto - budget < budget - (upto - words) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM x
+SELECT doc_id, size, source_size, target, (size * (whole + more))::BIGINT AS taken FROM x
 """
 
 _OP10 = r"""

@@ -223,6 +223,11 @@ def test_mix_edges(docs, rows):
     assert mixed.columns == docs.columns
 
 
+def test_mix_comes_near_its_targets(spark, sf_dir):
+    got = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).groupBy("source_size", "target").agg({"taken": "sum"}).collect()
+    assert all(abs(r["sum(taken)"] - r["target"]) <= max(0.02 * r["target"], 30) for r in got)
+
+
 def test_mix_targets_water_fill(spark):
     sizes = {"0a": 10, "0b": 1000, "0c": 2000, "0d": 40, "1": 0}
     sized = spark.createDataFrame(list(sizes.items()), "skey string, size long")
