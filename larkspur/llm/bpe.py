@@ -30,6 +30,8 @@ BLOCK_BYTES = 24 << 20
 #: Positions in one row (a document is never cut), and bytes of encoded output in one batch.
 GROUP = 1 << 18
 SEND_BYTES = 4 << 20
+#: Buckets of words at most: a block sends one row to each, so their number must not grow with the blocks without end.
+BUCKETS = 4096
 #: Distinct words whose ids a bucket's task keeps at a time.
 KEPT_WORDS = 1 << 20
 #: Frequency classes: a word's is the number of bits of its count in the block.
@@ -206,7 +208,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     path = path or default_path()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    buckets = max(16, 2 * rows.rdd.getNumPartitions())
+    buckets = min(BUCKETS, max(16, 2 * rows.rdd.getNumPartitions()))
     table = materialise(rows.mapInArrow(_blocks(path, buckets), _ROWS), "bpe")
     answers = table.where("kind = 1").select("bucket", "block", "body").repartition(buckets, "bucket").mapInArrow(_encode(path), _ROWS)
     both = answers.unionByName(table.where("kind = 2"))
