@@ -107,6 +107,9 @@ class Model:
         out = self._lookup[points]
         return out[(out != _GAP) | np.concatenate(([False], out[:-1] != _GAP))]
 
+    def lettered(self, text: str | None) -> bool:
+        return bool(text) and bool((self.codes(text) != _GAP).any())
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases that each text needs in each language, windows parsed side by side."""
         windows, owner = [], []
@@ -188,8 +191,8 @@ def _model(learned: dict[str, str]) -> Model:
 def identify(docs: DataFrame, learned: dict[str, str], id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """``(id, lang_pred, score)`` for every row, or with ``keep`` the rows whose language is known, all columns unchanged.
 
-    The text alone decides.  A null text, or one without a letter, is ``und`` with score 0.  Whole texts are parsed, in
-    windows.  Ids may be null or repeat.
+    The text alone decides.  A null text, or one without a letter, is ``und`` with score 0, as is any text where nothing
+    was learned; ``keep`` then keeps those with a letter.  Whole texts are parsed, in windows.  Ids may be null or repeat.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learned)
 
@@ -199,7 +202,8 @@ def identify(docs: DataFrame, learned: dict[str, str], id_col: str = "doc_id", t
             for batch in pieces(whole, batch_text(whole)):
                 langs, scores = model.predict(batch.column(batch_text(batch)).to_pylist())
                 if keep:
-                    yield batch.filter(pa.array([x != UNKNOWN for x in langs]))
+                    texts = batch.column(batch_text(batch)).to_pylist()
+                    yield batch.filter(pa.array([x != UNKNOWN if model.langs else model.lettered(t) for x, t in zip(langs, texts, strict=True)]))
                 else:
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 

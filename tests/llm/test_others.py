@@ -170,3 +170,15 @@ def test_pipeline(spark, sf_dir, tmp_path):
         if name == "mixing":
             assert max(ids.count(i) for i in set(ids)) <= 3
     assert docs.count() == len(ids)
+
+
+def test_pipeline_on_nothing_and_without_labels(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, spark.createDataFrame([], schema), sf_dir)
+        assert empty.count() == 0
+        if name != "BPE":
+            assert empty.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = [(1, "some words here", None, None, 3), (2, "12 34", None, None, 5), (3, None, None, None, None)]
+    kept = corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame(rows, schema), sf_dir)
+    assert [r["doc_id"] for r in kept.collect()] == [1]
