@@ -7,13 +7,11 @@ folder, which cuts the lineage.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import node_id
-from ..session import shared_dir
+from ..session import written
 
 # Node and edge types.
 NODE_TYPES = ("FILE", "FUNCTION", "CLASS", "CONCEPT", "QUERY", "SESSION", "USER_ACTION", "MEMORY", "ERROR")
@@ -35,13 +33,6 @@ BUILTIN_NAMES = (
 ).split()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """A table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/larkspur-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 

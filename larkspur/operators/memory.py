@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, scores
 from ..functions.text import whitespace_words
+from ..session import written
 from . import text_search, vector
 
 ROTATE_AT, ROTATE_SHARE = 10_000, 0.2
@@ -137,8 +138,6 @@ def prune(memories: DataFrame, as_of: Column, aggressive: bool = False) -> tuple
 def compact(memories: DataFrame) -> DataFrame:
     """Live rows numbered anew without gaps, in the old order, without bringing all rows to one task."""
     rows = vector.live(memories)
-    from .graph import written
-
     dealt = written(rows.repartitionByRange("row_id").withColumn("__part", F.spark_partition_id()), "compact")
     sums = dealt.groupBy("__part").agg(F.count("*").alias("n"))
     before = sums.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import written
 
 K1, B, DELTA = 1.5, 0.75, 1.0
 
@@ -22,13 +23,13 @@ def query_terms(query: str, unicode_words: bool = False) -> list[str]:
 def bm25(docs: DataFrame, query: str, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score)`` of the ``k`` best documents by Okapi BM25; documents without a query term never rank.
 
-    One scan counts lengths and the query's terms side by side; a global aggregate of one row gives the corpus statistics,
-    and only matching documents take part in scoring.
+    Texts are read and cut once, into a table of lengths and counts of the query's terms.  Its aggregate of one row gives
+    the corpus statistics, and only matching documents take part in scoring.
     """
     terms = query_terms(query)
     counted = docs.select(F.col(id_col), T.bm25_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
     tf = [_occurrences(w).alias(f"tf{i}") for i, w in enumerate(terms)]
-    counted = counted.select(id_col, F.size("tokens").alias("dl"), *tf)
+    counted = written(counted.select(id_col, F.size("tokens").alias("dl"), *tf), "bm25")
     stats = counted.agg(
         F.count("*").cast("double").alias("n"),
         F.avg("dl").alias("avgdl"),
@@ -62,6 +63,7 @@ def bm25_plus(docs: DataFrame, query: str, k: int = 10, id_col: str = "doc_id",
     distinct = list(dict.fromkeys(terms))
     counted = docs.select(F.col(id_col), T.episode_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
     counted = counted.select(id_col, F.size("tokens").alias("dl"), *[_occurrences(w).alias(f"tf{i}") for i, w in enumerate(distinct)])
+    counted = written(counted, "bm25")
     stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).cast("double").alias(f"df{i}") for i in range(len(distinct))])
     joined = counted.crossJoin(F.broadcast(stats))
     score = F.lit(0.0)

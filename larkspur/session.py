@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution re-plans joins and splits skewed partitions; timestamps are UTC throughout.
 SETTINGS = {
@@ -34,3 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
         folder = f"file://{local}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, its lineage cut, and there for whoever lost an executor."""
+    path = f"{shared_dir(df.sparkSession)}/larkspur-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
