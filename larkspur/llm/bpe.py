@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pieces
+from .common import materialise, pieces, trim
 from .words import default_path, tokenizer
 
 BLOCK_BYTES = 24 << 20
@@ -112,6 +112,8 @@ def _blocks(path: str, buckets: int):
                         order, ids, docs, size, block = {}, [], [], 0, block + 1
         if docs:
             yield from end()
+        del order, docs, ids
+        trim()
 
     return run
 
@@ -132,6 +134,8 @@ def _encode(path: str):
                 table.update(zip(new, (np.array(x, wide) for x in cut.encode(new)), strict=True))
                 found = [table[w] for w in words]
                 yield _batch([(1, bucket, block, _pack(sizes, np.fromiter(map(len, found), np.uint16, len(found)), np.concatenate(found)))])
+        del table
+        trim()
 
     return run
 
@@ -196,6 +200,8 @@ def _join(path: str):
                         size = 0
         if rows:
             yield send()
+        del rows, ids_of, text_of
+        trim()
 
     return run
 

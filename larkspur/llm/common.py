@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +87,27 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select("node", F.col("label").alias("component"))
 
 
+_KEPT: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks, such as a tokenizer.  It keeps one thing: another operator's goes first."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        trim()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def trim() -> None:
+    """Give freed memory back to the system, as workers outlive their tasks and share an executor's limit with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 class Forest:
     """Union-find over 64-bit ids that keeps the smallest id as the root."""
 
@@ -114,7 +138,7 @@ def edge_batch(forest: Forest) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def pieces(batch: pa.RecordBatch, column: int, budget: int = 8 << 20):
+def pieces(batch: pa.RecordBatch, column: int, budget: int = 4 << 20):
     """Cut a batch into slices whose ``column`` holds about ``budget`` bytes, so Python copies stay small."""
     array = batch.column(column)
     sizes = np.diff(np.frombuffer(array.buffers()[1], np.int64 if pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type) else np.int32)[array.offset : array.offset + len(array) + 1]) if len(array) else np.zeros(0, int)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, pieces
+from .common import SPACES, pieces, trim
 
 #: Bytes of distinct text a map task holds before it sends them on, and bytes a trie holds before it spills a subtree.
 FOLD_BYTES = 24 << 20
@@ -174,6 +174,8 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     size = 0
     if held:
         yield flush()
+    held.clear()
+    trim()
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +198,8 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.clear()
     if rows:
         yield send()
+    del trie, rows
+    trim()
 
 
 def raw_hash(text: Column) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import kept, pieces, trim
 
 #: Bounds of the labelled sample, per language: documents considered (smallest hashes first) and characters kept.
 SAMPLE_DOCS = 96
@@ -26,6 +26,8 @@ MAX_LANGUAGES = 64
 #: Letters told apart; rarer ones share one code.
 ALPHABET = 60
 WINDOW = 256
+#: Bytes of text parsed at a time.
+PIECE_BYTES = 2 << 20
 UNKNOWN = "und"
 _GAP, _RARE = 0, 1
 
@@ -86,16 +88,20 @@ class Model:
         self.width = ALPHABET + 2
         self._lookup = np.zeros(0x110000, np.uint8)
         self._known = np.zeros(0x110000, bool)
-        tables, self.starts, base = [], [], 0
+        self.starts, base = [], 0
         self.bits = np.array([np.log2(len(samples[lang]) + 2) for lang in self.langs])
+        # one array, filled language by language, so no second copy of all transitions is ever held
+        self.table = np.zeros(sum(2 * len(samples[lang]) + 2 for lang in self.langs) * self.width, np.int32)
         for lang in self.langs:
             table = suffix_automaton(self.codes(samples[lang]).tolist(), self.width)
             root = np.where(table[0] < 0, 0, table[0])
-            step = np.where(table < 0, 2 * (root[None, :] + base) + 1, 2 * (table + base))
-            tables.append(step.astype(np.int32))
+            step = self.table[base * self.width : (base + len(table)) * self.width].reshape(table.shape)
+            np.add(table, base, out=step)
+            step *= 2
+            np.copyto(step, 2 * (root + base)[None, :] + 1, where=table < 0)
             self.starts.append(base)
             base += len(table)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.table = self.table[: base * self.width]
 
     def codes(self, text: str) -> np.ndarray:
         """Codes of a text: lower case, letters by the alphabet, each run of anything else one gap."""
@@ -177,15 +183,8 @@ def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return {lang: "\n".join(texts)[:SAMPLE_CHARS] for lang, texts in out.items()}
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def _model(learned: dict[str, str]) -> Model:
-    key = hash(tuple(sorted(learned.items())))
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(learned)
-    return _MODELS[key]
+    return kept(("language", hash(tuple(sorted(learned.items())))), lambda: Model(learned))
 
 
 def identify(docs: DataFrame, learned: dict[str, str], id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -199,13 +198,14 @@ def identify(docs: DataFrame, learned: dict[str, str], id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         for whole in batches:
-            for batch in pieces(whole, batch_text(whole)):
+            for batch in pieces(whole, batch_text(whole), PIECE_BYTES):
                 langs, scores = model.predict(batch.column(batch_text(batch)).to_pylist())
                 if keep:
                     texts = batch.column(batch_text(batch)).to_pylist()
                     yield batch.filter(pa.array([x != UNKNOWN if model.langs else model.lettered(t) for x, t in zip(langs, texts, strict=True)]))
                 else:
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+        trim()
 
     if keep:
         where = docs.columns.index(text_col)

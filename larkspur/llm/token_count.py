@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import kept, pieces
 from .words import WordTokenizer, default_path, tokenizer
 
 SUMMARY = 1 << 15
@@ -95,10 +95,6 @@ class Lengths:
         return sum(found)
 
 
-#: One per worker process and vocabulary.  A table left from an earlier corpus is still right: it maps words to lengths.
-_CACHES: dict[str, Lengths] = {}
-
-
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 2048) -> DataFrame:
     """``(id, n_bytes, n_tokens, over_limit)`` for every row.
 
@@ -112,11 +108,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = tokenizer(path)
-        if path not in _CACHES:
-            _CACHES.clear()
-            _CACHES[path] = Lengths(shared.value, cut)
-        lengths = _CACHES[path]
+        # a table left from an earlier corpus is still right: it maps words to lengths
+        lengths = kept(("lengths", path), lambda: Lengths(shared.value, WordTokenizer(path)))
+        cut = lengths.cut
         for whole in batches:
             for batch in pieces(whole, 1):
                 counts = [lengths.total(cut.words(t)) for t in batch.column(1).to_pylist()]

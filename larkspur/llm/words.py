@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 import public_tokenizers
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
+from .common import kept
+
 VOCABULARY = "word_bpe_49k.json"
 _LOW = [chr(c) for c in range(0x300)]
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
@@ -80,7 +81,6 @@ class WordTokenizer:
         return encoded
 
 
-@lru_cache(2)
 def tokenizer(path: str) -> WordTokenizer:
     """One per worker process."""
-    return WordTokenizer(path)
+    return kept(("tokenizer", path), lambda: WordTokenizer(path))
