@@ -133,7 +133,7 @@ def _encode(path: str):
                     table, new = {}, words
                 table.update(zip(new, (np.array(x, wide) for x in cut.encode(new)), strict=True))
                 found = [table[w] for w in words]
-                yield _batch([(1, bucket, block, _pack(sizes, np.fromiter(map(len, found), np.uint16, len(found)), np.concatenate(found)))])
+                yield _batch([(1, bucket, block, _pack(sizes, np.fromiter(map(len, found), np.uint32, len(found)), np.concatenate(found)))])
         del table
         trim()
 
@@ -147,7 +147,7 @@ def _table(answers: dict[int, bytes], piece: list[bytes], wide) -> tuple[list[by
         sizes, lengths, flat = _unpack(body, 3)
         values = np.frombuffer(flat, wide)
         raw, each = values.astype("<u4").tobytes(), [piece[i] for i in values.tolist()]
-        ends = np.cumsum(np.frombuffer(lengths, np.uint16), dtype=np.int64).tolist()
+        ends = np.cumsum(np.frombuffer(lengths, np.uint32), dtype=np.int64).tolist()
         starts = [0, *ends[:-1]]
         ids = [raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
         text = [b" ".join(each[a:b]) for a, b in zip(starts, ends, strict=True)]

@@ -104,6 +104,16 @@ def test_bpe_small_blocks(docs, rows, library, monkeypatch, spark):
     assert sorted(r["n_tokens"] for r in got.collect()) == sorted(len(library.encode(r[1] or "", add_special_tokens=False).ids) for r in rows)
 
 
+def test_bpe_words_of_many_tokens(spark, library):
+    texts = ["a" * 1_000_000, "".join(np.random.default_rng(7).choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000)), "".join(chr(0x4E00 + i % 20_000) for i in range(60_000))]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(len(ids) > 65_535 and len(words.tokenizer(words.default_path()).words(t)) == 1 for ids, t in zip(want, texts, strict=True))
+    got = {r["id"]: r for r in bpe.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, ids in enumerate(want):
+        assert np.frombuffer(bytes(got[i]["ids"]), "<u4").tolist() == ids and got[i]["n_tokens"] == len(ids)
+        assert got[i]["decoded"] == library.decode(ids, skip_special_tokens=False)
+
+
 def test_exact(docs, rows):
     groups = {}
     for r in rows:
