@@ -4,7 +4,8 @@ Targets share the words of the corpus by weight; a target stops at ``MAX_COPIES`
 over is shared again by weight.  A document is taken whole as often as its source's target holds the source, and once
 more if its hash is below the source's threshold.  The threshold comes from nested histograms: words by source and the
 first 12 bits of the hash, then by the next 12 bits within the one bucket in which the budget ends, then by the full hash
-within that; the document at the boundary is taken if that is nearer.  Nothing is sorted but histogram rows.
+within that.  Further passes fill what is left with the documents that fit it.  A document at a pass's boundary is taken,
+in place of what later passes add, where that comes nearer to the target.  Nothing is sorted but histogram rows.
 """
 
 from __future__ import annotations
@@ -65,21 +66,24 @@ def _boundary(rows: DataFrame, budgets: DataFrame, bucket: str) -> DataFrame:
 
 
 def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """``(skey, below, left)``: rows of a source with a hash under ``below`` fit its ``budget``, with ``left`` over."""
+    """``(skey, below, left, over)``: rows of a source with a hash under ``below`` fit its ``budget``, with ``left`` over;
+    those at ``below``, if there are any, exceed it by ``over``."""
     rows = rows.withColumn("b1", F.shiftright("h", LEVELS[0])).withColumn("b2", F.shiftright("h", LEVELS[1]))
     one = materialise(_boundary(rows, budgets, "b1"), "level1")
     within = rows.join(one.select("skey", "b1"), ["skey", "b1"])
     two = materialise(_boundary(within, one.select("skey", "budget"), "b2"), "level2")
     within = rows.join(two.select("skey", "b2"), ["skey", "b2"])
-    last = _boundary(within, two.select("skey", "budget"), "h").select("skey", F.col("h").alias("below"), F.col("budget").alias("left"))
+    last = _boundary(within, two.select("skey", "budget"), "h").select("skey", F.col("h").alias("below"), F.col("budget").alias("left"), (F.col("words") - F.col("budget")).alias("over"))
     # without a boundary all that is there fits
     found = budgets.select("skey").join(last, "skey", "left")
-    return materialise(found.select("skey", F.coalesce("below", F.lit(1 << HASH_BITS)).alias("below"), F.coalesce("left", F.lit(0.0)).alias("left")), "threshold")
+    return materialise(found.select("skey", F.coalesce("below", F.lit(1 << HASH_BITS)).alias("below"), F.coalesce("left", F.lit(0.0)).alias("left"), "over"), "threshold")
 
 
-def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
+def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, nearest: bool = True) -> DataFrame:
     """``(skey, source_size, target, whole, steps)`` per source from rows ``(skey, size, h)``: every document is taken
-    ``whole`` times, and once more if for one of the ``steps`` its hash is under ``below`` and its size within ``most``."""
+    ``whole`` times, and once more if for one of the ``steps`` its hash is under ``below`` and its size within ``most``.
+    With ``nearest``, the steps end with the boundary document of the pass that exceeds the target least, where that is
+    nearer to the target than all passes without one."""
     goal = targets(sized, weights, max_copies)
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(max_copies), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
     goal = goal.withColumn("whole", whole)
@@ -94,10 +98,20 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int
         most = F.lit(float("inf")) if not number else F.col("left")
         limits = step.select("skey", most.alias(f"most{number}"))
         step = _threshold(rows, step.select("skey", F.col("left").alias("budget")))
-        found = found.join(limits, "skey").join(step.select("skey", F.col("below").alias(f"below{number}")), "skey")
+        found = found.join(limits, "skey").join(step.select("skey", F.col("below").alias(f"below{number}"), F.col("over").alias(f"over{number}")), "skey")
         steps.append(F.struct(F.col(f"below{number}").alias("below"), F.col(f"most{number}").alias("most")))
     none = F.array().cast("array<struct<below:bigint,most:double>>")
     taken = F.when(F.col("budget") > 0, F.array(*steps)).otherwise(none)
+    if nearest:
+        found = materialise(found.withColumn("steps", taken), "passes")
+        more = sized.join(found.select("skey", "steps"), "skey").groupBy("skey").agg(F.sum(F.when(_extra(F.col("h"), F.col("size")), F.col("size")).otherwise(0)).alias("more"))
+        ends = []
+        for number, last in enumerate(steps):
+            upto = F.array(*steps[:number], F.struct((last["below"] + 1).alias("below"), last["most"].alias("most")))
+            ends.append(F.when(F.col(f"over{number}").isNotNull(), F.struct(F.col(f"over{number}").alias("over"), upto.alias("steps"))))
+        best = F.least(*ends)
+        found = found.join(more, "skey")
+        taken = F.when(best["over"] < F.col("budget") - F.col("more"), best["steps"]).otherwise(F.col("steps"))
     return materialise(found.select("skey", "source_size", "target", "whole", taken.alias("steps")), "plan")
 
 
@@ -105,18 +119,23 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     return docs.select(F.col(id_col).cast("long").alias("id"), source_key(F.col(source_col)).alias("skey"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h"))
 
 
+def _extra(h: Column, size: Column) -> Column:
+    return F.exists("steps", lambda s: (h < s["below"]) & (size <= s["most"]))
+
+
 def copies(h: Column, size: Column) -> Column:
-    return F.col("whole") + F.exists("steps", lambda s: (h < s["below"]) & (size <= s["most"])).cast("int")
+    return F.col("whole") + _extra(h, size).cast("int")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", nearest: bool = True) -> DataFrame:
     """``(id, size, source_size, target, taken)`` for every row of ``docs``.
 
     A null text has no words; null sources are one source, the last; ids decide, so a repeated id is taken alike, and a
-    null id counts as the text ``null``.  An empty table, or one without words, gives zeros.
+    null id counts as the text ``null``.  An empty table, or one without words, gives zeros.  Without ``nearest`` no target
+    is exceeded, so a source of one long document may get nothing.
     """
     sized = materialise(keyed(docs, id_col, text_col, source_col), "sized")
-    return sized.join(plan(sized), "skey").select("id", "size", "source_size", "target", (F.col("size") * copies(F.col("h"), F.col("size"))).alias("taken"))
+    return sized.join(plan(sized, nearest=nearest), "skey").select("id", "size", "source_size", "target", (F.col("size") * copies(F.col("h"), F.col("size"))).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

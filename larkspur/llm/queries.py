@@ -55,7 +55,8 @@ def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    # the SQL of this query takes no boundary document; the pipeline does
+    return mixing.mix(_table(spark, sf_dir, "documents"), nearest=False).withColumnRenamed("id", "doc_id")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,6 +238,19 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(r["sum(taken)"] - r["target"]) <= max(0.02 * r["target"], 30) for r in got)
 
 
+def test_mix_source_of_one_long_document(spark):
+    # b: target 9,500 of 10,000 words, 9,000 of them in the document with the largest hash
+    ids = sorted(range(101), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    rows = [(i, "w " * (9_000 if i == ids[-1] else 10), "b") for i in ids] + [(1000, "w " * 23_250, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [r for r in mixing.mix(docs).collect() if r["source_size"] == 10_000]
+    assert {r["target"] for r in got} == {9_500.0} and sum(r["taken"] for r in got) == 10_000
+    assert mixing.mixed_documents(docs).where("source = 'b'").count() == 101
+    # one document of 1,000 words and a target of 700: it is nearer than nothing
+    docs = spark.createDataFrame([(1, "w " * 1_000, "b"), (2, "w " * 1_450, "a")], docs.schema)
+    assert {r["id"]: (r["target"], r["taken"]) for r in mixing.mix(docs).collect()} == {1: (700.0, 1_000), 2: (1_750.0, 1_450)}
+
+
 def test_mix_targets_water_fill(spark):
     sizes = {"0a": 10, "0b": 1000, "0c": 2000, "0d": 40, "1": 0}
     sized = spark.createDataFrame(list(sizes.items()), "skey string, size long")
