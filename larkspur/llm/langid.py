@@ -5,7 +5,8 @@ longest phrases that occur in a language's sample; the number of phrases, times
 length of the text, is its cross-parsing entropy there.  The language needing fewest normalised phrases wins.
 
 Automata are dense transition tables in which a missing transition leads to where the phrase restarts and carries one
-count, so parsing is one table lookup per character, done for many windows of text at once.
+count, so parsing is one table lookup per character, done for many windows of text at once.  Every letter of a language's
+own sample has a code there: the most frequent ones a column of its dense table, the others an entry in a sorted list.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from .common import kept, pieces, trim
 SAMPLE_DOCS = 96
 SAMPLE_CHARS = 40_000
 MAX_LANGUAGES = 64
-#: Letters told apart; rarer ones share one code.
+#: Letters of a language with a column in its dense table; rarer ones are searched for.
 ALPHABET = 60
 WINDOW = 256
 #: Bytes of text parsed at a time.
 PIECE_BYTES = 2 << 20
 UNKNOWN = "und"
+#: Codes of what is no letter, and of letters that are in no sample.
 _GAP, _RARE = 0, 1
 
 
@@ -37,8 +39,9 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions ``(states, width)`` of the suffix automaton of ``codes``; -1 where there is none."""
+def suffix_automaton(codes: list[int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions of the suffix automaton of ``codes``: a table ``(states, width)``, -1 where there is none, and for codes
+    from ``width`` on sorted keys ``state << 16 | code`` and the states they lead to."""
     n = 2 * len(codes) + 2
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -67,14 +70,56 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
         last = cur
     assert len(nxt) <= n
     table = np.full((len(nxt), width), -1, np.int32)
+    more: list[tuple[int, int]] = []
     for state, moves in enumerate(nxt):
         for c, to in moves.items():
-            table[state, c] = to
-    return table
+            if c < width:
+                table[state, c] = to
+            else:
+                more.append((state << 16 | c, to))
+    keys, ends = np.array(sorted(more), np.int64).reshape(-1, 2).T
+    return table, np.ascontiguousarray(keys), ends.astype(np.int32)
+
+
+class Automaton:
+    """One language: entry ``[state, code]`` is twice the next state, plus one where a phrase ended."""
+
+    def __init__(self, codes: np.ndarray, n_codes: int) -> None:
+        counts = np.bincount(codes, minlength=n_codes)
+        counts[[_GAP, _RARE]] = 0
+        own = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+        #: From the codes of all languages to this one's: its own letters by falling frequency, any other is _RARE.
+        self.local = np.full(n_codes, _RARE, np.min_scalar_type(len(own) + 1))
+        self.local[_GAP] = _GAP
+        self.local[own] = np.arange(2, len(own) + 2)
+        self.width = min(len(own), ALPHABET) + 2
+        table, self.keys, self.ends = suffix_automaton(self.local[codes].tolist(), self.width)
+        # where the phrase restarts, by code; every letter of the sample leads somewhere from the first state
+        self.root = np.zeros(len(own) + 2, np.int32)
+        self.root[: self.width] = np.maximum(table[0], 0)
+        first = self.keys < 1 << 16
+        self.root[self.keys[first]] = self.ends[first]
+        missing = table < 0
+        table *= 2
+        np.copyto(table, 2 * self.root[None, : self.width] + 1, where=missing)
+        self.table = table.reshape(-1)
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        codes = self.local[codes]
+        if not len(self.keys):
+            return self.table[state * self.width + codes]
+        moved = self.table[state * self.width + np.minimum(codes, self.width - 1)]
+        at = np.flatnonzero(codes >= self.width)
+        if len(at):
+            rare = codes[at]
+            key = state[at].astype(np.int64) << 16 | rare
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            moved[at] = np.where(self.keys[place] == key, 2 * self.ends[place], 2 * self.root[rare] + 1)
+        return moved
 
 
 class Model:
-    """All languages in one table: entry ``[state, code]`` is twice the next state, plus one where a phrase ended."""
+    """The automata of all languages, and the codes of all their letters."""
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.langs = sorted(samples)
@@ -83,25 +128,12 @@ class Model:
             for ch in samples[lang].lower():
                 if ch.isalpha():
                     counts[ch] = counts.get(ch, 0) + 1
-        letters = sorted(counts, key=lambda ch: (-counts[ch], ch))[:ALPHABET]
+        letters = sorted(counts, key=lambda ch: (-counts[ch], ch))
         self.code = {ord(ch): i + 2 for i, ch in enumerate(letters)}
-        self.width = ALPHABET + 2
-        self._lookup = np.zeros(0x110000, np.uint8)
+        self._lookup = np.zeros(0x110000, np.min_scalar_type(len(letters) + 1))
         self._known = np.zeros(0x110000, bool)
-        self.starts, base = [], 0
         self.bits = np.array([np.log2(len(samples[lang]) + 2) for lang in self.langs])
-        # one array, filled language by language, so no second copy of all transitions is ever held
-        self.table = np.zeros(sum(2 * len(samples[lang]) + 2 for lang in self.langs) * self.width, np.int32)
-        for lang in self.langs:
-            table = suffix_automaton(self.codes(samples[lang]).tolist(), self.width)
-            root = np.where(table[0] < 0, 0, table[0])
-            step = self.table[base * self.width : (base + len(table)) * self.width].reshape(table.shape)
-            np.add(table, base, out=step)
-            step *= 2
-            np.copyto(step, 2 * (root + base)[None, :] + 1, where=table < 0)
-            self.starts.append(base)
-            base += len(table)
-        self.table = self.table[: base * self.width]
+        self.automata = [Automaton(self.codes(samples[lang]), len(letters) + 2) for lang in self.langs]
 
     def codes(self, text: str) -> np.ndarray:
         """Codes of a text: lower case, letters by the alphabet, each run of anything else one gap."""
@@ -129,16 +161,16 @@ class Model:
         lengths = np.array([len(w) for w in windows])
         order = np.argsort(-lengths, kind="stable")
         lengths, owner = lengths[order], np.array(owner)[order]
-        grid = np.zeros((WINDOW, len(windows)), np.uint8)
+        grid = np.zeros((WINDOW, len(windows)), self._lookup.dtype)
         for column, i in enumerate(order.tolist()):
             grid[: len(windows[i]), column] = windows[i]
         active = np.searchsorted(-lengths, -np.arange(WINDOW), "left")
-        for k, start in enumerate(self.starts):
-            state = np.full(len(windows), start, np.int32)
+        for k, automaton in enumerate(self.automata):
+            state = np.zeros(len(windows), np.int32)
             count = np.ones(len(windows), np.int32)
             for step in range(int(lengths[0])):
                 n = active[step]
-                moved = self.table[state[:n] * self.width + grid[step, :n]]
+                moved = automaton.step(state[:n], grid[step, :n])
                 count[:n] += moved & 1
                 state[:n] = moved >> 1
             np.add.at(out[:, k], owner, count)
@@ -146,7 +178,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and a score in [0, 1]: how much cheaper the winner is than the runner-up, halved and raised by a half."""
-        codes = [self.codes(t) if t else np.zeros(0, np.uint8) for t in texts]
+        codes = [self.codes(t) if t else np.zeros(0, self._lookup.dtype) for t in texts]
         lettered = [bool((c != _GAP).any()) for c in codes]
         if not self.langs:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)

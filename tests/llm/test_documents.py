@@ -293,6 +293,36 @@ def test_language_phrases_match_plain_parsing():
     assert model.phrases([model.codes(text)])[0, 0] == n
 
 
+SCRIPTS = {
+    "en": range(0x61, 0x7B), "ru": range(0x430, 0x450), "el": range(0x3B1, 0x3C2), "uk": range(0x434, 0x458), "ar": range(0x628, 0x640), "fa": range(0x62F, 0x64A),
+    "ja": [*range(0x3041, 0x3090), *range(0x4E00, 0x5000)], "zh": range(0x4E00, 0x5800), "ko": range(0xAC00, 0xB400),
+}
+
+
+def test_language_tells_languages_of_many_scripts_apart():
+    draw = np.random.default_rng(3)
+    lexicon = {lang: ["".join(map(chr, draw.choice(list(letters), draw.integers(2, 6)))) for _ in range(400)] for lang, letters in SCRIPTS.items()}
+    model = langid.Model({lang: " ".join(draw.choice(w, 4_000)) for lang, w in lexicon.items()})
+    for lang, w in lexicon.items():
+        assert set(model.predict([" ".join(draw.choice(w, 12)) for _ in range(20)])[0]) == {lang}
+
+
+@pytest.mark.parametrize("alphabet", [2, 60])
+def test_language_phrases_of_many_letters_match_plain_parsing(monkeypatch, alphabet):
+    monkeypatch.setattr(langid, "ALPHABET", alphabet)
+    draw = np.random.default_rng(5)
+    samples = {lang: "".join(map(chr, draw.choice(list(SCRIPTS[lang]), 3_000))) for lang in ("en", "ja", "zh")}
+    model = langid.Model(samples)
+    text = "".join(samples[lang][at : at + 7] for lang in samples for at in range(0, 70, 9))
+    for k, lang in enumerate(model.langs):
+        n, phrase = 1, ""
+        for ch in text:
+            phrase += ch
+            if phrase not in samples[lang]:
+                n, phrase = n + 1, ch if ch in samples[lang] else ""
+        assert model.phrases([model.codes(text)])[0, k] == n
+
+
 @pytest.mark.parametrize("table", ["sf0.01"])
 def test_language_held_out_accuracy(spark, table):
     docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
