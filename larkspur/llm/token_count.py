@@ -9,6 +9,7 @@ encoded once per worker and kept in a two-generation cache of bounded size.  Nei
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -22,7 +23,13 @@ from .words import WordTokenizer, default_path, tokenizer
 
 SUMMARY = 1 << 15
 FAN_IN = 16
-GENERATION = 300_000
+#: Longest pre-token in the broadcast table, which so holds at most ``SUMMARY * LONGEST`` characters.
+LONGEST = 128
+#: Characters of text that a task counts before it lets go of pre-tokens over ``LONGEST``.
+FRESH = 32 << 20
+#: Characters of pre-tokens in one generation of a worker's cache, each entry counting ``ENTRY`` more.
+GENERATION = 40 << 20
+ENTRY = 100
 
 
 def _shrink(counts: Counter, size: int = SUMMARY) -> Counter:
@@ -34,6 +41,10 @@ def _shrink(counts: Counter, size: int = SUMMARY) -> Counter:
     return Counter({w: n - least for w, n in ranked[:-1] if n > least})
 
 
+def _short(counts: Counter) -> Counter:
+    return Counter({w: n for w, n in counts.items() if len(w) <= LONGEST})
+
+
 def _pack(counts: Counter) -> bytes:
     return zlib.compress(json.dumps(counts).encode(), 1)
 
@@ -42,13 +53,15 @@ def frequent(docs: DataFrame, text_col: str, path: str) -> list[str]:
     """At most ``SUMMARY`` pre-tokens, with all that make up more than one in ``SUMMARY`` of the corpus."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, counts = tokenizer(path), Counter()
+        cut, counts, fresh = tokenizer(path), Counter(), 0
         for whole in batches:
             for batch in pieces(whole, 0):
                 for text in batch.column(0).to_pylist():
                     counts.update(cut.words(text))
-                if len(counts) > 8 * SUMMARY:
-                    counts = _shrink(counts)
+                    fresh += len(text or "")
+                if len(counts) > 8 * SUMMARY or fresh > FRESH:
+                    counts, fresh = _shrink(_short(counts)), 0
+        counts = _short(counts)
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array([_pack(_shrink(counts))], pa.binary())], ["summary"])
 
@@ -74,25 +87,28 @@ def frequent(docs: DataFrame, text_col: str, path: str) -> list[str]:
     return [w for w, _ in counts.most_common()]
 
 
-class Lengths:
-    """Token length of a pre-token: the broadcast table first, then a cache of two generations."""
+class Lengths(dict):
+    """Token length of a pre-token: the broadcast table first, then a cache of two generations, bounded in characters."""
 
     def __init__(self, table: dict[str, int], cut: WordTokenizer) -> None:
-        self.table, self.cut, self.young, self.old = table, cut, dict(table), {}
+        super().__init__(table)
+        self.table, self.cut, self.old, self.held = table, cut, {}, 0
+
+    def __missing__(self, word: str) -> int:
+        n = self.old.get(word)
+        if n is None:
+            n = self.cut.length(word)
+        self.held += len(word) + ENTRY
+        if self.held > GENERATION:
+            self.old, self.held = {w: n for w, n in self.items() if w not in self.table}, 0
+            self.clear()
+            self.update(self.table)
+        if len(word) + ENTRY <= GENERATION:
+            self[word] = n
+        return n
 
     def total(self, words: list[str]) -> int:
-        get = self.young.get
-        found = [get(w) for w in words]
-        if None in found:
-            missing = {w for w, n in zip(words, found, strict=True) if n is None}
-            known = {w: n for w in missing if (n := self.old.get(w)) is not None}
-            todo = list(missing - known.keys())
-            known.update(zip(todo, (len(x) for x in self.cut.encode(todo)), strict=True))
-            if len(self.young) + len(known) > GENERATION:
-                self.old, self.young = self.young, dict(self.table)
-            self.young.update(known)
-            return sum(known[w] if n is None else n for w, n in zip(words, found, strict=True))
-        return sum(found)
+        return sum(map(self.__getitem__, words))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 2048) -> DataFrame:
@@ -105,11 +121,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words = frequent(docs, text_col, path)
     cut = tokenizer(path)
     table = dict(zip(words, (len(x) for x in cut.encode(words)), strict=True)) if words else {}
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared, corpus = docs.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a table left from an earlier corpus is still right: it maps words to lengths
-        lengths = kept(("lengths", path), lambda: Lengths(shared.value, WordTokenizer(path)))
+        lengths = kept(("lengths", path, corpus), lambda: Lengths(shared.value, WordTokenizer(path)))
         cut = lengths.cut
         for whole in batches:
             for batch in pieces(whole, 1):

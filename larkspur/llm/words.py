@@ -80,6 +80,10 @@ class WordTokenizer:
                 encoded[i] = [self.special[word]]
         return encoded
 
+    def length(self, word: str) -> int:
+        """Tokens of one pre-token."""
+        return 1 if word in self.special else len(self.one.encode(word, add_special_tokens=False))
+
 
 def tokenizer(path: str) -> WordTokenizer:
     """One per worker process."""
