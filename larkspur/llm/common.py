@@ -19,14 +19,20 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="larkspur-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        folder = f"file://{folder}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = _LOCAL.get(spark.sparkContext.applicationId)
+        if not folder:
+            local = tempfile.mkdtemp(prefix="larkspur-")
+            atexit.register(shutil.rmtree, local, ignore_errors=True)
+            folder = _LOCAL[spark.sparkContext.applicationId] = f"file://{local}"
     return folder.rstrip("/")
 
 
@@ -42,20 +48,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete every table that ``materialise`` has written in this session: for the end of a job, when no plan reads them."""
-    while _WRITTEN:
-        target = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def tables() -> int:
+    """How many tables ``materialise`` has written so far: a mark for ``clear``."""
+    return len(_WRITTEN)
+
+
+def clear(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Delete the tables that ``materialise`` wrote from mark ``since`` to mark ``until``, once no plan reads them any more."""
+    for path in _WRITTEN[since:until]:
+        delete(spark, path)
+    _WRITTEN[since:until] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote, once nothing will read it again."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/larkspur-" in path:
-            jvm = df.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+            delete(df.sparkSession, path)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -133,6 +147,52 @@ class Forest:
         return np.array(nodes, np.int64), np.array([self.find(x) for x in nodes], np.int64)
 
 
+#: Runs up to ``SHORT`` rows are compared side by side; longer ones ``WIDE`` rows at a time against the run.
+SHORT, WIDE = 24, 256
+
+
+def link_runs(first: np.ndarray, ids: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], forest: Forest) -> None:
+    """Link all rows of a run that are near: ``first`` marks where runs start, ``near`` compares rows by their indices."""
+    edges = np.append(np.flatnonzero(first), len(first))
+    lengths = np.diff(edges)
+    for start, stop in zip(edges[:-1][lengths > SHORT].tolist(), edges[1:][lengths > SHORT].tolist(), strict=True):
+        _link_run(np.arange(start, stop), ids, near, forest)
+    left = np.flatnonzero(np.repeat((lengths <= SHORT) & (lengths > 1), lengths))
+    end = np.repeat(edges[1:], lengths)
+    for step in range(1, SHORT):
+        left = left[left + step < end[left]]
+        if not len(left):
+            break
+        close = left[near(left, left + step)]
+        for a, b in set(zip(ids[close].tolist(), ids[close + step].tolist(), strict=True)):
+            forest.link(a, b)
+
+
+def _link_run(rows: np.ndarray, ids: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], forest: Forest) -> None:
+    """One long run: pairs where they are few, else breadth-first from each row not yet reached, so a row is expanded once."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    budget = 8 * len(rows)
+    for at in range(0, len(rows), WIDE):
+        a, b = np.nonzero(near(rows[at : at + WIDE, None], rows[None, at:]))
+        a, b = a[a < b], b[a < b]
+        budget -= len(a)
+        if budget < 0:
+            break
+        found.append((rows[at + a], rows[at + b]))
+    else:
+        for a, b in found:
+            for x, y in zip(ids[a].tolist(), ids[b].tolist(), strict=True):
+                forest.link(x, y)
+        return
+    while len(rows) > 1:
+        seed, frontier, rows = int(ids[rows[0]]), rows[:1], rows[1:]
+        while len(frontier) and len(rows):
+            reached = near(frontier[:WIDE, None], rows[None, :]).any(axis=0)
+            for x in ids[rows[reached]].tolist():
+                forest.link(seed, x)
+            frontier, rows = np.concatenate((frontier[WIDE:], rows[reached])), rows[~reached]
+
+
 def edge_batch(forest: Forest) -> pa.RecordBatch:
     a, b = forest.edges()
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])

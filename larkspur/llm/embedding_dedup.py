@@ -1,13 +1,17 @@
 """Embedding near-dedup by lattice hashing.
 
-Each of ``TABLES`` random projections maps unit vectors to eight dimensions, scaled by ``WIDTH``, and decodes them to the
-nearest point of the E8 lattice.  A vector is sent to its own cell and to the ``PROBES`` neighbouring cells nearest to it
-(E8 points have 240 neighbours).  Vectors that meet in a cell are verified by cosine in double precision.  At cosine 0.9 a
-pair meets in a table with probability 0.50, so ten tables miss one pair in a thousand; at 0.95 one in 10^7.
-
-Cells pass on spanning forests, not pairs.  Links never leave a connected component, so each component then counts its
-members' links exactly, which also restores links of pairs that met in no cell.  Equal vectors are one row throughout.
-Cells and components over ``BLOCK`` rows are cut into blocks whose pairs are spread over tasks, so none is capped.
+Each of several random projections maps unit vectors to eight dimensions, scaled by a width, and decodes them to the
+nearest point of the E8 lattice.  A vector goes to its own cell and to the ``PROBES`` neighbouring cells nearest to it
+(E8 points have 240 neighbours).  Width and number of tables follow from the number of distinct vectors (``LADDER``), so that
+the rows of a cell do not grow with the corpus; on every rung a pair at cosine 0.9 meets with probability 0.999 or more.
+
+What travels to cells is a node number and a signature of 256 sign bits, not the vector.  Vectors that meet and whose
+signatures differ in at most ``MAX_BITS`` bits (a pair at cosine 0.9 exceeds that once in 30,000) are candidates; cells pass
+on spanning forests, not pairs.  Each component of candidates then gets its vectors once and verifies by cosine in double
+precision; a component over ``BLOCK`` vectors is verified cell by cell instead.  Links never leave a component of verified
+links, so each such component counts its members' links exactly, which also restores links of pairs that met in no cell.
+Equal vectors are one node throughout.  Cells and components over ``BLOCK`` rows are cut into blocks whose pairs are spread
+over tasks, so none is capped.
 """
 
 from __future__ import annotations
@@ -22,12 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, edge_batch, materialise
+from .common import Forest, components, edge_batch, link_runs, materialise
 
 THRESHOLD = 0.9
-TABLES = 10
-PROBES = 3
-WIDTH = 1.5
+PROBES = 7
+#: (distinct vectors at most, width, tables).
+LADDER = ((200_000, 1.5, 3), (2_000_000, 1.2, 6), (10_000_000, 1.0, 11), (100_000_000, 0.75, 33), (1 << 62, 0.6, 100))
+#: 64-bit words of a signature, and bits in which the signatures of a candidate pair differ at most.
+WORDS = 4
+MAX_BITS = 59
 BLOCK = 4096
 SEED = 20
 _DOT_ROWS = 1024
@@ -62,18 +69,28 @@ def decode(y: np.ndarray) -> np.ndarray:
     return np.where((((y - a) ** 2).sum(axis=1) <= ((y - b) ** 2).sum(axis=1))[:, None], a, b)
 
 
+def rung(n: int) -> tuple[float, int]:
+    """Width and number of tables for ``n`` distinct vectors."""
+    return next((width, tables) for most, width, tables in LADDER if n <= most)
+
+
 @lru_cache(8)
-def _projections(dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _projections(dim: int, width: float, tables: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED + dim)
-    return rng.normal(size=(TABLES, dim, 8)) / WIDTH, rng.uniform(0, 64, size=(TABLES, 8))
+    return rng.normal(size=(tables, dim, 8)) / width, rng.uniform(0, 64, size=(tables, 8))
 
 
-def cells(unit: np.ndarray) -> np.ndarray:
-    """64-bit cell keys ``(rows, TABLES * (PROBES + 1))``; a row's keys in a table start with its own cell."""
-    planes, shifts = _projections(unit.shape[1])
-    out = np.empty((len(unit), TABLES, PROBES + 1), np.int64)
-    mix = np.random.default_rng(SEED).integers(1, 1 << 62, size=(TABLES, 9), dtype=np.int64) | 1
-    for t in range(TABLES):
+@lru_cache(8)
+def _planes(dim: int) -> np.ndarray:
+    return np.random.default_rng(SEED - 1).normal(size=(dim, 64 * WORDS))
+
+
+def cells(unit: np.ndarray, width: float, tables: int) -> np.ndarray:
+    """64-bit cell keys ``(rows, tables * (PROBES + 1))``; a row's keys in a table start with its own cell."""
+    planes, shifts = _projections(unit.shape[1], width, tables)
+    out = np.empty((len(unit), tables, PROBES + 1), np.int64)
+    mix = np.random.default_rng(SEED).integers(1, 1 << 62, size=(tables, 9), dtype=np.int64) | 1
+    for t in range(tables):
         y = unit @ planes[t] + shifts[t]
         own = decode(y)
         near = np.argpartition(-((y - own) @ neighbours().T), PROBES, axis=1)[:, :PROBES]
@@ -88,6 +105,11 @@ def cells(unit: np.ndarray) -> np.ndarray:
     return out.reshape(len(unit), -1)
 
 
+def signatures(unit: np.ndarray) -> np.ndarray:
+    """Signs of random projections as ``(rows, WORDS)`` 64-bit words."""
+    return np.packbits(unit @ _planes(unit.shape[1]) >= 0, axis=1).view(np.int64)
+
+
 def _unit(vectors: list[bytes], kind: str) -> np.ndarray:
     """Unit vectors in double precision from raw ones of equal length."""
     x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
@@ -144,8 +166,11 @@ def in_blocks(rows: DataFrame, counts: DataFrame, group: str, owner: str) -> Dat
     return cut.repartition(group, "left", "right").sortWithinPartitions(group, "left", "right")
 
 
-def _emit(kind: str, with_vectors: bool):
-    """Cell keys of every vector, with its id and raw bytes or alone."""
+_SIGNATURE = [f"s{i}" for i in range(WORDS)]
+
+
+def _emit(kind: str, width: float, tables: int):
+    """Cell keys of every vector, with its node and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,17 +179,44 @@ def _emit(kind: str, with_vectors: bool):
                 node, dims, raw = part.column(0).to_numpy(zero_copy_only=False), np.array(part.column(1).to_pylist()), part.column(2).to_pylist()
                 for dim in np.unique(dims).tolist():
                     rows = np.flatnonzero(dims == dim)
-                    keys = cells(_unit([raw[i] for i in rows], kind))
-                    out = [pa.array(keys.ravel())]
-                    if with_vectors:
-                        out += [pa.array(np.repeat(node[rows], keys.shape[1])), pa.array([raw[i] for i in rows for _ in range(keys.shape[1])], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(out, ["cell", "node", "raw"][: len(out)])
+                    unit = _unit([raw[i] for i in rows], kind)
+                    keys = cells(unit, width, tables)
+                    signs = np.repeat(signatures(unit), keys.shape[1], axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(node[rows], keys.shape[1])), *(pa.array(s) for s in signs.T.copy())], ["cell", "node", *_SIGNATURE])
 
     return run
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning forests of the candidates in every cell, from rows sorted by cell and block pair."""
+    forest, rest = Forest(), None
+
+    def verify(keys: np.ndarray, node: np.ndarray, signs: np.ndarray) -> None:
+        words = np.ascontiguousarray(signs.T).view(np.uint64)
+        first = np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+        link_runs(first, node, lambda i, j: sum(np.bitwise_count(words[:, k][i] ^ words[:, k][j]).astype(np.int16) for k in range(WORDS)) <= MAX_BITS, forest)
+
+    for batch in batches:
+        now = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4 + WORDS)])
+        if rest is not None:
+            now = np.concatenate((rest, now), axis=1)
+        if not now.shape[1]:
+            continue
+        same = (now[:3] == now[:3, -1:]).all(axis=0)
+        cut = now.shape[1] - int(np.argmin(same[::-1])) if not same.all() else 0
+        if cut:
+            verify(now[:3, :cut], now[3, :cut], now[4:, :cut])
+        rest = now[:, cut:]
+        if len(forest.parent) > 500_000:
+            yield edge_batch(forest)
+            forest = Forest()
+    if rest is not None and rest.shape[1]:
+        verify(rest[:3], rest[3], rest[4:])
+    yield edge_batch(forest)
+
+
 def _link(kind: str):
-    """Spanning forests of the links in every cell, each vector expanded once."""
+    """Spanning forests of the links in every group, each vector expanded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -228,16 +280,28 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     kind = "<f4" if element == "float" else "<f8"
     units = materialise(raw_vectors(vectors, id_col, vector_col, kind), "vectors")
     valid = units.where("raw is not null and id is not null")
-    distinct = materialise(valid.groupBy("digest", "dim", "raw").agg(F.min("id").alias("node"), F.count("*").alias("times")), "distinct")
-    plain = distinct.select("node", "dim", "raw")
-    counts = plain.mapInArrow(_emit(kind, False), "cell long").groupBy("cell").count()
-    dealt = in_blocks(plain.mapInArrow(_emit(kind, True), "cell long, node long, raw binary"), counts, "cell", "node")
-    linked = components(dealt.select("cell", "left", "right", "node", "raw").mapInArrow(_link(kind), "a long, b long"))
+    distinct = valid.groupBy("digest", "dim", "raw").agg(F.min("id").alias("low"), F.count("*").alias("times"))
+    distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    width, tables = rung(distinct.count())
+    schema = ", ".join(f"{c} long" for c in ("cell", "node", *_SIGNATURE))
+    keys = materialise(distinct.select("node", "dim", "raw").mapInArrow(_emit(kind, width, tables), schema), "cells")
+    dealt = in_blocks(keys, keys.groupBy("cell").count(), "cell", "node")
+    near = components(dealt.select("cell", "left", "right", "node", *_SIGNATURE).mapInArrow(_meet, "a long, b long"))
+    sizes = near.groupBy("component").count()
+    groups = near.join(sizes.where(F.col("count") <= BLOCK), "component").select(F.col("component").alias("group"), "node")
+    large = near.join(sizes.where(F.col("count") > BLOCK), "component", "left_semi")
+    if not large.isEmpty():
+        groups = groups.unionByName(keys.join(large, "node", "left_semi").select(F.col("cell").alias("group"), "node"))
+    groups = materialise(groups, "groups")
+    dealt = in_blocks(groups.join(distinct.select("node", "raw"), "node"), groups.groupBy("group").count(), "group", "node")
+    linked = components(dealt.select("group", "left", "right", "node", "raw").mapInArrow(_link(kind), "a long, b long"))
     members = distinct.join(linked, "node")
     dealt = in_blocks(members, linked.groupBy("component").count(), "component", "node")
     links = dealt.select("component", "left", "right", "node", "raw", "times", "block").mapInArrow(_count(kind), "node long, n long")
     links = links.groupBy("node").agg(F.sum("n").alias("n"))
-    known = distinct.select("digest", "node", "times").join(links, "node", "left").join(linked, "node", "left")
-    known = known.select("digest", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    lowest = members.groupBy("component").agg(F.min("low").alias("component_id"))
+    linked = linked.join(lowest, "component").join(links, "node", "left").select("node", "component_id", "n")
+    known = distinct.select("digest", "node", "low", "times").join(linked, "node", "left")
+    known = known.select("digest", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "low").alias("component_id"))
     alone = units.where("raw is null or id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return valid.join(known, "digest").select("id", "n_links", "component_id").unionByName(alone)
