@@ -15,6 +15,7 @@ a spanning forest of the links it saw, never the pairs themselves.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -24,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Forest, components, edge_batch, materialise, pieces, trim
+from .common import Forest, components, edge_batch, link_runs, materialise, pieces, trim
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -118,79 +120,92 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def _verify_run(ids: np.ndarray, fps: np.ndarray, forest: Forest, width: int = 256) -> None:
-    """Link what is close within one long run: breadth-first from each row not yet reached, so a row is expanded once."""
-    waiting = np.arange(len(fps))
-    while len(waiting) > 1:
-        seed, frontier, waiting = int(ids[waiting[0]]), waiting[:1], waiting[1:]
-        while len(frontier) and len(waiting):
-            near = (np.bitwise_count(fps[frontier[:width], None] ^ fps[None, waiting]) <= MAX_BITS).any(axis=0)
-            for node in ids[waiting[near]].tolist():
-                forest.link(seed, node)
-            frontier, waiting = np.concatenate((frontier[width:], waiting[near])), waiting[~near]
-
-
-def _verify_sorted(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, forest: Forest, short: int = 48) -> None:
+def _verify(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, forest: Forest) -> None:
     """Verify all pairs that share a key; the arrays are sorted by key and hold whole runs."""
-    edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-    lengths = np.diff(edges)
-    for at in np.flatnonzero(lengths > short).tolist():
-        _verify_run(ids[edges[at] : edges[at + 1]], fps[edges[at] : edges[at + 1]], forest)
-    small = np.repeat(lengths <= short, lengths)
-    left = np.flatnonzero(small & (np.repeat(lengths, lengths) > 1))
-    end = np.repeat(edges[1:], lengths)
-    for step in range(1, short):
-        left = left[left + step < end[left]]
-        if not len(left):
-            break
-        close = left[np.bitwise_count(fps[left] ^ fps[left + step]) <= MAX_BITS]
-        for a, b in set(zip(ids[close].tolist(), ids[close + step].tolist(), strict=True)):
-            forest.link(a, b)
+    first = np.concatenate(([True], keys[1:] != keys[:-1]))
+    link_runs(first[: len(keys)], nodes, lambda i, j: np.bitwise_count(fps[i] ^ fps[j]) <= MAX_BITS, forest)
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Spanning forests ``(a, b)`` of the links among distinct fingerprints ``(node, fp)``."""
+    """Spanning forests ``(a, b)`` of the links among distinct fingerprints ``(fp)``, each its own node."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                node = batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False)
-                fps = batch.column(1).slice(at, 4096).to_numpy(zero_copy_only=False)
+                fps = batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False)
                 rows, keys = fuzzy_keys(fps.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[rows]), pa.array(fps[rows])], ["key", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows])], ["key", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, rest = Forest(), None
         for batch in batches:
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)]
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+            if not len(now[0]):
+                continue
             cut = int(np.searchsorted(now[0], now[0][-1], "left"))
-            _verify_sorted(*[x[:cut] for x in now[:2]], now[2][:cut].view(np.uint64), forest)
+            _verify(now[0][:cut], now[1][:cut], now[1][:cut].view(np.uint64), forest)
             rest = [x[cut:] for x in now]
             if len(forest.parent) > 500_000:
                 yield edge_batch(forest)
                 forest = Forest()
         if rest is not None:
-            _verify_sorted(*rest[:2], rest[2].view(np.uint64), forest)
+            _verify(*rest, rest[1].view(np.uint64), forest)
         yield edge_batch(forest)
 
-    keyed = distinct.select("node", "fp").mapInArrow(emit, "key long, node long, fp long")
+    keyed = distinct.select("fp").mapInArrow(emit, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
 
 
+def components_of(printed: DataFrame) -> DataFrame:
+    """``(fp, root)`` for every distinct fingerprint of ``printed(fp, ...)``: equal roots are one component."""
+    distinct = materialise(printed.select("fp").distinct(), "distinct")
+    joined = components(links(distinct))
+    return distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp, component_id)`` for every row of ``docs``.
 
     Rows with equal fingerprints share a component, as do fingerprints linked at ``MAX_BITS`` or fewer differing bits.
     ``component_id`` is the smallest id reachable.  A null text counts as empty; empty texts have fingerprint zero and are
-    linked like any other.  Rows whose id is null take part through their fingerprint; where a fingerprint has no
-    id at all its component is null.  Repeated rows stay repeated.  Other columns are ignored.
+    linked like any other; whole texts count, however long.  Rows whose id is null take part through their fingerprint;
+    where a component has no id at all ``component_id`` is null.  Ids may repeat: rows are linked by fingerprints alone,
+    never by a shared id.  Repeated rows stay repeated.  Other columns are ignored.  An empty table gives an empty result.
     """
     printed = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    owners = printed.groupBy("fp").agg(F.min("id").alias("node"))
-    # one node may own several fingerprints if ids repeat; the forest links those by their shared id
-    joined = components(links(owners.where("node is not null")))
+    roots = components_of(printed)
+    owners = printed.groupBy("fp").agg(F.min("id").alias("low")).join(roots, "fp")
+    owners = materialise(owners, "owners")
+    lowest = owners.groupBy("root").agg(F.min("low").alias("component_id"))
     # as a table of its own, so the join below may split a fingerprint that many rows share
-    labels = materialise(owners.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "labels")
+    labels = materialise(owners.join(lowest, "root").select("fp", "component_id"), "labels")
     return printed.join(labels, "fp").select("id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every component, all columns unchanged: the smallest id, null last, and of rows with equal ids the first.
+
+    Rows are told apart by a number given when they are written with their fingerprint, so null and repeated ids, repeated
+    rows and clashing column names do not matter.  Null, empty and long texts count as in ``near_duplicates``; an empty table
+    gives an empty result.
+    """
+    fp, row = (f"__{name}_{uuid.uuid4().hex}" for name in ("fp", "row"))
+    where = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, where):
+                fps = np.array([fingerprint(x.encode() if x else None) for x in batch.column(where).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, fp])
+        trim()
+
+    printed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(fp, LongType())]))
+    printed = materialise(printed.withColumn(row, F.monotonically_increasing_id()), "printed")
+    slim = printed.select(F.col(id_col).cast("long").alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    # the first row of a fingerprint, then of a component
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    owners = slim.groupBy("fp").agg(first.alias("first")).join(components_of(slim), "fp")
+    chosen = owners.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return printed.join(chosen, row, "left_semi").select(*docs.columns)
