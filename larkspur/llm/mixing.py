@@ -1,15 +1,22 @@
 """Mixing sources to target weights by hash-threshold histograms, native operations only.
 
 Targets share the words of the corpus by weight; a target stops at ``MAX_COPIES`` times its source, and what is left
-over is shared again by weight.  A document is taken whole as often as its source's target holds the source, and once
-more if its hash is below the source's threshold.  The threshold comes from nested histograms: words by source and the
-first 12 bits of the hash, then by the next 12 bits within the one bucket in which the budget ends, then by the full hash
-within that.  Further passes fill what is left with the documents that fit it.  A document at a pass's boundary is taken,
-in place of what later passes add, where that comes nearer to the target.  Nothing is sorted but histogram rows.
+over is shared again by weight.  A document is taken whole as often as its source's target holds the source; what the
+target then still lacks, its budget, is filled by taking some documents once more.
+
+Documents over ``1 / FINE`` of their source are at most ``FINE`` a source, so a fold over that short list settles them: by
+falling size class, within a class by hash, each is taken or not so that the words taken stay nearest to the budget's share
+of the words seen; what a long one leaves over or lacks, shorter ones make up for.  All others are taken below a threshold of their hash, which nested histograms find: words by source and the first 12
+bits of the hash, then by the next 12 bits within the one bucket in which the budget ends, then by the full hash within
+that.  The document at the threshold is taken if that is nearer to the target, so a source's taken words miss it by half
+such a document at most.  Rows with equal hashes are repeats of one document; a last pair of histograms, over their row
+numbers, takes as many of them as come nearest.  Nothing is sorted but histogram rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +28,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the hash, and what remains of it after the first and the second level.
 HASH_BITS = 60
 LEVELS = (48, 36)
-PASSES = 4
+FINE = 1024
+#: Bits of a row number within one bucket of the histogram of repeated rows.
+ROW_BITS = 13
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def id_hash(id: Column) -> Column:
-    """60 bits of the MD5 of the id as text, so any SQL engine can follow."""
-    return F.conv(F.substring(F.md5(F.coalesce(id.cast("string"), F.lit("null")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+def row_hash(id: Column, text: Column) -> Column:
+    """60 bits of the MD5 of id and text, so any SQL engine can follow; null counts as ``null`` and as empty."""
+    content = F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+    key = F.concat(F.coalesce(id.cast("string"), F.lit("null")), F.lit("|"), content)
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def source_key(source: Column) -> Column:
@@ -56,92 +67,103 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies:
     return ranked.select("skey", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), "cap").alias("target"))
 
 
+def _large(size: Column, source_size: Column) -> Column:
+    return size * FINE > source_size
+
+
+def _settle_large(sized: DataFrame, goal: DataFrame) -> DataFrame:
+    """``goal`` with the row numbers ``picks`` of its sources' large documents that are taken once more, and with what is
+    left of the budget for the others, ``rest``."""
+    large = sized.join(goal, "skey").where(_large(F.col("size"), F.col("source_size")))
+    fallen = -F.length(F.bin("size"))
+    large = large.groupBy("skey").agg(F.sort_array(F.collect_list(F.struct(fallen.alias("fallen"), "h", "row", "size"))).alias("docs"), F.sum("size").alias("words"))
+    zero = F.lit(0).cast("long")
+    state = F.struct(zero.alias("seen"), zero.alias("taken"), F.array().cast("array<bigint>").alias("picks"))
+    found = goal.join(large, "skey", "left")
+
+    def step(s: Column, doc: Column) -> Column:
+        seen = s["seen"] + doc["size"]
+        near = 2 * s["taken"] + doc["size"] < 2 * (F.col("budget") * seen / F.col("source_size"))
+        taken, picks = s["taken"] + F.when(near, doc["size"]).otherwise(zero), F.when(near, F.array_append(s["picks"], doc["row"])).otherwise(s["picks"])
+        return F.struct(seen.alias("seen"), taken.alias("taken"), picks.alias("picks"))
+
+    found = found.withColumn("state", F.coalesce(F.aggregate("docs", state, step), state))
+    others = F.col("source_size") - F.coalesce("words", zero)
+    rest = F.greatest(F.lit(0.0), F.least(others.cast("double"), F.col("budget") - F.col("state.taken")))
+    return found.select("skey", "source_size", "target", "whole", F.col("state.picks").alias("picks"), rest.alias("rest"))
+
+
 def _boundary(rows: DataFrame, budgets: DataFrame, bucket: str) -> DataFrame:
-    """Per source the bucket in which ``budget`` ends and the budget left for it."""
-    words = rows.groupBy("skey", bucket).agg(F.sum("size").alias("words"))
+    """Per source the bucket in which ``budget`` ends and the budget left for it; a source that stays within it has none."""
+    words = rows.groupBy("skey", bucket).agg(F.sum("size").alias("words"), F.min("size").alias("least"))
     upto = Window.partitionBy("skey").orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = words.withColumn("upto", F.sum("words").over(upto)).join(budgets, "skey").where("upto > budget")
-    first = running.groupBy("skey").agg(F.min(F.struct(bucket, "words", (F.col("budget") - F.col("upto") + F.col("words")).alias("left"))).alias("x"))
-    return first.select("skey", f"x.{bucket}", "x.words", F.col("x.left").alias("budget"))
+    first = running.groupBy("skey").agg(F.min(F.struct(bucket, "least", (F.col("budget") - F.col("upto") + F.col("words")).alias("left"))).alias("x"))
+    return first.select("skey", f"x.{bucket}", "x.least", F.col("x.left").alias("budget"))
 
 
-def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """``(skey, below, left, over)``: rows of a source with a hash under ``below`` fit its ``budget``, with ``left`` over;
-    those at ``below``, if there are any, exceed it by ``over``."""
-    rows = rows.withColumn("b1", F.shiftright("h", LEVELS[0])).withColumn("b2", F.shiftright("h", LEVELS[1]))
-    one = materialise(_boundary(rows, budgets, "b1"), "level1")
-    within = rows.join(one.select("skey", "b1"), ["skey", "b1"])
-    two = materialise(_boundary(within, one.select("skey", "budget"), "b2"), "level2")
-    within = rows.join(two.select("skey", "b2"), ["skey", "b2"])
-    last = _boundary(within, two.select("skey", "budget"), "h").select("skey", F.col("h").alias("below"), F.col("budget").alias("left"), (F.col("words") - F.col("budget")).alias("over"))
-    # without a boundary all that is there fits
-    found = budgets.select("skey").join(last, "skey", "left")
-    return materialise(found.select("skey", F.coalesce("below", F.lit(1 << HASH_BITS)).alias("below"), F.coalesce("left", F.lit(0.0)).alias("left"), "over"), "threshold")
-
-
-def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, nearest: bool = True) -> DataFrame:
-    """``(skey, source_size, target, whole, steps)`` per source from rows ``(skey, size, h)``: every document is taken
-    ``whole`` times, and once more if for one of the ``steps`` its hash is under ``below`` and its size within ``most``.
-    With ``nearest``, the steps end with the boundary document of the pass that exceeds the target least, where that is
-    nearer to the target than all passes without one."""
+def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
+    """``(skey, source_size, target, whole, picks, below, row_below)`` per source from rows ``(skey, size, h, row)``.
+
+    Every document is taken ``whole`` times.  A large one is taken once more if its row is among ``picks``; any other if its
+    hash is under ``below``, or equal to it and its row under ``row_below``.
+    """
     goal = targets(sized, weights, max_copies)
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(max_copies), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
-    goal = goal.withColumn("whole", whole)
     budget = F.when(F.col("whole") >= max_copies, 0.0).otherwise(F.col("target") - F.col("whole") * F.col("source_size"))
-    goal = materialise(goal.withColumn("budget", budget), "targets")
-    found, step, rows = goal, goal.select("skey", F.col("budget").alias("left"), F.lit(0).cast("long").alias("below")), sized
-    steps = []
-    for number in range(PASSES):
-        if number:
-            rest = step.withColumnRenamed("left", "most").withColumnRenamed("below", "start")
-            rows = sized.join(rest, "skey").where("h >= start and size > 0 and size <= most").select("skey", "size", "h")
-        most = F.lit(float("inf")) if not number else F.col("left")
-        limits = step.select("skey", most.alias(f"most{number}"))
-        step = _threshold(rows, step.select("skey", F.col("left").alias("budget")))
-        found = found.join(limits, "skey").join(step.select("skey", F.col("below").alias(f"below{number}"), F.col("over").alias(f"over{number}")), "skey")
-        steps.append(F.struct(F.col(f"below{number}").alias("below"), F.col(f"most{number}").alias("most")))
-    none = F.array().cast("array<struct<below:bigint,most:double>>")
-    taken = F.when(F.col("budget") > 0, F.array(*steps)).otherwise(none)
-    if nearest:
-        found = materialise(found.withColumn("steps", taken), "passes")
-        more = sized.join(found.select("skey", "steps"), "skey").groupBy("skey").agg(F.sum(F.when(_extra(F.col("h"), F.col("size")), F.col("size")).otherwise(0)).alias("more"))
-        ends = []
-        for number, last in enumerate(steps):
-            upto = F.array(*steps[:number], F.struct((last["below"] + 1).alias("below"), last["most"].alias("most")))
-            ends.append(F.when(F.col(f"over{number}").isNotNull(), F.struct(F.col(f"over{number}").alias("over"), upto.alias("steps"))))
-        best = F.least(*ends)
-        found = found.join(more, "skey")
-        taken = F.when(best["over"] < F.col("budget") - F.col("more"), best["steps"]).otherwise(F.col("steps"))
-    return materialise(found.select("skey", "source_size", "target", "whole", taken.alias("steps")), "plan")
-
-
-def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), source_key(F.col(source_col)).alias("skey"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h"))
-
-
-def _extra(h: Column, size: Column) -> Column:
-    return F.exists("steps", lambda s: (h < s["below"]) & (size <= s["most"]))
-
-
-def copies(h: Column, size: Column) -> Column:
-    return F.col("whole") + _extra(h, size).cast("int")
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", nearest: bool = True) -> DataFrame:
+    goal = materialise(goal.withColumn("whole", whole).withColumn("budget", budget), "targets")
+    goal = materialise(_settle_large(sized, goal), "large")
+    rows = sized.join(goal.select("skey", "source_size"), "skey").where((F.col("size") > 0) & ~_large(F.col("size"), F.col("source_size"))).select("skey", "size", "h", "row")
+    rows = rows.withColumn("b1", F.shiftright("h", LEVELS[0])).withColumn("b2", F.shiftright("h", LEVELS[1]))
+    one = materialise(_boundary(rows, goal.select("skey", F.col("rest").alias("budget")), "b1"), "level1")
+    two = materialise(_boundary(rows.join(one.select("skey", "b1"), ["skey", "b1"]), one.select("skey", "budget"), "b2"), "level2")
+    three = materialise(_boundary(rows.join(two.select("skey", "b2"), ["skey", "b2"]), two.select("skey", "budget"), "h"), "level3")
+    # repeats at the threshold: a row is taken if half of it fits
+    ties = rows.join(three.select("skey", "h"), ["skey", "h"]).withColumn("b", F.shiftright("row", ROW_BITS))
+    four = _boundary(ties, three.select("skey", (F.col("budget") + F.col("least") / 2).alias("budget")), "b")
+    five = _boundary(ties.join(four.select("skey", "b"), ["skey", "b"]), four.select("skey", "budget"), "row")
+    ends = three.select("skey", F.col("h").alias("below")).join(five.select("skey", F.col("row").alias("row_below")), "skey", "left")
+    found = goal.join(ends, "skey", "left")
+    none = F.lit(1 << HASH_BITS)
+    return materialise(found.select("skey", "source_size", "target", "whole", "picks", F.coalesce("below", none).alias("below"), F.coalesce("row_below", F.lit((1 << 63) - 1)).alias("row_below")), "plan")
+
+
+def _copied(rows: DataFrame, decided: DataFrame, size: str, h: str, row: str, skey: str, out: str) -> DataFrame:
+    """``rows`` with the columns of ``decided`` but its picks, and how often each row is taken as ``out``."""
+    slim = decided.drop("picks")
+    both = rows.join(slim, rows[skey] == slim["skey"])
+    large = _large(rows[size], slim["source_size"])
+    below = (rows[h] < slim["below"]) | (rows[h] == slim["below"]) & (rows[row] < slim["row_below"])
+    picked = decided.select(F.explode("picks").alias("picked"))
+    some = both.where(large).join(picked, rows[row] == picked["picked"], "left")
+    some = some.withColumn(out, slim["whole"] + picked["picked"].isNotNull().cast("int")).drop(picked["picked"])
+    return both.where(~large).withColumn(out, slim["whole"] + below.cast("int")).unionByName(some)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``(id, size, source_size, target, taken)`` for every row of ``docs``.
 
-    A null text has no words; null sources are one source, the last; ids decide, so a repeated id is taken alike, and a
-    null id counts as the text ``null``.  An empty table, or one without words, gives zeros.  Without ``nearest`` no target
-    is exceeded, so a source of one long document may get nothing.
+    A null text has no words; null sources are one source, the last.  Whole texts are counted, however long.  Rows with
+    equal or null ids differ by their texts; repeated rows are taken up to as many as the target wants, which of them does
+    not matter.  Other columns are ignored.  An empty table gives an empty result, one without words zeros.
     """
-    sized = materialise(keyed(docs, id_col, text_col, source_col), "sized")
-    return sized.join(plan(sized, nearest=nearest), "skey").select("id", "size", "source_size", "target", (F.col("size") * copies(F.col("h"), F.col("size"))).alias("taken"))
+    id, text = F.col(id_col), F.col(text_col)
+    sized = docs.select(id.cast("long").alias("id"), source_key(F.col(source_col)).alias("key"), word_count(text).alias("size"), row_hash(id, text).alias("h"))
+    sized = materialise(sized.withColumn("row", F.monotonically_increasing_id()), "sized")
+    decided = plan(sized.select(F.col("key").alias("skey"), "size", "h", "row"))
+    return _copied(sized, decided, "size", "h", "row", "key", "n").select("id", "size", "source_size", "target", (F.col("size") * F.col("n")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
-    sized = materialise(keyed(docs, id_col, text_col, source_col), "sized")
-    decided = plan(sized).select(F.col("skey").alias("__skey"), "whole", "steps")
-    rows = docs.withColumn("__skey", source_key(F.col(source_col))).withColumn("__h", id_hash(F.col(id_col))).withColumn("__size", word_count(F.col(text_col)))
-    taken = rows.join(decided, "__skey").withColumn("__n", copies(F.col("__h"), F.col("__size"))).where("__n > 0")
-    return taken.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    """The documents of the mix, each as often as it is taken, with the columns of ``docs``, whatever their names.
+
+    Nulls, ties, repeated rows, empty and long texts as in ``mix``; documents without words go with their source's.
+    """
+    key, size, h, row, n = (f"__{name}_{uuid.uuid4().hex}" for name in ("key", "size", "h", "row", "n"))
+    id, text = F.col(id_col), F.col(text_col)
+    rows = docs.withColumns({key: source_key(F.col(source_col)), size: word_count(text), h: row_hash(id, text), row: F.monotonically_increasing_id()})
+    rows = materialise(rows, "sized")
+    decided = plan(rows.select(F.col(key).alias("skey"), F.col(size).alias("size"), F.col(h).alias("h"), F.col(row).alias("row")))
+    decided = decided.select("skey", *(F.col(c) for c in decided.columns if c != "skey"))
+    taken = _copied(rows, decided, size, h, row, key, n).where(F.col(n) > 0)
+    return taken.withColumn(key, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*(rows[c] for c in docs.columns))

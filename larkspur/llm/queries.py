@@ -39,7 +39,8 @@ HARD = tuple((-7, turn, role, "\\### Assistant: </turn> ok") for turn, role in e
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     rows = rows.unionByName(spark.createDataFrame(list(HARD), "conv_id long, turn long, role string, text string"))
-    record = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    # a row as a record of its own, numbered as sources do; the layout is found from the record
+    record = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "turn"))
     parts = chat.format_records(rows.withColumn("record", record), "record", carry=("conv_id", "turn"))
     return chat.conversation_digests(parts)
 
@@ -55,8 +56,7 @@ def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL of this query takes no boundary document; the pipeline does
-    return mixing.mix(_table(spark, sf_dir, "documents"), nearest=False).withColumnRenamed("id", "doc_id")
+    return mixing.mix(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ FROM f GROUP BY conv_id
 _OP8 = r"""
 WITH RECURSIVE d AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-           ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
+           ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
     FROM documents
 ), s AS (
     SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w
@@ -140,41 +140,31 @@ WITH RECURSIVE d AS (
     SELECT source, source_size, coalesce(least(cap, (SELECT level FROM v) * w), cap) AS target FROM o
 ), b AS (
     SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size)) ELSE 0 END::BIGINT AS whole FROM t
-), c1 AS (
-    SELECT q.source, q.budget, h, words, sum(words) OVER (PARTITION BY q.source ORDER BY h) AS upto
-    FROM (SELECT source, CASE WHEN whole >= 3 THEN 0 ELSE target - whole * source_size END AS budget FROM b) q LEFT JOIN (SELECT r.source, r.h, sum(r.size) AS words FROM d r GROUP BY r.source, r.h) w ON w.source IS NOT DISTINCT FROM q.source
-), p1 AS (
-    SELECT source, coalesce(min(h) FILTER (WHERE upto > budget), 1152921504606846976) AS b,
-           coalesce(any_value(budget) - coalesce(max(upto) FILTER (WHERE upto <= budget), 0), 0) * bool_or(coalesce(upto > budget, false))::INT AS l
-    FROM c1 GROUP BY source
-), c2 AS (
-    SELECT q.source, q.budget, h, words, sum(words) OVER (PARTITION BY q.source ORDER BY h) AS upto
-    FROM (SELECT source, l AS budget FROM p1) q LEFT JOIN (SELECT r.source, r.h, sum(r.size) AS words FROM d r JOIN p1 ON r.source IS NOT DISTINCT FROM p1.source WHERE r.h >= p1.b AND r.size > 0 AND r.size <= p1.l GROUP BY r.source, r.h) w ON w.source IS NOT DISTINCT FROM q.source
-), p2 AS (
-    SELECT source, coalesce(min(h) FILTER (WHERE upto > budget), 1152921504606846976) AS b,
-           coalesce(any_value(budget) - coalesce(max(upto) FILTER (WHERE upto <= budget), 0), 0) * bool_or(coalesce(upto > budget, false))::INT AS l
-    FROM c2 GROUP BY source
-), c3 AS (
-    SELECT q.source, q.budget, h, words, sum(words) OVER (PARTITION BY q.source ORDER BY h) AS upto
-    FROM (SELECT source, l AS budget FROM p2) q LEFT JOIN (SELECT r.source, r.h, sum(r.size) AS words FROM d r JOIN p2 ON r.source IS NOT DISTINCT FROM p2.source WHERE r.h >= p2.b AND r.size > 0 AND r.size <= p2.l GROUP BY r.source, r.h) w ON w.source IS NOT DISTINCT FROM q.source
-), p3 AS (
-    SELECT source, coalesce(min(h) FILTER (WHERE upto > budget), 1152921504606846976) AS b,
-           coalesce(any_value(budget) - coalesce(max(upto) FILTER (WHERE upto <= budget), 0), 0) * bool_or(coalesce(upto > budget, false))::INT AS l
-    FROM c3 GROUP BY source
-), c4 AS (
-    SELECT q.source, q.budget, h, words, sum(words) OVER (PARTITION BY q.source ORDER BY h) AS upto
-    FROM (SELECT source, l AS budget FROM p3) q LEFT JOIN (SELECT r.source, r.h, sum(r.size) AS words FROM d r JOIN p3 ON r.source IS NOT DISTINCT FROM p3.source WHERE r.h >= p3.b AND r.size > 0 AND r.size <= p3.l GROUP BY r.source, r.h) w ON w.source IS NOT DISTINCT FROM q.source
-), p4 AS (
-    SELECT source, coalesce(min(h) FILTER (WHERE upto > budget), 1152921504606846976) AS b,
-           coalesce(any_value(budget) - coalesce(max(upto) FILTER (WHERE upto <= budget), 0), 0) * bool_or(coalesce(upto > budget, false))::INT AS l
-    FROM c4 GROUP BY source
-), x AS (
-    SELECT d.doc_id, d.size, b.source_size, b.target, b.whole,
-           CASE WHEN whole < 3 AND target - whole * source_size > 0 AND (d.h < p1.b OR d.size <= p1.l AND d.h < p2.b OR d.size <= p2.l AND d.h < p3.b OR d.size <= p3.l AND d.h < p4.b) THEN 1 ELSE 0 END AS more
-    FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN p1 ON d.source IS NOT DISTINCT FROM p1.source JOIN p2 ON d.source IS NOT DISTINCT FROM p2.source
-    JOIN p3 ON d.source IS NOT DISTINCT FROM p3.source JOIN p4 ON d.source IS NOT DISTINCT FROM p4.source
+), q AS (
+    SELECT *, CASE WHEN whole >= 3 THEN 0 ELSE target - whole * source_size END::DOUBLE AS budget FROM b
+), r AS (  -- rows with what is known of their source; the large ones by falling size class and hash, the others by hash
+    SELECT d.doc_id, d.size, d.h, q.*, d.size * 1024 > q.source_size AS large,
+           row_number() OVER (PARTITION BY d.source, d.size * 1024 > q.source_size ORDER BY CASE WHEN d.size * 1024 > q.source_size THEN -length(bin(d.size)) END, d.h, d.doc_id) AS k
+    FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), g AS (
+    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k)::BIGINT AS seen FROM r WHERE large
+), f AS (  -- words taken stay nearest to the share of those seen
+    SELECT source, 0::BIGINT AS k, 0::BIGINT AS taken, false AS pick FROM q
+    UNION ALL
+    SELECT f.source, g.k, f.taken + CASE WHEN 2 * f.taken + g.size < 2 * (g.budget * g.seen / g.source_size) THEN g.size ELSE 0 END,
+           2 * f.taken + g.size < 2 * (g.budget * g.seen / g.source_size)
+    FROM f JOIN g ON g.source IS NOT DISTINCT FROM f.source AND g.k = f.k + 1
+), l AS (
+    SELECT z.source, z.taken, coalesce(y.words, 0)::BIGINT AS words FROM (SELECT source, max(taken) AS taken FROM f GROUP BY source) z
+    LEFT JOIN (SELECT source, sum(size) AS words FROM g GROUP BY source) y ON y.source IS NOT DISTINCT FROM z.source
+), n AS (
+    SELECT g.doc_id, g.size, g.source_size, g.target, g.whole, f.pick AS more FROM g JOIN f ON f.source IS NOT DISTINCT FROM g.source AND f.k = g.k
+    UNION ALL
+    SELECT r.doc_id, r.size, r.source_size, r.target, r.whole,
+           2 * (sum(r.size) OVER (PARTITION BY r.source ORDER BY r.k) - r.size) + r.size <= 2 * greatest(0, least(r.source_size - l.words, r.budget - l.taken)) AS more
+    FROM r JOIN l ON l.source IS NOT DISTINCT FROM r.source WHERE NOT r.large
 )
-SELECT doc_id, size, source_size, target, (size * (whole + more))::BIGINT AS taken FROM x
+SELECT doc_id, size, source_size, target, (size * (whole + more::INT))::BIGINT AS taken FROM n
 """
 
 _OP10 = r"""
