@@ -15,15 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, pieces, trim
+from .common import kept, materialise, pieces, trim
 
-#: Bounds of the labelled sample, per language: documents considered (smallest hashes first) and characters kept.
+#: Bounds of the labelled sample: documents considered per language (smallest hashes first), characters taken from one
+#: document (at a hashed place) and kept per language, and characters kept of all languages together.  Every label is
+#: learned; where there are so many that the last bound tells, each has an equal share, and ``LEAST_CHARS`` at least.
 SAMPLE_DOCS = 96
+PIECE_CHARS = 2_000
 SAMPLE_CHARS = 40_000
-MAX_LANGUAGES = 64
+TOTAL_CHARS = 64 * SAMPLE_CHARS
+LEAST_CHARS = 200
 #: Letters of a language with a column in its dense table; rarer ones are searched for.
 ALPHABET = 60
 WINDOW = 256
@@ -191,28 +195,31 @@ class Model:
 
 
 def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """Training text per language: whole documents in the order of a hash of their id until the bound is reached.
+    """Training text per label, from documents in the order of a hash of their id until the bounds above are reached.
 
-    Ids are ranked without reading texts, then the few chosen texts are read.  At most ``MAX_LANGUAGES`` labels (most
-    frequent first) are learned.
+    One pass counts labels; a second takes, by hash, the few documents expected to have the smallest ones and cuts a piece
+    of each.  Null texts, null labels and held-out documents teach nothing.  An id counts once, however often it repeats;
+    other columns are ignored; an empty table gives no label.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col) & F.col(text_col).isNotNull())
-    common = [r[0] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()]
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    ranks = labelled.where(F.col(lang_col).isin(common)).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), key.alias("key"))
-    chosen: list = []
-    for lang in common:  # MAX_LANGUAGES at most; each is a top-k
-        chosen += [r["id"] for r in ranks.where(F.col("lang") == lang).orderBy("key", "id").limit(SAMPLE_DOCS).collect()]
+    key = F.coalesce(F.xxhash64(F.col(id_col).cast("string")), F.lit(0))
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), key.alias("key"), F.col(text_col).cast("string").alias("t"))
+    labels = materialise(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("key").alias("first")), "labels")
+    each = min(SAMPLE_CHARS, max(LEAST_CHARS, TOTAL_CHARS // max(1, labels.count())))
+    most, long = min(SAMPLE_DOCS, each), min(PIECE_CHARS, each)
+    # four times as many as needed are expected below the limit; the first is taken whatever its hash
+    low = F.pmod("key", F.lit(1 << 40)) < (1 << 40) * F.least(F.lit(1.0), 4.0 * most / F.col("n"))
+    start = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.length("t") - long + 1)).cast("int") + 1
+    some = rows.join(labels, "lang").where(low | (F.col("key") == F.col("first"))).groupBy("lang", "key").agg(F.min(F.substring(F.col("t"), start, F.lit(long))).alias("t"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1 << 40)), "key"))
+    chosen = some.withColumn("place", place).where(F.col("place") <= most).orderBy("lang", "place")
     out: dict[str, list[str]] = {}
     size: dict[str, int] = {}
-    if chosen:
-        rows = labelled.where(F.col(id_col).isin(chosen)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"), key.alias("key"))
-        rows = rows.groupBy("lang", "key").agg(F.min("t").alias("t"))  # one text where an id repeats
-        for lang, _, text in sorted(map(tuple, rows.collect())):
-            if size.get(lang, 0) < SAMPLE_CHARS:
-                out.setdefault(lang, []).append(text)
-                size[lang] = size.get(lang, 0) + len(text)
-    return {lang: "\n".join(texts)[:SAMPLE_CHARS] for lang, texts in out.items()}
+    for lang, text in chosen.select("lang", "t").toLocalIterator():
+        if size.get(lang, 0) < each:
+            out.setdefault(lang, []).append(text)
+            size[lang] = size.get(lang, 0) + len(text)
+    return {lang: "\n".join(texts)[:each] for lang, texts in out.items()}
 
 
 def _model(learned: dict[str, str]) -> Model:
@@ -223,7 +230,8 @@ def identify(docs: DataFrame, learned: dict[str, str], id_col: str = "doc_id", t
     """``(id, lang_pred, score)`` for every row, or with ``keep`` the rows whose language is known, all columns unchanged.
 
     The text alone decides.  A null text, or one without a letter, is ``und`` with score 0, as is any text where nothing
-    was learned; ``keep`` then keeps those with a letter.  Whole texts are parsed, in windows.  Ids may be null or repeat.
+    was learned; ``keep`` then keeps those with a letter.  Whole texts are parsed, in windows.  Ids may be null or repeat, as
+    may rows; other columns are ignored or, with ``keep``, passed on whatever their names.  An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(learned)
 
