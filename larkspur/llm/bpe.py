@@ -211,6 +211,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Encoding is the library's with ``add_special_tokens=False``, decoding its ``decode(ids, skip_special_tokens=False)``.
     A null text counts as empty: no ids, empty text.  Repeated rows stay repeated; ids may be null; other columns are ignored.
+    Whole texts are encoded, and words of any length; an empty table gives an empty result.
     """
     path = path or default_path()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
@@ -218,5 +219,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table = materialise(rows.mapInArrow(_blocks(path, buckets), _ROWS), "bpe")
     answers = table.where("kind = 1").select("bucket", "block", "body").repartition(buckets, "bucket").mapInArrow(_encode(path), _ROWS)
     both = answers.unionByName(table.where("kind = 2"))
-    joined = both.repartition("block").sortWithinPartitions("block", "kind")
+    # a partition for every block, so that what a task reads does not grow with the corpus
+    blocks = table.where("kind = 2").agg(F.count_distinct("block")).first()[0]
+    joined = both.repartition(max(1, blocks), "block").sortWithinPartitions("block", "kind")
     return joined.mapInArrow(_join(path), "id long, n_tokens long, ids binary, decoded string")
