@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprints.
 
-A record's layout is the set of its nested field paths with their JSON types; the hash of the sorted paths selects a
-declarative mapping, which turns the record into canonical turns ``(role, text)``.  Mappings cover single turn rows,
+A record's layout is the set of its nested field paths, each with its kind (object, list or plain value), as far as some
+mapping names them; the hash of the sorted paths selects a declarative mapping, which turns the record into canonical turns
+``(role, text)``.  Fields that no mapping names, such as ids and sources, change nothing.  Mappings cover single turn rows,
 prompt/response pairs, instruction/input/output records and message lists; more are added by example.
 
 The template is ``### Role: text</turn>`` and a line feed per turn.  Inside roles and texts a backslash goes before each
@@ -31,17 +32,18 @@ _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 
 
 def paths(value: Any, prefix: str = "") -> set[str]:
-    """Nested field paths of a JSON value with their types; list items share one path; null has a type of any."""
+    """Nested field paths of a JSON value with their kinds; list items share one path; null is a plain value."""
     if isinstance(value, dict):
         return set().union(*(paths(v, f"{prefix}.{k}" if prefix else k) for k, v in value.items())) if value else {f"{prefix}:object"}
     if isinstance(value, list):
         return set().union(*(paths(v, f"{prefix}[]") for v in value)) if value else {f"{prefix}[]"}
-    kind = "bool" if isinstance(value, bool) else "number" if isinstance(value, int | float) else "string"
-    return {f"{prefix}:{kind}"}
+    return {f"{prefix}:value"}
 
 
-def fingerprint(value: Any) -> int:
-    return xxhash.xxh64_intdigest("\n".join(sorted(paths(value))).encode("utf-8", "surrogatepass"), 0)
+def fingerprint(value: Any, known: set[str] | None = None) -> int:
+    """Hash of a value's paths, or of those that are ``known``."""
+    found = paths(value) if known is None else paths(value) & known
+    return xxhash.xxh64_intdigest("\n".join(sorted(found)).encode("utf-8", "surrogatepass"), 0)
 
 
 @dataclass(frozen=True)
@@ -83,7 +85,7 @@ _SHARE_GPT = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))
 #: (mapping, example records): an example stands for its layout.
 LAYOUTS: tuple[tuple[Mapping, tuple[dict, ...]], ...] = (
     (Mapping("turn", each=".", text="text"), ({"role": "", "text": ""},)),
-    (Mapping("prompt-response", (("user", "prompt"), ("assistant", "response"))), ({"prompt": "", "response": ""},)),
+    (Mapping("prompt-response", (("system", "system"), ("user", "prompt"), ("assistant", "response"))), ({"prompt": "", "response": ""}, {"system": "", "prompt": "", "response": ""})),
     (Mapping("prompt-completion", (("user", "prompt"), ("assistant", "completion"))), ({"prompt": "", "completion": ""},)),
     (Mapping("question-answer", (("system", "system"), ("user", "question"), ("assistant", "answer"))), ({"question": "", "answer": ""}, {"system": "", "question": "", "answer": ""})),
     (Mapping("instruction", (("user", "instruction"), ("user", "input"), ("assistant", "output"))), ({"instruction": "", "output": ""}, {"instruction": "", "input": "", "output": ""})),
@@ -91,12 +93,25 @@ LAYOUTS: tuple[tuple[Mapping, tuple[dict, ...]], ...] = (
     (Mapping("conversations", each="conversations", role="from", text="value", roles=_SHARE_GPT), ({"conversations": [{"from": "", "value": ""}]}, {"conversations": []})),
     (Mapping("nested-prompt", (("system", "data.system"), ("user", "data.prompt"), ("assistant", "data.response"))), ({"data": {"system": "", "prompt": "", "response": ""}}, {"data": {"prompt": "", "response": ""}})),
 )
-REGISTRY: dict[int, Mapping] = {fingerprint(example): mapping for mapping, examples in LAYOUTS for example in examples}
 
 
-def canonical(record: dict, registry: dict[int, Mapping] | None = None) -> tuple[str, list[tuple[str, str]]]:
+class Registry:
+    """Mappings by the fingerprints of their example records, and the paths that these name."""
+
+    def __init__(self, layouts: tuple[tuple[Mapping, tuple[dict, ...]], ...]) -> None:
+        self.known = set().union(*(paths(example) for _, examples in layouts for example in examples))
+        self.mappings = {fingerprint(example): mapping for mapping, examples in layouts for example in examples}
+
+    def get(self, record: dict) -> Mapping | None:
+        return self.mappings.get(fingerprint(record, self.known))
+
+
+REGISTRY = Registry(LAYOUTS)
+
+
+def canonical(record: dict, registry: Registry | None = None) -> tuple[str, list[tuple[str, str]]]:
     """Name of the mapping and the turns of a record; ``unknown`` and no turns where no mapping has its layout."""
-    mapping = (registry or REGISTRY).get(fingerprint(record))
+    mapping = (registry or REGISTRY).get(record)
     return (mapping.name, mapping.turns(record)) if mapping else ("unknown", [])
 
 
@@ -110,11 +125,13 @@ def read_turns(formatted: str) -> list[tuple[str, str, tuple[int, int]]]:
     return [(_UNESCAPE.sub(r"\1", m[1]), _UNESCAPE.sub(r"\1", m[2]), m.span(2)) for m in _TURN.finditer(formatted)]
 
 
-def format_records(records: DataFrame, json_col: str, registry: dict[int, Mapping] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def format_records(records: DataFrame, json_col: str, registry: Registry | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(carry..., layout, n_turns, formatted, loss_spans)`` for every JSON record, in the order of the input.
 
     ``loss_spans`` holds (start, end) code points of assistant texts within ``formatted``.  A null or malformed record, or
-    one of unknown layout, gives no turns and layout ``unknown``.  Columns in ``carry`` pass through.
+    one of unknown layout, gives no turns and layout ``unknown``; its row stays, so such records can be looked through.  Null
+    texts are empty, numbers are their JSON text, whole texts of any length are formatted, repeated rows each.  Columns in
+    ``carry`` pass through, others are ignored; an empty table gives an empty result.
     """
     fields = [records.schema[c] for c in carry]
 
