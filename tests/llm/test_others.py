@@ -2,43 +2,40 @@
 
 import hashlib
 import json
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from larkspur.llm import chat, common, embedding_dedup, queries, url_filter
+from larkspur.llm import chat, common, embedding_dedup, mixing, queries, url_filter, words
 
 
 def brute_links(vectors):
-    unit = {}
-    for i, v in vectors:
-        if v and None not in v and np.isfinite(v).all() and np.any(v):
-            unit.setdefault(i, []).append(np.array(v, float) / np.linalg.norm(v))
-    ids = [i for i in unit for _ in unit[i]]
-    rows = [u for i in unit for u in unit[i]]
-    n, low = {}, {i: i for i, _ in vectors}
-    near = [(a, b) for a in range(len(ids)) for b in range(len(ids)) if a != b and len(rows[a]) == len(rows[b]) and rows[a] @ rows[b] >= 0.9]
-    for a, _ in near:
-        n[ids[a]] = n.get(ids[a], 0) + 1
-    for _ in ids:
+    """Links and component of every vector, in the order given; equal ids do not link."""
+    rows = [np.array(v, float) / np.linalg.norm(v) if v and None not in v and np.isfinite(v).all() and np.any(v) else None for _, v in vectors]
+    near = [(a, b) for a, u in enumerate(rows) for b, w in enumerate(rows) if a != b and u is not None and w is not None and len(u) == len(w) and u @ w >= 0.9]
+    low = [i for i, _ in vectors]
+    for _ in rows:
         for a, b in near:
-            low[ids[a]] = low[ids[b]] = min(low[ids[a]], low[ids[b]])
-    return n, low
+            low[a] = low[b] = min(low[a], low[b])
+    return [(i, sum(a == k for a, _ in near), low[k]) for k, (i, _) in enumerate(vectors)]
 
 
-def test_near_vectors(spark, monkeypatch):
+@pytest.mark.parametrize("block", [4096, 4])
+def test_near_vectors(spark, monkeypatch, block):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(30, 16))
     vectors = [(i, (base[i % 30] + 0.12 * rng.normal(size=16) * (i >= 30)).astype("f4").tolist()) for i in range(120)]
     vectors += [(200, vectors[3][1]), (201, vectors[3][1]), (300, None), (301, []), (302, [0.0] * 16), (303, [float("nan")] * 16), (304, [1.0] * 15 + [None]), (305, [float("inf")] * 16), (306, [1.0, 2.0])]
-    n, low = brute_links(vectors)
-    for block in (4096, 4):
-        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
-        df = spark.createDataFrame([(i, v, 1, "x") for i, v in vectors], "vec_id long, embedding array<float>, label int, cell string").repartition(3)
-        got = {r["id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(df).collect()}
-        assert got == {i: (n.get(i, 0), low[i]) for i, _ in vectors}
+    # an id that repeats, with the same vector and with others
+    vectors += [(400, [1.0, 0.0, 0.0, 0.0]), (400, [0.0, 1.0, 0.0, 0.0]), (400, [1.0, 0.0, 0.0, 0.0]), (401, [1.0, 0.1, 0.0, 0.0])]
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    df = spark.createDataFrame([(i, v, 1, "x", 2, 3) for i, v in vectors], "vec_id long, embedding array<float>, label int, cell string, node int, digest int").repartition(3)
+    got = [(r["id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(df).collect()]
+    assert sorted(got) == sorted(brute_links(vectors))
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
@@ -54,8 +51,24 @@ def test_lattice_decoding_and_recall():
     side -= (side * a).sum(1, keepdims=True) * a
     side /= np.linalg.norm(side, axis=1, keepdims=True)
     b = 0.9 * a + np.sqrt(1 - 0.81) * side
-    met = [bool(set(x) & set(y)) for x, y in zip(embedding_dedup.cells(a).tolist(), embedding_dedup.cells(b).tolist(), strict=True)]
-    assert np.mean(met) > 0.995
+    apart = np.bitwise_count((embedding_dedup.signatures(a) ^ embedding_dedup.signatures(b)).view(np.uint64)).sum(axis=1)
+    assert (apart <= embedding_dedup.MAX_BITS).mean() > 0.999
+    for most, width, tables in embedding_dedup.LADDER:
+        assert embedding_dedup.rung(most) == (width, tables)
+        some = slice(None, 3000 if tables < 20 else 1000)
+        met = [bool(set(x) & set(y)) for x, y in zip(embedding_dedup.cells(a[some], width, tables).tolist(), embedding_dedup.cells(b[some], width, tables).tolist(), strict=True)]
+        assert np.mean(met) >= 0.998
+
+
+@pytest.mark.parametrize("width, tables", [x[1:] for x in embedding_dedup.LADDER[:3]])
+def test_near_vectors_by_hashing_alone(spark, monkeypatch, width, tables):
+    monkeypatch.setattr(embedding_dedup, "LADDER", ((1 << 62, width, tables),))
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    vectors = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    unit = np.array([v for _, v in vectors]) / np.linalg.norm([v for _, v in vectors], axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    got = {r["id"]: r["n_links"] for r in embedding_dedup.near_vectors(df).collect()}
+    assert sum(got.values()) >= 0.999 * links.sum() and all(got[i] <= n for (i, _), n in zip(vectors, links.tolist(), strict=True))
 
 
 def test_components_of_a_long_path(spark):
@@ -81,13 +94,17 @@ def test_layouts(spark):
         ({"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}, [("user", "h"), ("assistant", "g")]),
         ({"data": {"prompt": "p", "response": "r"}}, [("user", "p"), ("assistant", "r")]),
         ({"strange": 1}, []),
+        ({"messages": [{"role": "user", "content": "u", "name": "n"}, {"role": "assistant", "content": 7}], "id": "x", "meta": {"source": 1}}, [("user", "u"), ("assistant", "7")]),
+        ({"system": "s", "question": None, "answer": 1.5, "lang": "en"}, [("system", "s"), ("assistant", "1.5")]),
+        ({"prompt": "p", "question": "two layouts at once", "answer": "a"}, []),
+        ({"prompt": "p", "response": "r" * 300_000}, [("user", "p"), ("assistant", "r" * 300_000)]),
     ]
     rows = [(i, json.dumps(r)) for i, (r, _) in enumerate(records)] + [(90, None), (91, "{broken"), (92, "[1]")]
     got = {r["k"]: r for r in chat.format_records(spark.createDataFrame(rows, "k long, j string"), "j", carry=("k",)).collect()}
     for i, (_, turns) in enumerate(records):
         assert [x[:2] for x in chat.read_turns(got[i]["formatted"])] == turns
         assert [got[i]["formatted"][a:b] for a, b in got[i]["loss_spans"]] == [t for r, t in turns if r == "assistant"]
-    assert all(got[k]["layout"] == "unknown" and got[k]["n_turns"] == 0 for k in (5, 90, 91, 92))
+    assert all(got[k]["layout"] == "unknown" and got[k]["n_turns"] == 0 for k in (5, 8, 90, 91, 92))
 
 
 def test_op5_digests(spark, tmp_path):
@@ -147,29 +164,67 @@ def test_sql(spark, sf_dir, name):
     assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(repr, want.select(*columns).fetchall()))
 
 
+def brute_near(rows):
+    """Fingerprint of every text, and for each the first row (smallest id, null last) of its component."""
+    from tests.llm.test_documents import brute_fingerprint
+
+    fps = [brute_fingerprint(r["text"]) for r in rows]
+    root = {f: f for f in fps}
+    changed = True
+    while changed:
+        changed = False
+        for a in root:
+            for b in root:
+                if root[b] < root[a] and (a ^ b).bit_count() <= 3:
+                    root[a], changed = root[b], True
+    first = {}
+    for f, r in zip(fps, rows, strict=True):
+        rank = (r["doc_id"] is None, r["doc_id"] or 0)
+        first[root[f]] = min(first.get(root[f], rank), rank)
+    return sorted(first.values())
+
+
 def test_pipeline(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = docs.columns
-    docs = docs.unionByName(spark.createDataFrame([(10**6, None, None, None, 0), (10**6 + 1, "12 34", "en", "src0", 5)], docs.schema))
+    docs = docs.unionByName(spark.createDataFrame([(10**6, None, None, None, 0), (10**6 + 1, "12 34", "en", "src0", 5), (None, "a row without an id", None, "src0", 5), (None, "another row without any id", None, None, 5)], docs.schema))
     docs = docs.unionByName(docs.limit(3))
-    rows = {r["doc_id"]: r for r in docs.collect()}
+    rows = docs.collect()
+    body = lambda r: "".join((r["text"] or "").split())
+    library = Tokenizer.from_file(words.default_path())
     for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
         docs = stage(spark, docs, sf_dir)
         docs.write.parquet(str(tmp_path / str(number)))
         docs = spark.read.parquet(str(tmp_path / str(number)))
-        if name != "BPE":
-            assert docs.columns == names
-        ids = [r["doc_id"] for r in docs.collect()]
+        assert name == "BPE" or docs.columns == names
+        before, rows = rows, docs.collect()
         if name == "language ID":
-            assert set(rows) - set(ids) == {i for i, r in rows.items() if not any(c.isalpha() for c in r["text"] or "")}
+            assert sorted(map(repr, rows)) == sorted(repr(r) for r in before if any(c.isalpha() for c in r["text"] or ""))
         if name == "exact dedup":
-            texts = ["".join((r["text"] or "").split()) for r in docs.collect()]
-            assert len(set(texts)) == len(texts)
+            best = {}
+            for r in sorted(before, key=lambda r: (-len(r["text"]), r["doc_id"] is None, r["doc_id"] or 0)):
+                best.setdefault(body(r), r)
+            assert sorted(map(repr, rows)) == sorted(map(repr, best.values()))
         if name == "SimHash near-dedup":
-            assert len(set(ids)) == len(ids)
+            assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == brute_near(before)
+            assert set(map(repr, rows)) <= set(map(repr, before))
         if name == "mixing":
-            assert max(ids.count(i) for i in set(ids)) <= 3
-    assert docs.count() == len(ids)
+            found = mixing.mix(spark.createDataFrame(before, docs.schema)).collect()
+            taken = sorted((r["id"], r["taken"] // r["size"]) for r in found if r["size"] and r["taken"] and r["id"] is not None)
+            assert sorted(Counter(r["doc_id"] for r in rows if r["doc_id"] is not None).items()) == taken
+            for key, target in {(r["source_size"], r["target"]) for r in found}:
+                assert abs(sum(r["taken"] for r in found if r["source_size"] == key) - target) <= 0.1 * key
+        if name == "BPE":
+            want = sorted(((r["doc_id"], library.encode(r["text"] or "", add_special_tokens=False).ids) for r in before), key=repr)
+            assert sorted(((r["doc_id"], np.frombuffer(bytes(r["ids"]), "<u4").tolist()) for r in rows), key=repr) == want
+            assert all(r["ids_sha256"] == hashlib.sha256(bytes(r["ids"])).hexdigest() for r in rows)
+
+
+def test_pipeline_leaves_one_table_and_its_last_stage_s(spark, sf_dir, tmp_path, monkeypatch):
+    for module in (common, corpus_pipeline):
+        monkeypatch.setattr(module, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert sorted(p.name.split("-")[1] for p in tmp_path.iterdir()) == ["bpe", "pipeline"]
 
 
 def test_pipeline_on_nothing_and_without_labels(spark, sf_dir):
