@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,23 +28,44 @@ def build(app: str = "larkspur", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}
+_SCRATCH: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one is set only where the cluster names none."""
+    """The shared folder of the cluster; in local mode a temporary one where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import atexit
-        import shutil
-        import tempfile
-
-        local = tempfile.mkdtemp(prefix="larkspur-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        folder = f"file://{local}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = _LOCAL.get(spark.sparkContext.applicationId)
+        if not folder:
+            local = tempfile.mkdtemp(prefix="larkspur-")
+            atexit.register(shutil.rmtree, local, ignore_errors=True)
+            folder = _LOCAL[spark.sparkContext.applicationId] = f"file://{local}"
     return folder.rstrip("/")
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving whatever tables ``written`` wrote inside: results must be collected or saved before that."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, its lineage cut, and there for whoever lost an executor."""
     path = f"{shared_dir(df.sparkSession)}/larkspur-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
