@@ -59,14 +59,17 @@ COMMIT_PREFIXES = (
     ("fix:", "bug"), ("revert:", "bug"), ("decision:", "decision"), ("breaking:", "prod_issue"), ("feat:", "decision"),
     ("perf:", "decision"), ("security:", "prod_issue"), ("hotfix:", "prod_issue"),
 )
+COMMIT_ALARM = r"\b(broke|regression|critical|security|hotfix|revert)\b"
 COMMENT_TAGS = {"fixme": "bug", "bug": "bug", "hack": "quirk", "warning": "quirk", "note": "decision", "todo": "decision", "xxx": "bug"}
 COMMENT = r"(?i)#\s*(FIXME|HACK|NOTE|TODO|XXX|BUG|WARNING)[:\s]+(.{10,200})"
 # What the query rewriter looks for.
 VAGUE = r"(?i)\b(it|that|this|the thing|the bug|the issue|the problem|the error|the fix)\b"
+NAME = r"\b([a-z_][a-z0-9_]{2,}|[A-Z][a-zA-Z0-9]{2,})\b"
 DEPTH = r"(?i)\b(detailed|explain|overview|brief|quick|tldr|summary|in depth|step by step)\b"
-QUERY_STOP_WORDS = (
-    "the a an is it in on at to for of and or not how why what when where which does do did can could will would fix bug issue error code file function class method"
-).split()
+QUERY_STOP_WORDS = [
+    "the", "a", "an", "is", "it", "in", "on", "at", "to", "for", "of", "and", "or", "not", "how", "why", "what", "when", "where", "which", "does",
+    "do", "did", "can", "could", "will", "would", "fix", "bug", "issue", "error", "code", "file", "function", "class", "method",
+]
 DOC_INTENT = r"(?i)\b(how does|overview|architecture|what is|explain|describe|why does|design|purpose|history|background|changelog|readme|documentation)\b"
 
 
@@ -170,7 +173,7 @@ def commit_learning(subject: Column | str) -> Column:
     """``struct<type, text>`` of a commit subject; a null type where it teaches nothing."""
     s = F.trim(col(subject))
     low = F.lower(s)
-    kind, text = F.when(low.rlike(r"\b(broke|regression|critical|security|hotfix|revert)\b"), "prod_issue"), s
+    kind, text = F.when(low.rlike(COMMIT_ALARM), "prod_issue"), s
     for prefix, name in reversed(COMMIT_PREFIXES):
         kind = F.when(low.startswith(prefix), name).otherwise(kind)
         text = F.when(low.startswith(prefix), F.trim(F.substring(s, len(prefix) + 1, 1 << 20))).otherwise(text)

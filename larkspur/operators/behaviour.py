@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, scores
+from . import ordered
 from ..functions.text import whitespace_words
 
 
@@ -103,9 +104,9 @@ def action_counters(actions: DataFrame) -> DataFrame:
     return actions.groupBy("action").agg(F.count("*").alias("count"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"))
 
 
-def style_summary(queries: DataFrame, order: list, every: int = 10) -> DataFrame:
-    """One row per full block of ``every`` queries: mean length and main question type."""
-    numbered = queries.withColumn("block", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / every))
+def style_summary(queries: DataFrame, order: list[str], every: int = 10) -> DataFrame:
+    """One row per full block of ``every`` queries, in the order of columns: mean length and main question type."""
+    numbered = ordered.numbered(queries, order).withColumn("block", F.floor((F.col("place") - 1) / every))
     sums = numbered.groupBy("block").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("mean_length"), F.mode(rules.question_type("text"), True).alias("question_type"))
     return sums.where(F.col("n") == every)
 

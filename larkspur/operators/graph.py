@@ -17,20 +17,22 @@ from ..session import written
 NODE_TYPES = ("FILE", "FUNCTION", "CLASS", "CONCEPT", "QUERY", "SESSION", "USER_ACTION", "MEMORY", "ERROR")
 EDGE_TYPES = ("RELATES_TO", "DEFINED_IN", "CALLED_BY", "CALLS", "QUERIED_WITH", "CO_OCCURS", "IMPORTS", "INHERITS")
 # Names that never stand for a concept: functions, common methods, exceptions, special names.
-BUILTIN_NAMES = (
-    "len str int float bool list dict set tuple bytes bytearray memoryview complex type object range enumerate zip map filter reversed "
-    "sorted sum min max abs round pow divmod open print input repr hash id iter next any all isinstance issubclass hasattr getattr setattr "
-    "delattr callable vars dir locals globals super property classmethod staticmethod format chr ord hex oct bin eval exec "
-    "append extend insert remove pop clear copy update keys values items get setdefault join split rsplit splitlines strip lstrip rstrip "
-    "replace startswith endswith find rfind index encode decode upper lower capitalize title read readline readlines write writelines close "
-    "seek tell flush fileno "
-    "Exception BaseException ValueError TypeError KeyError IndexError AttributeError RuntimeError StopIteration GeneratorExit OSError IOError "
-    "FileNotFoundError NotImplementedError ImportError ModuleNotFoundError OverflowError ZeroDivisionError MemoryError RecursionError "
-    "NameError UnboundLocalError PermissionError TimeoutError "
-    "__init__ __new__ __del__ __str__ __repr__ __bytes__ __len__ __eq__ __ne__ __lt__ __le__ __gt__ __ge__ __hash__ __bool__ __iter__ "
-    "__next__ __reversed__ __contains__ __getitem__ __setitem__ __delitem__ __enter__ __exit__ __call__ __get__ __set__ __add__ __radd__ "
-    "__iadd__ __sub__ __mul__ __truediv__ __class__ __dict__ __doc__ __module__ __slots__ __all__ __name__ __file__ __spec__ __path__"
-).split()
+BUILTIN_NAMES = [
+    "len", "str", "int", "float", "bool", "list", "dict", "set", "tuple", "bytes", "bytearray", "memoryview", "complex", "type", "object", "range",
+    "enumerate", "zip", "map", "filter", "reversed", "sorted", "sum", "min", "max", "abs", "round", "pow", "divmod", "open", "print", "input", "repr",
+    "hash", "id", "iter", "next", "any", "all", "isinstance", "issubclass", "hasattr", "getattr", "setattr", "delattr", "callable", "vars", "dir",
+    "locals", "globals", "super", "property", "classmethod", "staticmethod", "format", "chr", "ord", "hex", "oct", "bin", "eval", "exec", "append",
+    "extend", "insert", "remove", "pop", "clear", "copy", "update", "keys", "values", "items", "get", "setdefault", "join", "split", "rsplit",
+    "splitlines", "strip", "lstrip", "rstrip", "replace", "startswith", "endswith", "find", "rfind", "index", "encode", "decode", "upper", "lower",
+    "capitalize", "title", "read", "readline", "readlines", "write", "writelines", "close", "seek", "tell", "flush", "fileno", "Exception",
+    "BaseException", "ValueError", "TypeError", "KeyError", "IndexError", "AttributeError", "RuntimeError", "StopIteration", "GeneratorExit",
+    "OSError", "IOError", "FileNotFoundError", "NotImplementedError", "ImportError", "ModuleNotFoundError", "OverflowError", "ZeroDivisionError",
+    "MemoryError", "RecursionError", "NameError", "UnboundLocalError", "PermissionError", "TimeoutError", "__init__", "__new__", "__del__", "__str__",
+    "__repr__", "__bytes__", "__len__", "__eq__", "__ne__", "__lt__", "__le__", "__gt__", "__ge__", "__hash__", "__bool__", "__iter__", "__next__",
+    "__reversed__", "__contains__", "__getitem__", "__setitem__", "__delitem__", "__enter__", "__exit__", "__call__", "__get__", "__set__", "__add__",
+    "__radd__", "__iadd__", "__sub__", "__mul__", "__truediv__", "__class__", "__dict__", "__doc__", "__module__", "__slots__", "__all__", "__name__",
+    "__file__", "__spec__", "__path__",
+]
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -220,10 +222,11 @@ def crawl_weights(files: DataFrame, deps: DataFrame, entries: DataFrame, depth:
 
 
 # File names that start programs.
-ENTRY_NAMES = (
-    "__main__.py main.py app.py manage.py run.py server.py cli.py start.py wsgi.py asgi.py main.go main.rs index.js index.ts index.mjs "
-    "server.js server.ts app.js app.ts main.js main.ts Main.java Application.java App.java main.rb app.rb config.ru"
-).split()
+ENTRY_NAMES = [
+    "__main__.py", "main.py", "app.py", "manage.py", "run.py", "server.py", "cli.py", "start.py", "wsgi.py", "asgi.py", "main.go", "main.rs",
+    "index.js", "index.ts", "index.mjs", "server.js", "server.ts", "app.js", "app.ts", "main.js", "main.ts", "Main.java", "Application.java",
+    "App.java", "main.rb", "app.rb", "config.ru",
+]
 
 
 def entry_points(files: DataFrame) -> DataFrame:

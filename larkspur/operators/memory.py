@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, scores
 from ..functions.text import whitespace_words
-from ..session import written
-from . import text_search, vector
+from . import ordered, text_search, vector
 
 ROTATE_AT, ROTATE_SHARE = 10_000, 0.2
 
@@ -45,8 +44,9 @@ def search_plus(events: DataFrame, query: str, k: int = 10, embedder=None) -> Da
 
 def with_previous(events: DataFrame, id_col: str = "id", time_col: str = "time", bucket: str | None = None) -> DataFrame:
     """Events with the id of the one before.  ``bucket`` names a stream (a user, a session) of its own order."""
-    order = Window.partitionBy(bucket) if bucket else Window.partitionBy(F.lit(0))
-    return events.withColumn("prev", F.lag(id_col).over(order.orderBy(time_col, id_col)))
+    if not bucket:
+        return ordered.previous(events, [time_col, id_col], id_col)
+    return events.withColumn("prev", F.lag(id_col).over(Window.partitionBy(bucket).orderBy(time_col, id_col)))
 
 
 def history(events: DataFrame, n: int = 100, time_col: str = "time", id_col: str = "id") -> DataFrame:
@@ -70,6 +70,15 @@ def mark_stale(events: DataFrame, path: str, reason: str = "file removed") -> Da
     return events.withColumn("stale_reason", F.when(hit, F.lit(reason)).otherwise(F.col("stale_reason"))).withColumn("stale", F.coalesce("stale", F.lit(False)) | hit)
 
 
+def mark_stale_any(events: DataFrame, paths: DataFrame, reason: str = "file removed") -> DataFrame:
+    """Flag events that mention any of ``paths(path)``: the few paths are matched against each event's text, event by event once."""
+    text = F.concat(F.coalesce("event", F.lit("")), F.coalesce(F.to_json("metadata"), F.lit("")))
+    hit = events.select("id", text.alias("__text")).join(paths.select("path"), F.expr("contains(__text, path)"), "left_semi").select("id").distinct().withColumn("__hit", F.lit(True))
+    rows = events.join(hit, "id", "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)) & ~F.coalesce("stale", F.lit(False)))
+    rows = rows.withColumn("stale_reason", F.when(F.col("__hit"), F.lit(reason)).otherwise(F.col("stale_reason")))
+    return rows.withColumn("stale", F.coalesce("stale", F.lit(False)) | F.col("__hit")).select(*events.columns)
+
+
 # ── learnings ───────────────────────────────────────────────────────────────────────────────────────────────────────
 
 
@@ -137,12 +146,7 @@ def prune(memories: DataFrame, as_of: Column, aggressive: bool = False) -> tuple
 
 def compact(memories: DataFrame) -> DataFrame:
     """Live rows numbered anew without gaps, in the old order, without bringing all rows to one task."""
-    rows = vector.live(memories)
-    dealt = written(rows.repartitionByRange("row_id").withColumn("__part", F.spark_partition_id()), "compact")
-    sums = dealt.groupBy("__part").agg(F.count("*").alias("n"))
-    before = sums.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy("row_id"))
-    return dealt.withColumn("__place", place).join(F.broadcast(before), "__part").withColumn("row_id", F.col("base") + F.col("__place") - 1).drop("__part", "__place", "base")
+    return ordered.numbered(vector.live(memories), ["row_id"], "__place").withColumn("row_id", F.col("__place") - 1).drop("__place")
 
 
 def dead_share(memories: DataFrame) -> DataFrame:

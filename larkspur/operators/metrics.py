@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def precision_recall(results: DataFrame, golden: DataFrame, ks: tuple[int, ...] = (1, 3)) -> DataFrame:
     """Per ``k`` the share of golden queries with a hit among the first ``k`` results: over all queries (recall) and over
@@ -27,15 +29,22 @@ def percentiles(rows: DataFrame, value_col: str, ps: tuple[int, ...] = (50, 95,
 
     Values are counted first, so ranks come from a running sum over distinct values per group.
     """
-    key = [group] if group else []
+    if not group:
+        counts = rows.where(F.col(value_col).isNotNull()).groupBy(value_col).agg(F.count("*").alias("n"))
+        ranked = ordered.running_sum(counts, [value_col]).crossJoin(F.broadcast(rows.agg(F.count(value_col).alias("total"))))
+        return ranked.agg(*[F.min(F.when(F.col("upto") > _at(p), F.col(value_col))).alias(f"p{p}") for p in ps])
+    key = [group]
     counts = rows.where(F.col(value_col).isNotNull()).groupBy(*key, value_col).agg(F.count("*").alias("n"))
-    part = Window.partitionBy(*key) if key else Window.partitionBy(F.lit(0))
+    part = Window.partitionBy(*key)
     ranked = counts.withColumn("upto", F.sum("n").over(part.orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(part))
-    at = lambda p: F.least(F.floor(F.lit(p) * F.col("total") / 100), F.col("total") - 1)
-    picks = [F.min(F.when(F.col("upto") > at(p), F.col(value_col))).alias(f"p{p}") for p in ps]
+    picks = [F.min(F.when(F.col("upto") > _at(p), F.col(value_col))).alias(f"p{p}") for p in ps]
     return ranked.groupBy(*key).agg(*picks)
 
 
+def _at(p: int) -> Column:
+    return F.least(F.floor(F.lit(p) * F.col("total") / 100), F.col("total") - 1)
+
+
 def token_reduction(queries: DataFrame) -> DataFrame:
     """Mean share of tokens saved from ``(baseline_tokens, packed_tokens)``; queries without a baseline don't count."""
     saved = F.when(F.col("baseline_tokens") > 0, F.lit(1.0) - F.col("packed_tokens") / F.col("baseline_tokens"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -76,6 +76,66 @@ def bm25_plus(docs: DataFrame, query: str, k: int = 10, id_col: str = "doc_id",
     return ranked.orderBy(F.desc("score"), id_col).limit(max(k, 0))
 
 
+class TextIndex:
+    """A BM25 index in a folder: postings ``(term, id, tf, dl)`` by range of terms, document lengths, corpus statistics.
+
+    It is built once and searched often.  Files hold ranges of terms (a term that most documents have spans several) in
+    sorted order, so a search reads the row groups of the query's terms only.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, unicode_words: bool = False) -> None:
+        self.spark, self.path, self.unicode_words = spark, path.rstrip("/"), unicode_words
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", unicode_words: bool = False) -> TextIndex:
+        """Index ``docs``; ids must be unique.  With ``unicode_words`` terms are those of BM25+."""
+        index = cls(docs.sparkSession, path, unicode_words)
+        cut = T.episode_tokens if unicode_words else T.bm25_tokens
+        tokens = docs.select(F.col(id_col).alias("id"), cut(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
+        tokens.select("id", F.size("tokens").alias("dl")).write.mode("overwrite").parquet(f"{index.path}/lengths")
+        index.lengths().agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{index.path}/stats")
+        each = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
+        each.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(f"{index.path}/postings")
+        return index
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    def lengths(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/lengths")
+
+    def _matches(self, terms: list[str]) -> DataFrame:
+        """Postings of the terms with their document frequency and the corpus statistics."""
+        found = self.postings().where(F.col("term").isin(terms)) if terms else self.postings().limit(0)
+        # as many rows as the query has terms, and one row
+        df = found.groupBy("term").agg(F.count("*").cast("double").alias("df"))
+        return found.join(F.broadcast(df), "term").crossJoin(F.broadcast(self.spark.read.parquet(f"{self.path}/stats")))
+
+    def search(self, query: str, k: int = 10) -> DataFrame:
+        """``(id, score)`` of the ``k`` best by Okapi BM25, as ``bm25`` gives them."""
+        length = F.when(F.col("avgdl") > 0, F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")).otherwise(F.lit(1.0))
+        idf = F.log((F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + F.lit(1.0))
+        part = idf * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * length)
+        scored = self._matches(query_terms(query, self.unicode_words)).groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
+        return scored.orderBy(F.desc("score"), "id").limit(max(k, 0))
+
+    def search_plus(self, query: str, k: int = 10) -> DataFrame:
+        """``(id, score)`` by BM25+, as ``bm25_plus`` gives them: documents without a term have the lower bound alone."""
+        terms = query_terms(query, self.unicode_words)
+        times = F.lit(0)
+        for term in dict.fromkeys(terms):
+            times = F.when(F.col("term") == term, F.lit(terms.count(term))).otherwise(times)
+        idf = times * F.log((F.col("n") + F.lit(1.0)) / F.col("df"))
+        rows = self._matches(list(dict.fromkeys(terms))).withColumn("idf", idf)
+        least = rows.groupBy("term").agg(F.first("idf").alias("idf")).agg(F.coalesce(F.sum("idf") * DELTA, F.lit(0.0)).alias("least"))
+        length = F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")
+        more = F.col("idf") * F.col("tf") * F.lit(K1 + 1) / (F.lit(K1) * length + F.col("tf"))
+        hits = rows.groupBy("id").agg(F.sum(more).alias("more"))
+        rest = self.lengths().select("id").join(hits, "id", "left_anti").orderBy("id").limit(max(k, 0)).withColumn("more", F.lit(0.0))
+        both = hits.unionByName(rest).crossJoin(F.broadcast(least)).select("id", F.round(F.col("least") + F.col("more"), 6).alias("score"))
+        return both.where("score > 0").orderBy(F.desc("score"), "id").limit(max(k, 0))
+
+
 def postings(docs: DataFrame, key_cols: list[str], text_col: str = "text") -> DataFrame:
     """Distinct ``(word, key...)``."""
     return docs.select(F.explode(F.array_distinct(T.text_terms(text_col))).alias("word"), *key_cols).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, scores
 from ..functions import text as T
-from ..operators import behaviour, indexing, memory, metrics, packing
+from ..operators import behaviour, chunking, indexing, memory, metrics, packing
 from .registry import query, table
 
 _AS_OF = "2024-02-01"
@@ -288,10 +288,19 @@ def chunk_words(spark, d):
     return indexing.chunk_words(table(spark, d, "documents"))
 
 
-@query()
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""WITH c AS (SELECT doc_id::VARCHAR AS source, list_filter(flatten(list_transform(
+    list_transform(string_split_regex(coalesce(text, ''), '(?m)^#{{2,}}\\s+'), lambda s: {_STRIP.format('s')}),
+    lambda s: CASE WHEN length(s) <= 1800 THEN [s] ELSE string_split(list_reduce(
+        list_filter(list_transform(string_split_regex(s, '\\n{{2,}}'), lambda p: {_STRIP.format('p')}), lambda p: p <> ''),
+        lambda a, p: CASE WHEN length(list_last(string_split(a, chr(1)))) + 2 + length(p) <= 1800 THEN a || chr(10) || chr(10) || p ELSE a || chr(1) || p END), chr(1)) END)),
+    lambda c: length(c) >= 60) AS l FROM documents)
+SELECT source, i - 1 AS position, l[i] AS text FROM (SELECT source, l, unnest(range(1, least(30, len(l)) + 1)) AS i FROM c)""")
 def chunk_markdown(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), "text")
-    return indexing.chunks(docs)
+    return chunking.chunks(docs)
 
 
 @query("SELECT least(1e0, least(length(t) / 100e0, 1e0) + 2e-1 * (contains(lower(t), 'bug')::INT + contains(lower(t), 'fix')::INT + contains(lower(t), 'error')::INT + contains(lower(t), 'important')::INT)) AS importance, i AS id FROM (SELECT doc_id AS i, coalesce(text, '') AS t FROM documents)")
@@ -299,14 +308,14 @@ def importance_score(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), scores.importance(F.coalesce("text", F.lit(""))).alias("importance"))
 
 
-@query("""WITH r AS (SELECT n_name AS query, n_nationkey % 4 + 1 AS place, 'src/' || lower(n_name) || '.py' AS file FROM nation WHERE n_regionkey <> 0),
+@query("""WITH r AS (SELECT n_name AS query, n_nationkey % 4 + 1 AS place, 'src/' || lower(n_name) || '.py' AS file FROM nation),
 g AS (SELECT n_name AS query, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE 'none' END AS pat FROM nation),
 b AS (SELECT g.query, min(CASE WHEN contains(r.file, g.pat) THEN place END) AS first, count(place) AS n FROM g LEFT JOIN r ON r.query = g.query GROUP BY g.query)
 SELECT round(avg(coalesce(first <= 1, false)::INT), 6) AS recall_at_1, round(avg(CASE WHEN n > 0 THEN coalesce(first <= 1, false)::INT END), 6) AS precision_at_1,
        round(avg(coalesce(first <= 3, false)::INT), 6) AS recall_at_3, round(avg(CASE WHEN n > 0 THEN coalesce(first <= 3, false)::INT END), 6) AS precision_at_3 FROM b""")
 def precision_recall(spark, d):
     nation = table(spark, d, "nation")
-    results = nation.where("n_regionkey <> 0").select(F.col("n_name").alias("query"), (F.col("n_nationkey") % 4 + 1).alias("place"), F.concat(F.lit("src/"), F.lower("n_name"), F.lit(".py")).alias("file"), F.lit("s").alias("symbol"))
+    results = nation.select(F.col("n_name").alias("query"), (F.col("n_nationkey") % 4 + 1).alias("place"), F.concat(F.lit("src/"), F.lower("n_name"), F.lit(".py")).alias("file"), F.lit("s").alias("symbol"))
     golden = nation.select(F.col("n_name").alias("query"), F.lit("t").alias("expected_symbol"), F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise("none").alias("expected_file_pattern"))
     return metrics.precision_recall(results, golden)
 
@@ -354,7 +363,8 @@ def enhance_query(spark, d):
     from ..operators import hybrid
 
     rows = spark.createDataFrame([(q,) for q in _REWRITE], "query string")
-    return hybrid.enhance(rows, ["a::parse_tree", "parse_tree"], ["what is session_store", "does this work"], ["authentication", "joins"], "detailed")
+    log = spark.createDataFrame([("what is session_store", 1), ("does this work", 2)], "query string, seq int")
+    return hybrid.enhance(rows, ["a::parse_tree", "parse_tree"], log, ["authentication", "joins"], "detailed")
 
 
 @query()

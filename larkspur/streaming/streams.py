@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import indexing, memory
+from ..functions.text import node_id
+from ..operators import graph, indexing, memory
+from ..session import written
 from ..sources.files import with_language
 
 CHANGES = "path string, action string, time timestamp, content binary"
@@ -28,33 +33,45 @@ def listing_changes(before: DataFrame, now: DataFrame) -> DataFrame:
     return joined.select("path", action.alias("action")).where("action is not null")
 
 
-def reindex(files_table, symbols_table, events_table=None):
-    """A ``foreachBatch`` function: parse files that changed, drop those deleted, mark episodes that name them as stale.
+def reindex(files, symbols, events=None, words=None, vectors=None, nodes=None, edges=None, caches=(), embed=None):
+    """A ``foreachBatch`` function: parse files that changed and bring every store up to date, drop those deleted from all.
 
-    The last change of a path in a batch decides; content that is already indexed is skipped, so a batch that is run again
-    changes nothing.
+    Stores are ``Table`` or ``BucketStore``; the latter rewrite only the buckets of changed files.  ``words`` are postings,
+    ``vectors`` symbol vectors (``embed`` makes them of symbols; without it those of changed files just go), ``nodes`` and
+    ``edges`` the graph.  Episodes that name a deleted file are marked as stale, and ``caches`` are cleared.  The last change
+    of a path in a batch decides; content that is already indexed is skipped, so a batch that is run again changes nothing.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        last = rows.groupBy("path").agg(F.max_by(F.struct("action", "content"), "time").alias("x")).select("path", "x.*").persist()
-        known = files_table.read()
-        fresh = indexing.changed(with_language(last.where("action <> 'delete'")), known)
-        parsed = indexing.parse(fresh).persist()
-        gone = last.where("action = 'delete'").select("path").unionByName(parsed.select("path")).distinct()
-        kept = known.join(gone, "path", "left_anti")
-        new = parsed.select("path", "sha256", "language", F.lit(1.0).alias("weight"), F.lit(None).cast("timestamp").alias("indexed_at"))
-        symbols = symbols_table.read().join(gone.withColumnRenamed("path", "file"), "file", "left_anti")
-        symbols_table.overwrite(symbols.unionByName(indexing.symbols(parsed)))
-        files_table.overwrite(kept.unionByName(new))
-        if events_table is not None:
-            deleted = [r.path for r in last.where("action = 'delete'").select("path").toLocalIterator()]
-            events = events_table.read()
-            for path in deleted:
-                events = memory.mark_stale(events, path)
-            if deleted:
-                events_table.overwrite(events)
-        parsed.unpersist()
-        last.unpersist()
+        last = written(rows.groupBy("path").agg(F.max_by(F.struct("action", "content"), "time").alias("x")).select("path", "x.*"), "changes")
+        fresh = indexing.changed(with_language(last.where("action <> 'delete'")), files.read())
+        parsed = written(indexing.parse(fresh), "parsed")
+        deleted = last.where("action = 'delete'").select("path")
+        gone = written(deleted.unionByName(parsed.select("path")).distinct(), "gone")
+        if gone.isEmpty():
+            return
+        found = indexing.symbols(parsed)
+        files.replace(gone, parsed.select("path", "sha256", "language", F.lit(1.0).alias("weight"), F.lit(None).cast("timestamp").alias("indexed_at")), "path")
+        symbols.replace(gone, found, "file")
+        if words is not None:
+            words.replace(gone, indexing.word_index(found), "file")
+        if vectors is not None:
+            vectors.replace(gone, embed(found) if embed else None, "file")
+        if nodes is not None and edges is not None:
+            old = nodes.read()
+            dead = written(old.join(gone, (old["file"] == gone["path"]) | (old["id"] == gone["path"]), "left_semi").select(F.col("id").alias("path")), "dead")
+            seq = F.unix_micros(F.current_timestamp())
+            kind = lambda c: F.when(c.contains("::"), c)
+            new = graph.symbol_edges(found).withColumn("purpose", F.lit(None).cast("string")).withColumn("seq", seq)
+            edges.replace(dead, None, "dst")
+            edges.replace(dead, new, "src")
+            own = found.select(node_id("type", "name", "file").alias("id"), "type", "file", F.col("start_line").alias("line")).where(kind(F.col("id")).isNotNull())
+            named = parsed.select(F.col("path").alias("id"), F.lit("FILE").alias("type"), F.col("path").alias("file"), F.lit(None).cast("int").alias("line"))
+            nodes.replace(dead, own.unionByName(named).dropDuplicates(["id"]).withColumn("weight", F.lit(1.0)).withColumn("seq", seq), "id")
+        if events is not None and not deleted.isEmpty():
+            events.overwrite(memory.mark_stale_any(events.read(), deleted))
+        for cache in caches:
+            cache.clear()
 
     return batch
 
@@ -125,6 +142,62 @@ def prune_batch(table, as_of, archive: str, aggressive: bool = False):
     return batch
 
 
+def memory_probe(most: float = 0.9):
+    """A probe that fails while more than a share of the system's memory is in use."""
+
+    def probe() -> bool:
+        with open("/proc/meminfo") as read:
+            kb = {line.split(":")[0]: int(line.split()[1]) for line in read}
+        return 1 - kb["MemAvailable"] / kb["MemTotal"] <= most
+
+    return probe
+
+
+def storage_probe(spark: SparkSession, folder: str):
+    """A probe that fails while a folder cannot be reached."""
+
+    def probe() -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        try:
+            return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path))
+        except Py4JJavaError:
+            return False
+
+    return probe
+
+
+class Busy(RuntimeError):
+    """What a caller gets whom the gate turns away."""
+
+
+class Gate:
+    """Lets ``most`` calls run at a time and ``waiting`` more wait, ``patience`` seconds each; others are turned away at once."""
+
+    def __init__(self, most: int = 4, waiting: int = 16, patience: float = 30.0) -> None:
+        self.slots, self.patience = threading.Semaphore(most), patience
+        self.places, self.shed = threading.Semaphore(most + waiting), 0
+        self._lock = threading.Lock()
+
+    @contextmanager
+    def __call__(self) -> Iterator[None]:
+        if not self.places.acquire(blocking=False):
+            self._turn_away("too many calls")
+        try:
+            if not self.slots.acquire(timeout=self.patience):
+                self._turn_away("no call ended in time")
+            try:
+                yield
+            finally:
+                self.slots.release()
+        finally:
+            self.places.release()
+
+    def _turn_away(self, why: str) -> None:
+        with self._lock:
+            self.shed += 1
+        raise Busy(why)
+
+
 class Breaker:
     """Closed, open and half-open guard of a driver's calls: opens on a failed probe, tries again after a pause."""
 

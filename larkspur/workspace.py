@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import schemas
 from .functions import rules, scores
 from .functions import text as T
-from .operators import behaviour, graph, hybrid, indexing, memory, metrics, packing, text_search, vector
+from .operators import behaviour, chunking, graph, hybrid, indexing, memory, metrics, packing, text_search, vector
 from .sources import files, git
 from .sources.sinks import Table, append_metrics, manifest, snapshot, verify
 
@@ -185,7 +185,7 @@ class Workspace:
         out = {"symbols": symbols, "words": indexing.word_index(symbols), "nodes": nodes, "edges": edges.select("src", "dst", "rel", "weight", "purpose", "seq"), "symbol_vectors": vectors, "imports": imports, "summaries": indexing.file_summaries(symbols, table), "manifest": manifest(every)}
         if docs:
             found = files.documents(self.spark, [docs])
-            out |= {"docs": found, "chunks": indexing.chunks(found.select(F.col("path").alias("source"), indexing.strip_front_matter("text").alias("text"))).select("source", F.lit(None).cast("string").alias("section"), "position", "text")}
+            out |= {"docs": found, "chunks": chunking.chunks(found.select(F.col("path").alias("source"), indexing.strip_front_matter("text").alias("text"))).select("source", F.lit(None).cast("string").alias("section"), "position", "text")}
         for name, df in out.items():
             schema = self.spark.createDataFrame([], TABLES[name]).schema
             self.tables[name].overwrite(df.select(*[F.col(f.name).cast(f.dataType) for f in schema]))
@@ -302,7 +302,7 @@ class Workspace:
 
     def enhance(self, queries: DataFrame, depth: str = "medium") -> DataFrame:
         hot = [r["symbol"].split("::")[-1] for r in behaviour.hot_symbols(self.read("weights"), 30).collect()]
-        recent = [r["text"] for r in behaviour.last_n(self.read("queries"), 10, [F.desc("time")]).collect()][::-1]
+        recent = self.read("queries").select(F.col("text").alias("query"), F.struct("time", "query_id").alias("seq"))
         terms = [r["term"] for r in behaviour.terminology(self.read("queries")).orderBy(F.desc("n"), "term").limit(30).collect()]
         return hybrid.enhance(queries, hot, recent, terms, depth)
 
@@ -352,15 +352,12 @@ class Workspace:
         return memory.pop_batch(memory.cleanup_queue(self.read("cleanup"), F.lit(at)), n)[0]
 
     def benchmark(self, golden: DataFrame, history: str | None = None) -> DataFrame:
-        """Precision and recall of symbol search over golden queries, one search each."""
-        parts = []
-        for r in golden.limit(1000).collect():  # a golden set is small by definition
-            found = self.semantic_search_code(r["query"], 3)
-            order = graph.Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "row_id")
-            parts.append(found.select(F.lit(r["query"]).alias("query"), F.row_number().over(order).alias("place"), "file", F.col("name").alias("symbol")))
-        results = parts[0]
-        for p in parts[1:]:
-            results = results.unionByName(p)
+        """Precision and recall of symbol search over all golden queries, searched in blocks at once."""
+        asked = golden.select("query").distinct().withColumn("query_id", F.monotonically_increasing_id())
+        asked = graph.written(vector.embed(asked, "query", self.embedder), "golden")
+        rows = self.read("symbol_vectors").where("source = 'symbol'")
+        near = vector.knn_join(asked, rows, 3).join(asked.select("query_id", "query"), "query_id")
+        results = near.join(rows.select("row_id", "file", F.col("name").alias("symbol")), "row_id").select("query", "place", "file", "symbol")
         out = metrics.precision_recall(results, golden)
         if history:
             append_metrics(out, history)

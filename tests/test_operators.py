@@ -1,6 +1,7 @@
 """Operators on small fixtures: the cases that the tables don't hold."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import rules, scores
 from larkspur.functions import text as T
-from larkspur.operators import behaviour, graph, hybrid, indexing, memory, metrics, packing, text_search, vector
+from larkspur.operators import behaviour, chunking, graph, hybrid, indexing, memory, metrics, ordered, packing, text_search, vector
 from larkspur.sources import files, git, sinks
 
 AT = dt.datetime(2024, 1, 10)
@@ -24,24 +25,52 @@ def one(spark, expr, **values):
 
 
 @pytest.fixture(scope="module")
-def foxes(spark):
-    return spark.createDataFrame([("d1", "the quick brown fox jumps over the lazy dog"), ("d2", "a slow green turtle"), ("d3", "fox and fox again"), ("d4", None)], "doc_id string, text string")
+def herons(spark):
+    return spark.createDataFrame([("d1", "nine reeds away a heron waits for the ferry at dawn"), ("d2", "one copper kettle sang"), ("d3", "heron after heron came"), ("d4", None)], "doc_id string, text string")
 
 
-@pytest.mark.parametrize(("query", "k", "ids"), [("fox", 10, ["d3", "d1"]), ("fox", 1, ["d3"]), ("", 5, []), ("fox", 0, []), ("zebra", 5, []), ("fox FOX", 10, ["d3", "d1"]), ("turtle dog", 99, ["d2", "d1"])])
-def test_bm25(foxes, query, k, ids):
-    found = text_search.bm25(foxes, query, k).collect()
+@pytest.mark.parametrize(("query", "k", "ids"), [("heron", 10, ["d3", "d1"]), ("heron", 1, ["d3"]), ("", 5, []), ("heron", 0, []), ("walrus", 5, []), ("heron HERON", 10, ["d3", "d1"]), ("kettle dawn", 99, ["d2", "d1"])])
+def test_bm25(herons, query, k, ids, tmp_path):
+    index = text_search.TextIndex.build(herons, str(tmp_path / "index"))
+    found = text_search.bm25(herons, query, k).collect()
+    assert [tuple(r) for r in index.search(query, k).collect()] == [tuple(r) for r in found]
     assert [r["doc_id"] for r in found] == ids
     assert all(r["score"] > 0 for r in found)
 
 
-def test_bm25_empty_corpus(foxes):
-    assert text_search.bm25(foxes.limit(0), "fox").collect() == []
+def test_bm25_empty_corpus(herons):
+    assert text_search.bm25(herons.limit(0), "heron").collect() == []
 
 
-def test_bm25_plus_needs_a_known_term(foxes):
-    assert text_search.bm25_plus(foxes, "zebra").collect() == []
-    assert text_search.bm25_plus(foxes, "fox").first()["doc_id"] == "d3"
+def test_bm25_plus_needs_a_known_term(herons):
+    assert text_search.bm25_plus(herons, "walrus").collect() == []
+    assert text_search.bm25_plus(herons, "heron").first()["doc_id"] == "d3"
+
+
+@pytest.mark.parametrize("query", ["heron", "heron dawn heron", "walrus", "the walrus waits", ""])
+def test_index_ranks_by_bm25_plus_too(herons, query, tmp_path):
+    index = text_search.TextIndex.build(herons, str(tmp_path / "index"), unicode_words=True)
+    for k in (1, 10):
+        assert [tuple(r) for r in index.search_plus(query, k).collect()] == [tuple(r) for r in text_search.bm25_plus(herons, query, k).collect()]
+
+
+def test_index_reads_the_terms_of_a_query_only(herons, tmp_path):
+    found = text_search.TextIndex.build(herons, str(tmp_path / "index")).search("heron dawn")
+    plan = herons.sparkSession._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert re.search(r"PushedFilters: \[.*In\(term, \[(dawn,heron|heron,dawn)\]\)", plan)
+
+
+def test_order_without_one_task(spark):
+    rows = spark.range(1000).withColumn("v", F.pmod(F.xxhash64("id"), F.lit(50))).repartition(7)
+    got = ordered.numbered(rows, ["v", "id"]).orderBy("place").collect()
+    want = sorted((r["v"], r["id"]) for r in rows.collect())
+    assert [(r["v"], r["id"]) for r in got] == want and [r["place"] for r in got] == list(range(1, 1001))
+    prev = {r["id"]: r["prev"] for r in ordered.previous(rows, ["v", "id"], "id").collect()}
+    assert [prev[i] for _, i in want] == [None, *(i for _, i in want[:-1])]
+    assert tuple(metrics.percentiles(rows, "id").first()) == (500, 950, 990)
+    events = spark.createDataFrame([(i, AT + dt.timedelta(seconds=-i)) for i in range(20)], "id int, time timestamp")
+    assert {r["id"]: r["prev"] for r in memory.with_previous(events).collect()} == {i: i + 1 if i < 19 else None for i in range(20)}
+    assert ordered.numbered(rows.limit(0), ["id"]).count() == 0
 
 
 def test_grep_context(spark):
@@ -211,12 +240,12 @@ def test_cold_fallback(spark):
     assert [r["id"] for r in hybrid.with_least(df, 0.15).collect()] == ["b"]
 
 
-def test_result_cache(foxes):
+def test_result_cache(herons):
     cache, calls = hybrid.ResultCache(10), []
 
     def make():
         calls.append(1)
-        return foxes
+        return herons
 
     assert cache.get("q", 1, make, 0.0) == cache.get("q", 1, make, 5.0) and len(calls) == 1
     cache.get("q", 1, make, 11.0)
@@ -381,7 +410,7 @@ def test_documents_and_manifests(spark, tree):
     docs = files.documents(spark, [f"file://{tree}/docs", f"file://{tree}/README.md"])
     assert docs.count() == 2
     assert tuple(files.decision_records(docs).first())[1:] == ("Use Parquet", "We use it.")
-    chunks = indexing.chunks(docs.select(F.col("path").alias("source"), "text"))
+    chunks = chunking.chunks(docs.select(F.col("path").alias("source"), "text"))
     assert chunks.count() == 1
     rows = [("r", n, (tree / n).read_text()) for n in ("requirements.txt", "pyproject.toml")] + [("r", "package.json", '{"dependencies": {"left-pad": "1"}}'), ("r", "go.mod", "require github.com/a/b v1.0.0\n"), ("r", "Cargo.toml", "[dependencies]\nserde = '1'\n"), ("r", "package.json", "{broken")]
     got = {r["package"] for r in files.manifest_packages(spark.createDataFrame(rows, "repo string, name string, text string")).collect()}
@@ -391,9 +420,16 @@ def test_documents_and_manifests(spark, tree):
     assert behaviour.comment_learnings(lines).count() == 1
     front = spark.createDataFrame([("---\na: 1\n---\nbody",)], "t string")
     assert front.select(indexing.strip_front_matter("t").alias("t")).first()["t"] == "body"
-    assert len(indexing.source_chunks("def a():\n" + "    x = 1\n" * 20 + "def b():\n" + "    y = 2\n" * 20, "m.py")) == 2
+    code = "def a():\n" + "    x = 1\n" * 20 + "def b():\n" + "    y = 2\n" * 20
+    cut = {s: one(spark, chunking.source("t", "p"), t=code * 30, p=s) for s in ("m.py", "m.TXT", "m")}
+    assert [len(c) for c in cut.values()] == [40, 1, 16] and all(c.startswith("def ") for c in cut["m.py"])
+    assert len(one(spark, chunking.source("t", "p", count=None), t=code * 30, p="m.py")) == 60
+    assert len(one(spark, chunking.source("t", "p", most=None), t="z" * 5_000, p="m.md")[0]) == 5_000
     long = "## S\n" + "\n\n".join("p" * 700 for _ in range(5))
-    assert [len(c) for c in indexing.markdown_chunks(long)] == [1404, 1402, 700]
+    assert [len(c) for c in one(spark, chunking.markdown("t"), t=long)] == [1404, 1402, 700]
+    assert one(spark, chunking.markdown("t"), t="") == [] and one(spark, chunking.markdown("t"), t="\n\n" * 2_000) == []
+    assert [len(c) for c in one(spark, chunking.markdown("t"), t="q" * 5_000)] == [5_000]
+    assert len(one(spark, chunking.markdown("t", count=None), t=("## H\n" + "w" * 80 + "\n") * 50)) == 50
 
 
 def test_git_sources(spark, tree):

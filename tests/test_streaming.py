@@ -1,11 +1,14 @@
 """Streams: incremental indexing, co-edit state, windows; a second run finds nothing new."""
 
 import datetime as dt
+import threading
 
+import pytest
 from pyspark.sql import functions as F
 
+from larkspur import schemas
 from larkspur.schemas import FILES
-from larkspur.sources.sinks import Table
+from larkspur.sources.sinks import BucketStore, Table
 from larkspur.streaming import streams
 
 AT = dt.datetime(2024, 1, 10)
@@ -39,6 +42,80 @@ def test_reindex_is_incremental_and_idempotent(spark, tmp_path):
     assert symbols.versions() == before
 
 
+def test_reindex_drops_a_file_from_every_store(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    stores = {
+        "files": BucketStore(spark, f"{root}/files", FILES, "path"), "symbols": BucketStore(spark, f"{root}/symbols", SYMBOLS), "words": BucketStore(spark, f"{root}/words", schemas.POSTINGS),
+        "vectors": BucketStore(spark, f"{root}/vectors", "file string, name string"), "nodes": BucketStore(spark, f"{root}/nodes", schemas.NODES, "id"), "edges": BucketStore(spark, f"{root}/edges", schemas.EDGES, "src"),
+    }
+
+    class Cache:
+        cleared = 0
+
+        def clear(self):
+            self.cleared += 1
+
+    cache = Cache()
+    batch = streams.reindex(**stores, caches=(cache,), embed=lambda symbols: symbols.select("file", "name"))
+
+    def put(*rows):
+        batch(spark.createDataFrame([(p, a, AT + dt.timedelta(seconds=s), bytearray(c.encode()) if c else None) for p, a, s, c in rows], streams.CHANGES), 0)
+
+    put(("a.py", "create", 1, "def one():\n    two()\n"), ("b.py", "create", 1, "class Two:\n    'Counts apples.'\n"), *((f"c{i}.py", "create", 1, f"def worker_{i}(): pass") for i in range(20)))
+    names = {r["name"] for r in stores["symbols"].read().collect()}
+    assert {"one", "Two", "worker_0", "worker_19"} <= names and len(names) == 22 and cache.cleared == 1
+    assert {r["name"] for r in stores["vectors"].read().collect()} == names
+    assert stores["edges"].read().where("rel = 'CALLS' and dst = 'symbol::two'").count() == 1
+    assert stores["words"].read().where("word = 'apples'").count() == 1 and stores["nodes"].read().where("id = 'b.py::Two'").count() == 1
+
+    def stamps():
+        return {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "symbols").glob("file_bucket=*/*.parquet")}
+
+    before = stamps()
+    put(("a.py", "delete", 2, None), ("b.py", "modify", 2, "def three(): pass"))
+    after = stamps()
+    for name, column in (("files", "path"), ("symbols", "file"), ("words", "file"), ("vectors", "file"), ("nodes", "file")):
+        rows = stores[name].read()
+        assert rows.where(f"{column} = 'a.py'").isEmpty() and not rows.where(f"{column} = 'c7.py'").isEmpty()
+    edges = stores["edges"].read()
+    assert edges.where("src like 'a.py%' or dst like 'a.py%' or src like '%Two' or dst like '%Two'").isEmpty() and edges.where("src = 'b.py::three'").count() == 1
+    assert {r["name"] for r in stores["symbols"].read().where("file = 'b.py'").collect()} == {"three"}
+    assert sum(after.get(k) != v for k, v in before.items()) <= 2 and cache.cleared == 2
+    put(("b.py", "modify", 3, "def three(): pass"))
+    assert stamps() == after and cache.cleared == 2
+
+
+def test_gate_sheds_what_cannot_wait():
+    gate = streams.Gate(1, 1, 0.2)
+    begun, go = threading.Event(), threading.Event()
+
+    def hold():
+        with gate():
+            begun.set()
+            go.wait(10)
+
+    first = threading.Thread(target=hold)
+    first.start()
+    begun.wait(10)
+    with pytest.raises(streams.Busy, match="in time"), gate():
+        pass
+    go.set()
+    first.join()
+    with gate():
+        assert gate.shed == 1
+    full = streams.Gate(1, 0)
+    with full(), pytest.raises(streams.Busy, match="too many"), full():
+        pass
+
+
+def test_probes(spark, tmp_path):
+    assert streams.memory_probe(1.0)() and not streams.memory_probe(0.0)()
+    assert streams.storage_probe(spark, f"file://{tmp_path}")() and not streams.storage_probe(spark, f"file://{tmp_path}/none")()
+    assert not streams.storage_probe(spark, "nowhere://x/y")()
+    breaker = streams.Breaker([streams.memory_probe(0.0)])
+    assert not breaker.allow(0.0) and breaker.state == "OPEN"
+
+
 def test_listing_changes(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "path string, sha256 string")
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "path string, sha256 string")
