@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import graphs, memories, search, stores
+from . import answers, graphs, memories, search, stores
 from .registry import QUERIES, SQL
 
-_MODULES = (search, graphs, memories, stores)
+_MODULES = (search, graphs, memories, stores, answers)
 
 
 def queries() -> dict:

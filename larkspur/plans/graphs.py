@@ -133,8 +133,8 @@ def dependency_imports(spark, d):
 @query(f"WITH {_DEPS} SELECT DISTINCT src AS node FROM deps WHERE dst = (SELECT min(dst) FROM deps)")
 def dependency_imported_by(spark, d):
     deps = _deps(spark, d)
-    target = deps.agg(F.min("dst")).first()[0]
-    return deps.where(F.col("dst") == target).select(F.col("src").alias("node")).distinct() if target else deps.select(F.col("src").alias("node")).limit(0)
+    first = deps.agg(F.min("dst").alias("dst"))
+    return deps.join(F.broadcast(first), "dst").select(F.col("src").alias("node")).distinct()
 
 
 @query(f"""WITH RECURSIVE {_DEPS}, b(node, hops) AS (SELECT (SELECT min(src) FROM deps), 0 UNION SELECT x.dst, b.hops + 1 FROM b JOIN deps x ON x.src = b.node WHERE b.hops < 3)

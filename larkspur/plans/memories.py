@@ -367,12 +367,20 @@ def enhance_query(spark, d):
     return hybrid.enhance(rows, ["a::parse_tree", "parse_tree"], log, ["authentication", "joins"], "detailed")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT conv_id, turn, role = 'assistant' AS code, greatest(1, length(coalesce(text, '')) // 4) AS tokens,
+    row_number() OVER (PARTITION BY conv_id ORDER BY role <> 'assistant', turn) AS k FROM conversations),
+f AS (SELECT DISTINCT conv_id, 0::BIGINT AS k, 300::BIGINT AS room, 60::BIGINT AS docs, false AS stopped, false AS truncated, []::VARCHAR[] AS packed FROM r
+    UNION ALL
+    SELECT f.conv_id, r.k, f.room - CASE WHEN x.code_in OR x.doc_in THEN r.tokens ELSE 0 END, f.docs - CASE WHEN x.doc_in THEN r.tokens ELSE 0 END, f.stopped OR (r.code AND NOT x.code_in),
+           f.truncated OR (r.code AND NOT x.code_in) OR (NOT r.code AND r.tokens <= f.docs AND NOT x.doc_in), CASE WHEN x.code_in OR x.doc_in THEN list_append(f.packed, r.turn::VARCHAR) ELSE f.packed END
+    FROM f JOIN r ON r.conv_id = f.conv_id AND r.k = f.k + 1, LATERAL (SELECT r.code AND NOT f.stopped AND r.tokens <= f.room AS code_in, NOT r.code AND r.tokens <= f.docs AND r.tokens <= f.room AS doc_in) x)
+SELECT conv_id AS query_id, array_to_string(arg_max(packed, k), ',') AS packed, 300 - min(room) AS used, bool_or(truncated) AS truncated FROM f GROUP BY conv_id""")
 def greedy_pack(spark, d):
     rows = table(spark, d, "conversations")
     bucket = F.when(F.col("role") == "assistant", "code").otherwise("doc")
     packed = rows.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("place"), bucket.alias("bucket"), F.col("turn").alias("id"), T.token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
-    return packing.pack(packed, 300)
+    found = packing.pack(packed, 300)
+    return found.select("query_id", F.array_join("packed", ",").alias("packed"), F.col("used").cast("long").alias("used"), "truncated")
 
 
 @query("""SELECT doc_id, running_tokens FROM (SELECT doc_id, sum(greatest(1, length(text) // 4)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running_tokens FROM documents WHERE text IS NOT NULL) WHERE running_tokens <= 4000""")
