@@ -262,6 +262,16 @@ def stream_reindex(spark, d):
     return symbols.read().where("file like '%.py'").select(F.col("file").alias("path"), "name")
 
 
+@query("""WITH x AS (SELECT user_id AS s, event_type AS file, ts FROM events), f AS (SELECT s, file, min(ts) AS first FROM x GROUP BY s, file),
+p AS (SELECT x.s, x.file AS a, f.file AS b, count(*) AS n FROM x JOIN f ON f.s = x.s AND f.file <> x.file AND f.first < x.ts GROUP BY ALL)
+SELECT 's' || s AS session, file_a, file_b, sum(n)::BIGINT AS n FROM (SELECT s, a AS file_a, b AS file_b, n FROM p UNION ALL SELECT s, b, a, n FROM p) GROUP BY ALL""")
+def stream_coedits(spark, d):
+    """Pairs of what a session touches, from the state that a session keeps."""
+    rows = table(spark, d, "events").select(F.concat(F.lit("s"), "user_id").alias("session"), F.col("event_type").alias("file"), F.col("ts").alias("time"))
+    found = _ran(spark, streams.coedit_pairs(_stream(spark, rows, "edits"), late="400 days"))
+    return found.groupBy("session", "file_a", "file_b").agg(F.sum("n").alias("n"))
+
+
 @query("""SELECT q.event_id AS query_id, epoch_us(e.ts) AS edit_at FROM events q JOIN events e ON q.user_id = e.user_id AND q.event_type = 'view' AND e.event_type = 'purchase' AND e.ts BETWEEN q.ts AND q.ts + INTERVAL 60 MINUTE""")
 def stream_useful_window(spark, d):
     """A stream-stream join within a window."""

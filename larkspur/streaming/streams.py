@@ -76,28 +76,34 @@ def reindex(files, symbols, events=None, words=None, vectors=None, nodes=None, e
     return batch
 
 
-def coedit_pairs(edits: DataFrame, idle: str = "30 minutes") -> DataFrame:
-    """``(session, file_a, file_b, n)`` as edits arrive: the state of a session is the set of files it has touched."""
+def coedit_pairs(edits: DataFrame, idle: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """``(session, file_a, file_b, n)`` as edits arrive: the state of a session is the set of files it has touched.
+
+    A session's state goes once the watermark, ``late`` behind the latest edit, is ``idle`` past its own last edit; edits older than
+    the watermark are dropped.  Time is that of the edits, so a stream that runs once for all that is there comes to an end.
+    """
+    pause = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
+        rows = pd.concat(list(batches)).sort_values(["time", "file"])
         seen = list(state.get[0]) if state.exists else []
         counts: dict[tuple[str, str], int] = {}
-        for rows in batches:
-            for file in rows.sort_values("time")["file"]:
-                for other in seen:
-                    if other != file:
-                        for pair in ((file, other), (other, file)):
-                            counts[pair] = counts.get(pair, 0) + 1
-                if file not in seen:
-                    seen.append(file)
+        for file in rows["file"]:
+            for other in seen:
+                if other != file:
+                    for pair in ((file, other), (other, file)):
+                        counts[pair] = counts.get(pair, 0) + 1
+            if file not in seen:
+                seen.append(file)
         state.update((seen,))
-        state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+        state.setTimeoutTimestamp(max(int(rows["millis"].max()), state.getCurrentWatermarkMs()) + pause)
         yield pd.DataFrame([(key[0], a, b, n) for (a, b), n in counts.items()], columns=["session", "file_a", "file_b", "n"])
 
-    return edits.groupBy("session").applyInPandasWithState(step, "session string, file_a string, file_b string, n long", "files array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = edits.withColumn("millis", F.unix_millis("time")).withWatermark("time", late)
+    return timed.groupBy("session").applyInPandasWithState(step, "session string, file_a string, file_b string, n long", "files array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def useful_window(queries: DataFrame, edits: DataFrame, minutes: int = 5, late: str = "10 minutes") -> DataFrame:
