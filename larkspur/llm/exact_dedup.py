@@ -348,9 +348,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     owned = materialise(classes(docs, id_col, text_col), "owners")
     rows = materialise(digests(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "digests")
     repeated = owned.where("alike > 1").select("sha", "n_bytes", F.col("keep_id").alias("id"), F.col("keep_raw").alias("raw"))
-    same = rows["id"].eqNullSafe(repeated["id"]) & (rows["raw"] == repeated["raw"]) & (rows["sha"] == repeated["sha"]) & (rows["n_bytes"] == repeated["n_bytes"])
-    firsts = rows.join(repeated, same, "left_semi").groupBy("sha", "n_bytes").agg(F.min("row").alias("first"))
-    owned = owned.join(firsts, ["sha", "n_bytes"], "left")
+    if repeated.isEmpty():
+        owned = owned.withColumn("first", F.lit(None).cast("long"))
+    else:
+        same = rows["id"].eqNullSafe(repeated["id"]) & (rows["raw"] == repeated["raw"]) & (rows["sha"] == repeated["sha"]) & (rows["n_bytes"] == repeated["n_bytes"])
+        firsts = rows.join(repeated, same, "left_semi").groupBy("sha", "n_bytes").agg(F.min("row").alias("first"))
+        # a table of its own, so that the join below is one of two shuffles and may split a hot group
+        owned = materialise(owned.join(firsts, ["sha", "n_bytes"], "left"), "owners")
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("raw") == F.col("keep_raw")) & (F.col("row") == F.coalesce("first", "row"))
     return rows.join(owned, ["sha", "n_bytes"]).select("id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("sha"))
 
