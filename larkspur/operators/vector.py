@@ -7,6 +7,7 @@ top-k.  Many queries against many rows go through ``knn_join``, which multiplies
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -37,16 +38,34 @@ def hashing_embedder(texts: list[str], dim: int = 64) -> np.ndarray:
     return out / np.where(size > 0, size, 1)
 
 
-def embed(df: DataFrame, text_col: str, embedder: Embedder = hashing_embedder, out_col: str = "embedding", batch: int = 256) -> DataFrame:
-    """Add vectors of a text column in Arrow batches."""
+def _in_time(embedder: Embedder, texts: list[str], patience: float) -> np.ndarray | None:
+    """What the embedder returns, or None where it takes too long; its thread is left behind and ends by itself."""
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(embedder, texts).result(patience)
+    except TimeoutError:
+        return None
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+def embed(df: DataFrame, text_col: str, embedder: Embedder = hashing_embedder, out_col: str = "embedding", batch: int = 256, patience: float | None = None, fallback: Embedder | None = None) -> DataFrame:
+    """Add vectors of a text column in Arrow batches.
+
+    A batch that takes longer than ``patience`` seconds gets the vectors of ``fallback``, or null ones without it.
+    """
     where = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
-                vectors = embedder([t or "" for t in part.column(where).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(vectors.astype(np.float32)), pa.list_(pa.float32()))], [*part.schema.names, out_col])
+                texts = [t or "" for t in part.column(where).to_pylist()]
+                vectors = embedder(texts) if patience is None else _in_time(embedder, texts, patience)
+                if vectors is None and fallback is not None:
+                    vectors = fallback(texts)
+                made = [None] * len(texts) if vectors is None else list(vectors.astype(np.float32))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.list_(pa.float32()))], [*part.schema.names, out_col])
 
     return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"{out_col} array<float>"]))
 

@@ -1,9 +1,13 @@
 """The vector store's life cycle, on both backends."""
 
 import datetime as dt
+import time
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from larkspur.operators import ann, packing, vector
 from larkspur.sources.vector_store import vector_store
 
 AT = dt.datetime(2024, 1, 10)
@@ -32,3 +36,55 @@ def test_life_cycle(spark, tmp_path, backend):
 def test_unknown_backend(spark):
     with pytest.raises(ValueError, match="backend"):
         vector_store(spark, "file:///nowhere", "faiss")
+
+
+def test_ann_recall_against_brute_force(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").withColumnRenamed("vec_id", "row_id")
+    index = ann.AnnIndex.build(rows, str(tmp_path / "ann"))
+    again = ann.AnnIndex(spark, str(tmp_path / "ann"))
+    centroids, probes = again._loaded()
+    assert index.rows().count() == rows.count() and probes < len(centroids)
+    ids = np.array([r["row_id"] for r in rows.orderBy("row_id").collect()])
+    vectors = np.array([r["embedding"] for r in rows.orderBy("row_id").collect()])
+    found = hits = 0
+    for q in range(0, len(ids), 100):
+        want = set(ids[np.argsort(((vectors - vectors[q]) ** 2).sum(1), kind="stable")[:10]].tolist())
+        hits += len(want & {r["row_id"] for r in again.search(vectors[q].tolist(), 10).collect()})
+        found += 10
+    assert hits >= 0.9 * found
+
+
+def test_ann_filters_before_the_top_k(spark, tmp_path):
+    draw = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, draw.normal(size=8).tolist(), i % 50) for i in range(400)] + [(999, None, 0)], "row_id long, embedding array<double>, kind int")
+    index = ann.AnnIndex.build(rows, str(tmp_path / "ann"))
+    query = [0.1] * 8
+    got = [r["row_id"] for r in index.search(query, 8, F.col("kind") == 3).collect()]
+    assert got == [r["row_id"] for r in vector.knn(rows.where("kind = 3"), query, 8).collect()] and len(got) == 8
+    empty = ann.AnnIndex.build(rows.limit(0), str(tmp_path / "none"))
+    assert empty.search(query, 3).count() == 0
+
+
+def test_embedding_gives_up_in_time(spark):
+    def slow(texts):
+        if "slow" in texts:
+            time.sleep(3)
+        return np.ones((len(texts), 2))
+
+    rows = spark.createDataFrame([(1, "quick"), (2, "slow")], "id int, t string").coalesce(1)
+    got = {r["id"]: r["embedding"] for r in vector.embed(rows, "t", slow, batch=1, patience=0.5).collect()}
+    assert got == {1: [1.0, 1.0], 2: None}
+    other = {r["id"]: r["embedding"] for r in vector.embed(rows, "t", slow, batch=1, patience=0.5, fallback=lambda texts: np.zeros((len(texts), 2))).collect()}
+    assert other == {1: [1.0, 1.0], 2: [0.0, 0.0]}
+
+
+def test_exact_token_counts(spark):
+    public = pytest.importorskip("public_tokenizers")
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    texts = ["", None, "a few words, and 12345 numbers", "été " * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    whole = tokenizers.Tokenizer.from_file(path)
+    got = {r["id"]: r["tokens"] for r in packing.with_tokens(rows, "t", path).collect()}
+    assert got == {i: len(whole.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert {r["id"]: r["tokens"] for r in packing.with_tokens(rows, "t").collect()}[3] == 500
