@@ -2,10 +2,12 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from larkspur.llm import bpe, common, exact_dedup, langid, mixing, sharding, simhash, token_count, words
@@ -85,8 +87,6 @@ def test_token_counts_of_long_words(spark, library, monkeypatch):
 
 
 def test_frequency_summary_keeps_heavy_hitters():
-    from collections import Counter
-
     merged = Counter()
     for part in range(20):
         merged.update(token_count._shrink(Counter({"hot": 500, **{f"w{part}.{i}": 1 for i in range(300)}}), 50))
@@ -263,6 +263,24 @@ def test_shards(docs, rows):
     assert sorted(((r["id"], r["size"], r["text_crc32"]) for r in got), key=repr) == want
 
 
+def test_shards_match_a_walk_around_the_ring(spark):
+    rows = [(i % 300, f"text {i}") for i in range(900)] + [(None, "x")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cell = F.shiftrightunsigned(F.xxhash64(F.lit(16), F.col("doc_id").cast("string")), 48).cast("int").alias("cell")
+    of = {r["doc_id"]: r["cell"] for r in docs.select("doc_id", cell).distinct().collect()}
+    nodes = sorted((sharding._hash("vnode", s, v) % sharding.CELLS, s) for s in range(6) for v in range(sharding.VNODES))
+    room = [len(rows) // 6 + (s < len(rows) % 6) for s in range(6)]
+    want = Counter()
+    for c in sorted(set(of.values()), key=lambda c: (sharding._hash("cell", c), c)):
+        for _ in range(sum(of[i] == c for i, _ in rows)):
+            # the first shard with room, clockwise from the cell
+            clockwise = [s for at, s in nodes if at >= c] + [s for at, s in nodes if at < c]
+            shard = next(s for s in clockwise if room[s])
+            room[shard] -= 1
+            want[c, shard] += 1
+    assert Counter((of[r["id"]], r["shard"]) for r in sharding.shard_rows(docs, 6).collect()) == want
+
+
 def test_shards_split_hot_cells(spark, monkeypatch):
     monkeypatch.setattr(sharding, "SPLIT", 10)
     monkeypatch.setattr(sharding, "CELLS", 1 << 16)
