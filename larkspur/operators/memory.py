@@ -228,7 +228,8 @@ def seeds(turns: DataFrame, pattern: str = r"(?i)\b(fix|decid|because|should|mus
 def find_session(sessions: DataFrame, prefix: str) -> DataFrame:
     """The session of that id, or the only one whose id starts so; none where several do."""
     found = sessions.where(F.col("session_id").startswith(prefix))
-    return found.withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(0)))).where((F.col("__n") == 1) | (F.col("session_id") == prefix)).drop("__n")
+    alone = found.agg((F.count("*") == 1).alias("__alone"))
+    return found.crossJoin(F.broadcast(alone)).where(F.col("__alone") | (F.col("session_id") == prefix)).drop("__alone")
 
 
 def list_sessions(sessions: DataFrame, k: int = 20) -> DataFrame:
