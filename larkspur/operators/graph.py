@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import node_id
-from ..session import written
+from ..session import written, written_rows
 
 # Node and edge types.
 NODE_TYPES = ("FILE", "FUNCTION", "CLASS", "CONCEPT", "QUERY", "SESSION", "USER_ACTION", "MEMORY", "ERROR")
@@ -46,8 +46,8 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int, rel: str | None = None)
     frontier = reached
     for hop in range(1, depth + 1):
         step = frontier.join(walk, frontier["node"] == walk["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = written(step.join(reached, "node", "left_anti").withColumn("hops", F.lit(hop)), "bfs")
-        if frontier.isEmpty():
+        frontier, found = written_rows(step.join(reached, "node", "left_anti").withColumn("hops", F.lit(hop)), "bfs")
+        if not found:
             break
         reached = reached.unionByName(frontier)
     return reached
@@ -78,8 +78,8 @@ def shortest_path(edges: DataFrame, src: str, dst: str, most: int = 10) -> DataF
             break
         step = frontier.join(walk, frontier["node"] == walk["src"]).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
         step = step.groupBy("node").agg(F.min("path").alias("path")).join(reached.select("node"), "node", "left_anti")
-        frontier = written(step, "path")
-        if frontier.isEmpty():
+        frontier, found = written_rows(step, "path")
+        if not found:
             break
         reached = reached.unionByName(frontier)
     return reached.where(F.col("node") == dst).select("path", (F.size("path") - 1).alias("hops"))

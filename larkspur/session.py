@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Adaptive execution re-plans joins and splits skewed partitions; timestamps are UTC throughout.
 SETTINGS = {
@@ -69,3 +70,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if _SCRATCH:
         _SCRATCH[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_rows(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``written``, and how many rows it wrote, counted on the way."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return table, seen.get["n"]
