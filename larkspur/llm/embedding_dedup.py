@@ -22,6 +22,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,11 +118,20 @@ def _unit(vectors: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _usable(vector: list | None, kind: str) -> bytes | None:
-    if not vector or None in vector:
-        return None
-    x = np.array(vector, kind)
-    return x.tobytes() if np.isfinite(x).all() and x.any() else None
+def _usable(lists: pa.Array, kind: str) -> list[bytes | None]:
+    """Vectors as bytes, null where one is null, empty, zero, or holds null or non-finite components."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    flat = pc.fill_null(lists.flatten(), float("nan")).to_numpy().astype(kind)
+
+    def upto(what: np.ndarray) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(what)))
+
+    finite, other = upto(np.isfinite(flat)), upto(flat != 0)
+    good = (finite[ends] - finite[starts] == lengths) & (other[ends] > other[starts])
+    body, width = flat.tobytes(), np.dtype(kind).itemsize
+    return [body[s * width : e * width] if ok else None for s, e, ok in zip(starts.tolist(), ends.tolist(), good.tolist(), strict=True)]
 
 
 def raw_vectors(vectors: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFrame:
@@ -129,7 +139,7 @@ def raw_vectors(vectors: DataFrame, id_col: str, vector_col: str, kind: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [_usable(v, kind) for v in batch.column(1).to_pylist()]
+            raw = _usable(batch.column(1), kind)
             digests = [None if b is None else xxhash.xxh128_digest(b) for b in raw]
             dims = [None if b is None else len(b) // np.dtype(kind).itemsize for b in raw]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(raw, pa.binary()), pa.array(digests, pa.binary())], ["id", "dim", "raw", "digest"])
@@ -278,7 +288,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """
     element = vectors.schema[vector_col].dataType.elementType.simpleString()
     kind = "<f4" if element == "float" else "<f8"
-    units = materialise(raw_vectors(vectors, id_col, vector_col, kind), "vectors")
+    units = raw_vectors(vectors, id_col, vector_col, kind)
     valid = units.where("raw is not null and id is not null")
     distinct = valid.groupBy("digest", "dim", "raw").agg(F.min("id").alias("low"), F.count("*").alias("times"))
     distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")

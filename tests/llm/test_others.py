@@ -237,3 +237,15 @@ def test_pipeline_on_nothing_and_without_labels(spark, sf_dir):
     rows = [(1, "some words here", None, None, 3), (2, "12 34", None, None, 5), (3, None, None, None, None)]
     kept = corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame(rows, schema), sf_dir)
     assert [r["doc_id"] for r in kept.collect()] == [1]
+
+
+def test_usable_vectors():
+    import pyarrow as pa
+
+    rows = [None, [], [0.0, -0.0], [1.0, None], [1.0, 2.0], [float("nan"), 1.0], [1.0, float("-inf")], [3.0]]
+    for kind, width in (("<f4", 4), ("<f8", 8)):
+        lists = pa.array(rows, pa.list_(pa.float32() if width == 4 else pa.float64()))
+        got = embedding_dedup._usable(lists, kind)
+        assert [b is None for b in got] == [True, True, True, True, False, True, True, False]
+        assert np.frombuffer(got[4], kind).tolist() == [1.0, 2.0] and len(got[7]) == width
+        assert embedding_dedup._usable(lists.slice(4, 1), kind) == got[4:5] and embedding_dedup._usable(lists.slice(0, 0), kind) == []
