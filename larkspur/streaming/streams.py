@@ -59,7 +59,8 @@ def reindex(files, symbols, events=None, words=None, vectors=None, nodes=None, e
             vectors.replace(gone, embed(found) if embed else None, "file")
         if nodes is not None and edges is not None:
             old = nodes.read()
-            dead = written(old.join(gone, (old["file"] == gone["path"]) | (old["id"] == gone["path"]), "left_semi").select(F.col("id").alias("path")), "dead")
+            of_file, itself = (old.join(gone, old[c] == gone["path"], "left_semi").select(F.col("id").alias("path")) for c in ("file", "id"))
+            dead = written(of_file.unionByName(itself).distinct(), "dead")
             seq = F.unix_micros(F.current_timestamp())
             kind = lambda c: F.when(c.contains("::"), c)
             new = graph.symbol_edges(found).withColumn("purpose", F.lit(None).cast("string")).withColumn("seq", seq)
