@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, exact_dedup, langid, mixing, sharding, simhash, token_count, url_filter
+from . import bpe, chat, embedding_dedup, exact_dedup, fim, langid, mixing, packing, repair, sharding, simhash, token_count, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,8 +70,35 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op11_pack_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    sha = [F.sha2(text.cast("binary"), 256).alias(name) for text, name in ((F.col("output"), "output_sha256"), (fim.restored(), "restored_sha256"))]
+    return found.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", *sha)
+
+
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    turns, found = repair.repair(repair.damaged(rows), "conv", "turn", "role", "text")
+    every = rows.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    digests = repair.repaired_digests(turns, found).withColumnRenamed("conv", "of")
+    whole = every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+_QUERIES = (
+    op1_lattice_dedup, op2_exact_dedup, op3_token_counts, op4_ring_shards, op5_chat_format, op6_simhash_dedup, op7_bpe_roundtrip,
+    op8_mix_sources, op9_language_id, op10_url_filter, op11_pack_powers, op12_fill_in_middle, op13_repair_conversations,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lattice_dedup, op2_exact_dedup, op3_token_counts, op4_ring_shards, op5_chat_format, op6_simhash_dedup, op7_bpe_roundtrip, op8_mix_sources, op9_language_id, op10_url_filter)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 _OP1 = """
