@@ -213,6 +213,94 @@ FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.k = 1
 """
 
 
+_OP12 = """
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), u AS (
+    SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+           ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+    FROM d
+), c AS (
+    SELECT doc_id, t, u, len(u)::BIGINT AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+           CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM u
+), o AS (
+    SELECT doc_id, n, form, t, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:n], ''), '') AS s FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM o
+"""
+
+
+def _edit(way: str, cost: str, letter: str, line: str = "''") -> str:
+    """A way, ``cost in nine digits || audit || chr(1) || repaired lines``, with one more edit; null stays null."""
+    mark = f"instr({way}, chr(1))"
+    return f"lpad((substr({way}, 1, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({way}, 10, {mark} - 10) || '{letter}' || substr({way}, {mark}) || {line}"
+
+
+def _inserted(way: str, *roles: str) -> str:
+    for role in roles:
+        way = f"({_edit(way, '3', 'I', f"'{role}:' || chr(10)")})"
+    return way
+
+
+def _op13() -> str:
+    u, a = "user", "assistant"
+    closed = f"""w0, w1, least(w2, {_inserted("w0", u)}, {_inserted("w1", u)}, {_inserted("w3", u)}) AS w2,
+               least(w3, {_inserted("w2", a)}, {_inserted("w0", u, a)}, {_inserted("w1", u, a)}) AS w3"""
+    keep, rerole = "CASE fault WHEN 3 THEN 3 ELSE 0 END", "CASE fault WHEN 3 THEN 6 ELSE 3 END"
+
+    def by(initial: str, way: str) -> str:
+        return f"CASE WHEN fault IN (0, 3) AND left(role, 1) = '{initial}' THEN {_edit(way, keep, 'K', "role || ':' || text || chr(10)")} END"
+
+    def new(role: str, way: str) -> str:
+        return f"CASE WHEN fault IN (0, 3) THEN {_edit(way, rerole, 'R', f"'{role}:' || text || chr(10)")} END"
+
+    gone = [_edit(f"w{i}", "4", "D") for i in range(4)]
+    steps = [
+        gone[0],
+        f"least({gone[1]}, {by('s', 'w0')})",
+        f"least({gone[2]}, {', '.join(f'{by("u", w)}, {new(u, w)}' for w in ('w0', 'w1', 'w3'))})",
+        f"least({gone[3]}, {by('a', 'w2')}, {new(a, 'w2')})",
+    ]
+    return rf"""
+WITH RECURSIVE z AS (  -- with the CRC-32 of conv_id:turn, bit by bit
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+               lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384))) % 20 AS draw
+    FROM conversations
+), d AS (
+    SELECT conv_id, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role, CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM z, (VALUES (0), (1)) copies(k) WHERE draw <> 0 AND (k = 0 OR draw = 3)
+), o AS (
+    SELECT *, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS said,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || text)) AS i
+    FROM d
+), f AS (
+    SELECT *, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair,
+           CASE WHEN said = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
+    FROM o
+), w AS (  -- the cheapest way to each state: nothing yet, after system, user, assistant
+    SELECT DISTINCT conv_id, 0::BIGINT AS i, '000000000' || chr(1) AS w0, NULL::VARCHAR AS w1, NULL::VARCHAR AS w2, NULL::VARCHAR AS w3 FROM f
+    UNION ALL
+    SELECT e.conv_id, f.i, {steps[0]}, {steps[1]}, {steps[2]}, {steps[3]}
+    FROM (SELECT conv_id, i, {closed} FROM w) e JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = e.i + 1
+), n AS (
+    SELECT conv_id, max(i) AS i, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 1) AS blank,
+           count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM f GROUP BY conv_id
+), b AS (
+    SELECT n.*, least(e.w0, e.w3) AS way FROM n JOIN (SELECT conv_id, i, {closed} FROM w) e ON e.conv_id IS NOT DISTINCT FROM n.conv_id AND e.i = n.i
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(substr(way, 1, 9)::BIGINT, 0) AS cost, coalesce(substr(way, 10, instr(way, chr(1)) - 10), '') AS audit,
+       sha256(coalesce(regexp_replace(substr(way, instr(way, chr(1)) + 1), '\n$', ''), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the operators that SQL can express; the others are tested against brute force in tests/llm."""
-    return {"op1_lattice_dedup": _OP1, "op2_exact_dedup": _OP2, "op5_chat_format": _OP5, "op8_mix_sources": _OP8, "op10_url_filter": _OP10}
+    return {"op1_lattice_dedup": _OP1, "op2_exact_dedup": _OP2, "op5_chat_format": _OP5, "op8_mix_sources": _OP8, "op10_url_filter": _OP10, "op12_fill_in_middle": _OP12, "op13_repair_conversations": _op13()}
