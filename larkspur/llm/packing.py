@@ -11,9 +11,10 @@ sequences carry numbers without a gap, the longest bucket first, so a batch is a
 
 from __future__ import annotations
 
+import os
+import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -27,36 +28,60 @@ PART = 1 << 20
 #: Bytes of ids in one batch.
 SEND_BYTES = 4 << 20
 #: Characters and ids in one generation of a worker's word cache, each entry counting ``ENTRY`` more.
-GENERATION, ENTRY = 24 << 20, 150
+GENERATION, ENTRY = 80 << 20, 150
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of a word as little-endian 32-bit integers, in a cache of two generations of bounded size."""
 
-    def __init__(self, cut: WordTokenizer) -> None:
-        super().__init__()
-        self.cut, self.old, self.held = cut, {}, 0
+    def __init__(self, path: str) -> None:
+        self.cut, self.now, self.old, self.held = WordTokenizer(path), {}, {}, 0
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = np.array(self.cut.encode([word])[0], "<u4").tobytes()
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        found = [e.ids for e in self.cut.one.encode_batch_fast(words, add_special_tokens=False)]
+        special = self.cut.special
+        return [struct.pack(f"<{len(x)}I", *x) if w not in special else struct.pack("<I", special[w]) for w, x in zip(words, found, strict=True)]
+
+    def _keep(self, word: str, ids: bytes) -> bytes:
         size = len(word) + len(ids) + ENTRY
         if self.held + size > GENERATION:
-            self.old, self.held = dict(self), 0
-            self.clear()
+            self.old, self.now, self.held = self.now, {}, 0
         if size <= GENERATION:
-            self[word] = ids
+            self.now[word] = ids
             self.held += size
         return ids
 
+    def _known(self, word: str) -> bytes:
+        """One word's ids, where a generation ended amid its text."""
+        ids = self.now.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            ids = self._keep(word, self._encoded([word])[0] if ids is None else ids)
+        return ids
+
+    def _words(self, words: list[str]) -> bytes:
+        """Ids of words, those that are new to the cache encoded in one go."""
+        new = set(words).difference(self.now)
+        if new:
+            old = self.old
+            again = [w for w in new if w in old]
+            for word, ids in zip(again, [old[w] for w in again], strict=True):
+                self._keep(word, ids)
+            if unknown := list(new.difference(again)):
+                for word, ids in zip(unknown, self._encoded(unknown), strict=True):
+                    self._keep(word, ids)
+        try:
+            return b"".join(map(self.now.__getitem__, words))
+        except KeyError:
+            return b"".join(map(self._known, words))
+
     def of(self, text: str | None) -> bytes:
         """Ids of a whole text.  No word holds a space, so long texts are cut there and their words come part by part."""
         start, found, text = 0, [], text or ""
         while start < len(text):
             stop = text.find(" ", start + PART)
             part = text if start == 0 and stop < 0 else text[start : stop if stop >= 0 else len(text)]
-            found.append(b"".join(map(self.__getitem__, self.cut.words(part))))
+            found.append(self._words(self.cut.words(part)))
             start += len(part)
         return found[0] if len(found) == 1 else b"".join(found)
 
@@ -69,8 +94,9 @@ def lengths(tokens: int, longest: int) -> list[int]:
 
 def _cut(path: str, longest: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task = kept(("word ids", path), lambda: WordIds(WordTokenizer(path))), TaskContext.get().partitionId()
-        last = np.array([end], "<u4").tobytes()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
+        words, task = kept(("word ids", path), lambda: WordIds(path)), TaskContext.get().partitionId()
+        last = struct.pack("<I", end)
         seen = dict.fromkeys((1 << k for k in range(longest.bit_length())), 0)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         rows: list[tuple] = []

@@ -67,7 +67,7 @@ def test_packing(docs, library, monkeypatch, longest, part):
 
 def test_packing_cache_turns_over(library, monkeypatch):
     monkeypatch.setattr(packing, "GENERATION", 2000)
-    cache = packing.WordIds(words.WordTokenizer(words.default_path()))
+    cache = packing.WordIds(words.default_path())
     draw = random.Random(3)
     for _ in range(60):
         text = " ".join("".join(draw.choices("abcdefgh", k=draw.randint(1, 9))) for _ in range(20)) + " " + "z" * draw.choice((1, 3000))
