@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,6 +30,8 @@ PART = 1 << 20
 SEND_BYTES = 4 << 20
 #: Characters and ids in one generation of a worker's word cache, each entry counting ``ENTRY`` more.
 GENERATION, ENTRY = 80 << 20, 150
+#: Packs so many ids.
+PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
 class WordIds:
@@ -40,7 +43,7 @@ class WordIds:
     def _encoded(self, words: list[str]) -> list[bytes]:
         found = [e.ids for e in self.cut.one.encode_batch_fast(words, add_special_tokens=False)]
         special = self.cut.special
-        return [struct.pack(f"<{len(x)}I", *x) if w not in special else struct.pack("<I", special[w]) for w, x in zip(words, found, strict=True)]
+        return [(PACK[len(x)] if len(x) < len(PACK) else struct.Struct(f"<{len(x)}I").pack)(*x) if w not in special else PACK[1](special[w]) for w, x in zip(words, found, strict=True)]
 
     def _keep(self, word: str, ids: bytes) -> bytes:
         size = len(word) + len(ids) + ENTRY
@@ -61,7 +64,7 @@ class WordIds:
 
     def _words(self, words: list[str]) -> bytes:
         """Ids of words, those that are new to the cache encoded in one go."""
-        new = set(words).difference(self.now)
+        new = set(filterfalse(self.now.__contains__, words))
         if new:
             old = self.old
             again = [w for w in new if w in old]
