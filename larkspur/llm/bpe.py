@@ -34,6 +34,8 @@ SEND_BYTES = 4 << 20
 BUCKETS = 4096
 #: Distinct words whose ids a bucket's task keeps at a time.
 KEPT_WORDS = 1 << 20
+#: Partitions of blocks at most: a task's blocks come sorted, one after another, so it holds one at a time.
+JOINED = 1 << 15
 #: Frequency classes: a word's is the number of bits of its count in the block.
 CLASSES = 33
 _ROWS = "kind int, bucket int, block string, body binary"
@@ -219,7 +221,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table = materialise(rows.mapInArrow(_blocks(path, buckets), _ROWS), "bpe")
     answers = table.where("kind = 1").select("bucket", "block", "body").repartition(buckets, "bucket").mapInArrow(_encode(path), _ROWS)
     both = answers.unionByName(table.where("kind = 2"))
-    # a partition for every block, so that what a task reads does not grow with the corpus
+    # a partition for every block, as long as the shuffle can bear their number
     blocks = table.where("kind = 2").agg(F.count_distinct("block")).first()[0]
-    joined = both.repartition(max(1, blocks), "block").sortWithinPartitions("block", "kind")
+    joined = both.repartition(min(JOINED, max(1, blocks)), "block").sortWithinPartitions("block", "kind")
     return joined.mapInArrow(_join(path), "id long, n_tokens long, ids binary, decoded string")
