@@ -1,9 +1,11 @@
 """Chat formatting by schema fingerprints.
 
-A record's layout is the set of its nested field paths, each with its kind (object, list or plain value), as far as some
-mapping names them; the hash of the sorted paths selects a declarative mapping, which turns the record into canonical turns
-``(role, text)``.  Fields that no mapping names, such as ids and sources, change nothing.  Mappings cover single turn rows,
-prompt/response pairs, instruction/input/output records and message lists; more are added by example.
+A record's layout is the set of its nested field paths, each with its kind (object, list or plain value).  The hash of the
+sorted paths selects a declarative mapping, which turns the record into canonical turns ``(role, text)``: among the mappings
+whose required paths are all there, the one that requires most, found once for each layout.  Other fields, such as ids,
+sources or a prompt beside messages, change nothing.  Mappings cover single turn rows, prompt/response pairs,
+instruction/input/output records and message lists, each with a system text where there is one; more are added by example.
+A text in parts is joined, parts that are not text are named in brackets; calls of tools are kept as JSON.
 
 The template is ``### Role: text</turn>`` and a line feed per turn.  Inside roles and texts a backslash goes before each
 backslash, ``###`` and ``</turn>`` (in roles also before ``:``), so the format reads back to exactly the turns.
@@ -40,10 +42,29 @@ def paths(value: Any, prefix: str = "") -> set[str]:
     return {f"{prefix}:value"}
 
 
-def fingerprint(value: Any, known: set[str] | None = None) -> int:
-    """Hash of a value's paths, or of those that are ``known``."""
-    found = paths(value) if known is None else paths(value) & known
-    return xxhash.xxh64_intdigest("\n".join(sorted(found)).encode("utf-8", "surrogatepass"), 0)
+def fingerprint(value: Any) -> int:
+    """Hash of a value's paths."""
+    return xxhash.xxh64_intdigest("\n".join(sorted(paths(value))).encode("utf-8", "surrogatepass"), 0)
+
+
+def present(value: Any) -> set[str]:
+    """All paths of a value and what stands above them, without kinds."""
+    out = set()
+    for path in paths(value):
+        path = path.rpartition(":")[0] or path
+        while path:
+            out.add(path)
+            path = path[:-2] if path.endswith("[]") else path.rpartition(".")[0]
+    return out
+
+
+def text_of(value: Any) -> str:
+    """A text, or the texts of its parts."""
+    if isinstance(value, list):
+        return "".join(p if isinstance(p, str) else str(p["text"]) if isinstance(p, dict) and p.get("text") is not None else f"[{p.get('type', 'part')}]" if isinstance(p, dict) else "" for p in value)
+    if isinstance(value, dict):
+        return str(value["text"]) if "text" in value else json.dumps(value, ensure_ascii=False)
+    return "" if value is None else str(value)
 
 
 @dataclass(frozen=True)
@@ -59,20 +80,28 @@ class Mapping:
     roles: tuple[tuple[str, str], ...] = ()
 
     def turns(self, record: dict) -> list[tuple[str, str]]:
-        if not self.each and self.fields:
-            out: list[tuple[str, str]] = []
-            for role, path in self.fields:
-                text = _at(record, path)
-                if text in (None, ""):
-                    continue
-                if out and out[-1][0] == role:
-                    out[-1] = (role, f"{out[-1][1]}\n\n{text}")
-                else:
-                    out.append((role, str(text)))
+        out: list[tuple[str, str]] = []
+        for role, path in self.fields:
+            text = text_of(_at(record, path))
+            if not text:
+                continue
+            if out and out[-1][0] == role:
+                out[-1] = (role, f"{out[-1][1]}\n\n{text}")
+            else:
+                out.append((role, text))
+        if not self.each:
             return out
         names = dict(self.roles)
         items = _at(record, self.each) if self.each != "." else [record]
-        return [(names.get(r := str(m.get(self.role) or ""), r), str(m.get(self.text) or "")) for m in items or []]
+        for m in items or []:
+            if not isinstance(m, dict):
+                continue
+            text, role = text_of(m.get(self.text)), str(m.get(self.role) or "")
+            called = {k: m[k] for k in ("tool_calls", "function_call") if m.get(k)}
+            if called:
+                text += ("\n" if text else "") + json.dumps(called, ensure_ascii=False)
+            out.append((names.get(role, role), text))
+        return out
 
 
 def _at(record: Any, path: str) -> Any:
@@ -82,28 +111,38 @@ def _at(record: Any, path: str) -> Any:
 
 
 _SHARE_GPT = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))
-#: (mapping, example records): an example stands for its layout.
+_SYSTEM = ("system", "system")
+#: (mapping, example records): an example stands for the paths that a record must have.
 LAYOUTS: tuple[tuple[Mapping, tuple[dict, ...]], ...] = (
     (Mapping("turn", each=".", text="text"), ({"role": "", "text": ""},)),
-    (Mapping("prompt-response", (("system", "system"), ("user", "prompt"), ("assistant", "response"))), ({"prompt": "", "response": ""}, {"system": "", "prompt": "", "response": ""})),
-    (Mapping("prompt-completion", (("user", "prompt"), ("assistant", "completion"))), ({"prompt": "", "completion": ""},)),
-    (Mapping("question-answer", (("system", "system"), ("user", "question"), ("assistant", "answer"))), ({"question": "", "answer": ""}, {"system": "", "question": "", "answer": ""})),
-    (Mapping("instruction", (("user", "instruction"), ("user", "input"), ("assistant", "output"))), ({"instruction": "", "output": ""}, {"instruction": "", "input": "", "output": ""})),
-    (Mapping("messages", each="messages"), ({"messages": [{"role": "", "content": ""}]}, {"messages": []})),
-    (Mapping("conversations", each="conversations", role="from", text="value", roles=_SHARE_GPT), ({"conversations": [{"from": "", "value": ""}]}, {"conversations": []})),
-    (Mapping("nested-prompt", (("system", "data.system"), ("user", "data.prompt"), ("assistant", "data.response"))), ({"data": {"system": "", "prompt": "", "response": ""}}, {"data": {"prompt": "", "response": ""}})),
+    (Mapping("prompt-response", (_SYSTEM, ("user", "prompt"), ("assistant", "response"))), ({"prompt": "", "response": ""},)),
+    (Mapping("prompt-completion", (_SYSTEM, ("user", "prompt"), ("assistant", "completion"))), ({"prompt": "", "completion": ""},)),
+    (Mapping("question-answer", (_SYSTEM, ("user", "question"), ("assistant", "answer"))), ({"question": "", "answer": ""},)),
+    (Mapping("instruction", (_SYSTEM, ("user", "instruction"), ("user", "input"), ("assistant", "output"))), ({"instruction": "", "output": ""},)),
+    (Mapping("messages", (_SYSTEM,), each="messages"), ({"messages": [{"role": "", "content": ""}]}, {"messages": [{"role": "", "tool_calls": [{}]}]}, {"messages": []})),
+    (Mapping("conversations", (_SYSTEM,), each="conversations", role="from", text="value", roles=_SHARE_GPT), ({"conversations": [{"from": "", "value": ""}]}, {"conversations": []})),
+    (Mapping("nested-prompt", (("system", "data.system"), ("user", "data.prompt"), ("assistant", "data.response"))), ({"data": {"prompt": "", "response": ""}},)),
 )
+#: Layouts whose mapping a registry remembers.
+REMEMBERED = 10_000
 
 
 class Registry:
-    """Mappings by the fingerprints of their example records, and the paths that these name."""
+    """Mappings by the fingerprints of layouts; a layout seen for the first time takes the mapping that requires most of what it has, the first of several."""
 
     def __init__(self, layouts: tuple[tuple[Mapping, tuple[dict, ...]], ...]) -> None:
-        self.known = set().union(*(paths(example) for _, examples in layouts for example in examples))
-        self.mappings = {fingerprint(example): mapping for mapping, examples in layouts for example in examples}
+        self.required = [(present(example), mapping) for mapping, examples in layouts for example in examples]
+        self.found: dict[int, Mapping | None] = {}
 
     def get(self, record: dict) -> Mapping | None:
-        return self.mappings.get(fingerprint(record, self.known))
+        layout = fingerprint(record)
+        if layout not in self.found:
+            if len(self.found) >= REMEMBERED:
+                self.found.clear()
+            have = present(record)
+            fit = [(len(paths), mapping) for paths, mapping in self.required if paths <= have]
+            self.found[layout] = max(fit, key=lambda x: x[0])[1] if fit else None
+        return self.found[layout]
 
 
 REGISTRY = Registry(LAYOUTS)
@@ -168,7 +207,9 @@ def conversation_digests(parts: DataFrame) -> DataFrame:
     """Read formatted parts ``(conv_id, turn, formatted, loss_spans)`` back and digest each conversation.
 
     Parts are dealt by conversation and sorted, and each conversation streams through running hashes, so one that fills
-    a third of the table needs no more memory than a short one.  Ties of ``turn`` go by the formatted text.
+    a third of the table needs no more memory than a short one.  Ties of ``turn`` go by the formatted text, null turns come
+    first and null conversations are one.  Repeated parts count each; a null or empty part adds nothing; texts may be of any
+    length; other columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +233,7 @@ def conversation_digests(parts: DataFrame) -> DataFrame:
                     if len(rows) >= 10_000:
                         yield send()
                         rows.clear()
+                formatted, spans = formatted or "", spans or []
                 for role, text, _ in read_turns(formatted):
                     turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                     n += 1

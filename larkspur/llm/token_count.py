@@ -115,7 +115,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id, n_bytes, n_tokens, over_limit)`` for every row.
 
     Tokens are those of the library for the vocabulary at ``path``, without added special tokens.  A null text counts as
-    empty: no bytes, no tokens.  Repeated rows are counted each; other columns are ignored.
+    empty: no bytes, no tokens.  Ids may be null; repeated rows are counted each; whole texts count, of any length, and words of
+    any length; other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
     path = path or default_path()
     words = frequent(docs, text_col, path)

@@ -96,15 +96,25 @@ def test_layouts(spark):
         ({"strange": 1}, []),
         ({"messages": [{"role": "user", "content": "u", "name": "n"}, {"role": "assistant", "content": 7}], "id": "x", "meta": {"source": 1}}, [("user", "u"), ("assistant", "7")]),
         ({"system": "s", "question": None, "answer": 1.5, "lang": "en"}, [("system", "s"), ("assistant", "1.5")]),
-        ({"prompt": "p", "question": "two layouts at once", "answer": "a"}, []),
+        ({"prompt": "p", "question": "what else is there does not count", "answer": "a"}, [("user", "what else is there does not count"), ("assistant", "a")]),
         ({"prompt": "p", "response": "r" * 300_000}, [("user", "p"), ("assistant", "r" * 300_000)]),
+        ({"prompt": "seed", "messages": [{"role": "user", "content": "u"}]}, [("user", "u")]),
+        ({"system": "s", "conversations": [{"from": "human", "value": "h"}]}, [("system", "s"), ("user", "h")]),
+        ({"question": "q", "answer": "a", "text": "t"}, [("user", "q"), ("assistant", "a")]),
+        ({"instruction": "i", "output": "o", "system": "s"}, [("system", "s"), ("user", "i"), ("assistant", "o")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a "}, {"type": "image_url", "image_url": {"url": "x"}}, {"type": "text", "text": " b"}]}, {"role": "assistant", "content": "c"}]}, [("user", "a [image_url] b"), ("assistant", "c")]),
+        ({"messages": [{"role": "assistant", "content": None, "tool_calls": [{"id": "1", "function": {"name": "f"}}]}, {"role": "tool", "content": "7"}]}, [("assistant", '{"tool_calls": [{"id": "1", "function": {"name": "f"}}]}'), ("tool", "7")]),
+        ({"messages": []}, []),
+        ({"messages": None, "prompt": "p", "response": "r"}, [("user", "p"), ("assistant", "r")]),
+        ({"messages": ["just a string"], "role": "user", "text": "t"}, [("user", "t")]),
     ]
     rows = [(i, json.dumps(r)) for i, (r, _) in enumerate(records)] + [(90, None), (91, "{broken"), (92, "[1]")]
     got = {r["k"]: r for r in chat.format_records(spark.createDataFrame(rows, "k long, j string"), "j", carry=("k",)).collect()}
     for i, (_, turns) in enumerate(records):
         assert [x[:2] for x in chat.read_turns(got[i]["formatted"])] == turns
         assert [got[i]["formatted"][a:b] for a, b in got[i]["loss_spans"]] == [t for r, t in turns if r == "assistant"]
-    assert all(got[k]["layout"] == "unknown" and got[k]["n_turns"] == 0 for k in (5, 8, 90, 91, 92))
+    assert all(got[k]["layout"] == "unknown" and got[k]["n_turns"] == 0 for k in (5, 90, 91, 92))
+    assert chat.conversation_digests(spark.createDataFrame([], "conv_id long, turn long, formatted string, loss_spans array<array<bigint>>")).count() == 0
 
 
 def test_op5_digests(spark, tmp_path):
@@ -150,6 +160,24 @@ def test_urls(spark):
         got = {r["id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df, url_filter.rule_table(spark, tuple(some))).collect()}
         assert got == {i: brute_verdict(u, some) for i, u in enumerate(URLS * 3)}
     assert url_filter.judge(df.limit(0), url_filter.rule_table(spark)).count() == 0
+    # ids that are null or repeat; no rules; rules that repeat
+    rows = spark.createDataFrame([(None, "http://a.net/"), (None, "http://a.org/"), (7, "http://x.net"), (7, "http://x.net/")], "page_id long, url string")
+    twice = url_filter.rule_table(spark, (*url_filter.RULES, *url_filter.RULES))
+    want = [(None, "http://a.net/", "net/"), (None, "http://a.org/", None), (7, "http://x.net", None), (7, "http://x.net/", "net/")]
+    assert sorted(map(repr, (tuple(r) for r in url_filter.judge(rows, twice).select("id", "url", "rule").collect()))) == sorted(map(repr, want))
+    assert {r["verdict"] for r in url_filter.judge(rows, twice.limit(0)).collect()} == {"allow"}
+
+
+def test_urls_under_many_path_rules_of_one_host(spark):
+    draw = np.random.default_rng(3)
+    part = lambda: "/" + "/".join("".join(draw.choice(list("ab\u00e9"), 2)) for _ in range(draw.integers(1, 5)))
+    rules = [("block" if i % 2 else "allow", host, p) for i, (host, p) in enumerate(sorted({(h, part()) for h in ("big.net", "x.big.net", "net") for _ in range(400)}))]
+    urls = [f"http://{draw.choice(['big.net', 'a.big.net', 'x.big.net', 'y.x.big.net', 'net', 'o.net'])}{part()}{draw.choice(['', '/', 'q'])}" for _ in range(1500)]
+    got = {r["id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(5), url_filter.rule_table(spark, tuple(rules))).collect()}
+    assert got == {i: brute_verdict(u, rules) for i, u in enumerate(urls)}
+    many = spark.range(100_000).selectExpr("'block' AS verdict", "'big.net' AS host", "'/' || lpad(id, 6, '0') AS path")
+    found = url_filter.judge(spark.createDataFrame([(1, "http://a.big.net/054321/x"), (2, "http://big.net/1")], "page_id long, url string"), many)
+    assert {r["id"]: r["rule"] for r in found.collect()} == {1: "big.net/054321", 2: None}
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
