@@ -40,6 +40,22 @@ def feedback(history: DataFrame) -> DataFrame:
     return hits.groupBy("symbol").agg(F.count("*").alias("hit_count"), F.least(F.lit(1.0), F.lit(0.1) * F.count("*")).alias("relevance"), F.max("time").alias("last_hit"))
 
 
+def with_hits(weights: DataFrame, hits: DataFrame) -> DataFrame:
+    """Weights after useful queries ``(symbol, time)``: each row is a hit on top of what a symbol has, and a tenth more relevance."""
+    new = hits.groupBy("symbol").agg(F.count("*").alias("__n"), F.max("time").alias("__at"))
+    joined = weights.join(new, "symbol", "full_outer")
+    n = F.coalesce("__n", F.lit(0))
+    return joined.select("symbol", (F.coalesce("hit_count", F.lit(0.0)) + n).cast("double").alias("hit_count"), F.least(F.lit(1.0), F.coalesce("relevance", F.lit(0.0)) + F.lit(0.1) * n).alias("relevance"), F.greatest("last_hit", "__at").alias("last_hit"))
+
+
+def with_seeds(weights: DataFrame, seeds: DataFrame, at) -> DataFrame:
+    """Weights after seeding ``(symbol, weight)``: hits rise to a symbol's highest seed where they are fewer, and nothing else is lost."""
+    new = seeds.groupBy("symbol").agg(F.max("weight").alias("__weight"))
+    joined = weights.join(new, "symbol", "full_outer")
+    hits = F.greatest(F.coalesce("hit_count", F.lit(0.0)), F.coalesce("__weight", F.lit(0.0)))
+    return joined.select("symbol", hits.cast("double").alias("hit_count"), F.coalesce("relevance", F.lit(0.0)).alias("relevance"), F.when(F.col("__weight").isNotNull(), at).otherwise(F.col("last_hit")).alias("last_hit"))
+
+
 def hot_symbols(weights: DataFrame, k: int = 10) -> DataFrame:
     return weights.orderBy(F.desc("hit_count"), "symbol").limit(k)
 

@@ -70,6 +70,13 @@ def mark_stale(events: DataFrame, path: str, reason: str = "file removed") -> Da
     return events.withColumn("stale_reason", F.when(hit, F.lit(reason)).otherwise(F.col("stale_reason"))).withColumn("stale", F.coalesce("stale", F.lit(False)) | hit)
 
 
+def newly_stale(events: DataFrame, paths: DataFrame, reason: str = "file removed") -> DataFrame:
+    """The events that ``mark_stale_any`` changes, as it leaves them."""
+    marked = mark_stale_any(events, paths, reason)
+    before = events.where(~F.coalesce("stale", F.lit(False))).select("id")
+    return marked.where("stale").join(before, "id", "left_semi").select(*events.columns)
+
+
 def mark_stale_any(events: DataFrame, paths: DataFrame, reason: str = "file removed") -> DataFrame:
     """Flag events that mention any of ``paths(path)``: the few paths are matched against each event's text, event by event once."""
     text = F.concat(F.coalesce("event", F.lit("")), F.coalesce(F.to_json("metadata"), F.lit("")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import rules, scores
 from ..functions import text as T
 from ..operators import behaviour, chunking, indexing, memory, metrics, packing
@@ -95,6 +96,23 @@ def hot_symbols(spark, d):
     return behaviour.hot_symbols(behaviour.feedback(history), 15).select("symbol", "hit_count", "relevance")
 
 
+@query("""WITH s AS (SELECT 'p' || l_partkey AS symbol, max(l_quantity) / 10 AS w FROM lineitem WHERE l_returnflag = 'A' GROUP BY l_partkey),
+h AS (SELECT 'p' || l_partkey AS symbol, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey)
+SELECT symbol, round(greatest(coalesce(w, 0) + coalesce(n, 0), coalesce(w / 2, 0)), 6) AS hit_count, round(least(1e0, 1e-1 * coalesce(n, 0)), 6) AS relevance FROM s FULL JOIN h USING (symbol)""")
+def seeded_weights(spark, d):
+    """Symbol weights seeded from recency, raised by feedback and seeded again with less: hits add up and no seed takes any away."""
+    items = table(spark, d, "lineitem")
+    symbol = F.concat(F.lit("p"), "l_partkey").alias("symbol")
+    seeds = items.where("l_returnflag = 'A'").select(symbol, (F.col("l_quantity") / 10).alias("weight"))
+    hits = items.where("l_returnflag = 'R'").select(symbol, F.col("l_shipdate").alias("time"))
+    none = spark.createDataFrame([], schemas.SYMBOL_WEIGHTS)
+    at = F.lit("2024-02-01").cast("timestamp")
+    weights = behaviour.with_hits(behaviour.with_seeds(none, seeds, at), hits)
+    again = behaviour.with_seeds(weights, seeds.withColumn("weight", F.col("weight") / 2), at)
+    return again.select("symbol", F.round("hit_count", 6).alias("hit_count"), F.round("relevance", 6).alias("relevance"))
+
+
+
 @query("SELECT l_partkey AS id, round(ln(1 + n::DOUBLE) / ln(1 + (max(n) OVER ())::DOUBLE), 6) AS behaviour_score FROM (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey)")
 def behaviour_score(spark, d):
     counts = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("n"))
@@ -406,14 +424,3 @@ def event_windows(spark, d):
     from ..streaming import streams
 
     return streams.event_counts(table(spark, d, "events")).select(_micros("start").alias("start"), "event_type", "n")
-
-
-@query()
-def parse_source(spark, d):
-    """Symbols of this library's own sources."""
-    from pathlib import Path
-
-    from ..sources import files
-
-    root = Path(__file__).resolve().parent.parent
-    return indexing.symbols(indexing.parse(files.repository(spark, f"file://{root}"))).select("file", "name", "type", "start_line", "end_line")

@@ -265,3 +265,25 @@ def result_dedup(spark, d):
 @query(r"SELECT p_partkey, array_to_string(list_filter(string_split_regex(lower(p_name), '[_\-.0-9\s]+'), lambda x: length(x) >= 3), ' ') AS tokens FROM part")
 def identifier_words(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(T.identifier_tokens(F.lower("p_name")), " ").alias("tokens"))
+
+
+_NOTE = "'Decision: for the billing service we chose plan ' || row_id"
+
+
+@query(f"""WITH m AS (SELECT 'memory::' || sha256({_NOTE}) AS id, 'vector' AS kind, greatest(0, 1 - {_D2} / 2) AS v FROM ({_M}) WHERE live ORDER BY {_D2}, row_id LIMIT 60),
+x AS (SELECT p_brand || '::' || p_type AS id, 'ast' AS kind, 0e0 AS v FROM part WHERE p_type IN ('ECONOMY', 'PROMO') GROUP BY p_brand, p_type),
+n AS (SELECT p_brand || '::' || p_type AS id, count(*) AS n FROM part GROUP BY 1),
+h AS (SELECT 'Brand#11::PROMO' AS id, 1 AS hops UNION ALL SELECT id, 2 FROM m)
+SELECT id, kind, round(5e-1 * round(v, 4) + 3e-1 * coalesce(1e0 / (1 + hops), 0) + 2e-1 * ln(1 + coalesce(n, 0)::DOUBLE) / ln(1 + (SELECT max(n) FROM n)::DOUBLE), 4) AS final_score
+FROM (SELECT * FROM m UNION ALL SELECT * FROM x) LEFT JOIN n USING (id) LEFT JOIN h USING (id) ORDER BY final_score DESC, id LIMIT 20""")
+def hybrid_memories(spark, d):
+    """The whole retrieval over memories whose texts begin alike: none of them stands for another."""
+    notes = _memories(spark, d).withColumn("text", F.concat(F.lit("Decision: for the billing service we chose plan "), "row_id")).withColumn("source", F.lit("vector"))
+    parts = table(spark, d, "part")
+    symbols = parts.select(F.col("p_brand").alias("file"), F.col("p_type").alias("name"), F.lit("CLASS").alias("type"), F.col("p_partkey").alias("start_line"), F.lit("").alias("docstring"))
+    vectors = symbols.limit(0).withColumns({"row_id": F.lit(0), "source": F.lit("symbol"), "weight": F.lit(1.0), "embedding": F.array(F.lit(0.0))})
+    counts = parts.groupBy(F.concat("p_brand", F.lit("::"), "p_type").alias("symbol")).agg(F.count("*").alias("n"))
+    concept = notes.select(F.concat(F.lit("concept::"), F.lower(F.substring("text", 1, 40))).alias("dst")).distinct()
+    edges = concept.select(F.lit("Brand#11::PROMO").alias("src"), "dst").unionByName(concept.select(F.lit("PROMO").alias("src"), F.lit("Brand#11::PROMO").alias("dst")))
+    found = hybrid.retrieve(notes, symbols, vectors, edges, counts, _QV, ["ECONOMY", "PROMO"], 20)
+    return found.select("id", F.col("source").alias("kind"), "final_score")

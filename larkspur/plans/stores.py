@@ -10,6 +10,7 @@ from .. import schemas
 from ..operators import behaviour, indexing, memory, metrics
 from ..session import shared_dir
 from ..sources import files, sinks
+from ..sources.commits import Stores
 from ..sources.vector_store import ExactStore
 from ..streaming import streams
 from .registry import query, table
@@ -81,6 +82,48 @@ def parse_tree(spark, d):
     return found.where("file like '%.py'").select("file", "name", "type", "start_line", "end_line", F.array_join("calls", ",").alias("calls"))
 
 
+#: (extension, source, what it holds as (name, type, start, end, calls, bases), imports); ``@`` stands for a customer's key, ``#`` for its nation's.
+_SOURCES = (
+    ("js", "import { load } from './lib#';\n// function hidden() {}\nclass Box@ extends Base# {\n  open(x) {\n    return load('}', `${x} {`);\n  }\n}\nconst go@ = async (a) => {\n  await save#(a);\n};\n",
+     (("Box@", "CLASS", 3, 7, "", "Base#"), ("open", "FUNCTION", 4, 6, "load", ""), ("go@", "FUNCTION", 8, 10, "save#", "")), ("./lib#",)),
+    ("ts", "interface Port@ extends Plug# {\n  id: string;\n}\nexport class Dock@<T> implements Port@, Bay# {\n  find(id: string): Promise<T> {\n    return this.db.get#<T>(id);\n  }\n}\n",
+     (("Port@", "CLASS", 1, 3, "", "Plug#"), ("Dock@", "CLASS", 4, 8, "", "Port@,Bay#"), ("find", "FUNCTION", 5, 7, "get#", "")), ()),
+    ("go", "package p\nimport \"example.com/n#\"\ntype Store@ struct {\n\tBase#\n\tname string\n}\nfunc (s *Store@) Get@(id int) string {\n\tx := `}`\n\treturn fetch#(x)\n}\n",
+     (("Store@", "CLASS", 3, 6, "", "Base#"), ("Get@", "FUNCTION", 7, 10, "fetch#", "")), ("example.com/n#",)),
+    ("rs", "use crate::n#;\npub struct Cell@<'a> { name: &'a str }\nimpl<'a> Shape# for Cell@<'a> {\n    fn area(&self) -> f64 {\n        let q = '}';\n        compute#(q)\n    }\n}\n",
+     (("Cell@", "CLASS", 2, 2, "", "Shape#"), ("area", "FUNCTION", 4, 7, "compute#", "")), ("crate::n#",)),
+    ("java", "import a.n#.List;\npublic class Repo@ extends Base# implements Closeable {\n    public String find(String q) throws IOException {\n        if (q == \"}\") { return empty#(); }\n        return this.db.query(q);\n    }\n    void close();\n}\n",
+     (("Repo@", "CLASS", 2, 8, "", "Base#,Closeable"), ("find", "FUNCTION", 3, 6, "empty#,query", "")), ("a.n#.List",)),
+    ("cpp", "#include \"n#.h\"\nnamespace app {\nclass Node@ : public Base#<int> {\n  int get(int k) const { return lookup#(k); }\n  void run();\n};\nvoid Node@::run() {\n  char c = '}';\n  use#(c);\n}\n}\n",
+     (("Node@", "CLASS", 3, 6, "", "Base#"), ("get", "FUNCTION", 4, 4, "lookup#", ""), ("run", "FUNCTION", 7, 10, "use#", "")), ("n#.h",)),
+)
+
+
+def _sources_sql() -> str:
+    rows = []
+    for k, (extension, _, symbols, imports) in enumerate(_SOURCES):
+        rows += [f"({k}, '{extension}', '{name}', '{kind}', {start}, {end}, '{calls}', '{bases}')" for name, kind, start, end, calls, bases in symbols]
+        rows += [f"({k}, '{extension}', '{module}', 'IMPORT', 0, 0, '', '')" for module in imports]
+    filled = lambda c: f"replace(replace({c}, '@', c_custkey::VARCHAR), '#', c_nationkey::VARCHAR)"
+    return f"""SELECT 'c' || c_custkey || '.' || ext AS file, {filled("name")} AS name, type, start_line, end_line, {filled("calls")} AS calls, {filled("bases")} AS bases
+FROM customer JOIN (VALUES {', '.join(rows)}) s(k, ext, name, type, start_line, end_line, calls, bases) ON c_custkey % {len(_SOURCES)} = k"""
+
+
+@query(_sources_sql())
+def parse_languages(spark, d):
+    """Symbols with their true ends, calls and bases, and imports, of a source file for every customer in one of six languages."""
+    filled = lambda text: F.replace(F.replace(F.lit(text), F.lit("@"), F.col("c_custkey").cast("string")), F.lit("#"), F.col("c_nationkey").cast("string"))
+    k = F.col("c_custkey") % len(_SOURCES)
+    pick = lambda values: F.element_at(F.array(*values), (k + 1).cast("int"))
+    content = pick([filled(source) for _, source, _, _ in _SOURCES])
+    tree = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey", F.lit("."), pick([F.lit(e) for e, *_ in _SOURCES])).alias("path"), content.cast("binary").alias("content"))
+    parsed = indexing.parse(files.with_language(tree))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    found = indexing.symbols(parsed).select("file", "name", "type", "start_line", "end_line", joined("calls"), joined("bases"))
+    none = F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.lit("").alias("calls"), F.lit("").alias("bases")
+    return found.unionByName(parsed.select(F.col("path").alias("file"), F.explode("imports").alias("name"), F.lit("IMPORT").alias("type"), *none))
+
+
 @query(f"WITH {_TREE} SELECT path FROM t WHERE n_nationkey % 5 <> 1")
 def unseen_files(spark, d):
     tree = _tree(spark, d)
@@ -223,12 +266,11 @@ def replace_buckets(spark, d):
 @query("SELECT event_id AS id, true AS archived FROM events QUALIFY row_number() OVER (ORDER BY ts, event_id) <= CASE WHEN count(*) OVER () >= 900 THEN greatest(1, floor(count(*) OVER () * 2e-1)) ELSE 0 END")
 def rotate_archive(spark, d):
     """What a rotation moves to the archive."""
-    root = _folder(spark)
-    store = sinks.Table(spark, f"{root}/events", "id long, time timestamp")
-    store.overwrite(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("time")))
-    moved = sinks.rotate_events(store, f"{root}/archive", cap=900)
-    empty = spark.createDataFrame([], "id long")
-    return (spark.read.parquet(f"{root}/archive").select("id") if moved else empty).withColumn("archived", F.lit(True))
+    schema = "id long, time timestamp"
+    stores = Stores(spark, _folder(spark), {"events": (schema, "id"), "archive": (schema, None)})
+    stores.store("events").overwrite(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("time")))
+    sinks.rotate_events(stores, cap=900)
+    return stores.read("archive").select("id").withColumn("archived", F.lit(True))
 
 
 # ── streams, as they run over what is there ─────────────────────────────────────────────────────────────────────────
@@ -249,17 +291,38 @@ def _ran(spark, stream, mode: str = "append"):
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-@query(f"WITH {_TREE} SELECT path, 'nation_' || n_nationkey AS name FROM t WHERE n_nationkey % 4 = 0 AND n_nationkey % 5 <> 3")
+_LEFT = "FROM t WHERE n_nationkey % 4 = 0 AND n_nationkey % 5 <> 3"
+_CALL = "'symbol::call_' || (SELECT n_regionkey FROM nation n WHERE n.n_nationkey = t.n_nationkey)"
+
+
+@query(f"""WITH {_TREE}, s AS (SELECT path, 'nation_' || n_nationkey AS name, {_CALL} AS callee {_LEFT})
+SELECT 'symbols' AS store, path AS a, name AS b FROM s UNION ALL SELECT 'vectors', path, name FROM s
+UNION ALL SELECT 'words', path, 'nation' FROM s
+UNION ALL SELECT 'nodes', path || '::' || name, 'FUNCTION' FROM s UNION ALL SELECT 'nodes', path, 'FILE' FROM t WHERE n_nationkey % 4 <> 2 AND n_nationkey % 5 <> 3
+UNION ALL SELECT 'edges', path || '::' || name, callee FROM s UNION ALL SELECT 'edges', callee, path || '::' || name FROM s
+UNION ALL SELECT 'events', path, CASE WHEN n_nationkey % 5 = 3 THEN 'stale' ELSE 'fresh' END FROM t""")
 def stream_reindex(spark, d):
-    """Symbols after a feed that creates every file and then deletes some."""
+    """All stores of an index, and the episodes that name its files, after a feed that creates every file and then deletes some."""
     root, tree = _folder(spark), _tree(spark, d)
+    stores = Stores(spark, root, {
+        "files": (schemas.FILES, "path"), "symbols": (schemas.SYMBOLS, "file"), "words": (schemas.POSTINGS, "file"), "vectors": ("file string, name string", "file"),
+        "nodes": (schemas.NODES, "id"), "edges": (schemas.EDGES, "src"), "events": (schemas.EPISODES, "id"),
+    })
     at = lambda n: F.timestamp_seconds(F.lit(1_700_000_000 + n))
+    episodes = tree.select(F.col("path").alias("id"), F.concat(F.lit("edit "), "path").alias("event"), F.create_map().cast("map<string,string>").alias("metadata"), at(0).alias("time"))
+    stores.store("events").append(episodes)
     made = tree.select("path", F.lit("create").alias("action"), at(0).alias("time"), F.col("content").cast("binary").alias("content"))
     gone = tree.where("n_nationkey % 5 = 3").select("path", F.lit("delete").alias("action"), at(1).alias("time"), F.lit(None).cast("binary").alias("content"))
-    known, symbols = sinks.BucketStore(spark, f"{root}/files", schemas.FILES, "path"), sinks.BucketStore(spark, f"{root}/symbols", schemas.SYMBOLS)
-    for n, rows in enumerate((made, gone)):
-        streams.periodic(_stream(spark, rows, f"feed{n}"), streams.reindex(known, symbols), f"{root}/checkpoint{n}").awaitTermination()
-    return symbols.read().where("file like '%.py'").select(F.col("file").alias("path"), "name")
+    batch = lambda name: streams.reindex(stores, embed=lambda found: found.select("file", "name"), stream=name)
+    for name, rows in (("made", made), ("gone", gone)):
+        streams.periodic(_stream(spark, rows, name), batch(name), f"{root}/{name}-checkpoint").awaitTermination()
+    python = "file like '%.py'"
+    parts = [stores.read(name).where(python).select(F.lit(name).alias("store"), F.col("file").alias("a"), F.col(of).alias("b")) for name, of in (("symbols", "name"), ("vectors", "name"), ("words", "word"))]
+    parts += [stores.read("nodes").select(F.lit("nodes"), "id", "type"), stores.read("edges").select(F.lit("edges"), "src", "dst"), stores.read("events").select(F.lit("events"), "id", F.when(F.coalesce("stale", F.lit(False)), "stale").otherwise("fresh"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
 
 
 @query("""WITH x AS (SELECT user_id AS s, event_type AS file, ts FROM events), f AS (SELECT s, file, min(ts) AS first FROM x GROUP BY s, file),
@@ -291,21 +354,26 @@ def idle_sessions(spark, d):
     return found.select("user_id", F.unix_micros("start").alias("start"), "n")
 
 
-@query("SELECT event_type AS query, count(DISTINCT user_id) > 0 AS let FROM events GROUP BY event_type")
+@query("SELECT event_type AS query, count(DISTINCT event_type) AS let FROM events GROUP BY event_type")
 def stream_result_cache(spark, d):
-    """What a result cache whose entries live longer than the stream lets through: a row per key."""
+    """How often a result cache whose entries live longer than the stream lets each key through: once."""
     rows = table(spark, d, "events").select(F.col("event_type").alias("query"), "ts")
-    return _ran(spark, streams.novel_only(_stream(spark, rows, "queries"), 400 * 86_400)).select("query", F.lit(True).alias("let"))
+    return _ran(spark, streams.novel_only(_stream(spark, rows, "queries"), 400 * 86_400)).groupBy("query").agg(F.count("*").alias("let"))
+
 
+_DECAYED = "(event_id % 10) / 10e0 * exp(-1e-1 * floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 86400000000))"
 
-@query("SELECT event_id AS id FROM events WHERE (event_id % 10) / 10e0 * exp(-1e-1 * floor((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 86400000000)) >= 15e-2")
+
+@query(f"SELECT event_id AS id, {_DECAYED} < 15e-2 AS archived FROM events")
 def stream_prune(spark, d):
-    """Memories that a periodic prune leaves, the others in its archive."""
-    root = _folder(spark)
-    store = sinks.Table(spark, f"{root}/memories", "id long, importance double, created_at timestamp")
-    store.overwrite(table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 10 / F.lit(10.0)).alias("importance"), F.col("ts").alias("created_at")))
-    streams.prune_batch(store, F.lit("2024-02-01").cast("timestamp"), f"{root}/archive")(spark.range(1), 0)
-    return store.read().select("id")
+    """Memories that a stream's periodic prune leaves, and those that it moved to the archive."""
+    root, events = _folder(spark), table(spark, d, "events")
+    schema = "id long, importance double, created_at timestamp"
+    stores = Stores(spark, root, {"memories": (schema, "id"), "archive": (schema, None)})
+    stores.store("memories").append(events.select(F.col("event_id").alias("id"), (F.col("event_id") % 10 / F.lit(10.0)).alias("importance"), F.col("ts").alias("created_at")))
+    tick = _stream(spark, events.where("event_type = 'error'").select("event_id"), "ticks")
+    streams.periodic(tick, streams.prune_batch(stores, F.lit("2024-02-01").cast("timestamp")), f"{root}/checkpoint").awaitTermination()
+    return stores.read("memories").select("id", F.lit(False).alias("archived")).unionByName(stores.read("archive").select("id", F.lit(True).alias("archived")))
 
 
 @query("SELECT 'documents' AS store, count(*) AS n FROM documents UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'pages', count(*) FROM pages")

@@ -10,7 +10,7 @@ NODES = "id string, type string, file string, line int, weight double, seq long"
 EDGES = "src string, dst string, rel string, weight double, purpose string, seq long"
 EPISODES = "id string, event string, metadata map<string,string>, time timestamp, prev string, stale boolean, stale_reason string"
 LEARNINGS = "id string, type string, scope string, text string, timestamp timestamp, deprecated boolean, supersedes string, metadata map<string,string>"
-SYMBOL_WEIGHTS = "symbol string, hit_count long, relevance double, last_hit timestamp"
+SYMBOL_WEIGHTS = "symbol string, hit_count double, relevance double, last_hit timestamp"
 QUERY_HISTORY = "query_id string, text string, time timestamp, symbols array<string>, useful boolean, file_edited string"
 COOCCURRENCE = "file_a string, file_b string, n long"
 ERRORS = "error_type string, message string, file string, time timestamp"

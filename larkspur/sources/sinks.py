@@ -6,11 +6,12 @@ only and a failed write leaves the old one in place.  Folders are reached throug
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import memory
-from ..session import delete, written
+from ..session import written
+from .commits import Change, Store, Stores
 
 
 class Table:
@@ -69,62 +70,11 @@ class Table:
             fs.delete(p, True)
 
 
-class BucketStore:
-    """A Parquet table in ``BUCKETS`` buckets by a hash of its key column: changing some keys rewrites their buckets only.
-
-    A bucket is replaced as a whole when its write has succeeded; buckets of one change follow each other.
-    """
-
-    BUCKETS = 64
+class BucketStore(Store):
+    """A store of its own, in buckets by a hash of its key column: changing some keys rewrites their buckets only, all at once."""
 
     def __init__(self, spark: SparkSession, root: str, schema: str, key: str = "file") -> None:
-        self.spark, self.root, self.schema, self.key = spark, root.rstrip("/"), schema, key
-        self.columns = spark.createDataFrame([], schema).columns
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _bucketed(self) -> DataFrame:
-        fs, p = self._fs(self.root)
-        if not fs.exists(p):
-            return self.spark.createDataFrame([], f"{self.schema}, file_bucket int")
-        return self.spark.read.schema(f"{self.schema}, file_bucket int").parquet(self.root)
-
-    def read(self) -> DataFrame:
-        return self._bucketed().select(*self.columns)
-
-    def overwrite(self, rows: DataFrame) -> None:
-        """Make the table hold ``rows`` alone."""
-        self._rewrite(list(range(self.BUCKETS)), rows)
-
-    def replace(self, gone: DataFrame, rows: DataFrame | None = None, on: str | None = None) -> None:
-        """Rows whose ``on`` (the key, if not said) is in ``gone(path)`` go, ``rows`` come; only touched buckets are written."""
-        on = on or self.key
-        gone = gone.select(F.col("path").alias(on)).distinct()
-        kept, bucket = self._bucketed(), self._bucket()
-        hit = kept.join(gone, on, "left_semi").select("file_bucket")
-        if rows is not None:
-            hit = hit.unionByName(rows.select(bucket.alias("file_bucket")))
-        touched = [r[0] for r in hit.distinct().collect()]  # BUCKETS numbers at most
-        if not touched:
-            return
-        left = kept.where(F.col("file_bucket").isin(touched)).join(gone, on, "left_anti").select(*self.columns)
-        self._rewrite(touched, left if rows is None else left.unionByName(rows.select(*self.columns)))
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.BUCKETS)).cast("int")
-
-    def _rewrite(self, touched: list[int], rows: DataFrame) -> None:
-        # written apart first, as the buckets to be replaced are among the inputs
-        fresh = written(rows.select(*self.columns).withColumn("file_bucket", self._bucket()), "buckets")
-        replace_files(fresh, self.root)
-        left = {r[0] for r in fresh.select("file_bucket").distinct().collect()}
-        for number in set(touched) - left:
-            fs, p = self._fs(f"{self.root}/file_bucket={number}")
-            fs.delete(p, True)
-        for path in {f.rsplit("/", 1)[0] for f in fresh.inputFiles()}:
-            delete(self.spark, path)
+        super().__init__(Stores(spark, root, {"rows": (schema, key)}, buckets=16), "rows")
 
 
 def add_memories(table: Table, rows: DataFrame) -> None:
@@ -137,19 +87,20 @@ def log_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").option("compression", "zstd").parquet(path)
 
 
-def replace_files(rows: DataFrame, path: str) -> None:
-    """Overwrite only the partitions (by ``file_bucket``) that ``rows`` holds: a re-index of some files."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_bucket").parquet(path)
+def rotate_events(stores: Stores, events: str = "events", archive: str = "archive", stream: str | None = None, number: int | None = None, **options) -> int:
+    """Move the oldest events to the archive store once the cap is reached, in one commit; how many went.
+
+    Both stores have the events' columns, and the events' key is ``id``.  A batch of a stream that is run again moves nothing.
+    """
+    moved = [0]
 
+    def change(state) -> dict[str, Change]:
+        old = written(memory.rotate(stores.read(events, state), **options)[1], "rotated")
+        moved[0] = old.count()
+        return {events: Change(None, old.select(F.col("id").alias("path"))), archive: Change(old)} if moved[0] else {}
 
-def rotate_events(table: Table, archive: str, **options) -> int:
-    """Move the oldest events to the archive once the cap is reached; how many went."""
-    kept, old = memory.rotate(table.read(), **options)
-    n = old.count()
-    if n:
-        old.write.mode("append").parquet(archive)
-        table.overwrite(kept)
-    return n
+    before = stores.versions()[-1:]
+    return moved[0] if [stores.commit(change, stream, number)] != before else 0
 
 
 def manifest(files: DataFrame) -> DataFrame:

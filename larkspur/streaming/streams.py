@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.text import node_id
 from ..operators import graph, indexing, memory
 from ..session import written
+from ..sources.commits import Change, State, Stores
 from ..sources.files import with_language
 
 CHANGES = "path string, action string, time timestamp, content binary"
@@ -33,46 +34,57 @@ def listing_changes(before: DataFrame, now: DataFrame) -> DataFrame:
     return joined.select("path", action.alias("action")).where("action is not null")
 
 
-def reindex(files, symbols, events=None, words=None, vectors=None, nodes=None, edges=None, caches=(), embed=None):
+def reindex(stores: Stores, caches=(), embed=None, stream: str = "files"):
     """A ``foreachBatch`` function: parse files that changed and bring every store up to date, drop those deleted from all.
 
-    Stores are ``Table`` or ``BucketStore``; the latter rewrite only the buckets of changed files.  ``words`` are postings,
-    ``vectors`` symbol vectors (``embed`` makes them of symbols; without it those of changed files just go), ``nodes`` and
-    ``edges`` the graph.  Episodes that name a deleted file are marked as stale, and ``caches`` are cleared.  The last change
-    of a path in a batch decides; content that is already indexed is skipped, so a batch that is run again changes nothing.
+    ``stores`` holds ``files`` (key ``path``) and ``symbols`` (key ``file``), and where they are wanted ``words`` (postings),
+    ``vectors`` (``embed`` makes them of symbols; without it those of changed files just go), ``nodes`` (key ``id``) and ``edges``
+    (key ``src``) of the graph, and ``events`` (key ``id``): episodes that name a deleted file are marked as stale.  A batch is one
+    commit, with its number: whatever fails before leaves all stores as they were, and a batch that is run again after it does
+    nothing.  The last change of a path in a batch decides; content that is already indexed is skipped.  ``caches`` are cleared.
     """
 
-    def batch(rows: DataFrame, _: int) -> None:
+    def batch(rows: DataFrame, number: int) -> None:
         last = written(rows.groupBy("path").agg(F.max_by(F.struct("action", "content"), "time").alias("x")).select("path", "x.*"), "changes")
-        fresh = indexing.changed(with_language(last.where("action <> 'delete'")), files.read())
-        parsed = written(indexing.parse(fresh), "parsed")
-        deleted = last.where("action = 'delete'").select("path")
-        gone = written(deleted.unionByName(parsed.select("path")).distinct(), "gone")
-        if gone.isEmpty():
-            return
-        found = indexing.symbols(parsed)
-        files.replace(gone, parsed.select("path", "sha256", "language", F.lit(1.0).alias("weight"), F.lit(None).cast("timestamp").alias("indexed_at")), "path")
-        symbols.replace(gone, found, "file")
-        if words is not None:
-            words.replace(gone, indexing.word_index(found), "file")
-        if vectors is not None:
-            vectors.replace(gone, embed(found) if embed else None, "file")
-        if nodes is not None and edges is not None:
-            old = nodes.read()
-            of_file, itself = (old.join(gone, old[c] == gone["path"], "left_semi").select(F.col("id").alias("path")) for c in ("file", "id"))
-            dead = written(of_file.unionByName(itself).distinct(), "dead")
-            seq = F.unix_micros(F.current_timestamp())
-            kind = lambda c: F.when(c.contains("::"), c)
-            new = graph.symbol_edges(found).withColumn("purpose", F.lit(None).cast("string")).withColumn("seq", seq)
-            edges.replace(dead, None, "dst")
-            edges.replace(dead, new, "src")
-            own = found.select(node_id("type", "name", "file").alias("id"), "type", "file", F.col("start_line").alias("line")).where(kind(F.col("id")).isNotNull())
-            named = parsed.select(F.col("path").alias("id"), F.lit("FILE").alias("type"), F.col("path").alias("file"), F.lit(None).cast("int").alias("line"))
-            nodes.replace(dead, own.unionByName(named).dropDuplicates(["id"]).withColumn("weight", F.lit(1.0)).withColumn("seq", seq), "id")
-        if events is not None and not deleted.isEmpty():
-            events.overwrite(memory.mark_stale_any(events.read(), deleted))
-        for cache in caches:
-            cache.clear()
+
+        def change(state: State) -> dict[str, Change]:
+            read = lambda name: stores.read(name, state)
+            fresh = indexing.changed(with_language(last.where("action <> 'delete'")), read("files"))
+            parsed = written(indexing.parse(fresh), "parsed")
+            deleted = last.where("action = 'delete'").select("path")
+            gone = written(deleted.unionByName(parsed.select("path")).distinct(), "gone")
+            if gone.isEmpty():
+                return {}
+            found = indexing.symbols(parsed)
+            out = {
+                "files": Change(parsed.select("path", "sha256", "language", F.lit(1.0).alias("weight"), F.lit(None).cast("timestamp").alias("indexed_at")), gone),
+                "symbols": Change(found, gone),
+                "words": Change(indexing.word_index(found), gone),
+                "vectors": Change(embed(found) if embed else None, gone),
+            }
+            if "nodes" in stores.tables:
+                old, seq = read("nodes"), F.unix_micros(F.current_timestamp())
+                of_file, itself = (old.join(gone, old[c] == gone["path"], "left_semi").select(F.col("id").alias("path")) for c in ("file", "id"))
+                dead = written(of_file.unionByName(itself).distinct(), "dead")
+                new = graph.symbol_edges(found).withColumn("purpose", F.lit(None).cast("string")).withColumn("seq", seq)
+                into = read("edges").join(dead, F.col("dst") == F.col("path"), "left_semi").select(F.col("src").alias("path"))
+                # sources whose edges change: dead ones, and those with an edge into a dead one, which keep their others
+                sources = written(dead.unionByName(into).distinct(), "sources")
+                kept = read("edges").join(sources, F.col("src") == F.col("path"), "left_semi").join(dead, F.col("src") == F.col("path"), "left_anti").join(dead, F.col("dst") == F.col("path"), "left_anti")
+                out["edges"] = Change(kept.unionByName(new, allowMissingColumns=True), sources, "src")
+                own = found.select(node_id("type", "name", "file").alias("id"), "type", "file", F.col("start_line").alias("line")).where(F.col("id").contains("::"))
+                named = parsed.select(F.col("path").alias("id"), F.lit("FILE").alias("type"), F.col("path").alias("file"), F.lit(None).cast("int").alias("line"))
+                out["nodes"] = Change(own.unionByName(named).dropDuplicates(["id"]).withColumn("weight", F.lit(1.0)).withColumn("seq", seq), dead, "id")
+            if "events" in stores.tables and not deleted.isEmpty():
+                marked = written(memory.newly_stale(read("events"), deleted), "stale")
+                out["events"] = Change(marked, marked.select(F.col("id").alias("path")), "id")
+            return {name: c for name, c in out.items() if name in stores.tables}
+
+        before = stores.versions()[-1:]
+        version = stores.commit(change, stream, number)
+        if [version] != before and stores.changed(version):
+            for cache in caches:
+                cache.clear()
 
     return batch
 
@@ -138,13 +150,19 @@ def periodic(df: DataFrame, batch, checkpoint: str, every: str | None = None):
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def prune_batch(table, as_of, archive: str, aggressive: bool = False):
-    """A ``foreachBatch`` function for retention: pruned memories go to the archive."""
+def prune_batch(stores: Stores, as_of, aggressive: bool = False, memories: str = "memories", archive: str = "archive", stream: str = "prune"):
+    """A ``foreachBatch`` function for retention: pruned memories go to the archive store, in the commit that takes them away.
+
+    Memories have a key; a batch that is run again does nothing.
+    """
+    key = stores.tables[memories][1]
 
     def batch(_: DataFrame, number: int) -> None:
-        kept, gone = memory.prune(table.read(), as_of, aggressive)
-        gone.write.mode("overwrite").parquet(f"{archive}/batch={number}")
-        table.overwrite(kept.drop("decay_score"))
+        def change(state: State) -> dict[str, Change]:
+            gone = written(memory.prune(stores.read(memories, state), as_of, aggressive)[1], "pruned")
+            return {memories: Change(None, gone.select(F.col(key).alias("path"))), archive: Change(gone)}
+
+        stores.commit(change, stream, number)
 
     return batch
 

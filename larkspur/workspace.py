@@ -1,6 +1,7 @@
 """A workspace: the stores of one repository or organisation, and every tool and command over them.
 
-Reads return DataFrames, plans that nothing has run yet; writes make the next version of a table.  Times are passed in.
+Reads return DataFrames, plans that nothing has run yet; a write is one commit over all stores that it changes, so readers
+see an index, a prune or a seed as a whole.  Times are passed in.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from .functions import rules, scores
 from .functions import text as T
 from .operators import behaviour, chunking, graph, hybrid, indexing, memory, metrics, packing, text_search, vector
 from .sources import files, git
-from .sources.sinks import Table, append_metrics, manifest, snapshot, verify
+from .sources.commits import Change, State, Stores
+from .sources.sinks import append_metrics, manifest, snapshot, verify
 
 TABLES = {
     "memories": schemas.MEMORIES + ", repo string",
@@ -42,13 +44,20 @@ TABLES = {
     "links": schemas.ORG_EDGES,
     "manifest": "files long, sha256 string",
     "weights": schemas.SYMBOL_WEIGHTS,
+    "pruned": schemas.MEMORIES + ", repo string, decay_score double",
 }
+#: Columns by which stores are bucketed and changed; the others only grow or are written whole.
+KEYS = {
+    "memories": "row_id", "files": "path", "symbols": "file", "symbol_vectors": "file", "words": "file", "nodes": "id", "edges": "src", "docs": "path", "imports": "file",
+    "summaries": "path", "learnings": "id", "queries": "query_id", "cleanup": "entry_id", "sessions": "conv_id", "weights": "symbol",
+}
 
 
 class Workspace:
     def __init__(self, spark: SparkSession, root: str, embedder: vector.Embedder = vector.hashing_embedder, repo: str = "") -> None:
         self.spark, self.root, self.embedder, self.repo = spark, root.rstrip("/"), embedder, repo
-        self.tables = {name: Table(spark, f"{self.root}/{name}", ddl) for name, ddl in TABLES.items()}
+        self.stores = Stores(spark, self.root, {name: (ddl, KEYS.get(name)) for name, ddl in TABLES.items()})
+        self.tables = {name: self.stores.store(name) for name in TABLES}
         self.cache = hybrid.ResultCache()
 
     def read(self, name: str) -> DataFrame:
@@ -186,10 +195,7 @@ class Workspace:
         if docs:
             found = files.documents(self.spark, [docs])
             out |= {"docs": found, "chunks": chunking.chunks(found.select(F.col("path").alias("source"), indexing.strip_front_matter("text").alias("text"))).select("source", F.lit(None).cast("string").alias("section"), "position", "text")}
-        for name, df in out.items():
-            schema = self.spark.createDataFrame([], TABLES[name]).schema
-            self.tables[name].overwrite(df.select(*[F.col(f.name).cast(f.dataType) for f in schema]))
-        self.tables["files"].overwrite(table)  # last, so an interrupted run is repeated
+        self.stores.commit({name: Change(df, whole=True) for name, df in {**out, "files": table}.items()})
         self.cache.clear()
         return {"parsed": parsed.count(), "files": self.read("files").count(), "symbols": self.read("symbols").count()}
 
@@ -294,10 +300,17 @@ class Workspace:
         return key
 
     def record_feedback(self, query_id: str, useful: bool) -> None:
-        """Mark a query and count its symbols' hits anew from all useful queries."""
-        rows = self.read("queries").withColumn("useful", F.when(F.col("query_id") == query_id, F.lit(useful)).otherwise(F.col("useful")))
-        self.tables["queries"].overwrite(rows)
-        self.tables["weights"].overwrite(behaviour.feedback(self.read("queries")))
+        """Mark a query; where it was useful, its symbols get a hit more."""
+        def change(state: State) -> dict[str, Change]:
+            mine = graph.written(self.stores.read("queries", state).where(F.col("query_id") == query_id), "query")
+            out = {"queries": Change(mine.withColumn("useful", F.lit(useful)), mine.select(F.col("query_id").alias("path")))}
+            if useful:
+                hits = mine.select(F.explode("symbols").alias("symbol"), "time")
+                touched = self.stores.read("weights", state).join(hits, "symbol", "left_semi")
+                out["weights"] = Change(behaviour.with_hits(touched, hits), hits.select(F.col("symbol").alias("path")))
+            return out
+
+        self.stores.commit(change)
         self.cache.clear()
 
     def enhance(self, queries: DataFrame, depth: str = "medium") -> DataFrame:
@@ -325,31 +338,67 @@ class Workspace:
         """Symbol weights from how lately files changed, learnings from commits and tagged comments."""
         touched = git.read(self.spark, "git_files", repository, since=since)
         recency = behaviour.seed_symbols(behaviour.git_recency(touched, F.lit(at)), self.read("symbols"))
-        self.tables["weights"].overwrite(recency.select("symbol", F.lit(0).cast("long").alias("hit_count"), F.col("weight").alias("relevance"), F.lit(at).alias("last_hit")))
+        recency = graph.written(recency, "recency")
         commits = behaviour.commit_learnings(git.read(self.spark, "git_log", repository, since=since))
         comments = behaviour.comment_learnings(files.lines(self.spark, [f"file://{repository}"], "*.py"))
         key = F.concat(F.lit("seed_"), F.substring(F.sha2(F.concat_ws("|", "type", "text"), 256), 1, 24))
         new = commits.select("type", "text").unionByName(comments.select("type", "text")).distinct().withColumn("id", key).join(self.read("learnings").select("id"), "id", "left_anti")
         new = new.select("id", "type", rules.learning_scope("text").alias("scope"), "text", F.lit(at).alias("timestamp"), F.lit(False).alias("deprecated"), F.lit(None).cast("string").alias("supersedes"), F.create_map().cast("map<string,string>").alias("metadata"))
         rows = graph.written(new, "seed")
-        self.tables["learnings"].append(rows)
+
+        def change(state: State) -> dict[str, Change]:
+            touched = self.stores.read("weights", state).join(recency, "symbol", "left_semi")
+            return {"weights": Change(behaviour.with_seeds(touched, recency, F.lit(at)), recency.select(F.col("symbol").alias("path"))), "learnings": Change(rows)}
+
+        self.stores.commit(change)
         return {"weights": self.read("weights").count(), "learnings": rows.count()}
 
     # ── upkeep ──────────────────────────────────────────────────────────────────────────────────────────────────────
 
-    def prune(self, at: dt.datetime, aggressive: bool = False, archive: str | None = None) -> dict[str, int]:
-        """Let decayed memories go and number the rest anew."""
-        kept, gone = memory.prune(self.read("memories"), F.lit(at), aggressive)
-        counts = {"kept": kept.count(), "pruned": gone.count()}
-        if archive:
-            gone.write.mode("append").parquet(archive)
-        self.tables["memories"].overwrite(memory.compact(kept.drop("decay_score")).select(*self.read("memories").columns))
+    def prune(self, at: dt.datetime, aggressive: bool = False) -> dict[str, int]:
+        """Move decayed memories to the ``pruned`` store."""
+        counts = {}
+
+        def change(state: State) -> dict[str, Change]:
+            rows = self.stores.read("memories", state)
+            gone = graph.written(memory.prune(rows, F.lit(at), aggressive)[1], "pruned")
+            counts["pruned"] = gone.count()
+            counts["kept"] = rows.count() - counts["pruned"]
+            return {"memories": Change(None, gone.select(F.col("row_id").alias("path"))), "pruned": Change(gone)}
+
+        self.stores.commit(change)
         self.cache.clear()
         return counts
 
+    def suppress(self, row_id: int, reason: str, similarity: float, at: dt.datetime) -> None:
+        """Hide a memory and queue it for cleanup."""
+
+        def change(state: State) -> dict[str, Change]:
+            row = self.stores.read("memories", state).where(F.col("row_id") == row_id)
+            mark = self.spark.createDataFrame([(row_id, reason)], "row_id long, reason string")
+            item = row.select(F.col("row_id").cast("string").alias("entry_id"), F.lit("memories").alias("store"), "importance", F.lit(at).alias("suppressed_at"), F.lit(float(similarity)).alias("similarity"))
+            return {"memories": Change(memory.suppress(row, mark, F.lit(at)), mark.select(F.col("row_id").alias("path"))), "cleanup": Change(item)}
+
+        self.stores.commit(change)
+        self.cache.clear()
+
     def cleanup(self, at: dt.datetime, n: int = 50) -> DataFrame:
-        """The suppressed entries to delete next."""
-        return memory.pop_batch(memory.cleanup_queue(self.read("cleanup"), F.lit(at)), n)[0]
+        """Delete the ``n`` suppressed memories of highest priority for good, and all dead ones once they make up a fifth; the entries deleted."""
+        popped = []
+
+        def change(state: State) -> dict[str, Change]:
+            popped[:] = [graph.written(memory.pop_batch(memory.cleanup_queue(self.stores.read("cleanup", state), F.lit(at)), n)[0], "cleanup")]
+            gone = popped[0].select(F.col("entry_id").alias("path"))
+            rows = self.stores.read("memories", state).join(gone.select(F.col("path").cast("long").alias("row_id")), "row_id", "left_anti")
+            if memory.dead_share(rows).first()["rebuild"]:
+                kept = graph.written(vector.live(rows), "live")
+                waiting = self.stores.read("cleanup", state).join(kept.select(F.col("row_id").cast("string").alias("entry_id")), "entry_id", "left_semi")
+                return {"memories": Change(kept, whole=True), "cleanup": Change(waiting, whole=True)}
+            return {"memories": Change(None, gone), "cleanup": Change(None, gone)}
+
+        self.stores.commit(change)
+        self.cache.clear()
+        return popped[0]
 
     def benchmark(self, golden: DataFrame, history: str | None = None) -> DataFrame:
         """Precision and recall of symbol search over all golden queries, searched in blocks at once."""

@@ -406,10 +406,10 @@ def test_repository_scan_and_parse(spark, tree):
     assert {r["language"]: r["files"] for r in indexing.language_counts(found).collect()} == {"python": 3, "go": 1}
 
 
-def test_parsing_of_lines_without_a_definition():
-    assert indexing.parse_lines("// nothing\n", "go") == [] and indexing.parse_lines("", "rust") == [] and indexing.parse_lines("x", "cobol") == []
-    found = indexing.parse_lines("func a() {\n}\n\ntype B struct {\n}\n", "go")
-    assert [(x["name"], x["type"], x["start_line"], x["end_line"]) for x in found] == [("a", "FUNCTION", 1, 3), ("B", "CLASS", 4, 5)]
+def test_parsing_by_lines():
+    assert indexing.parse_lines("# nothing\n", "bash") == [] and indexing.parse_lines("", "yaml") == [] and indexing.parse_lines("x", "cobol") == []
+    found = indexing.parse_lines("a() {\n}\n\nfunction b() {\n}\n", "bash")
+    assert [(x["name"], x["type"], x["start_line"], x["end_line"]) for x in found] == [("a", "FUNCTION", 1, 3), ("b", "FUNCTION", 4, 5)]
 
 
 def test_documents_and_manifests(spark, tree):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from larkspur import schemas
 from larkspur.schemas import FILES
-from larkspur.sources.sinks import BucketStore, Table
+from larkspur.sources import commits, sinks
+from larkspur.sources.commits import Change, Stores
 from larkspur.streaming import streams
 
 AT = dt.datetime(2024, 1, 10)
@@ -20,34 +21,43 @@ def run(query):
     assert query.exception() is None
 
 
+STORES = {
+    "files": (FILES, "path"), "symbols": (SYMBOLS, "file"), "words": (schemas.POSTINGS, "file"), "vectors": ("file string, name string", "file"),
+    "nodes": (schemas.NODES, "id"), "edges": (schemas.EDGES, "src"), "events": (schemas.EPISODES, "id"),
+}
+
+
+def feed_rows(spark, *rows):
+    return spark.createDataFrame([(p, a, AT + dt.timedelta(seconds=s), bytearray(c.encode()) if c else None) for p, a, s, c in rows], streams.CHANGES)
+
+
+def embed(symbols):
+    return symbols.select("file", "name")
+
+
 def test_reindex_is_incremental_and_idempotent(spark, tmp_path):
     feed, cp = str(tmp_path / "feed"), str(tmp_path / "cp")
-    files, symbols = Table(spark, f"file://{tmp_path}/files", FILES), Table(spark, f"file://{tmp_path}/symbols", SYMBOLS)
-    events = Table(spark, f"file://{tmp_path}/events", "id string, event string, metadata map<string,string>, time timestamp, stale boolean, stale_reason string")
-    events.overwrite(spark.createDataFrame([("1", "edit a.py", {}, AT, None, None)], events.schema))
+    stores = Stores(spark, f"file://{tmp_path}/stores", {k: STORES[k] for k in ("files", "symbols", "events")})
+    stores.store("events").append(spark.createDataFrame([("1", "edit a.py", {}, AT, None, None, None)], schemas.EPISODES))
 
     def put(*rows):
-        spark.createDataFrame([(p, a, AT + dt.timedelta(seconds=s), c) for p, a, s, c in rows], streams.CHANGES).write.mode("append").parquet(feed)
+        feed_rows(spark, *rows).write.mode("append").parquet(feed)
 
-    batch = streams.reindex(files, symbols, events)
-    put(("a.py", "create", 1, bytearray(b"def one(): pass")), ("b.py", "create", 1, bytearray(b"def two(): pass")))
+    batch = streams.reindex(stores)
+    put(("a.py", "create", 1, "def one(): pass"), ("b.py", "create", 1, "def two(): pass"))
     run(streams.periodic(streams.changes(spark, feed), batch, cp))
-    assert {r["name"] for r in symbols.read().collect()} == {"one", "two"}
-    put(("b.py", "modify", 5, bytearray(b"def three(): pass")), ("a.py", "delete", 6, None))
+    assert {r["name"] for r in stores.read("symbols").collect()} == {"one", "two"}
+    put(("b.py", "modify", 5, "def three(): pass"), ("a.py", "delete", 6, None))
     run(streams.periodic(streams.changes(spark, feed), batch, cp))
-    assert {r["name"] for r in symbols.read().collect()} == {"three"} and files.read().count() == 1
-    assert events.read().first()["stale"]
-    before = symbols.versions()
+    assert {r["name"] for r in stores.read("symbols").collect()} == {"three"} and stores.read("files").count() == 1
+    assert stores.read("events").first()["stale"]
+    before = stores.versions()
     run(streams.periodic(streams.changes(spark, feed), batch, cp))
-    assert symbols.versions() == before
+    assert stores.versions() == before
 
 
 def test_reindex_drops_a_file_from_every_store(spark, tmp_path):
-    root = f"file://{tmp_path}"
-    stores = {
-        "files": BucketStore(spark, f"{root}/files", FILES, "path"), "symbols": BucketStore(spark, f"{root}/symbols", SYMBOLS), "words": BucketStore(spark, f"{root}/words", schemas.POSTINGS),
-        "vectors": BucketStore(spark, f"{root}/vectors", "file string, name string"), "nodes": BucketStore(spark, f"{root}/nodes", schemas.NODES, "id"), "edges": BucketStore(spark, f"{root}/edges", schemas.EDGES, "src"),
-    }
+    stores = Stores(spark, f"file://{tmp_path}", STORES, buckets=16)
 
     class Cache:
         cleared = 0
@@ -56,33 +66,118 @@ def test_reindex_drops_a_file_from_every_store(spark, tmp_path):
             self.cleared += 1
 
     cache = Cache()
-    batch = streams.reindex(**stores, caches=(cache,), embed=lambda symbols: symbols.select("file", "name"))
-
-    def put(*rows):
-        batch(spark.createDataFrame([(p, a, AT + dt.timedelta(seconds=s), bytearray(c.encode()) if c else None) for p, a, s, c in rows], streams.CHANGES), 0)
-
-    put(("a.py", "create", 1, "def one():\n    two()\n"), ("b.py", "create", 1, "class Two:\n    'Counts apples.'\n"), *((f"c{i}.py", "create", 1, f"def worker_{i}(): pass") for i in range(20)))
-    names = {r["name"] for r in stores["symbols"].read().collect()}
+    batch = streams.reindex(stores, (cache,), embed)
+    batch(feed_rows(spark, ("a.py", "create", 1, "def one():\n    two()\n"), ("b.py", "create", 1, "class Two:\n    'Counts apples.'\n"), *((f"c{i}.py", "create", 1, f"def worker_{i}(): pass") for i in range(20))), 0)
+    names = {r["name"] for r in stores.read("symbols").collect()}
     assert {"one", "Two", "worker_0", "worker_19"} <= names and len(names) == 22 and cache.cleared == 1
-    assert {r["name"] for r in stores["vectors"].read().collect()} == names
-    assert stores["edges"].read().where("rel = 'CALLS' and dst = 'symbol::two'").count() == 1
-    assert stores["words"].read().where("word = 'apples'").count() == 1 and stores["nodes"].read().where("id = 'b.py::Two'").count() == 1
-
-    def stamps():
-        return {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "symbols").glob("file_bucket=*/*.parquet")}
-
-    before = stamps()
-    put(("a.py", "delete", 2, None), ("b.py", "modify", 2, "def three(): pass"))
-    after = stamps()
+    assert {r["name"] for r in stores.read("vectors").collect()} == names
+    assert stores.read("edges").where("rel = 'CALLS' and dst = 'symbol::two'").count() == 1
+    assert stores.read("words").where("word = 'apples'").count() == 1 and stores.read("nodes").where("id = 'b.py::Two'").count() == 1
+    folders = lambda: {f[1] for f in stores.state().stores["symbols"].folders}
+    before = folders()
+    batch(feed_rows(spark, ("a.py", "delete", 2, None), ("b.py", "modify", 2, "def three(): pass")), 1)
+    after = folders()
     for name, column in (("files", "path"), ("symbols", "file"), ("words", "file"), ("vectors", "file"), ("nodes", "file")):
-        rows = stores[name].read()
+        rows = stores.read(name)
         assert rows.where(f"{column} = 'a.py'").isEmpty() and not rows.where(f"{column} = 'c7.py'").isEmpty()
-    edges = stores["edges"].read()
+    edges = stores.read("edges")
     assert edges.where("src like 'a.py%' or dst like 'a.py%' or src like '%Two' or dst like '%Two'").isEmpty() and edges.where("src = 'b.py::three'").count() == 1
-    assert {r["name"] for r in stores["symbols"].read().where("file = 'b.py'").collect()} == {"three"}
-    assert sum(after.get(k) != v for k, v in before.items()) <= 2 and cache.cleared == 2
-    put(("b.py", "modify", 3, "def three(): pass"))
-    assert stamps() == after and cache.cleared == 2
+    assert {r["name"] for r in stores.read("symbols").where("file = 'b.py'").collect()} == {"three"}
+    assert len(before - after) <= 2 and cache.cleared == 2
+    batch(feed_rows(spark, ("b.py", "modify", 3, "def three(): pass")), 2)
+    assert folders() == after and cache.cleared == 2
+
+
+def contents(stores):
+    hide = {"indexed_at", "seq"}
+    return {n: sorted(repr(tuple(r[c] for c in stores.columns[n] if c not in hide)) for r in stores.read(n).collect()) for n in stores.tables}
+
+
+@pytest.mark.parametrize("fail", [*STORES, "publish", "after"])
+def test_a_failed_batch_leaves_nothing_and_runs_again(spark, tmp_path, monkeypatch, fail):
+    first = [("a.py", "create", 1, "def one():\n    two()\n"), ("b.py", "create", 1, "def two(): pass")]
+    second = [("a.py", "delete", 2, None), ("b.py", "modify", 2, "def three():\n    one()\n"), ("c.py", "create", 2, "class Four: pass")]
+    outcome = {}
+    for place in ("clean", "broken"):
+        stores = Stores(spark, f"file://{tmp_path}/{place}", STORES)
+        stores.store("events").append(spark.createDataFrame([("1", "edit a.py", {}, AT, None, None, None), ("2", "edit b.py", {}, AT, None, None, None)], schemas.EPISODES))
+        batch = streams.reindex(stores, embed=embed)
+        batch(feed_rows(spark, *first), 0)
+        if place == "broken":
+            before, stage, publish = contents(stores), stores._stage, stores._publish
+
+            def broken_stage(base, name, change):
+                out = stage(base, name, change)
+                if name == fail:
+                    raise OSError("the disk is full")
+                return out
+
+            def broken_publish(*args):
+                if fail == "after":
+                    publish(*args)
+                raise OSError("the driver died")
+
+            with monkeypatch.context() as patch:
+                patch.setattr(stores, "_stage", broken_stage)
+                if fail in ("publish", "after"):
+                    patch.setattr(stores, "_publish", broken_publish)
+                with pytest.raises(OSError, match="disk|died"):
+                    batch(feed_rows(spark, *second), 1)
+            if fail != "after":
+                assert contents(stores) == before
+        batch(feed_rows(spark, *second), 1)
+        versions = stores.versions()
+        batch(feed_rows(spark, *second), 1)
+        assert stores.versions() == versions
+        outcome[place] = contents(stores)
+    assert outcome["clean"] == outcome["broken"]
+    stores.vacuum(keep=1, older_than=0)
+    assert contents(stores) == outcome["clean"] and len(stores.versions()) == 1
+
+
+def test_commits_meet(spark, tmp_path):
+    """Of two commits from one version, the second is laid over the first, or computed again where they touch the same rows."""
+    stores = Stores(spark, f"file://{tmp_path}", {"a": ("k string, v int", "k"), "log": ("k string, v int", None)})
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    key = lambda k: spark.createDataFrame([(k,)], "path string")
+    stores.store("a").append(rows(("x", 1), ("y", 1)))
+    calls = []
+
+    def raise_x(state):
+        calls.append(state.version)
+        if len(calls) == 1:
+            stores.store("log").append(rows(("z", 9)))
+            stores.store("a").replace(key("x"), rows(("x", 5)))
+        old = stores.read("a", state).where("k = 'x'")
+        return {"a": Change(old.selectExpr("k", "v + 1 AS v"), key("x"))}
+
+    stores.commit(raise_x)
+    assert {tuple(r) for r in stores.read("a").collect()} == {("x", 6), ("y", 1)} and len(calls) == 2
+    base = stores.state()
+    delta = {"log": stores._stage(base, "log", Change(rows(("w", 1))))}
+    stores.store("a").append(rows(("q", 1)))
+    stores._publish(base, delta, None, None)
+    assert stores.read("log").count() == 2 and stores.read("a").count() == 3
+    assert stores.changed(stores.versions()[-1]) == {"log"}
+    assert stores.read("a", 1).count() == 2
+
+
+def test_buckets_grow_and_folders_merge(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(commits, "MOST_FOLDERS", 3)
+    stores = Stores(spark, f"file://{tmp_path}", {"a": ("k string, v int", "k"), "log": ("v int", None)})
+    for i in range(5):
+        stores.store("log").append(spark.createDataFrame([(i,)], "v int"))
+        assert len(stores.state().stores["log"].folders) <= 4
+    assert sorted(r["v"] for r in stores.read("log").collect()) == [0, 1, 2, 3, 4]
+    stores.store("a").append(spark.range(1000).selectExpr("cast(id as string) k", "cast(id as int) v"))
+    monkeypatch.setattr(commits, "BUCKET_BYTES", 2000)
+    one = spark.createDataFrame([("7",)], "path string")
+    stores.store("a").replace(one, spark.createDataFrame([("7", -7)], "k string, v int"))
+    assert stores.state().stores["a"].buckets > 1 and stores.read("a").count() == 1000 and stores.read("a").where("v = -7").count() == 1
+    before = {f[1] for f in stores.state().stores["a"].folders}
+    monkeypatch.setattr(commits, "BUCKET_BYTES", 1 << 30)
+    stores.store("a").replace(one)
+    assert len(before - {f[1] for f in stores.state().stores["a"].folders}) == 1 and stores.read("a").count() == 999
 
 
 def test_gate_sheds_what_cannot_wait():
@@ -163,11 +258,38 @@ def test_useful_window_stream(spark, tmp_path):
     assert [(r["query_id"], r["file"]) for r in spark.table("useful").collect()] == [("q1", "f")]
 
 
-def test_prune_batch_and_breaker(spark, tmp_path):
-    table = Table(spark, f"file://{tmp_path}/m", "row_id long, importance double, created_at timestamp")
-    table.overwrite(spark.createDataFrame([(1, 0.9, AT), (2, 0.2, AT - dt.timedelta(days=30))], table.schema))
-    streams.prune_batch(table, F.lit(AT), f"file://{tmp_path}/archive")(None, 0)
-    assert [r["row_id"] for r in table.read().collect()] == [1] and spark.read.parquet(f"{tmp_path}/archive").count() == 1
+def test_prune_batch_loses_nothing_on_replay(spark, tmp_path, monkeypatch):
+    schema = "row_id long, importance double, created_at timestamp"
+    stores = Stores(spark, f"file://{tmp_path}/m", {"memories": (schema, "row_id"), "archive": (schema, None)})
+    stores.store("memories").append(spark.createDataFrame([(1, 0.9, AT), (2, 0.2, AT - dt.timedelta(days=30))], schema))
+    batch = streams.prune_batch(stores, F.lit(AT))
+    ids = lambda name: sorted(r["row_id"] for r in stores.read(name).collect())
+    with monkeypatch.context() as patch:
+        patch.setattr(stores, "_publish", lambda *args: (_ for _ in ()).throw(OSError("the driver died")))
+        with pytest.raises(OSError, match="died"):
+            batch(None, 0)
+    assert (ids("memories"), ids("archive")) == ([1, 2], [])
+    for _ in range(2):
+        batch(None, 0)
+        assert (ids("memories"), ids("archive")) == ([1], [2])
+    # what has come since is not pruned by a batch that is done
+    stores.store("memories").append(spark.createDataFrame([(3, 0.1, AT - dt.timedelta(days=99))], schema))
+    batch(None, 0)
+    assert (ids("memories"), ids("archive")) == ([1, 3], [2])
+    batch(None, 1)
+    assert (ids("memories"), ids("archive")) == ([1], [2, 3])
+
+
+def test_rotation_archives_once(spark, tmp_path):
+    schema = "id long, time timestamp"
+    stores = Stores(spark, f"file://{tmp_path}", {"events": (schema, "id"), "archive": (schema, None)})
+    stores.store("events").append(spark.createDataFrame([(i, AT + dt.timedelta(seconds=i // 2)) for i in range(20)], schema))
+    assert sinks.rotate_events(stores, stream="r", number=4, cap=20) == 4 and sinks.rotate_events(stores, stream="r", number=4, cap=10) == 0
+    assert sorted(r["id"] for r in stores.read("archive").collect()) == [0, 1, 2, 3] and stores.read("events").count() == 16
+    assert sinks.rotate_events(stores, cap=100) == 0
+
+
+def test_breaker():
     healthy = [False]
     breaker = streams.Breaker([lambda: healthy[0]])
     assert not breaker.allow(0.0) and not breaker.allow(10.0)

@@ -30,7 +30,42 @@ def test_life_cycle(spark, tmp_path, backend):
     assert store.queue.read().first()["entry_id"] == "1"
     assert store.dead_share().first()["rebuild"]
     store.compact()
-    assert [(r["row_id"], r["text"]) for r in store.search(q, 5).orderBy("row_id").collect()] == [(0, "c"), (1, "d")]
+    assert [(r["row_id"], r["text"]) for r in store.search(q, 5).orderBy("row_id").collect()] == [(2, "c"), (3, "d")]
+    assert store.queue.read().isEmpty() and store.marks.read().isEmpty()
+
+
+def test_compaction_is_one_step(spark, tmp_path, monkeypatch):
+    store = vector_store(spark, f"file://{tmp_path}/s")
+    store.add(spark.createDataFrame([(i, f"t{i}", 0.5, [1.0, float(i)]) for i in range(12)], "row_id long, text string, importance double, embedding array<float>"))
+    store.deprecate([0, 3], AT)
+    store.suppress(5, "copy", 0.95, AT)
+    store.suppress(6, "copy", 0.99, AT)
+    store.update_behaviour_score(7, 0.7, AT)
+    seen = lambda: sorted((r["row_id"], r["text"], r["behaviour_score"]) for r in vector.live(store.rows()).collect())
+    before, stage = seen(), store.stores._stage
+    for fail in ("rows", "updates", "marks", "cleanup", "publish"):
+        with monkeypatch.context() as patch:
+            patch.setattr(store.stores, "_stage", lambda base, name, change, fail=fail: (_ for _ in ()).throw(OSError("died")) if name == fail else stage(base, name, change))
+            if fail == "publish":
+                patch.setattr(store.stores, "_publish", lambda *args: (_ for _ in ()).throw(OSError("died")))
+            with pytest.raises(OSError, match="died"):
+                store.compact()
+        assert seen() == before
+    # a mark that is set while rows are compacted holds
+    publish = store.stores._publish
+
+    def meanwhile(*args):
+        monkeypatch.setattr(store.stores, "_publish", publish)
+        store.deprecate([8], AT)
+        return publish(*args)
+
+    monkeypatch.setattr(store.stores, "_publish", meanwhile)
+    store.compact()
+    assert seen() == [r for r in before if r[0] != 8] and store.base.read().count() == 8 and store.queue.read().isEmpty()
+    store.suppress(9, "copy", 0.95, AT)
+    store.suppress(10, "copy", 0.99, AT)
+    assert [r["entry_id"] for r in store.cleanup(AT + dt.timedelta(1), 1).collect()] == ["10"]
+    assert [r["entry_id"] for r in store.queue.read().collect()] in ([], ["9"]) and 10 not in [r["row_id"] for r in store.base.read().collect()]
 
 
 def test_unknown_backend(spark):

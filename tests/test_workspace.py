@@ -68,7 +68,7 @@ def test_memory_tools(ws):
     assert ws.learning_conflicts("we decided to keep decode_jwt pure").count() == 1
     assert ws.retrieve_learnings("decode_jwt", AT).count() == 1
     assert ws.org_search("decode_jwt pure").first()["source_repo"] == "/r/app"
-    assert ws.prune(AT + dt.timedelta(days=200)) == {"kept": 0, "pruned": 1}
+    assert ws.prune(AT + dt.timedelta(days=200)) == {"kept": 0, "pruned": 1} and ws.read("pruned").count() == 1
 
 
 def test_behaviour_tools(ws):
@@ -85,7 +85,16 @@ def test_behaviour_tools(ws):
     ws.append_exchange("s1", "hello", "hi there")
     assert ws.session_history().first()["assistant"] == "hi there"
     assert ws.session_brief().count() >= 2
-    assert ws.seed(ws.repo_path, AT)["learnings"] == 2 and ws.seed(ws.repo_path, AT)["learnings"] == 0
+    ws.record_feedback(q, True)
+    hits = lambda: {r["symbol"]: r["hit_count"] for r in ws.read("weights").collect()}
+    assert hits() == {"pkg/jwt.py::decode_jwt": 2.0}
+    now = dt.datetime.now()
+    assert ws.seed(ws.repo_path, now)["learnings"] == 2 and ws.seed(ws.repo_path, now)["learnings"] == 0
+    assert hits()["pkg/jwt.py::decode_jwt"] == 2.0 and 0 < hits()["main.py::verify_token"] <= 1
+    seeded = hits()["main.py::verify_token"]
+    ws.record_feedback(ws.record_query("verify", ["main.py::verify_token"], AT), True)
+    assert hits()["main.py::verify_token"] == seeded + 1 and hits()["pkg/jwt.py::decode_jwt"] == 2.0
+    assert ws.seed(ws.repo_path, now)["learnings"] == 0 and hits()["main.py::verify_token"] == seeded + 1
     golden = ws.spark.createDataFrame([("FUNCTION decode_jwt Decodes a token.", "decode_jwt", "jwt")], "query string, expected_symbol string, expected_file_pattern string")
     assert ws.benchmark(golden).first()["recall_at_1"] == 1.0
     assert {r["store"]: r["n"] for r in ws.status().collect()}["files"] == 3
