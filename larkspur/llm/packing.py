@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept, materialise, pieces, trim
-from .words import WordTokenizer, default_path
+from .words import PLAIN, WordTokenizer, default_path
 
 #: Characters of text that are cut into words at a time.
 PART = 1 << 20
@@ -78,13 +78,21 @@ class WordIds:
         except KeyError:
             return b"".join(map(self._known, words))
 
+    def _split(self, part: str) -> list[str]:
+        """Words of a part; one of Latin-1 characters alone, without a special string, needs no further look."""
+        try:
+            part.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.cut.words(part)
+        return self.cut.words(part) if "<|" in part else PLAIN(part.lower())
+
     def of(self, text: str | None) -> bytes:
         """Ids of a whole text.  No word holds a space, so long texts are cut there and their words come part by part."""
         start, found, text = 0, [], text or ""
         while start < len(text):
             stop = text.find(" ", start + PART)
             part = text if start == 0 and stop < 0 else text[start : stop if stop >= 0 else len(text)]
-            found.append(self._words(self.cut.words(part)))
+            found.append(self._words(self._split(part)))
             start += len(part)
         return found[0] if len(found) == 1 else b"".join(found)
 

@@ -28,6 +28,8 @@ def _class(chars: list[str]) -> str:
 _LETTER = _class([c for c in _LOW if unicodedata.category(c)[0] == "L"])
 _NUMBER = _class([c for c in _LOW if unicodedata.category(c)[0] == "N"])
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_class(list(_SPACE))}{_LETTER}{_NUMBER}]+")
+#: Words of a lower-case text below U+0300.
+PLAIN = _WORDS.findall
 _ODD = re.compile("[^\x00-˿]|İ")
 
 
