@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import node_id
 from ..session import written, written_rows
+from . import patterns
 
 # Node and edge types.
 NODE_TYPES = ("FILE", "FUNCTION", "CLASS", "CONCEPT", "QUERY", "SESSION", "USER_ACTION", "MEMORY", "ERROR")
@@ -62,40 +63,68 @@ def neighbours(edges: DataFrame, node: str, depth: int = 1, rel: str | None = No
     return bfs(edges, one(edges, node), depth, rel).where("hops > 0")
 
 
+def _between(edges: DataFrame, src: str, dst: str, most: int) -> tuple[int, DataFrame] | None:
+    """Steps between two nodes and ``(node, ahead, back)``: the nodes halfway with the smallest paths to and from them.
+
+    Both ends search, each time the one with fewer nodes at its edge, by whole steps; the first time that they meet is the
+    shortest way, and none is longer than needed to see that.  None where there is no path of up to ``most`` steps.
+    """
+    ahead = edges.select("src", "dst").distinct()
+    walks = (ahead, ahead.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    edge = [one(edges, node).select("node", F.array("node").alias("path")) for node in (src, dst)]
+    reached, size, steps = [e.select("node") for e in edge], [1, 1], [0, 0]
+    if src == dst:
+        return 0, edge[0].select("node", F.col("path").alias("ahead"), F.col("path").alias("back"))
+    while sum(steps) < most:
+        side = int(size[1] < size[0])
+        walk, further = walks[side], F.array_append("path", F.col("dst")) if side == 0 else F.array_prepend("path", F.col("dst"))
+        step = edge[side].join(walk, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), further.alias("path"))
+        step = step.groupBy("node").agg(F.min("path").alias("path")).join(reached[side], "node", "left_anti")
+        edge[side], size[side] = written_rows(step, "between")
+        if not size[side]:
+            return None
+        steps[side] += 1
+        reached[side] = reached[side].unionByName(edge[side].select("node"))
+        met = edge[0].withColumnRenamed("path", "ahead").join(edge[1].withColumnRenamed("path", "back"), "node")
+        if not met.isEmpty():
+            return sum(steps), met
+    return None
+
+
 def hop_distance(edges: DataFrame, src: str, dst: str, most: int = 10) -> DataFrame:
     """One row ``(src, dst, hops)``; null hops where there is no path of up to ``most`` steps."""
-    found = bfs(edges, one(edges, src), most).where(F.col("node") == dst).agg(F.min("hops").alias("hops"))
-    return found.select(F.lit(src).alias("src"), F.lit(dst).alias("dst"), "hops")
+    found = _between(edges, src, dst, most)
+    return edges.sparkSession.createDataFrame([(src, dst, found[0] if found else None)], "src string, dst string, hops int")
 
 
 def shortest_path(edges: DataFrame, src: str, dst: str, most: int = 10) -> DataFrame:
     """One row ``(path, hops)``: the smallest of the shortest paths; none where there is none."""
-    walk = edges.select("src", "dst").distinct()
-    reached = written(one(edges, src).select("node", F.array("node").alias("path")), "path")
-    frontier = reached
-    for _ in range(most):
-        if not frontier.where(F.col("node") == dst).isEmpty():
-            break
-        step = frontier.join(walk, frontier["node"] == walk["src"]).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
-        step = step.groupBy("node").agg(F.min("path").alias("path")).join(reached.select("node"), "node", "left_anti")
-        frontier, found = written_rows(step, "path")
-        if not found:
-            break
-        reached = reached.unionByName(frontier)
-    return reached.where(F.col("node") == dst).select("path", (F.size("path") - 1).alias("hops"))
+    found = _between(edges, src, dst, most)
+    if found is None:
+        return edges.sparkSession.createDataFrame([], "path array<string>, hops int")
+    whole = F.concat("ahead", F.slice("back", 2, F.greatest(F.size("back"), F.lit(1))))
+    return found[1].agg(F.min(whole).alias("path")).select("path", F.lit(found[0]).alias("hops"))
 
 
-def ego(nodes: DataFrame, edges: DataFrame, node: str, radius: int = 2, builtins: list[str] = BUILTIN_NAMES, max_nodes: int = 200, max_edges: int = 500) -> tuple[DataFrame, DataFrame]:
+def ego(nodes: DataFrame, edges: DataFrame, node: str, radius: int = 2, builtins: list[str] = BUILTIN_NAMES, max_nodes: int | None = None, max_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes within ``radius`` whatever the direction, and the edges among them.
 
-    Concepts named after a builtin are left out of the nodes, their edges stay.  ``max_nodes`` and ``max_edges`` bound
-    the report, nearest nodes first.
+    Concepts named after a builtin are left out of the nodes, their edges stay.  ``max_nodes`` cuts the report to the nearest
+    nodes and the edges among them, ``max_edges`` to the edges nearest to the start; without them nothing is left out.
     """
     around = bfs(undirected(edges), one(edges, node), radius)
     inside = edges.join(around.select(F.col("node").alias("src")), "src", "left_semi").join(around.select(F.col("node").alias("dst")), "dst", "left_semi")
     shown = around.join(nodes.withColumnRenamed("id", "node"), "node", "left")
     shown = shown.where(~((F.coalesce(F.col("type"), F.lit("")) == "CONCEPT") & F.regexp_replace("node", "^concept::", "").isin(list(builtins))))
-    return shown.orderBy("hops", "node").limit(max_nodes), inside.orderBy("src", "dst").limit(max_edges)
+    if max_nodes is not None:
+        shown = written(shown.orderBy("hops", "node").limit(max_nodes), "ego")
+        for end in ("src", "dst"):
+            inside = inside.join(shown.select(F.col("node").alias(end)), end, "left_semi")
+    if max_edges is not None:
+        hops = lambda end: around.select(F.col("node").alias(end), F.col("hops").alias(f"__{end}"))
+        near = inside.join(hops("src"), "src").join(hops("dst"), "dst")
+        inside = near.orderBy(F.col("__src") + F.col("__dst"), "src", "dst").limit(max_edges).select(*edges.columns)
+    return shown, inside
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -275,14 +304,16 @@ def roots(repos: DataFrame) -> DataFrame:
 def match_packages(packages: DataFrame, repos: DataFrame) -> DataFrame:
     """``(package, path)``: the repository of the same normalised name, else the first whose name holds it or is held by it.
 
-    Only names without an equal partner take the substring search, against the list of repositories.
+    Only names without an equal partner take the substring search, by their grams (``patterns.holding``).
     """
     names = F.regexp_replace(F.lower("package"), "[-_.]+", "-")
-    repo = repos.select("path", F.regexp_replace(F.lower("name"), "[-_.]+", "-").alias("repo"))
+    repo = written(repos.select("path", F.regexp_replace(F.lower("name"), "[-_.]+", "-").alias("repo")), "repos")
     left = packages.select("package", names.alias("norm")).distinct()
     equal = left.join(repo, left["norm"] == repo["repo"]).groupBy("package").agg(F.min("path").alias("path"))
-    rest = left.join(equal, "package", "left_anti").join(repo, F.contains("norm", "repo") | F.contains("repo", "norm"))
-    return equal.unionByName(rest.groupBy("package").agg(F.min("path").alias("path")))
+    rest = written(left.join(equal, "package", "left_anti"), "packages")
+    held = patterns.holding(rest, repo, "package", "norm", "repo").join(repo, F.col("pattern") == F.col("repo")).select(F.col("id").alias("package"), "path")
+    holds = patterns.holding(repo, rest, "path", "repo", "norm").join(rest, F.col("pattern") == F.col("norm")).select("package", F.col("id").alias("path"))
+    return equal.unionByName(held.unionByName(holds).groupBy("package").agg(F.min("path").alias("path")))
 
 
 def inferred_links(imported: DataFrame, repos: DataFrame) -> DataFrame:

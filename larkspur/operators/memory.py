@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, scores
 from ..functions.text import whitespace_words
-from . import ordered, text_search, vector
+from . import ordered, patterns, text_search, vector
 
 ROTATE_AT, ROTATE_SHARE = 10_000, 0.2
 
@@ -59,8 +59,9 @@ def rotate(events: DataFrame, cap: int = ROTATE_AT, time_col: str = "time", id_c
     n = events.count()
     if n < cap:
         return events, events.limit(0)
-    old = events.orderBy(time_col, id_col).limit(max(1, int(n * ROTATE_SHARE)))
-    return events.join(old.select(id_col), id_col, "left_anti"), old
+    places = ordered.numbered(events, [time_col, id_col], "__place")
+    share = max(1, int(n * ROTATE_SHARE))
+    return places.where(F.col("__place") > share).drop("__place"), places.where(F.col("__place") <= share).drop("__place")
 
 
 def mark_stale(events: DataFrame, path: str, reason: str = "file removed") -> DataFrame:
@@ -78,9 +79,10 @@ def newly_stale(events: DataFrame, paths: DataFrame, reason: str = "file removed
 
 
 def mark_stale_any(events: DataFrame, paths: DataFrame, reason: str = "file removed") -> DataFrame:
-    """Flag events that mention any of ``paths(path)``: the few paths are matched against each event's text, event by event once."""
+    """Flag events that mention any of ``paths(path)``; texts and paths meet by their grams (``patterns.holding``)."""
     text = F.concat(F.coalesce("event", F.lit("")), F.coalesce(F.to_json("metadata"), F.lit("")))
-    hit = events.select("id", text.alias("__text")).join(paths.select("path"), F.expr("contains(__text, path)"), "left_semi").select("id").distinct().withColumn("__hit", F.lit(True))
+    found = patterns.holding(events.select("id", text.alias("text")), paths.select(F.col("path").alias("pattern")))
+    hit = found.select("id").distinct().withColumn("__hit", F.lit(True))
     rows = events.join(hit, "id", "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)) & ~F.coalesce("stale", F.lit(False)))
     rows = rows.withColumn("stale_reason", F.when(F.col("__hit"), F.lit(reason)).otherwise(F.col("stale_reason")))
     return rows.withColumn("stale", F.coalesce("stale", F.lit(False)) | F.col("__hit")).select(*events.columns)

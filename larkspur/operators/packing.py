@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import token_estimate
+from . import ordered
 
 CODE_FIRST_SHARE, DOC_FIRST_SHARE = 0.2, 0.4
 BUNDLE_BUDGETS = {"STANDARD": 6_000, "COMPLEX": 12_000, "EXPERT": 24_000}
@@ -88,5 +89,5 @@ def prefix_budget(rows: DataFrame, group: str, order: list, budget: int, text_co
 def trim_bundle(parts: DataFrame, tier: str = "COMPLEX") -> DataFrame:
     """Parts ``(kind, place, text)`` of a context bundle within the tier's budget: episodes go first, then graph, then memories."""
     keep = F.when(F.col("kind") == "memory", 0).when(F.col("kind") == "graph", 1).otherwise(2)
-    run = F.sum(token_estimate("text", 0)).over(Window.partitionBy(F.lit(0)).orderBy(keep, "place"))
-    return parts.withColumn("running_tokens", run).where(F.col("running_tokens") <= BUNDLE_BUDGETS.get(tier, BUNDLE_BUDGETS["COMPLEX"]))
+    run = ordered.running_sum(parts.withColumn("__keep", keep), ["__keep", "place"], token_estimate("text", 0), "running_tokens")
+    return run.where(F.col("running_tokens") <= BUNDLE_BUDGETS.get(tier, BUNDLE_BUDGETS["COMPLEX"])).drop("__keep")

@@ -202,7 +202,23 @@ def fast_path(docs: DataFrame, index: DataFrame, word: str, path_col: str = "fil
 
 
 def containing_symbol(lines: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The innermost symbol around each ``(file, line)``: greatest start at or before it, with an end at or after it."""
-    inside = lines.join(symbols, "file").where("start_line <= line and end_line >= line")
-    place = F.row_number().over(Window.partitionBy("file", "line").orderBy(F.desc("start_line"), "end_line", "name"))
-    return inside.withColumn("place", place).where("place = 1").drop("place")
+    """The innermost symbol around each ``(file, line)``: greatest start at or before it, with an end at or after it.
+
+    A symbol's lines are cut into blocks of a power of two, at most two of each size, and a block keeps the innermost of
+    its symbols; a line lies in one block of each size.  So lines and symbols of a file never meet in pairs: a line looks
+    up one row per size of block that there is, thirty at most.
+    """
+    others = [c for c in symbols.columns if c not in ("file", "start_line", "end_line", "name")]
+    rank = F.struct((-F.col("start_line")).alias("before"), "end_line", "name", "start_line", *others)
+    sized = symbols.where("end_line >= start_line").withColumn("size", F.explode(F.sequence(F.lit(0), F.lit(30))))
+    sized = sized.withColumn("low", F.expr("shiftright(cast(start_line as bigint) + shiftleft(1L, size) - 1, size)")).withColumn("high", F.expr("shiftright(cast(end_line as bigint) + 1, size)"))
+    # a block stands where it lies within the symbol and the block twice its size does not
+    ends = F.array(F.when(F.col("low") % 2 != 0, F.col("low")), F.when(F.col("high") % 2 != 0, F.col("high") - 1))
+    blocks = sized.where("low < high").select("file", "size", rank.alias("symbol"), F.explode(F.array_compact(ends)).alias("block"))
+    best = written(blocks.groupBy("file", "size", "block").agg(F.min("symbol").alias("symbol")), "blocks")
+    sizes = [r["size"] for r in best.select("size").distinct().collect()]  # 31 at most
+    each = lines.dropDuplicates(["file", "line"])
+    keys = each.select("file", "line", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")).alias("size"))
+    keys = keys.withColumn("block", F.expr("shiftright(cast(line as bigint), size)"))
+    found = keys.join(best, ["file", "size", "block"]).groupBy("file", "line").agg(F.min("symbol").alias("symbol"))
+    return each.join(found, ["file", "line"]).select(*lines.columns, *[F.col(f"symbol.{c}").alias(c) for c in symbols.columns if c != "file"])

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.text import col
+from ..session import written
 
 
 class Embedder(Protocol):
@@ -152,25 +153,106 @@ def knn_join(queries: DataFrame, rows: DataFrame, k: int, vector_col: str = "emb
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
+#: Pivots of a join within a radius at most, and rows and queries of one block.
+PIVOTS, NEAR_ROWS, NEAR_QUERIES = 1024, 16_384, 2048
+
+
+def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    d2 = (vectors**2).sum(1)[:, None] - 2 * vectors @ pivots.T + (pivots**2).sum(1)[None]
+    return np.sqrt(np.maximum(d2, 0))
+
+
+def near_join(queries: DataFrame, rows: DataFrame, radius: float, vector_col: str = "embedding", id_col: str = "row_id", query_id: str = "query_id") -> DataFrame:
+    """``(query_id, row_id, d2)``: all pairs no further apart than ``radius``, without looking at all pairs.
+
+    Rows are listed under the nearest of some pivots, which are rows themselves, and within a list by rings of their distance
+    to it.  By the triangle inequality a row near a query lies in a ring within ``radius`` of the query's own distance to the
+    pivot, and under a pivot that is no more than twice the radius further from the query than the nearest.  Only those
+    rings are looked at, in blocks of bounded size on both sides.  Null vectors are near nothing.
+    """
+    spark = rows.sparkSession
+    held = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+    asked = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
+    number = int(min(PIVOTS, max(1, round(held.count() ** 0.5))))
+    found = [r["v"] for r in held.orderBy(F.xxhash64("id"), "id").limit(number).select("v").collect()]  # PIVOTS vectors at most
+    if not found:
+        return spark.createDataFrame([], "query_id long, row_id long, d2 double")
+    pivots, slack = np.array(found, np.float64), 1e-6
+    width = max(radius / 2, slack)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                far = _distances(np.array(part.column(1).to_pylist(), np.float64), pivots)
+                best = far.argmin(1)
+                ring = np.floor(far[np.arange(len(best)), best] / width)
+                yield pa.RecordBatch.from_arrays([pa.array(best, pa.int32()), pa.array(ring.astype(np.int32)), part.column(0), part.column(1)], ["list", "ring", "id", "v"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                far = _distances(np.array(part.column(1).to_pylist(), np.float64), pivots)
+                low = np.floor(np.maximum(far - radius - slack, 0) / width).astype(np.int32)
+                high = np.floor((far + radius + slack) / width).astype(np.int32)
+                q, c = np.nonzero(far <= far.min(1)[:, None] + 2 * radius + slack)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(low[q, c]), pa.array(high[q, c]), part.column(0).take(pa.array(q)), part.column(1).take(pa.array(q))], ["list", "low", "high", "id", "v"])
+
+    placed = written(held.mapInArrow(place, "list int, ring int, id long, v array<double>"), "placed")
+    sizes = placed.groupBy("list", "ring").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / NEAR_ROWS).cast("int"))
+    # a query goes to the rings that have rows
+    probes = asked.mapInArrow(probe, "list int, low int, high int, id long, v array<double>").select("list", F.explode(F.sequence("low", "high")).alias("ring"), "id", "v")
+    wanted = written(probes.join(sizes, ["list", "ring"]).select("list", "ring", "blocks", "id", "v"), "probes")
+    parts = wanted.groupBy("list", "ring").agg(F.ceil(F.count("*") / NEAR_QUERIES).cast("int").alias("parts"))
+    left = wanted.join(parts, ["list", "ring"]).select("list", "ring", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("r"), F.lit(0).alias("side"), "id", "v")
+    both = sizes.join(parts, ["list", "ring"])
+    right = placed.join(both, ["list", "ring"]).select("list", "ring", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("r"), F.lit(1).alias("side"), "id", "v")
+
+    def near(table: pa.Table) -> pa.Table:
+        side, ids = table["side"].to_numpy(), table["id"].to_numpy()
+        vectors = np.array(table["v"].to_pylist(), np.float64)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out: list[list] = [[], [], []]
+        for at in range(0, len(a), 256):
+            some = a[at : at + 256]
+            i, j = np.nonzero(_distances(vectors[some], vectors[b]) <= radius + slack) if len(b) else (np.zeros(0, int), np.zeros(0, int))
+            exact = ((vectors[some][i] - vectors[b][j]) ** 2).sum(1)
+            keep = exact <= radius * radius
+            for x, y in zip(out, (ids[some][i][keep], ids[b][j][keep], exact[keep]), strict=True):
+                x.append(y)
+        whole = [np.concatenate(x) if x else np.zeros(0) for x in out]
+        return pa.table({"query_id": pa.array(whole[0].astype(np.int64)), "row_id": pa.array(whole[1].astype(np.int64)), "d2": pa.array(whole[2].astype(np.float64))})
+
+    return left.unionByName(right).groupBy("list", "ring", "q", "r").applyInArrow(near, "query_id long, row_id long, d2 double")
+
+
+def _radius(above: float) -> float:
+    """How far apart vectors of at least that similarity are."""
+    return float(np.sqrt(2 * max(1 - above, 0))) * (1 + 1e-9)
+
+
 def novel(candidates: DataFrame, store: DataFrame, above: float = scores.NOVEL_ABOVE, vector_col: str = "embedding", id_col: str = "row_id") -> DataFrame:
-    """Candidates whose nearest stored vector is no more similar than ``above``."""
-    top = knn_join(candidates.withColumnRenamed(id_col, "query_id"), store, 1, vector_col, id_col)
-    known = top.where(scores.similarity("d2") > above).select(F.col("query_id").alias(id_col))
+    """Candidates that no stored vector but their own row is more similar to than ``above``."""
+    near = near_join(candidates.withColumnRenamed(id_col, "query_id"), store, _radius(above), vector_col, id_col)
+    known = near.where((scores.similarity("d2") > above) & (F.col("query_id") != F.col("row_id"))).select(F.col("query_id").alias(id_col)).distinct()
     return candidates.join(known, id_col, "left_anti")
 
 
 def suppressed_by(candidates: DataFrame, store: DataFrame, above: float = scores.SUPPRESS_ABOVE, k: int = 5, vector_col: str = "embedding", id_col: str = "row_id") -> DataFrame:
-    """``(row_id, by, similarity)``: stored rows to suppress as near-copies of a new one.
+    """``(row_id, by, similarity)``: stored rows to suppress as near-copies of a new one, which may be stored itself.
 
-    Among a candidate's ``k`` nearest, those more similar than ``above``, unless they were found automatically and are at
-    least as important as the candidate.
+    Among a candidate's ``k`` nearest other rows, those more similar than ``above``, unless they were found automatically
+    and are at least as important as the candidate.
     """
-    top = knn_join(candidates.withColumnRenamed(id_col, "query_id"), store, k, vector_col, id_col)
+    near = near_join(candidates.withColumnRenamed(id_col, "query_id"), store, _radius(above), vector_col, id_col).where("query_id <> row_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "row_id"))
+    top = near.withColumn("similarity", scores.similarity("d2")).where(F.col("similarity") > above).withColumn("place", place).where(F.col("place") <= k)
     new = candidates.select(F.col(id_col).alias("query_id"), F.col("importance").alias("new_importance"))
     old = store.select(F.col(id_col).alias("row_id"), "importance", "source")
-    near = top.withColumn("similarity", scores.similarity("d2")).where(F.col("similarity") > above).join(new, "query_id").join(old, "row_id")
+    found = top.join(new, "query_id").join(old, "row_id")
     spared = (F.coalesce(F.col("source"), F.lit("")) == "auto_discovery") & (F.col("importance") >= F.col("new_importance"))
-    return near.where(~spared).select("row_id", F.col("query_id").alias("by"), "similarity")
+    return found.where(~spared).select("row_id", F.col("query_id").alias("by"), "similarity")
 
 
 def greedy_novel(candidates: DataFrame, group_col: str, above: float = scores.NOVEL_ABOVE, vector_col: str = "embedding", id_col: str = "row_id") -> DataFrame:

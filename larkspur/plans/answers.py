@@ -53,13 +53,15 @@ def percentiles_overall(spark, d):
 
 # ── retrieval ───────────────────────────────────────────────────────────────────────────────────────────────────────
 
-_ASKED = ("what is fetch_item in store/app.py", "fix parseTree now", "nothing to see", "a_b and HTTPServer", "")
+_LETTERS = "translate({}::VARCHAR, '0123456789', 'qzxjkvbwyp')"
 
 
-@query("""VALUES (0, 'fetch_item,store/app.py'), (1, 'parseTree,parse,tree'), (2, ''), (3, 'a_b,HTTPServer,http,server'), (4, '')""")
+@query(f"""SELECT conv_id, turn, 'fetch_' || {_LETTERS.format('conv_id')} || ',store/app_' || {_LETTERS.format('turn')} || '.py' AS names FROM conversations""")
 def query_entities(spark, d):
-    rows = spark.createDataFrame(list(enumerate(_ASKED)), "col0 int, q string")
-    return rows.select("col0", F.array_join(T.entities("q"), ",").alias("col1"))
+    """Entities of a question for every turn: a name and a file."""
+    letters = lambda c: F.translate(F.col(c).cast("string"), "0123456789", "qzxjkvbwyp")
+    asked = F.concat(F.lit("what is fetch_"), letters("conv_id"), F.lit(" in store/app_"), letters("turn"), F.lit(".py"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.entities(asked), ",").alias("names"))
 
 
 @query("SELECT conv_id, turn, regexp_matches(lower(text), '\\b(how does|overview|architecture|what is|explain|describe|why does|design|purpose|history|background|changelog|readme|documentation)\\b') AS doc FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Explain ' || text ELSE text END AS text FROM conversations)")
@@ -68,13 +70,14 @@ def doc_intent(spark, d):
     return asked.select("conv_id", "turn", F.col("text").rlike(rules.DOC_INTENT).alias("doc"))
 
 
-@query("SELECT false AS low UNION ALL SELECT true UNION ALL SELECT false")
+@query("""WITH r AS (SELECT p_brand, CASE WHEN p_size % 3 = 0 THEN 'code' ELSE 'doc' END AS bucket, p_partkey % 100 / 4e2 AS v FROM part),
+b AS (SELECT max(v) FILTER (WHERE bucket = 'code') AS code, coalesce(max(v) FILTER (WHERE bucket = 'doc'), 0) AS doc FROM r WHERE p_brand = 'Brand#13')
+SELECT coalesce(code < 25e-2, false) AND doc < 25e-2 AS low FROM b UNION ALL SELECT false FROM b""")
 def confidence_gate(spark, d):
-    """Whether results are too weak to answer from: strong code, weak code, and weak code for a question about documents."""
-    code = "CLASS Store in app.py:3"
-    weak = spark.createDataFrame([(code, 0.1, 0.2), ("a note", 0.1, 0.1)], "text string, vector_score double, final_score double")
-    strong = spark.createDataFrame([(code, 0.5, 0.6)], weak.schema)
-    return hybrid.low_confidence(strong, "where is Store").unionByName(hybrid.low_confidence(weak, "where is Store")).unionByName(hybrid.low_confidence(weak, "explain Store"))
+    """Whether results, the parts of one brand, are too weak to answer from; for a question about documents they never are."""
+    text = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("CLASS n"), "p_partkey", F.lit(" in app.py:"), "p_size")).otherwise(F.concat(F.lit("a note on "), "p_name"))
+    rows = table(spark, d, "part").where("p_brand = 'Brand#13'").select(text.alias("text"), (F.col("p_partkey") % 100 / F.lit(400.0)).alias("vector_score"), F.lit(0.5).alias("final_score"))
+    return hybrid.low_confidence(rows, "where is Store").unionByName(hybrid.low_confidence(rows, "explain Store"))
 
 
 @query("""SELECT p_brand || '::' || p_type AS id, 'CLASS ' || p_type || ' in ' || p_brand || ':' || min(p_partkey) || ' — Sizes.' AS text FROM part WHERE p_type IN ('ECONOMY', 'PROMO') GROUP BY p_brand, p_type""")
@@ -111,10 +114,12 @@ def line_window(spark, d):
     return docs.select(F.col("doc_id").alias("id"), text_search.window_around(docs, (F.col("doc_id") % 4 + 1).cast("int"), 2).alias("shown"))
 
 
-@query("SELECT tier, top_k, episodes FROM (VALUES ('QUICK', 4, 1), ('STANDARD', 5, 3), ('COMPLEX', 10, 5), ('EXPERT', 20, 10), ('ODD', 4, 1)) v(tier, top_k, episodes)")
+@query("SELECT c_custkey AS id, tier, top_k, episodes FROM (SELECT c_custkey, (c_custkey % 5)::INT AS k FROM customer) JOIN (VALUES (0, 'QUICK', 4, 1), (1, 'STANDARD', 5, 3), (2, 'COMPLEX', 10, 5), (3, 'EXPERT', 20, 10), (4, 'ODD', 4, 1)) v(k, tier, top_k, episodes) USING (k)")
 def tier_sizes(spark, d):
-    rows = spark.createDataFrame([(t,) for t in ("QUICK", "STANDARD", "COMPLEX", "EXPERT", "ODD")], "tier string")
-    return rows.select("tier", rules.tier_retrieval("tier", 4, 1).alias("x")).select("tier", "x.top_k", "x.episodes")
+    """How much each customer's tier fetches, at least what is asked for."""
+    tier = F.element_at(F.array(*map(F.lit, ("QUICK", "STANDARD", "COMPLEX", "EXPERT", "ODD"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), tier.alias("tier"))
+    return rows.select("id", "tier", rules.tier_retrieval("tier", 4, 1).alias("x")).select("id", "tier", "x.top_k", "x.episodes")
 
 
 @query("""SELECT kind, place FROM (SELECT kind, place, sum(length(text) // 4) OVER (ORDER BY CASE kind WHEN 'memory' THEN 0 WHEN 'graph' THEN 1 ELSE 2 END, place) AS upto
@@ -129,7 +134,7 @@ def bundle_trim(spark, d):
 
 
 @query("""WITH c AS (SELECT DISTINCT 'concept::' || CASE p_partkey % 3 WHEN 0 THEN 'len' WHEN 1 THEN 'print' ELSE p_name || p_size END AS id FROM part)
-SELECT node, hops, type FROM (SELECT 'hub' AS node, 0 AS hops, 'FILE' AS type UNION ALL SELECT id, 1, 'CONCEPT' FROM c WHERE id NOT IN ('concept::len', 'concept::print')) ORDER BY hops, node LIMIT 200""")
+SELECT node, hops, type FROM (SELECT 'hub' AS node, 0 AS hops, 'FILE' AS type UNION ALL SELECT id, 1, 'CONCEPT' FROM c WHERE id NOT IN ('concept::len', 'concept::print'))""")
 def ego_without_builtins(spark, d):
     name = F.when(F.col("p_partkey") % 3 == 0, "len").when(F.col("p_partkey") % 3 == 1, "print").otherwise(F.concat("p_name", "p_size"))
     ids = table(spark, d, "part").select(F.concat(F.lit("concept::"), name).alias("id")).distinct()

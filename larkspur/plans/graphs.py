@@ -61,12 +61,12 @@ def shortest_path(spark, d):
     return graph.shortest_path(edges, "c:1", region).select(F.array_join("path", ">").alias("path"), "hops")
 
 
-@query(f"{_bfs_sql('r:0', 2, 'u')} SELECT m.node, m.hops, nodes.type FROM m LEFT JOIN nodes ON nodes.id = m.node ORDER BY hops, node LIMIT 200")
+@query(f"{_bfs_sql('r:0', 2, 'u')} SELECT m.node, m.hops, nodes.type FROM m LEFT JOIN nodes ON nodes.id = m.node")
 def ego_subgraph(spark, d):
     return graph.ego(_nodes(spark, d), _edges(spark, d), "r:0", 2)[0].select("node", "hops", "type")
 
 
-@query(f"{_bfs_sql('r:0', 2, 'u')} SELECT src, dst, rel FROM e WHERE src IN (SELECT node FROM m) AND dst IN (SELECT node FROM m) ORDER BY src, dst LIMIT 500")
+@query(f"{_bfs_sql('r:0', 2, 'u')} SELECT src, dst, rel FROM e WHERE src IN (SELECT node FROM m) AND dst IN (SELECT node FROM m)")
 def ego_edges(spark, d):
     return graph.ego(_nodes(spark, d), _edges(spark, d), "r:0", 2)[1].select("src", "dst", "rel")
 

@@ -205,11 +205,28 @@ def _any(col: str, signals) -> str:
 _TYPE = f"CASE WHEN {_any('l', rules.CORRECTION)} THEN 'correction' WHEN {_any('l', rules.PROD_ISSUE)} THEN 'prod_issue' WHEN {_any('l', rules.DECISION)} THEN 'decision' END"
 
 
-@query(f"""SELECT i, type, CASE WHEN {_any('l', rules.GLOBAL_SCOPE)} OR (type = 'correction' AND {_any('l', rules.GLOBAL_CORRECTION)}) THEN 'global' ELSE 'project' END AS scope
-FROM (SELECT i, l, {_TYPE} AS type FROM (SELECT i, lower(t) AS l FROM (VALUES {_values(_TEXTS)}) v(i, t)))""")
+#: What some rows of a table say beside their own words, so that every rule meets texts of the table.
+_SAYS = "SELECT doc_id AS id, substr(coalesce(text, ''), 1, 200) AS own, {} AS said FROM documents"
+
+
+def _said(texts, key: str) -> str:
+    return f"list_extract([{', '.join(_quoted(t) for t in texts)}], (({key}) % {len(texts)} + 1)::INT)"
+
+
+def _quoted(text: str) -> str:
+    return "'{}'".format(text.replace("'", "''"))
+
+
+def _say(texts, key):
+    return F.element_at(F.array(*map(F.lit, texts)), (key % len(texts) + 1).cast("int"))
+
+
+@query(f"""SELECT id, type, CASE WHEN {_any('l', rules.GLOBAL_SCOPE)} OR (type = 'correction' AND {_any('l', rules.GLOBAL_CORRECTION)}) THEN 'global' ELSE 'project' END AS scope
+FROM (SELECT id, l, {_TYPE} AS type FROM (SELECT id, lower(own || ' ' || said) AS l FROM ({_SAYS.format(_said(_TEXTS, 'doc_id'))})))""")
 def learning_auto_tag(spark, d):
-    rows = spark.createDataFrame(list(enumerate(_TEXTS)), "i int, text string")
-    return memory.tagged(rows).select("i", "type", "scope")
+    """Learnings told from documents, each with a sentence that some rule may know."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 200), F.lit(" "), _say(_TEXTS, F.col("doc_id"))).alias("text"))
+    return memory.tagged(rows).select("id", "type", "scope")
 
 
 _QUESTIONS = (
@@ -238,7 +255,7 @@ def _hits(col: str, signals) -> str:
 
 
 _CLASSIFY = f"""
-WITH q AS (SELECT i, trim(t) AS t, lower(trim(t)) AS l, list_filter(string_split_regex(lower(trim(t)), '\\s+'), lambda x: x <> '') AS w FROM (VALUES {_values(_QUESTIONS)}) v(i, t)),
+WITH q AS (SELECT i, trim(t) AS t, lower(trim(t)) AS l, list_filter(string_split_regex(lower(trim(t)), '\\s+'), lambda x: x <> '') AS w FROM (SELECT conv_id || ':' || turn AS i, {_said(_QUESTIONS, 'conv_id + turn')} || CASE WHEN conv_id % 2 = 0 THEN ' ' || substr(coalesce(text, ''), 1, 120) ELSE '' END AS t FROM conversations)),
 s AS (SELECT *, 3e0 * {_hits('l', rules.REASONING)} - 2e0 * {_hits('l', rules.LOOKUP)}
     + 2e0 * len(list_filter(range(1, len(w) + 1), lambda k: w[k] IN ('it', 'this', 'that', 'they', 'them') AND NOT (k > 1 AND regexp_matches(w[k - 1], '[a-zA-Z_]{{3,}}'))))
     + 15e-1 * greatest(len(list_distinct(list_filter(list_transform(string_split_regex(l, '[\\s,;:"''()\\[\\]{{}}]+'), lambda x: trim(x, '.')), lambda x: length(x) >= 2 AND ((contains(x, '_') AND regexp_full_match(replace(x, '_', ''), '[a-z]+')) OR regexp_matches(x, '\\.[a-z]{{1,4}}$'))))) - 2, 0)
@@ -251,7 +268,9 @@ SELECT i, override, CASE WHEN override IN ('single_token', 'docs_query') THEN 'Q
 
 @query(_CLASSIFY)
 def classify_tier(spark, d):
-    rows = _questions(spark).withColumn("x", rules.classify("text"))
+    """Tiers of questions, alone or followed by what a conversation's turn says."""
+    asked = F.concat(_say(_QUESTIONS, F.col("conv_id") + F.col("turn")), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, 120))).otherwise(""))
+    rows = table(spark, d, "conversations").select(F.concat("conv_id", F.lit(":"), "turn").alias("i"), asked.alias("text")).withColumn("x", rules.classify("text"))
     return rows.select("i", "x.override", "x.tier", "x.score")
 
 
@@ -272,9 +291,11 @@ _COMMITS = ("fix: broken join", "feat: add reader", "Revert: old plan", "docs on
 @query(f"""SELECT hash, type, text FROM (SELECT hash, CASE WHEN starts_with(l, 'fix:') OR starts_with(l, 'revert:') THEN 'bug' WHEN starts_with(l, 'decision:') OR starts_with(l, 'feat:') OR starts_with(l, 'perf:') THEN 'decision'
     WHEN starts_with(l, 'breaking:') OR starts_with(l, 'security:') OR starts_with(l, 'hotfix:') THEN 'prod_issue' WHEN regexp_matches(l, '\\b(broke|regression|critical|security|hotfix|revert)\\b') THEN 'prod_issue' END AS type,
     CASE WHEN regexp_matches(l, '^(fix|revert|decision|breaking|feat|perf|security|hotfix):') THEN trim(substr(t, strpos(t, ':') + 1)) ELSE t END AS text
-FROM (SELECT 'h' || i AS hash, trim(t) AS t, lower(trim(t)) AS l FROM (VALUES {_values(_COMMITS)}) v(i, t))) WHERE type IS NOT NULL AND length(text) >= 10""")
+FROM (SELECT hash, trim(t) AS t, lower(trim(t)) AS l FROM (SELECT 'h' || event_id AS hash, {_said(_COMMITS, 'event_id')} || ' ' || event_type || ' of ' || user_id AS t FROM events))) WHERE type IS NOT NULL AND length(text) >= 10""")
 def commit_learnings(spark, d):
-    rows = spark.createDataFrame([(f"h{i}", t) for i, t in enumerate(_COMMITS)], "hash string, message string")
+    """Learnings from the subjects of commits, one per event."""
+    subject = F.concat(_say(_COMMITS, F.col("event_id")), F.lit(" "), "event_type", F.lit(" of "), "user_id")
+    rows = table(spark, d, "events").select(F.concat(F.lit("h"), "event_id").alias("hash"), subject.alias("message"))
     return behaviour.commit_learnings(rows)
 
 
@@ -315,10 +336,10 @@ _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
         list_filter(list_transform(string_split_regex(s, '\\n{{2,}}'), lambda p: {_STRIP.format('p')}), lambda p: p <> ''),
         lambda a, p: CASE WHEN length(list_last(string_split(a, chr(1)))) + 2 + length(p) <= 1800 THEN a || chr(10) || chr(10) || p ELSE a || chr(1) || p END), chr(1)) END)),
     lambda c: length(c) >= 60) AS l FROM documents)
-SELECT source, i - 1 AS position, l[i] AS text FROM (SELECT source, l, unnest(range(1, least(30, len(l)) + 1)) AS i FROM c)""")
+SELECT source, i - 1 AS position, l[i] AS text FROM (SELECT source, l, unnest(range(1, len(l) + 1)) AS i FROM c)""")
 def chunk_markdown(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), "text")
-    return chunking.chunks(docs)
+    return chunking.chunks(docs, count=None)
 
 
 @query("SELECT least(1e0, least(length(t) / 100e0, 1e0) + 2e-1 * (contains(lower(t), 'bug')::INT + contains(lower(t), 'fix')::INT + contains(lower(t), 'error')::INT + contains(lower(t), 'important')::INT)) AS importance, i AS id FROM (SELECT doc_id AS i, coalesce(text, '') AS t FROM documents)")
@@ -376,13 +397,21 @@ def file_summary(spark, d):
 _REWRITE = ("where is parse_tree used", "fix it now", "auth flow", "show the overview of things", "list files")
 
 
-@query("""VALUES ('where is parse_tree used', 'HOT_SYMBOL', 'where is parse_tree used [parse_tree]'), ('fix it now', 'VAGUE_REF', 'fix session_store now'), ('auth flow', 'TERMINOLOGY', 'auth flow authentication'), ('show the overview of things', 'PASSTHROUGH', 'show the overview of things'), ('list files', 'DEPTH_SIGNAL', 'list files [detailed]')""".replace("VALUES", "SELECT * FROM (VALUES").rstrip() + ") v(query, method, text)")
+_WORD = "lower(regexp_extract(coalesce(text, ''), '[a-zA-Z]{5,}'))"
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, {_WORD} AS w FROM conversations WHERE regexp_matches(coalesce(text, ''), '[a-zA-Z]{{5,}}')),
+q AS (SELECT conv_id || ':' || turn AS id, (conv_id + turn) % 5 AS kind, {_said(_REWRITE, 'conv_id + turn')} || ' ' || w AS query, w FROM w)
+SELECT id, query, CASE kind WHEN 0 THEN 'HOT_SYMBOL' WHEN 1 THEN 'VAGUE_REF' WHEN 2 THEN 'TERMINOLOGY' WHEN 3 THEN 'PASSTHROUGH' ELSE 'DEPTH_SIGNAL' END AS method,
+       CASE kind WHEN 0 THEN query || ' [parse_tree]' WHEN 1 THEN 'fix session_store now ' || w WHEN 2 THEN query || ' authentication' WHEN 3 THEN query ELSE query || ' [detailed]' END AS text FROM q""")
 def enhance_query(spark, d):
+    """Queries that end in a word of a conversation's turn, rewritten by the first rule that applies."""
     from ..operators import hybrid
 
-    rows = spark.createDataFrame([(q,) for q in _REWRITE], "query string")
+    word = F.lower(F.regexp_extract(F.coalesce("text", F.lit("")), "[a-zA-Z]{5,}", 0))
+    rows = table(spark, d, "conversations").where(word != "").select(F.concat("conv_id", F.lit(":"), "turn").alias("id"), F.concat(_say(_REWRITE, F.col("conv_id") + F.col("turn")), F.lit(" "), word).alias("query"))
     log = spark.createDataFrame([("what is session_store", 1), ("does this work", 2)], "query string, seq int")
-    return hybrid.enhance(rows, ["a::parse_tree", "parse_tree"], log, ["authentication", "joins"], "detailed")
+    return hybrid.enhance(rows, ["a::parse_tree", "parse_tree"], log, ["authentication", "joins"], "detailed").select("id", "query", "method", "text")
 
 
 @query("""WITH RECURSIVE r AS (SELECT conv_id, turn, role = 'assistant' AS code, greatest(1, length(coalesce(text, '')) // 4) AS tokens,

@@ -129,7 +129,7 @@ def symbol_knn_weighted(spark, d):
     return vector.knn_distinct(rows, _QV, 10, ["name"], "weight").select("row_id", "name", F.round("vector_score", 4).alias("vector_score"))
 
 
-#: The rows that arrive: the query set of searches, every id divisible by 100, against all other rows.
+#: The rows that arrive: the query set of searches, every id divisible by 100, against all rows but itself.
 _NEW = "row_id % 100 = 0"
 _PAIR = "list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 
@@ -150,20 +150,20 @@ def vec_batch_knn(spark, d):
 WITH m AS ({_M}), p AS (
     SELECT a.row_id AS new_id, b.row_id, 1 - {_PAIR} / 2 AS s, a.importance AS new_i, b.importance AS old_i, b.label,
            row_number() OVER (PARTITION BY a.row_id ORDER BY {_PAIR}, b.row_id) AS place
-    FROM m a, m b WHERE a.row_id % 100 = 0 AND b.row_id % 100 <> 0)
+    FROM m a, m b WHERE a.row_id % 100 = 0 AND b.row_id <> a.row_id)
 SELECT row_id, new_id, round(s, 6) AS similarity FROM p WHERE place <= 5 AND s > 92e-2 AND NOT (label < 3 AND old_i >= new_i)""")
 def near_dup_suppress(spark, d):
     rows = _memories(spark, d).withColumn("source", F.when(F.substring("source", 2, 3).cast("int") < 3, "auto_discovery").otherwise(F.col("source")))
-    found = vector.suppressed_by(rows.where(_NEW), rows.where(f"NOT ({_NEW})"))
+    found = vector.suppressed_by(rows.where(_NEW), rows)
     return found.select("row_id", F.col("by").alias("new_id"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""
-WITH m AS ({_M}), p AS (SELECT a.row_id, max(1 - {_PAIR} / 2) AS s FROM m a, m b WHERE a.row_id % 100 = 0 AND b.row_id % 100 <> 0 GROUP BY a.row_id)
+WITH m AS ({_M}), p AS (SELECT a.row_id, max(1 - {_PAIR} / 2) AS s FROM m a, m b WHERE a.row_id % 100 = 0 AND b.row_id <> a.row_id GROUP BY a.row_id)
 SELECT row_id FROM p WHERE greatest(0, s) <= 85e-2""")
 def novelty_gate(spark, d):
     rows = _memories(spark, d)
-    return vector.novel(rows.where(_NEW), rows.where(f"NOT ({_NEW})")).select("row_id")
+    return vector.novel(rows.where(_NEW), rows).select("row_id")
 
 
 @query(r"""
@@ -274,7 +274,7 @@ _NOTE = "'Decision: for the billing service we chose plan ' || row_id"
 x AS (SELECT p_brand || '::' || p_type AS id, 'ast' AS kind, 0e0 AS v FROM part WHERE p_type IN ('ECONOMY', 'PROMO') GROUP BY p_brand, p_type),
 n AS (SELECT p_brand || '::' || p_type AS id, count(*) AS n FROM part GROUP BY 1),
 h AS (SELECT 'Brand#11::PROMO' AS id, 1 AS hops UNION ALL SELECT id, 2 FROM m)
-SELECT id, kind, round(5e-1 * round(v, 4) + 3e-1 * coalesce(1e0 / (1 + hops), 0) + 2e-1 * ln(1 + coalesce(n, 0)::DOUBLE) / ln(1 + (SELECT max(n) FROM n)::DOUBLE), 4) AS final_score
+SELECT id, kind, round(4e-1 * round(v, 4) + 3e-1 * coalesce(1e0 / (1 + hops), 0) + 3e-1 * ln(1 + coalesce(n, 0)::DOUBLE) / ln(1 + (SELECT max(n) FROM n)::DOUBLE), 4) AS final_score
 FROM (SELECT * FROM m UNION ALL SELECT * FROM x) LEFT JOIN n USING (id) LEFT JOIN h USING (id) ORDER BY final_score DESC, id LIMIT 20""")
 def hybrid_memories(spark, d):
     """The whole retrieval over memories whose texts begin alike: none of them stands for another."""
@@ -285,5 +285,5 @@ def hybrid_memories(spark, d):
     counts = parts.groupBy(F.concat("p_brand", F.lit("::"), "p_type").alias("symbol")).agg(F.count("*").alias("n"))
     concept = notes.select(F.concat(F.lit("concept::"), F.lower(F.substring("text", 1, 40))).alias("dst")).distinct()
     edges = concept.select(F.lit("Brand#11::PROMO").alias("src"), "dst").unionByName(concept.select(F.lit("PROMO").alias("src"), F.lit("Brand#11::PROMO").alias("dst")))
-    found = hybrid.retrieve(notes, symbols, vectors, edges, counts, _QV, ["ECONOMY", "PROMO"], 20)
+    found = hybrid.retrieve(notes, symbols, vectors, edges, counts, _QV, ["ECONOMY", "PROMO"], 20, {"vector": 0.4, "graph": 0.3, "behaviour": 0.3})
     return found.select("id", F.col("source").alias("kind"), "final_score")

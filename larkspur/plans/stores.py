@@ -82,20 +82,20 @@ def parse_tree(spark, d):
     return found.where("file like '%.py'").select("file", "name", "type", "start_line", "end_line", F.array_join("calls", ",").alias("calls"))
 
 
-#: (extension, source, what it holds as (name, type, start, end, calls, bases), imports); ``@`` stands for a customer's key, ``#`` for its nation's.
+#: (extension, source, what it holds as (name, type, start, end, calls, bases), imports); ``@`` stands for a customer's key, ``~`` for its nation's.
 _SOURCES = (
-    ("js", "import { load } from './lib#';\n// function hidden() {}\nclass Box@ extends Base# {\n  open(x) {\n    return load('}', `${x} {`);\n  }\n}\nconst go@ = async (a) => {\n  await save#(a);\n};\n",
-     (("Box@", "CLASS", 3, 7, "", "Base#"), ("open", "FUNCTION", 4, 6, "load", ""), ("go@", "FUNCTION", 8, 10, "save#", "")), ("./lib#",)),
-    ("ts", "interface Port@ extends Plug# {\n  id: string;\n}\nexport class Dock@<T> implements Port@, Bay# {\n  find(id: string): Promise<T> {\n    return this.db.get#<T>(id);\n  }\n}\n",
-     (("Port@", "CLASS", 1, 3, "", "Plug#"), ("Dock@", "CLASS", 4, 8, "", "Port@,Bay#"), ("find", "FUNCTION", 5, 7, "get#", "")), ()),
-    ("go", "package p\nimport \"example.com/n#\"\ntype Store@ struct {\n\tBase#\n\tname string\n}\nfunc (s *Store@) Get@(id int) string {\n\tx := `}`\n\treturn fetch#(x)\n}\n",
-     (("Store@", "CLASS", 3, 6, "", "Base#"), ("Get@", "FUNCTION", 7, 10, "fetch#", "")), ("example.com/n#",)),
-    ("rs", "use crate::n#;\npub struct Cell@<'a> { name: &'a str }\nimpl<'a> Shape# for Cell@<'a> {\n    fn area(&self) -> f64 {\n        let q = '}';\n        compute#(q)\n    }\n}\n",
-     (("Cell@", "CLASS", 2, 2, "", "Shape#"), ("area", "FUNCTION", 4, 7, "compute#", "")), ("crate::n#",)),
-    ("java", "import a.n#.List;\npublic class Repo@ extends Base# implements Closeable {\n    public String find(String q) throws IOException {\n        if (q == \"}\") { return empty#(); }\n        return this.db.query(q);\n    }\n    void close();\n}\n",
-     (("Repo@", "CLASS", 2, 8, "", "Base#,Closeable"), ("find", "FUNCTION", 3, 6, "empty#,query", "")), ("a.n#.List",)),
-    ("cpp", "#include \"n#.h\"\nnamespace app {\nclass Node@ : public Base#<int> {\n  int get(int k) const { return lookup#(k); }\n  void run();\n};\nvoid Node@::run() {\n  char c = '}';\n  use#(c);\n}\n}\n",
-     (("Node@", "CLASS", 3, 6, "", "Base#"), ("get", "FUNCTION", 4, 4, "lookup#", ""), ("run", "FUNCTION", 7, 10, "use#", "")), ("n#.h",)),
+    ("js", "import { load } from './lib~';\n// function hidden() {}\nclass Box@ extends Base~ {\n  open(x) {\n    return load('}', `${x} {`);\n  }\n}\nconst go@ = async (a) => {\n  await save~(a);\n};\n",
+     (("Box@", "CLASS", 3, 7, "", "Base~"), ("open", "FUNCTION", 4, 6, "load", ""), ("go@", "FUNCTION", 8, 10, "save~", "")), ("./lib~",)),
+    ("ts", "interface Port@ extends Plug~ {\n  id: string;\n}\nexport class Dock@<T> implements Port@, Bay~ {\n  find(id: string): Promise<T> {\n    return this.db.get~<T>(id);\n  }\n}\n",
+     (("Port@", "CLASS", 1, 3, "", "Plug~"), ("Dock@", "CLASS", 4, 8, "", "Port@,Bay~"), ("find", "FUNCTION", 5, 7, "get~", "")), ()),
+    ("go", "package p\nimport \"example.com/n~\"\ntype Store@ struct {\n\tBase~\n\tname string\n}\nfunc (s *Store@) Get@(id int) string {\n\tx := `}`\n\treturn fetch~(x)\n}\n",
+     (("Store@", "CLASS", 3, 6, "", "Base~"), ("Get@", "FUNCTION", 7, 10, "fetch~", "")), ("example.com/n~",)),
+    ("rs", "use crate::n~;\npub struct Cell@<'a> { name: &'a str }\nimpl<'a> Shape~ for Cell@<'a> {\n    fn area(&self) -> f64 {\n        let q = '}';\n        compute~(q)\n    }\n}\n",
+     (("Cell@", "CLASS", 2, 2, "", "Shape~"), ("area", "FUNCTION", 4, 7, "compute~", "")), ("crate::n~",)),
+    ("java", "import a.n~.List;\npublic class Repo@ extends Base~ implements Closeable {\n    public String find(String q) throws IOException {\n        if (q == \"}\") { return empty~(); }\n        return this.db.query(q);\n    }\n    void close();\n}\n",
+     (("Repo@", "CLASS", 2, 8, "", "Base~,Closeable"), ("find", "FUNCTION", 3, 6, "empty~,query", "")), ("a.n~.List",)),
+    ("cpp", "#include \"n~.h\"\nnamespace app {\nclass Node@ : public Base~<int> {\n  int get(int k) const { return lookup~(k); }\n  void run();\n};\nvoid Node@::run() {\n  char c = '}';\n  use~(c);\n}\n}\n",
+     (("Node@", "CLASS", 3, 6, "", "Base~"), ("get", "FUNCTION", 4, 4, "lookup~", ""), ("run", "FUNCTION", 7, 10, "use~", "")), ("n~.h",)),
 )
 
 
@@ -104,7 +104,7 @@ def _sources_sql() -> str:
     for k, (extension, _, symbols, imports) in enumerate(_SOURCES):
         rows += [f"({k}, '{extension}', '{name}', '{kind}', {start}, {end}, '{calls}', '{bases}')" for name, kind, start, end, calls, bases in symbols]
         rows += [f"({k}, '{extension}', '{module}', 'IMPORT', 0, 0, '', '')" for module in imports]
-    filled = lambda c: f"replace(replace({c}, '@', c_custkey::VARCHAR), '#', c_nationkey::VARCHAR)"
+    filled = lambda c: f"replace(replace({c}, '@', c_custkey::VARCHAR), '~', c_nationkey::VARCHAR)"
     return f"""SELECT 'c' || c_custkey || '.' || ext AS file, {filled("name")} AS name, type, start_line, end_line, {filled("calls")} AS calls, {filled("bases")} AS bases
 FROM customer JOIN (VALUES {', '.join(rows)}) s(k, ext, name, type, start_line, end_line, calls, bases) ON c_custkey % {len(_SOURCES)} = k"""
 
@@ -112,7 +112,7 @@ FROM customer JOIN (VALUES {', '.join(rows)}) s(k, ext, name, type, start_line,
 @query(_sources_sql())
 def parse_languages(spark, d):
     """Symbols with their true ends, calls and bases, and imports, of a source file for every customer in one of six languages."""
-    filled = lambda text: F.replace(F.replace(F.lit(text), F.lit("@"), F.col("c_custkey").cast("string")), F.lit("#"), F.col("c_nationkey").cast("string"))
+    filled = lambda text: F.replace(F.replace(F.lit(text), F.lit("@"), F.col("c_custkey").cast("string")), F.lit("~"), F.col("c_nationkey").cast("string"))
     k = F.col("c_custkey") % len(_SOURCES)
     pick = lambda values: F.element_at(F.array(*values), (k + 1).cast("int"))
     content = pick([filled(source) for _, source, _, _ in _SOURCES])
@@ -299,7 +299,7 @@ _CALL = "'symbol::call_' || (SELECT n_regionkey FROM nation n WHERE n.n_nationke
 SELECT 'symbols' AS store, path AS a, name AS b FROM s UNION ALL SELECT 'vectors', path, name FROM s
 UNION ALL SELECT 'words', path, 'nation' FROM s
 UNION ALL SELECT 'nodes', path || '::' || name, 'FUNCTION' FROM s UNION ALL SELECT 'nodes', path, 'FILE' FROM t WHERE n_nationkey % 4 <> 2 AND n_nationkey % 5 <> 3
-UNION ALL SELECT 'edges', path || '::' || name, callee FROM s UNION ALL SELECT 'edges', callee, path || '::' || name FROM s
+UNION ALL SELECT 'edges', path || '::' || name, path FROM s UNION ALL SELECT 'edges', path || '::' || name, callee FROM s UNION ALL SELECT 'edges', callee, path || '::' || name FROM s
 UNION ALL SELECT 'events', path, CASE WHEN n_nationkey % 5 = 3 THEN 'stale' ELSE 'fresh' END FROM t""")
 def stream_reindex(spark, d):
     """All stores of an index, and the episodes that name its files, after a feed that creates every file and then deletes some."""

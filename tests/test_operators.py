@@ -135,6 +135,33 @@ def test_greedy_novelty_depends_on_order(spark):
     assert sorted(r[0] for r in vector.greedy_novel(df, "g").collect()) == [1, 3]
 
 
+def test_near_join_finds_what_all_pairs_find(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 3
+    vectors = (centres[np.arange(1200) % 40] + 0.08 * rng.normal(size=(1200, 16))).tolist()
+    vectors += [vectors[0]] * 60  # copies, more than a block
+    monkeypatch.setattr(vector, "NEAR_ROWS", 25)
+    monkeypatch.setattr(vector, "NEAR_QUERIES", 10)
+    monkeypatch.setattr(vector, "PIVOTS", 60)
+    rows = spark.createDataFrame([*enumerate(vectors), (5000, None)], "row_id long, embedding array<double>").repartition(3)
+    asked = rows.where("row_id % 10 = 0").withColumnRenamed("row_id", "query_id")
+    for radius in (0.3, 0.55):
+        got = {(r["query_id"], r["row_id"]) for r in vector.near_join(asked, rows, radius).collect()}
+        a = np.array(vectors)
+        d2 = ((a[::10][:, None] - a[None]) ** 2).sum(2)
+        assert got == {(int(10 * i), int(j)) for i, j in zip(*np.nonzero(d2 <= radius**2), strict=True)}
+    # what is compared: rows that probes meet in their rings, against all pairs
+    seen = []
+    real = vector.written
+    monkeypatch.setattr(vector, "written", lambda df, name: (seen.append((name, out := real(df, name))), out)[1])
+    vector.near_join(asked, rows, 0.3)
+    placed, probes = dict(seen)["placed"], dict(seen)["probes"]
+    compared = placed.groupBy("list", "ring").agg(F.count("*").alias("n")).join(probes.groupBy("list", "ring").agg(F.count("*").alias("m")), ["list", "ring"]).agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    assert compared < 0.15 * asked.count() * rows.count()
+    assert vector.near_join(asked, rows.limit(0), 0.3).count() == 0 and vector.near_join(asked.limit(0), rows, 0.3).count() == 0
+
+
+
 def test_embed_is_deterministic(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None)], "id long, text string")
     a = [r["embedding"] for r in vector.embed(df, "text").orderBy("id").collect()]
