@@ -122,6 +122,7 @@ def tier_score(query: Column | str) -> Column:
     )
     parts = F.filter(F.transform(F.split(low, r"""[\s,;:"'()\[\]{}]+"""), lambda t: F.regexp_replace(t, r"^\.+|\.+$", "")), lambda t: F.length(t) >= 2)
     names = F.size(F.array_distinct(F.filter(parts, lambda t: (t.contains("_") & F.replace(t, F.lit("_"), F.lit("")).rlike(r"^\p{L}+$")) | t.rlike(r"\.[a-z]{1,4}$"))))
+    # fixed values: the weights of the signals
     return (
         F.lit(3.0) * hits(low, REASONING)
         - F.lit(2.0) * hits(low, LOOKUP)

@@ -11,6 +11,8 @@ from ..functions import text as T
 from ..operators import behaviour, graph, hybrid, indexing, memory, metrics, packing, text_search
 from ..session import shared_dir
 from ..sources.files import search_extensions
+from ..sources.vector_store import ExactStore
+from ..workspace import resolutions
 from .graphs import _E, _edges, _nodes, _org
 from .memories import _aged, _as_of, _case_types, _learnings
 from .registry import SQL, query, table
@@ -64,6 +66,36 @@ def query_entities(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.entities(asked), ",").alias("names"))
 
 
+@query("SELECT doc_id FROM documents WHERE length(text) <= 5000")
+def query_length(spark, d):
+    """Documents that are short enough to be queries."""
+    return hybrid.admitted(table(spark, d, "documents"), "text", 5000).select("doc_id")
+
+
+@query(f"SELECT row_id, round({_D2}, 6) AS d2 FROM ({_M}) WHERE live AND label = 3 ORDER BY {_D2}, row_id LIMIT 7")
+def store_search(spark, d):
+    """Search in a vector store after deprecations and suppressions, some of them compacted."""
+    store, rows = ExactStore(spark, f"{shared_dir(spark)}/larkspur-store-{uuid.uuid4().hex}"), _memories(spark, d)
+    at = F.lit("2024-01-01").cast("timestamp")
+    store.add(rows.drop("deprecated", "suppressed"))
+    dead = rows.where("deprecated").select("row_id", F.lit("deprecated").alias("kind"), F.lit("").alias("reason"), F.lit(None).cast("double").alias("similarity"), at.alias("at"))
+    store.marks.append(dead)
+    store.compact()
+    store.marks.append(rows.where("suppressed").select("row_id", F.lit("suppressed").alias("kind"), F.lit("copy").alias("reason"), F.lit(0.9).alias("similarity"), at.alias("at")))
+    return store.search(_QV, 7, "s3").select("row_id", F.round("d2", 6).alias("d2"))
+
+
+@query("""WITH q AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS k, lower(regexp_extract(coalesce(text, ''), '[a-zA-Z]{5,}')) AS w FROM conversations WHERE regexp_matches(coalesce(text, ''), '[a-zA-Z]{5,}'))
+SELECT conv_id, turn, ['lookup_symbol', 'who_calls', 'list_files', 'graph_stats', 'dependency_graph', NULL][k + 1] AS tool, CASE WHEN k IN (0, 1, 4) THEN w END AS argument FROM q""")
+def resolved_questions(spark, d):
+    """Questions that a tool answers by itself, and its argument, for every turn."""
+    word = F.lower(F.regexp_extract(F.coalesce("text", F.lit("")), "[a-zA-Z]{5,}", 0))
+    texts = (("Where is ", " defined?"), ("who calls ", "?"), ("List all files", ""), ("graph stats", ""), ("what depends on ", "?"), ("tell me of ", " in other words"))
+    asked = F.element_at(F.array(*[F.concat(F.lit(a), word if i in (0, 1, 4, 5) else F.lit(""), F.lit(b)) for i, (a, b) in enumerate(texts)]), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"))
+    rows = table(spark, d, "conversations").where(word != "").select("conv_id", "turn", asked.alias("question"))
+    return resolutions(rows).select("conv_id", "turn", "tool", "argument")
+
+
 @query("SELECT conv_id, turn, regexp_matches(lower(text), '\\b(how does|overview|architecture|what is|explain|describe|why does|design|purpose|history|background|changelog|readme|documentation)\\b') AS doc FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Explain ' || text ELSE text END AS text FROM conversations)")
 def doc_intent(spark, d):
     asked = table(spark, d, "conversations").withColumn("text", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Explain "), "text")).otherwise(F.col("text")))

@@ -17,16 +17,13 @@ from ..operators.text_search import numbered_lines
 
 MAX_BYTES = 300_000
 # Directories that are never indexed, by what makes them.
-SKIP_DIRS = (
-    ".git .svn .hg "
-    "venv .venv env __pycache__ .eggs .tox .nox .pytest_cache .mypy_cache htmlcov site-packages "
-    "node_modules .next .nuxt .svelte-kit .turbo .parcel-cache .cache storybook-static "
-    ".gradle gradle out classes generated generated-sources gen .idea "
-    "vendor third_party _output _artifacts staging "
-    "bazel-bin bazel-out bazel-testlogs bazel-genfiles "
-    "dist build target bin "
-    "tmp temp logs .terraform .serverless __mocks__ coverage zz_generated"
-).split()
+SKIP_DIRS = [
+    ".git", ".svn", ".hg", "venv", ".venv", "env", "__pycache__", ".eggs", ".tox", ".nox", ".pytest_cache", ".mypy_cache", "htmlcov", "site-packages",
+    "node_modules", ".next", ".nuxt", ".svelte-kit", ".turbo", ".parcel-cache", ".cache", "storybook-static", ".gradle", "gradle", "out", "classes",
+    "generated", "generated-sources", "gen", ".idea", "vendor", "third_party", "_output", "_artifacts", "staging", "bazel-bin", "bazel-out",
+    "bazel-testlogs", "bazel-genfiles", "dist", "build", "target", "bin", "tmp", "temp", "logs", ".terraform", ".serverless", "__mocks__", "coverage",
+    "zz_generated",
+]
 # Fixed values: (extension, language, label).
 LANGUAGES = (
     (".py", "python", "Python"), (".pyi", "python", "Python"), (".js", "javascript", "JavaScript"), (".jsx", "javascript", "JavaScript"),

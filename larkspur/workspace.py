@@ -432,6 +432,17 @@ RESOLVERS = (
 )
 
 
+def resolutions(questions: DataFrame, text_col: str = "question") -> DataFrame:
+    """``questions`` with ``tool`` and ``argument`` as ``resolve`` gives them, for many at once."""
+    asked, tool, argument = F.trim(F.col(text_col)), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for pattern, name in reversed(RESOLVERS):
+        hit = asked.rlike(f"(?i){pattern}")
+        tool = F.when(hit, name).otherwise(tool)
+        groups = re.compile(pattern).groups
+        argument = F.when(hit, F.regexp_extract(asked, f"(?i){pattern}", 1) if groups else F.lit(None)).otherwise(argument)
+    return questions.withColumn("tool", tool).withColumn("argument", argument)
+
+
 def resolve(question: str) -> tuple[str, str | None] | None:
     """The tool that answers a question by itself, and its argument."""
     for pattern, tool in RESOLVERS:

@@ -11,6 +11,7 @@ from larkspur.functions import rules, scores
 from larkspur.functions import text as T
 from larkspur.operators import behaviour, chunking, graph, hybrid, indexing, memory, metrics, ordered, packing, text_search, vector
 from larkspur.sources import files, git, sinks
+from larkspur.sources.commits import Stores
 
 AT = dt.datetime(2024, 1, 10)
 
@@ -498,10 +499,10 @@ def test_stores(spark, tmp_path):
     sinks.snapshot(rows.limit(1), str(tmp_path / "snap"))
     turns = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     assert [r["turn"] for r in sinks.append_exchange(turns, 1, "u", "a").orderBy("turn").collect()] == [0, 1, 2]
-    events = sinks.Table(spark, f"file://{tmp_path}/e", "id string, time timestamp")
-    events.overwrite(spark.createDataFrame([(str(i), AT + dt.timedelta(i)) for i in range(10)], events.schema))
-    assert sinks.rotate_events(events, str(tmp_path / "archive"), cap=10) == 2 and events.read().count() == 8
-    bucketed = spark.createDataFrame([(0, "a"), (1, "b")], "file_bucket int, name string")
-    sinks.replace_files(bucketed, str(tmp_path / "sym"))
-    sinks.replace_files(spark.createDataFrame([(1, "c")], "file_bucket int, name string"), str(tmp_path / "sym"))
-    assert {r["name"] for r in spark.read.parquet(str(tmp_path / "sym")).collect()} == {"a", "c"}
+    stores = Stores(spark, f"file://{tmp_path}/e", {"events": ("id string, time timestamp", "id"), "archive": ("id string, time timestamp", None)})
+    stores.store("events").overwrite(spark.createDataFrame([(str(i), AT + dt.timedelta(i)) for i in range(10)], "id string, time timestamp"))
+    assert sinks.rotate_events(stores, cap=10) == 2 and stores.read("events").count() == 8 and stores.read("archive").count() == 2
+    bucketed = sinks.BucketStore(spark, f"file://{tmp_path}/sym", "k string, name string", "k")
+    bucketed.overwrite(spark.createDataFrame([("0", "a"), ("1", "b")], "k string, name string"))
+    bucketed.replace(spark.createDataFrame([("1",)], "path string"), spark.createDataFrame([("1", "c")], "k string, name string"))
+    assert {r["name"] for r in bucketed.read().collect()} == {"a", "c"}
