@@ -267,6 +267,27 @@ def test_pipeline_on_nothing_and_without_labels(spark, sf_dir):
     assert [r["doc_id"] for r in kept.collect()] == [1]
 
 
+def test_null_ids_take_no_part(spark):
+    v, w = [1.0, 0.0, 0.1], [1.0, 0.01, 0.1]
+    df = spark.createDataFrame([(None, v), (None, w), (3, v), (5, w), (9, [0.0, 1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r)[:3] for r in embedding_dedup.near_vectors(df).where("id is not null").collect())
+    assert got == [(3, 1, 3), (5, 1, 3), (9, 0, 9)]
+
+
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    words = "der und die ist nicht ein zu haben werden mit the and of to in a is that for it".split()
+    rows = [(i, " ".join(words[(i * 7 + k) % len(words)] + str(k % 9) for k in range(40)) + " wort", "de", "s", 5, 1, 2, "x", "y", 3, 4, 5.0) for i in range(24)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, fp long, row string, part string, size long, taken long, score double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [f.split()[0] for f in schema.split(", ")], name
+        assert {(r["id"], r["fp"], r["row"], r["size"]) for r in docs.collect()} <= {(1, 2, "x", 3)}
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and 0 < out.count() <= 3 * len(rows)
+
+
 def test_usable_vectors():
     import pyarrow as pa
 
