@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, scores
-from ..functions.text import whitespace_words
+from ..functions.text import ascii_bounds, whitespace_words
 from . import ordered, patterns, text_search, vector
 
 ROTATE_AT, ROTATE_SHARE = 10_000, 0.2
@@ -231,7 +231,7 @@ def seeds(turns: DataFrame, pattern: str = r"(?i)\b(fix|decid|because|should|mus
     """Assistant texts worth a memory, with the user turn right before them."""
     order = Window.partitionBy("conv_id").orderBy("turn")
     paired = turns.withColumn("user", F.when(F.lag("role").over(order) == "user", F.lag("text").over(order)))
-    return paired.where((F.col("role") == "assistant") & (F.length("text") >= least) & F.col("text").rlike(pattern)).select("conv_id", "turn", "user", "text")
+    return paired.where((F.col("role") == "assistant") & (F.length("text") >= least) & F.col("text").rlike(ascii_bounds(pattern))).select("conv_id", "turn", "user", "text")
 
 
 def find_session(sessions: DataFrame, prefix: str) -> DataFrame:
