@@ -56,14 +56,27 @@ def percentiles_overall(spark, d):
 # ── retrieval ───────────────────────────────────────────────────────────────────────────────────────────────────────
 
 _LETTERS = "translate({}::VARCHAR, '0123456789', 'qzxjkvbwyp')"
-
-
-@query(f"""SELECT conv_id, turn, 'fetch_' || {_LETTERS.format('conv_id')} || ',store/app_' || {_LETTERS.format('turn')} || '.py' AS names FROM conversations""")
+#: (question, its entities); ``@`` stands for a conversation in letters, ``~`` for a turn.
+_ASKED = (
+    ("what is fetch_@ in store/app_~.py", "fetch_@,store/app_~.py"), ("fix parseTree@ now", "parseTree@,parse,tree@"), ("nothing to see @", ""),
+    ("a_b@ and HTTPServer~", "a_b@,HTTPServer~,http,server~"), ("", ""),
+)
+_PARTS = r"regexp_replace(regexp_replace(t, '([a-z])([A-Z])', '\1_\2', 'g'), '([A-Z])([A-Z][a-z])', '\1_\2', 'g')"
+
+
+@query(rf"""WITH a AS (SELECT conv_id, turn, kind, replace(replace(names, '@', {_LETTERS.format('conv_id')}), '~', {_LETTERS.format('turn')}) AS names
+    FROM conversations, (VALUES {', '.join(f"({k}, '{names}')" for k, (_, names) in enumerate(_ASKED))}) v(kind, names)),
+t AS (SELECT conv_id, turn, flatten(list_transform(list_filter(list_transform(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r,;:()\[\]{{}}''"]+'), lambda w: regexp_replace(w, '^\.+|\.+$', '', 'g')), lambda w: length(w) >= 2),
+    lambda t: list_concat(
+        CASE WHEN regexp_matches(t, '^[0-9A-Za-z_][0-9A-Za-z_/]*\.[0-9A-Za-z_]{{1,6}}([^0-9_\p{{L}}\p{{Nd}}]|$)') OR contains(t, '_') AND regexp_full_match(replace(t, '_', ''), '\p{{L}}+') OR regexp_matches(t, '[A-Z]') AND regexp_matches(t, '[a-z]') THEN [t] ELSE [] END,
+        CASE WHEN regexp_matches(t, '[A-Z]') AND regexp_matches(t, '[a-z]') THEN list_filter(string_split(lower({_PARTS}), '_'), lambda w: length(w) > 2) ELSE [] END))) AS l FROM conversations)
+SELECT * FROM a UNION ALL SELECT conv_id, turn, {len(_ASKED)}, array_to_string(list_filter(l, lambda w, i: list_position(l, w) = i), ',') FROM t""")
 def query_entities(spark, d):
-    """Entities of a question for every turn: a name and a file."""
+    """Entities of questions of every kind for each turn, and of the whole text of the turn itself."""
     letters = lambda c: F.translate(F.col(c).cast("string"), "0123456789", "qzxjkvbwyp")
-    asked = F.concat(F.lit("what is fetch_"), letters("conv_id"), F.lit(" in store/app_"), letters("turn"), F.lit(".py"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.entities(asked), ",").alias("names"))
+    filled = [F.replace(F.replace(F.lit(q), F.lit("@"), letters("conv_id")), F.lit("~"), letters("turn")) for q, _ in _ASKED]
+    asked = F.posexplode(F.array(*filled, F.coalesce("text", F.lit("")))).alias("kind", "asked")
+    return table(spark, d, "conversations").select("conv_id", "turn", asked).select("conv_id", "turn", "kind", F.array_join(T.entities("asked"), ",").alias("names"))
 
 
 @query("SELECT doc_id FROM documents WHERE length(text) <= 5000")

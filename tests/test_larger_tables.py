@@ -1,6 +1,7 @@
 """What showed on larger tables: texts of other letters, equal distances, input in one split, work done twice."""
 
 from larkspur.operators import memory
+from larkspur.plans import catalogue
 
 
 def test_seeds_end_words_where_ascii_ends(spark):
@@ -10,3 +11,11 @@ def test_seeds_end_words_where_ascii_ends(spark):
     assert [(r["turn"], r["user"]) for r in memory.seeds(turns, r"(ing|tion)\b").orderBy("turn").collect()] == [(1, "q"), (3, None)]
     assert memory.seeds(turns, r"(ing|tion)\\b").isEmpty()
     assert [r["turn"] for r in memory.seeds(turns, r"\btion").orderBy("turn").collect()] == [1, 2, 3]
+
+
+def test_entities_of_every_kind_of_question_and_of_whole_texts(spark, tmp_path):
+    rows = [(10, 2, "user", "look. at HTTPServer, HTTPServer in src/a.py"), (11, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    names = {(r["conv_id"], r["kind"]): r["names"] for r in catalogue.queries()["query_entities"](spark, str(tmp_path)).collect()}
+    assert [names[10, k] for k in range(6)] == ["fetch_zq,store/app_x.py", "parseTreezq,parse,treezq", "", "a_bzq,HTTPServerx,http,serverx", "", "HTTPServer,http,server,src/a.py"]
+    assert names[11, 5] == "" and len(names) == 12
