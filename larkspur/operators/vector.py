@@ -122,33 +122,57 @@ def knn_distinct(rows: DataFrame, query: list[float], k: int, key_cols: list[str
     return kept.withColumn("vector_score", scores.similarity("d2") * F.coalesce(F.col(weight_col), F.lit(1.0))).orderBy("d2", id_col).limit(k)
 
 
+#: Queries multiplied with a block of rows at a time, and numbers of exact distances held at once.
+SLICE, EXACT = 128, 1 << 22
+
+
+def _nearest(table: pa.Table, k: int) -> pa.Table:
+    """The ``k`` rows (side 1) nearest to each query (side 0) of one pair of blocks."""
+    side, ids = table["side"].to_numpy(), table["id"].to_numpy()
+    vectors = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    b = b[np.argsort(ids[b], kind="stable")]
+    held, size = vectors[b], (vectors[b] ** 2).sum(1)
+    most = np.nan_to_num(size).max(initial=0)
+    out: list[list] = [[], [], []]
+    for at in range(0, len(a) if len(b) and k > 0 else 0, SLICE):
+        some = vectors[a[at : at + SLICE]]
+        own = (some**2).sum(1)
+        d2 = some @ held.T
+        d2 *= -2
+        d2 += size
+        d2 += own[:, None]
+        d2[np.isnan(d2)] = np.inf
+        last = np.partition(d2, k - 1, axis=1)[:, k - 1] if len(b) > k else np.full(len(some), np.inf)
+        i, j = np.nonzero(d2 <= (last + 1e-9 * (np.nan_to_num(own) + most))[:, None])
+        del d2
+        step = max(1, EXACT // max(1, some.shape[1]))
+        exact = np.concatenate([np.cumsum((some[i[x : x + step]] - held[j[x : x + step]]) ** 2, axis=1)[:, -1] for x in range(0, len(i), step)])
+        order = np.lexsort((j, exact, i))
+        first = np.searchsorted(i, np.arange(len(some)))  # ``i`` ascends
+        keep = order[np.arange(len(i)) - first[i] < k]
+        for x, y in zip(out, (ids[a[at + i[keep]]], ids[b[j[keep]]], exact[keep]), strict=True):
+            x.append(y)
+    whole = [np.concatenate(x) if x else np.zeros(0) for x in out]
+    return pa.table({"query_id": pa.array(whole[0].astype(np.int64)), "row_id": pa.array(whole[1].astype(np.int64)), "d2": pa.array(whole[2].astype(np.float64))})
+
+
 def knn_join(queries: DataFrame, rows: DataFrame, k: int, vector_col: str = "embedding", id_col: str = "row_id", query_id: str = "query_id", block: int = 2048) -> DataFrame:
-    """``(query_id, row_id, d2, place)``: the ``k`` nearest rows of every query.
+    """``(query_id, row_id, d2, place)``: the ``k`` nearest rows of every query, ties by id.
 
-    Both sides are cut into blocks by a hash of their ids and every pair of blocks is one matrix product in one task, which
-    keeps ``k`` per query; a window then keeps ``k`` over all blocks.  Copies of a block grow with the other side's blocks.
+    Both sides are cut into blocks by a hash of their ids and every pair of blocks is multiplied in one task, some queries at
+    a time, which keeps ``k`` per query; a window then keeps ``k`` over all blocks.  A product only says which rows may be among
+    the ``k``: those have their distances summed exactly, so copies of a vector tie.  A task holds two blocks and one slice of
+    their product, whatever the number of rows.  Copies of a block grow with the other side's blocks.
     """
     n_queries = -(-max(1, queries.count()) // block)
     n_rows = -(-max(1, rows.count()) // (8 * block))
-    left = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.lit(0).alias("side"), F.pmod(F.xxhash64(query_id), F.lit(n_queries)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("r"))
-    right = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("q"), F.pmod(F.xxhash64(id_col), F.lit(n_rows)).cast("int").alias("r"))
+    kind = "array<float>" if {df.schema[vector_col].dataType.simpleString() for df in (queries, rows)} == {"array<float>"} else "array<double>"
+    left = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"), F.lit(0).alias("side"), F.pmod(F.xxhash64(query_id), F.lit(n_queries)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("r"))
+    right = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"), F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("q"), F.pmod(F.xxhash64(id_col), F.lit(n_rows)).cast("int").alias("r"))
     both = left.select("q", "r", "side", "id", "v").unionByName(right.select("q", "r", "side", "id", "v"))
 
-    def nearest(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        ids = table["id"].to_numpy()
-        vectors = np.array(table["v"].to_pylist(), np.float64)
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out = [[], [], []]
-        if len(a) and len(b):
-            b = b[np.argsort(ids[b], kind="stable")]
-            d2 = (vectors[a] ** 2).sum(1)[:, None] - 2 * vectors[a] @ vectors[b].T + (vectors[b] ** 2).sum(1)[None]
-            order = np.argsort(d2, axis=1, kind="stable")[:, :k]
-            exact = ((vectors[a][:, None] - vectors[b][order]) ** 2).sum(2)
-            out = [np.repeat(ids[a], order.shape[1]), ids[b][order].ravel(), exact.ravel()]
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "row_id": pa.array(out[1], pa.int64()), "d2": pa.array(out[2], pa.float64())})
-
-    found = both.groupBy("q", "r").applyInArrow(nearest, "query_id long, row_id long, d2 double")
+    found = both.groupBy("q", "r").applyInArrow(lambda table: _nearest(table, k), "query_id long, row_id long, d2 double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "row_id"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 

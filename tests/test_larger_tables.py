@@ -1,6 +1,11 @@
 """What showed on larger tables: texts of other letters, equal distances, input in one split, work done twice."""
 
-from larkspur.operators import memory
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+
+from larkspur.operators import memory, vector
 from larkspur.plans import catalogue
 
 
@@ -19,3 +24,19 @@ def test_entities_of_every_kind_of_question_and_of_whole_texts(spark, tmp_path):
     names = {(r["conv_id"], r["kind"]): r["names"] for r in catalogue.queries()["query_entities"](spark, str(tmp_path)).collect()}
     assert [names[10, k] for k in range(6)] == ["fetch_zq,store/app_x.py", "parseTreezq,parse,treezq", "", "a_bzq,HTTPServerx,http,serverx", "", "HTTPServer,http,server,src/a.py"]
     assert names[11, 5] == "" and len(names) == 12
+
+
+def test_knn_join_ties_go_by_id_in_bounded_memory(spark):
+    v = np.random.default_rng(3).normal(size=(40, 64)).astype(np.float32)
+    rows = [(i, v[i % 40].tolist()) for i in range(2000)]  # fifty copies of each
+    df = spark.createDataFrame(rows, "row_id long, embedding array<float>")
+    got = vector.knn_join(df.where("row_id % 9 = 0").withColumnRenamed("row_id", "query_id"), df, 5).collect()
+    assert sorted((r["query_id"], r["place"], r["row_id"], r["d2"]) for r in got) == [(i, p + 1, i % 40 + 40 * p, 0.0) for i in range(0, 2000, 9) for p in range(5)]
+    # neither all distances of a block nor all its near rows are held at once
+    n = 16_384 + 2048
+    table = pa.table({"side": pa.array([0] * 2048 + [1] * 16_384), "id": pa.array(range(n)), "v": pa.array([v[i % 40] for i in range(n)], pa.list_(pa.float32()))})
+    tracemalloc.start()
+    found = vector._nearest(table, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 5 * 2048 and peak < 200 << 20
