@@ -77,10 +77,12 @@ def bm25_plus(docs: DataFrame, query: str, k: int = 10, id_col: str = "doc_id",
 
 
 class TextIndex:
-    """A BM25 index in a folder: postings ``(term, id, tf, dl)`` by range of terms, document lengths, corpus statistics.
+    """A BM25 index in a folder: postings ``(term, id, tf, dl)`` in segments, document lengths, corpus statistics.
 
-    It is built once and searched often.  Files hold ranges of terms (a term that most documents have spans several) in
-    sorted order, so a search reads the row groups of the query's terms only.
+    It is built once and searched often.  Documents are dealt out by id, and each part writes the postings of its own documents
+    in order of terms: a segment.  So a text is cut once, its terms are counted within its row, and nothing but texts is
+    shuffled.  A search reads, of every segment, the pages of the query's terms only.  The row of a document with its length
+    stands under the empty term, at the head of its segment.
     """
 
     def __init__(self, spark: SparkSession, path: str, unicode_words: bool = False) -> None:
@@ -91,22 +93,32 @@ class TextIndex:
         """Index ``docs``; ids must be unique.  With ``unicode_words`` terms are those of BM25+."""
         index = cls(docs.sparkSession, path, unicode_words)
         cut = T.episode_tokens if unicode_words else T.bm25_tokens
-        tokens = docs.select(F.col(id_col).alias("id"), cut(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-        tokens.select("id", F.size("tokens").alias("dl")).write.mode("overwrite").parquet(f"{index.path}/lengths")
+        texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        # a few segments per split of the input: they grow in number, not in size
+        texts = texts.repartition(4 * max(1, docs.rdd.getNumPartitions()), "id")
+        words = texts.select("id", F.sort_array(cut("text")).alias("words")).withColumn("dl", F.size("words"))
+        # where the runs of equal words begin
+        at = F.filter(F.sequence(F.lit(0), F.col("dl")), lambda i: (i < F.col("dl")) & ((i == 0) | (F.get("words", i) != F.get("words", i - 1))))
+        runs = words.withColumn("at", at)
+        each = F.transform("at", lambda i, k: F.struct(F.get("words", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.col("dl")) - i).alias("tf")))
+        own = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("tf")))
+        postings = runs.select("id", "dl", F.inline(F.concat(own, each))).select("term", "id", "tf", "dl")
+        postings.sortWithinPartitions("term", "id").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(f"{index.path}/postings")
         index.lengths().agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{index.path}/stats")
-        each = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
-        each.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(f"{index.path}/postings")
         return index
 
-    def postings(self) -> DataFrame:
+    def _rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/postings")
 
+    def postings(self) -> DataFrame:
+        return self._rows().where("term <> ''")
+
     def lengths(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/lengths")
+        return self._rows().where("term = ''").select("id", "dl")
 
     def _matches(self, terms: list[str]) -> DataFrame:
         """Postings of the terms with their document frequency and the corpus statistics."""
-        found = self.postings().where(F.col("term").isin(terms)) if terms else self.postings().limit(0)
+        found = self._rows().where(F.col("term").isin(terms)) if terms else self._rows().limit(0)
         # as many rows as the query has terms, and one row
         df = found.groupBy("term").agg(F.count("*").cast("double").alias("df"))
         return found.join(F.broadcast(df), "term").crossJoin(F.broadcast(self.spark.read.parquet(f"{self.path}/stats")))

@@ -4,8 +4,10 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
-from larkspur.operators import memory, vector
+from larkspur.operators import memory, text_search, vector
 from larkspur.plans import catalogue
 
 
@@ -40,3 +42,23 @@ def test_knn_join_ties_go_by_id_in_bounded_memory(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found.num_rows == 5 * 2048 and peak < 200 << 20
+
+
+def test_index_cuts_a_text_once_and_shuffles_only_texts(spark, tmp_path):
+    rows = [(0, "b a b"), (1, None), (2, "a"), (3, "?!"), (4, "c " * 300 + "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def once(text):
+        seen.add(1)
+        return text
+
+    counted = docs.withColumn("text", F.udf(once)("text"))
+    index = text_search.TextIndex.build(counted, str(tmp_path / "index"))
+    assert seen.value == len(rows)
+    assert sorted(map(tuple, index.postings().collect())) == [("a", 0, 1, 3), ("a", 2, 1, 1), ("a", 4, 1, 301), ("b", 0, 2, 3), ("c", 4, 300, 301)]
+    assert sorted(map(tuple, index.lengths().collect())) == [(0, 3), (1, 0), (2, 1), (3, 0), (4, 301)]
+    assert tuple(spark.read.parquet(f"{index.path}/stats").first()) == (5.0, 61.0)
+    for segment in (tmp_path / "index" / "postings").glob("*.parquet"):
+        terms = pq.read_table(segment, columns=["term", "id"]).to_pylist()
+        assert terms == sorted(terms, key=lambda r: (r["term"], r["id"]))
