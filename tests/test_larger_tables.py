@@ -62,3 +62,12 @@ def test_index_cuts_a_text_once_and_shuffles_only_texts(spark, tmp_path):
     for segment in (tmp_path / "index" / "postings").glob("*.parquet"):
         terms = pq.read_table(segment, columns=["term", "id"]).to_pylist()
         assert terms == sorted(terms, key=lambda r: (r["term"], r["id"]))
+
+
+def test_index_of_unicode_words_ranks_like_a_scan_over_many_segments(spark, tmp_path):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 != 0, F.concat(F.lit("Été über "), F.repeat(F.lit("été "), (F.col("id") % 5).cast("int")), F.lit("ab "), "id")).alias("text"))
+    index = text_search.TextIndex.build(docs.repartition(3), str(tmp_path / "index"), unicode_words=True)
+    assert len(list((tmp_path / "index" / "postings").glob("*.parquet"))) > 3
+    for asked in ("été über été", "100 été", "ab"):
+        assert [tuple(r) for r in index.search_plus(asked, 20).collect()] == [tuple(r) for r in text_search.bm25_plus(docs, asked, 20).collect()]
+    assert index.lengths().count() == 300 and index.postings().where("term in ('ab', '')").isEmpty()
