@@ -118,10 +118,10 @@ def parse_languages(spark, d):
     content = pick([filled(source) for _, source, _, _ in _SOURCES])
     tree = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey", F.lit("."), pick([F.lit(e) for e, *_ in _SOURCES])).alias("path"), content.cast("binary").alias("content"))
     parsed = indexing.parse(files.with_language(tree))
-    joined = lambda c: F.array_join(c, ",").alias(c)
-    found = indexing.symbols(parsed).select("file", "name", "type", "start_line", "end_line", joined("calls"), joined("bases"))
-    none = F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.lit("").alias("calls"), F.lit("").alias("bases")
-    return found.unionByName(parsed.select(F.col("path").alias("file"), F.explode("imports").alias("name"), F.lit("IMPORT").alias("type"), *none))
+    # symbols and imports in one array, so that each file is parsed once
+    shown = F.transform("symbols", lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), F.array_join(x["calls"], ",").alias("calls"), F.array_join(x["bases"], ",").alias("bases")))
+    imported = F.transform("imports", lambda m: F.struct(m.alias("name"), F.lit("IMPORT").alias("type"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.lit("").alias("calls"), F.lit("").alias("bases")))
+    return parsed.select(F.col("path").alias("file"), F.inline(F.concat(shown, imported)))
 
 
 @query(f"WITH {_TREE} SELECT path FROM t WHERE n_nationkey % 5 <> 1")

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from larkspur.operators import memory, text_search, vector
+from larkspur.operators import indexing, memory, text_search, vector
 from larkspur.plans import catalogue
 
 
@@ -71,3 +71,13 @@ def test_index_of_unicode_words_ranks_like_a_scan_over_many_segments(spark, tmp_
     for asked in ("été über été", "100 été", "ab"):
         assert [tuple(r) for r in index.search_plus(asked, 20).collect()] == [tuple(r) for r in text_search.bm25_plus(docs, asked, 20).collect()]
     assert index.lengths().count() == 300 and index.postings().where("term in ('ab', '')").isEmpty()
+
+
+def test_parsing_is_dealt_out_and_done_once(spark, tmp_path):
+    files = spark.createDataFrame([(f"a{i}.go", "go", bytearray(b"package p\nfunc f() { g() }\n")) for i in range(400)], "path string, language string, content binary").coalesce(1)
+    tasks = indexing.parse(files).select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    assert len(tasks) > 4 and max(r["count"] for r in tasks) < 200
+    spark.range(60).select(F.col("id").alias("c_custkey"), (F.col("id") % 7).cast("int").alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    found = catalogue.queries()["parse_languages"](spark, str(tmp_path))
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert plan.count("MapInArrow") == 1 and found.where("type = 'IMPORT'").count() == 50
