@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..session import written
@@ -76,13 +82,60 @@ def bm25_plus(docs: DataFrame, query: str, k: int = 10, id_col: str = "doc_id",
     return ranked.orderBy(F.desc("score"), id_col).limit(max(k, 0))
 
 
+#: Most ids in a row of postings, and the words after which a part begins another segment.
+_LISTED, _HELD = 65_536, 8 << 20
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings ``(term, id, tf, dl)`` of documents ``(id, words)``, by segment in order of terms, the ids of a term in lists.
+
+    The words of a text are joined by spaces, one space before each.  So the empty term is in every document once.
+    """
+    ids, sizes, coded, held = [], [], [], 0
+    for batch in batches:
+        words = pc.split_pattern(batch.column("words"), " ")
+        ids.append(batch.column("id"))
+        sizes.append(pc.list_value_length(words).to_numpy())
+        coded.append(words.flatten().dictionary_encode())
+        held += len(coded[-1])
+        if held >= _HELD:
+            yield from _segment(ids, sizes, coded)
+            ids, sizes, coded, held = [], [], [], 0
+    if held:
+        yield from _segment(ids, sizes, coded)
+
+
+def _segment(ids: list[pa.Array], sizes: list[np.ndarray], coded: list[pa.DictionaryArray]) -> Iterator[pa.RecordBatch]:
+    """The segment of documents with their numbers of words and the words of all."""
+    id_of, size, words = pa.chunked_array(ids).combine_chunks(), np.concatenate(sizes), pa.chunked_array(coded).unify_dictionaries()
+    terms = words.chunk(0).dictionary
+    by_term, by_id, n = pc.sort_indices(terms), pc.sort_indices(id_of), len(id_of)
+    # a word's key: the place of its term, then that of its document
+    rank, place = np.empty(len(terms), np.int64), np.empty(n, np.int64)
+    rank[by_term], place[by_id] = np.arange(len(terms)), np.arange(n)
+    keys = np.concatenate([rank[c.indices] for c in words.chunks])
+    keys *= n
+    keys += np.repeat(place, size)
+    keys.sort()
+    terms, id_of, length = terms.take(by_term), id_of.take(by_id), (size - 1)[by_id].astype(np.int32)
+    ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
+    keys, tf = keys[ends - 1], np.diff(ends, prepend=0).astype(np.int32)
+    for start in range(0, len(keys), _LISTED):
+        term, doc = np.divmod(keys[start : start + _LISTED], n)
+        rows = np.flatnonzero(np.diff(term, prepend=-1))
+        cut = pa.array(np.append(rows, len(term)), pa.int32())
+        lists = [pa.ListArray.from_arrays(cut, v) for v in (id_of.take(pa.array(doc)), pa.array(tf[start : start + _LISTED]), pa.array(length[doc]))]
+        yield pa.RecordBatch.from_arrays([terms.take(pa.array(term[rows])), *lists], names=["term", "id", "tf", "dl"])
+
+
 class TextIndex:
     """A BM25 index in a folder: postings ``(term, id, tf, dl)`` in segments, document lengths, corpus statistics.
 
     It is built once and searched often.  Documents are dealt out by id, and each part writes the postings of its own documents
-    in order of terms: a segment.  So a text is cut once, its terms are counted within its row, and nothing but texts is
-    shuffled.  A search reads, of every segment, the pages of the query's terms only.  The row of a document with its length
-    stands under the empty term, at the head of its segment.
+    in order of terms: a segment, or several one after another where it has very many words.  So a text is cut once, its terms
+    are counted within its part, and nothing but texts is shuffled.  A row of a segment lists the documents of one term, so
+    neither a build nor a search goes row by row over single postings.  A search reads, of every segment, the pages of the
+    query's terms only.  Documents with their lengths are listed under the empty term, at the head of their segment.
     """
 
     def __init__(self, spark: SparkSession, path: str, unicode_words: bool = False) -> None:
@@ -96,39 +149,36 @@ class TextIndex:
         texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         # a few segments per split of the input: they grow in number, not in size
         texts = texts.repartition(4 * max(1, docs.rdd.getNumPartitions()), "id")
-        words = texts.select("id", F.sort_array(cut("text")).alias("words")).withColumn("dl", F.size("words"))
-        # where the runs of equal words begin
-        at = F.filter(F.sequence(F.lit(0), F.col("dl")), lambda i: (i < F.col("dl")) & ((i == 0) | (F.get("words", i) != F.get("words", i - 1))))
-        runs = words.withColumn("at", at)
-        each = F.transform("at", lambda i, k: F.struct(F.get("words", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.col("dl")) - i).alias("tf")))
-        own = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("tf")))
-        postings = runs.select("id", "dl", F.inline(F.concat(own, each))).select("term", "id", "tf", "dl")
-        postings.sortWithinPartitions("term", "id").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(f"{index.path}/postings")
+        words = texts.select("id", F.array_join(F.concat(F.array(F.lit("")), cut("text")), " ").alias("words"))
+        lists = [StructField(c, ArrayType(t)) for c, t in (("id", words.schema["id"].dataType), ("tf", IntegerType()), ("dl", IntegerType()))]
+        postings = words.mapInArrow(_segments, StructType([StructField("term", StringType()), *lists]))
+        postings.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(f"{index.path}/postings")
         index.lengths().agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{index.path}/stats")
         return index
 
-    def _rows(self) -> DataFrame:
+    def _lists(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/postings")
 
     def postings(self) -> DataFrame:
-        return self._rows().where("term <> ''")
+        return self._lists().where("term <> ''").select("term", F.inline(F.arrays_zip("id", "tf", "dl")))
 
     def lengths(self) -> DataFrame:
-        return self._rows().where("term = ''").select("id", "dl")
+        return self._lists().where("term = ''").select(F.inline(F.arrays_zip("id", "dl")))
 
-    def _matches(self, terms: list[str]) -> DataFrame:
-        """Postings of the terms with their document frequency and the corpus statistics."""
-        found = self._rows().where(F.col("term").isin(terms)) if terms else self._rows().limit(0)
+    def _found(self, terms: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Postings of the terms; beside each term its document frequency and the corpus statistics."""
+        lists = self._lists().where(F.col("term").isin(terms)) if terms else self._lists().limit(0)
         # as many rows as the query has terms, and one row
-        df = found.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-        return found.join(F.broadcast(df), "term").crossJoin(F.broadcast(self.spark.read.parquet(f"{self.path}/stats")))
+        df = lists.groupBy("term").agg(F.sum(F.size("id")).cast("double").alias("df"))
+        return lists.select("term", F.inline(F.arrays_zip("id", "tf", "dl"))), df.crossJoin(F.broadcast(self.spark.read.parquet(f"{self.path}/stats")))
 
     def search(self, query: str, k: int = 10) -> DataFrame:
         """``(id, score)`` of the ``k`` best by Okapi BM25, as ``bm25`` gives them."""
         length = F.when(F.col("avgdl") > 0, F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")).otherwise(F.lit(1.0))
         idf = F.log((F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)) + F.lit(1.0))
         part = idf * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + F.lit(K1) * length)
-        scored = self._matches(query_terms(query, self.unicode_words)).groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
+        found, terms = self._found(query_terms(query, self.unicode_words))
+        scored = found.join(F.broadcast(terms), "term").groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
         return scored.orderBy(F.desc("score"), "id").limit(max(k, 0))
 
     def search_plus(self, query: str, k: int = 10) -> DataFrame:
@@ -138,11 +188,12 @@ class TextIndex:
         for term in dict.fromkeys(terms):
             times = F.when(F.col("term") == term, F.lit(terms.count(term))).otherwise(times)
         idf = times * F.log((F.col("n") + F.lit(1.0)) / F.col("df"))
-        rows = self._matches(list(dict.fromkeys(terms))).withColumn("idf", idf)
-        least = rows.groupBy("term").agg(F.first("idf").alias("idf")).agg(F.coalesce(F.sum("idf") * DELTA, F.lit(0.0)).alias("least"))
+        found, weights = self._found(list(dict.fromkeys(terms)))
+        weights = weights.withColumn("idf", idf)
+        least = weights.agg(F.coalesce(F.sum("idf") * DELTA, F.lit(0.0)).alias("least"))
         length = F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")
         more = F.col("idf") * F.col("tf") * F.lit(K1 + 1) / (F.lit(K1) * length + F.col("tf"))
-        hits = rows.groupBy("id").agg(F.sum(more).alias("more"))
+        hits = found.join(F.broadcast(weights), "term").groupBy("id").agg(F.sum(more).alias("more"))
         rest = self.lengths().select("id").join(hits, "id", "left_anti").orderBy("id").limit(max(k, 0)).withColumn("more", F.lit(0.0))
         both = hits.unionByName(rest).crossJoin(F.broadcast(least)).select("id", F.round(F.col("least") + F.col("more"), 6).alias("score"))
         return both.where("score > 0").orderBy(F.desc("score"), "id").limit(max(k, 0))

@@ -73,6 +73,30 @@ def test_index_of_unicode_words_ranks_like_a_scan_over_many_segments(spark, tmp_
     assert index.lengths().count() == 300 and index.postings().where("term in ('ab', '')").isEmpty()
 
 
+def test_index_lists_the_documents_of_a_term(spark, tmp_path):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("été über über "), F.pmod("id", F.lit(3))).alias("text"))
+    index = text_search.TextIndex.build(docs.repartition(2), str(tmp_path / "index"), unicode_words=True)
+    for segment in (tmp_path / "index" / "postings").glob("*.parquet"):
+        assert pq.read_table(segment, columns=["term"]).column(0).to_pylist() in ([], ["", "été", "über"])
+    assert index.postings().where("tf = if(term = 'über', 2, 1)").count() == 6000 and index.lengths().where("dl = 3").count() == 3000
+
+
+def test_parts_and_lists_of_an_index_are_bounded(monkeypatch):
+    monkeypatch.setattr(text_search, "_HELD", 6)
+    monkeypatch.setattr(text_search, "_LISTED", 3)
+    texts = [" b a b", "", " a", " a c", " ö a", " a", " a", " a"]
+    ids = [7, 3, 5, 1, 0, 2, 4, 6]
+    batches = [pa.RecordBatch.from_pydict({"id": ids[i : i + 2], "words": texts[i : i + 2]}) for i in range(0, 8, 2)]
+    rows = [r for b in text_search._segments(iter(batches)) for r in b.to_pylist()]
+    got = [(r["term"], *x) for r in rows for x in zip(r["id"], r["tf"], r["dl"], strict=True)]
+    assert sorted(x for x in got if x[0]) == [("a", 0, 1, 2), ("a", 1, 1, 2), ("a", 2, 1, 1), ("a", 4, 1, 1), ("a", 5, 1, 1), ("a", 6, 1, 1), ("a", 7, 1, 3), ("b", 7, 2, 3), ("c", 1, 1, 2), ("ö", 0, 1, 2)]
+    assert sorted((i, dl) for term, i, _, dl in got if not term) == [(0, 2), (1, 2), (2, 1), (3, 0), (4, 1), (5, 1), (6, 1), (7, 3)]
+    assert max(len(r["id"]) for r in rows) <= 3
+    keys = [(r["term"], r["id"]) for r in rows]
+    assert sum(a > b for a, b in zip(keys, keys[1:])) == 1  # two segments, each in order
+    assert list(text_search._segments(iter([]))) == []
+
+
 def test_parsing_is_dealt_out_and_done_once(spark, tmp_path):
     files = spark.createDataFrame([(f"a{i}.go", "go", bytearray(b"package p\nfunc f() { g() }\n")) for i in range(400)], "path string, language string, content binary").coalesce(1)
     tasks = indexing.parse(files).select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
